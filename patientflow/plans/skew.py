@@ -56,3 +56,8 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank", per: str
     part = part.withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).withColumn("_g", F.coalesce(group, F.lit("\0")))
     starts = part.groupBy("_p", "_g").agg(F.min("_i").alias("_s")).join(spark.createDataFrame(offsets, "_p int, _g string, _o bigint"), ["_p", "_g"])
     return part.join(F.broadcast(starts), ["_p", "_g"]).withColumn(name, F.col("_i") - F.col("_s") + F.col("_o")).drop("_p", "_g", "_i", "_s", "_o")
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
+    """Marks ``df`` for broadcast if it has at most ``most_rows`` rows, counted up to that bound; else leaves the join to Spark."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
