@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import grouped_splits, ngrams, packing, quantiles
+from . import grouped_splits, ngrams, overlaps, packing, quantiles
 
-_MODULES = (ngrams, quantiles, grouped_splits, packing)
+_MODULES = (ngrams, quantiles, overlaps, grouped_splits, packing)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
