@@ -20,12 +20,12 @@ MOST_LABELLED = 60_000
 #: Beyond this many labels the join with the texts is an ordinary one.
 MOST_BROADCAST = 200_000
 #: Words of a window and from one window to the next: a text is as abusive as its worst window.
-WINDOW, STRIDE = 16, 8
+WINDOW, STRIDE = 10, 5
 ROUNDS, EPOCHS, BATCH = 4, 3, 64
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.3, 0.5
 THRESHOLD = 0.3
 #: A label that the other half's model gives less probability than this is not learnt from.
-DOUBT = 0.2
+DOUBT = 0.1
 
 # Letters of other scripts that look like Latin ones, and digits and signs written for letters.
 ALIKE = dict(zip("аеіоросухѕјԁһкмтвнгпαβεικνορτυχ", "aeiopocyxsjdhkmtbnrnabeiknoptux"))
@@ -196,7 +196,7 @@ def fit(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, f
             model.fit(window, feature, y, weight, rng.permutation(np.flatnonzero(use & (weight > 0))))
         return model
 
-    for _ in range(ROUNDS):
+    for k in range(ROUNDS):
         p = np.zeros(len(doc))
         for h in (0, 1):  # each half is judged by the other half's model
             model = passes(half[doc] != h)
@@ -209,7 +209,7 @@ def fit(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, f
         worst = np.zeros(len(doc), bool)
         worst[first] = True
         doubtful = np.where(labels > 0, top < DOUBT, top > 1 - DOUBT)
-        if doubtful[labels > 0].mean() > 0.5:  # too few labels for the halves to judge each other
+        if k < ROUNDS - 1 or doubtful[labels > 0].mean() > 0.5:  # not settled, or too few labels for the halves to judge each other
             doubtful[:] = False
         weight = np.where(doubtful[doc], 0.0, np.where(mine, worst.astype(float), 1.0))
     model = passes(np.ones(len(doc), bool))
