@@ -236,8 +236,8 @@ def score(texts: list[str | None], at: np.ndarray, values: np.ndarray, intercept
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    t = pa.Table.from_batches(list(batches), pa.schema([("key", pa.string()), ("text", pa.string()), ("y", pa.float64())])).sort_by("key")
-    at, values, intercept = fit(t.column("text").to_pylist(), t.column("y").to_numpy())
+    rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: (r[0], r[1] or ""))
+    at, values, intercept = fit([r[1] for r in rows], np.array([r[2] for r in rows], float))
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(values, intercept))], ["feature", "weight"])
 
 
