@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from .operators import intervals, references
+from .functions import tokens
+from .operators import derive, intervals, references
 
-_MODULES = (references, intervals)
-QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
-SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
+QUERIES = {**references.QUERIES, **intervals.QUERIES}
+SQL = {**references.SQL, **intervals.SQL}
+for _m in (tokens, derive):
+    QUERIES |= _m.R.queries
+    SQL |= _m.R.sql
