@@ -23,7 +23,9 @@ MOST_BROADCAST = 200_000
 WINDOW, STRIDE = 10, 5
 ROUNDS, EPOCHS, BATCH = 4, 3, 64
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.3, 0.5
-THRESHOLD = 0.3
+THRESHOLD = 0.4
+#: Log-odds of a window without any telling feature, at most: abuse is rare, however few the labels.
+PRIOR = -1.5
 #: A label that the other half's model gives less probability than this is not learnt from.
 DOUBT = 0.1
 
@@ -181,7 +183,7 @@ def fit(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, f
         doc += [d] * len(w)
     doc = np.array(doc, np.int64)
     if not len(doc) or not labels.any() or labels.all():
-        return np.empty(0, np.int64), np.empty(0), -35.0 if not labels.any() else 35.0
+        return np.empty(0, np.int64), np.empty(0), -35.0 if not labels.any() else PRIOR
     window, feature = features(rows)
     n = len(texts)
     mine = labels[doc] > 0
@@ -215,7 +217,7 @@ def fit(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, f
     model = passes(np.ones(len(doc), bool))
     w = model.weights()
     at = np.flatnonzero(w)
-    return at, w[at], model.intercept()
+    return at, w[at], min(model.intercept(), PRIOR)
 
 
 def score(texts: list[str | None], at: np.ndarray, values: np.ndarray, intercept: float) -> np.ndarray:
