@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from .functions import tokens
-from .operators import derive, intervals, references, sequences
+from .operators import derive, intervals, omop, references, sequences
 
 QUERIES = {**references.QUERIES, **intervals.QUERIES}
 SQL = {**references.SQL, **intervals.SQL}
-for _m in (tokens, derive, sequences):
+for _m in (tokens, derive, sequences, omop):
     QUERIES |= _m.R.queries
     SQL |= _m.R.sql
