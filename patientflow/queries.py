@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from .functions import tokens
-from .operators import derive, intervals, omop, references, sequences
+from .operators import derive, intervals, labstats, omop, pack, privacy, references, sequences, splits, tte, vocab
 
 QUERIES = {**references.QUERIES, **intervals.QUERIES}
 SQL = {**references.SQL, **intervals.SQL}
-for _m in (tokens, derive, sequences, omop):
+for _m in (tokens, derive, sequences, omop, vocab, labstats, splits, privacy, tte, pack):
     QUERIES |= _m.R.queries
     SQL |= _m.R.sql
