@@ -169,6 +169,6 @@ def resume_anti_join(spark, sf_dir: str) -> DataFrame:
     return without_done(todo, done, ["person_id", "condition_start_date"])
 
 
-@R.query("tte_prompts", SEQUENCES_SQL + ", l AS (SELECT person_id, t, list_position([CASE WHEN x IN ('VS', '[VS]') THEN 's' ELSE '' END FOR x IN list_slice(t, len(t) - 59, len(t))], 's') AS at FROM s) SELECT person_id, array_to_string(CASE WHEN len(t) <= 64 THEN t ELSE list_concat(t[:4], list_slice(t, len(t) - 60 + greatest(coalesce(at, 0), 1), len(t))) END, ' ') AS t FROM l")
+@R.query("tte_prompts", SEQUENCES_SQL + ", l AS (SELECT person_id, t, list_position([CASE WHEN x IN ('VS', '[VS]') THEN 's' ELSE '' END FOR x IN list_slice(t, len(t) - 59, len(t))], 's') AS k FROM s) SELECT person_id, array_to_string(CASE WHEN len(t) <= 64 THEN t ELSE list_concat(t[:4], list_slice(t, len(t) - 60 + greatest(coalesce(k, 0), 1), len(t))) END, ' ') AS t FROM l")
 def tte_prompts(spark, sf_dir: str) -> DataFrame:
     return sequences(spark, sf_dir).select("person_id", F.array_join(prompt_truncation(F.col("t"), 64), " ").alias("t"))

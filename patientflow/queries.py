@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .functions import tokens
-from .operators import derive, intervals, labstats, omop, pack, privacy, references, sequences, splits, tte, vocab
+from .operators import cohort, derive, intervals, labstats, metrics, omop, pack, privacy, probe, references, sampling, sequences, splits, tte, vocab
+from .sources import tables
+from .streaming import visits
 
 QUERIES = {**references.QUERIES, **intervals.QUERIES}
 SQL = {**references.SQL, **intervals.SQL}
-for _m in (tokens, derive, sequences, omop, vocab, labstats, splits, privacy, tte, pack):
+for _m in (derive, tables, tokens, sequences, omop, vocab, labstats, splits, cohort, privacy, tte, pack, sampling, metrics, probe, visits):
     QUERIES |= _m.R.queries
     SQL |= _m.R.sql
