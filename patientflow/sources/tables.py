@@ -73,9 +73,7 @@ def export(tables: dict[str, DataFrame], folder: str, csv: bool = False, partiti
 def to_jdbc(df: DataFrame, url: str, name: str, properties: dict[str, str], partitions: int = JDBC_PARTITIONS) -> None:
     """Overwrites a database table in batches, with a bounded number of connections."""
     w = df.coalesce(partitions) if df.rdd.getNumPartitions() > partitions else df.repartition(partitions)
-    w.write.format("jdbc").options(url=url, dbtable=name, batchsize=#: Text files that keep blanks, line breaks, empty texts and nulls apart.
-CSV = {"header": True, "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "nullValue": "\\N", "emptyValue": "", "multiLine": True, "escape": '"'}
-JDBC_BATCH, queryTimeout=JDBC_TIMEOUT, **properties).mode("overwrite").save()
+    w.write.format("jdbc").options(url=url, dbtable=name, batchsize=JDBC_BATCH, queryTimeout=JDBC_TIMEOUT, **properties).mode("overwrite").save()
 
 
 def cached(spark: SparkSession, path: str, make) -> DataFrame:
