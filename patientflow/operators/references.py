@@ -126,7 +126,7 @@ def _asof(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 which = np.searchsorted(at, refs) - 1  # the preceding run row
                 w = np.maximum(which, 0)
                 start, end, block, parent = (b.column(i).take(pa.array(at)).to_numpy(zero_copy_only=False) for i in (3, 4, 1, 0))
-                mine = (which >= 0) & (block[w] == b.column(1).take(pa.array(refs)).to_numpy()) & (parent[w] == b.column(0).take(pa.array(refs)).to_numpy(zero_copy_only=False)) & (key <= end[w])
+                mine = (which >= 0) & (block[w] == b.column(1).take(pa.array(refs)).to_numpy()) & (parent[w] == b.column(0).take(pa.array(refs)).to_numpy(zero_copy_only=False)) & (start[w] <= key) & (key <= end[w])
                 lists = b.column(5)
                 flat, offset = lists.values.to_numpy(), lists.offsets.to_numpy()[at]
                 since = flat[np.where(mine, offset[w] + key - start[w], 0)]
