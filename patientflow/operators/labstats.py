@@ -23,7 +23,7 @@ def normal_cdf(x: float) -> float:
 
 def numeric_values(seqs: DataFrame, tokens: str = "concept_ids", masks: str = "value_indicators", values: str = "values", units: str = "units") -> DataFrame:
     """``concept_id, unit, value`` of marked positions whose number is finite and not 0; a null unit is N/A, blanks around concepts are cut, null concepts left out."""
-    z = F.filter(F.arrays_zip(tokens, masks, values, units), lambda x: (x[masks] == 1) & x[values].isNotNull() & ~F.isnan(x[values]) & (F.abs(x[values]) < float("inf")) & (x[values] != 0))
+    z = F.filter(F.arrays_zip(tokens, masks, values, F.coalesce(units, F.array().cast("array<string>")).alias(units)), lambda x: (x[masks] == 1) & x[values].isNotNull() & ~F.isnan(x[values]) & (F.abs(x[values]) < float("inf")) & (x[values] != 0))
     rows = seqs.select(F.explode(z).alias("x")).select(F.btrim(f"x.{tokens}", F.lit(tk.BLANKS)).alias("concept_id"), F.coalesce(f"x.{units}", F.lit(NA)).alias("unit"), F.col(f"x.{values}").cast("double").alias("value"))
     return rows.where("concept_id is not null")
 

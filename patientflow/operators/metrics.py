@@ -66,12 +66,12 @@ def _scores(spark, sf_dir: str) -> DataFrame:
     return d.select(F.col("flagged").alias("label"), F.round(F.length(F.regexp_replace("text", "[^A-Z]", "")) / F.greatest(F.length("text"), F.lit(1)), 3).alias("score"))
 
 
-@R.query("roc_auc", _SCORES + " SELECT sum(n * (tp - p / 2.0)) / (sum(p) * sum(n)) AS roc_auc FROM k")
+@R.query("roc_auc", _SCORES + " SELECT sum(n * (tp - p / 2.0)) / nullif(sum(p) * sum(n), 0) AS roc_auc FROM k")
 def roc_auc_query(spark, sf_dir: str) -> DataFrame:
     return roc_auc(_scores(spark, sf_dir), "score", "label")
 
 
-@R.query("pr_auc", _SCORES + " SELECT sum(p * (tp / (tp + fp) + coalesce((tp - p) / nullif(tp - p + fp - n, 0), 1)) / 2.0) / sum(p) AS pr_auc FROM k")
+@R.query("pr_auc", _SCORES + " SELECT sum(p * (tp / (tp + fp) + coalesce((tp - p) / nullif(tp - p + fp - n, 0), 1)) / 2.0) / nullif(sum(p), 0) AS pr_auc FROM k")
 def pr_auc_query(spark, sf_dir: str) -> DataFrame:
     return pr_auc(_scores(spark, sf_dir), "score", "label")
 

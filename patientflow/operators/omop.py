@@ -143,7 +143,7 @@ def valid_rows(df: DataFrame, as_of_year: int = 2026) -> DataFrame:
 
     Of several rows of a person the longest, then the greatest in order, holds. Rows without person are left out.
     """
-    z = F.filter(F.transform(F.arrays_zip("concept_ids", "values", "units"), lambda x: F.struct(F.btrim(x["concept_ids"], F.lit(tk.BLANKS)).alias("c"), x["values"].alias("v"), x["units"].alias("u"))), lambda x: F.length(x["c"]) > 0)
+    z = F.filter(F.transform(F.arrays_zip("concept_ids", F.coalesce("values", F.array().cast("array<double>")).alias("values"), F.coalesce("units", F.array().cast("array<string>")).alias("units")), lambda x: F.struct(F.btrim(x["concept_ids"], F.lit(tk.BLANKS)).alias("c"), x["values"].alias("v"), x["units"].alias("u"))), lambda x: F.length(x["c"]) > 0)
     rows = df.where("person_id is not null and concept_ids is not null").select(F.col("person_id").cast("bigint").alias("key"), z.alias("z"))
     rows = rows.withColumn("z", F.when(F.lower(F.get("z.c", F.lit(0))).contains("start"), F.slice("z", 2, F.greatest(F.size("z") - 1, F.lit(0)))).otherwise(F.col("z")))
     one = rows.groupBy("key").agg(F.max(F.struct(F.size("z").alias("n"), F.col("z.c").alias("c"), F.col("z.v").alias("v"), F.col("z.u").alias("u"))).alias("m"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ..functions.tokens import SEQUENCES_SQL, sequences
 from ..plans.registry import Registry
@@ -21,17 +21,18 @@ def _again(df: DataFrame, p: Column) -> DataFrame:
     return df.select("context", "token", (p / F.sum(p).over(Window.partitionBy("context"))).alias("p"))
 
 
-BEST = Window.partitionBy("context").orderBy(F.desc("p"), "token")
+def _best() -> WindowSpec:
+    return Window.partitionBy("context").orderBy(F.desc("p"), "token")
 
 
 def top_k(df: DataFrame, k: int) -> DataFrame:
     """The k most probable tokens of each context (ties by text), with shares anew."""
-    return _again(df.withColumn("r", F.row_number().over(BEST)).where(F.col("r") <= k), F.col("p"))
+    return _again(df.withColumn("r", F.row_number().over(_best())).where(F.col("r") <= k), F.col("p"))
 
 
 def top_p(df: DataFrame, share: float) -> DataFrame:
     """The fewest tokens whose shares reach ``share``: those before which less was reached."""
-    before = F.sum("p").over(BEST.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("p").over(_best().rowsBetween(Window.unboundedPreceding, -1))
     return _again(df.withColumn("b", F.coalesce(before, F.lit(0.0))).where(F.col("b") < share - 1e-12), F.col("p"))
 
 
@@ -42,7 +43,7 @@ def temperature(df: DataFrame, t: float) -> DataFrame:
 
 def epsilon_cutoff(df: DataFrame, least: float) -> DataFrame:
     """Tokens of at least ``least``; of a context without any the most probable one."""
-    return _again(df.withColumn("r", F.row_number().over(BEST)).where((F.col("p") >= least) | (F.col("r") == 1)), F.col("p"))
+    return _again(df.withColumn("r", F.row_number().over(_best())).where((F.col("p") >= least) | (F.col("r") == 1)), F.col("p"))
 
 
 def repetition_penalty(df: DataFrame, seen: DataFrame, penalty: float) -> DataFrame:
@@ -53,7 +54,7 @@ def repetition_penalty(df: DataFrame, seen: DataFrame, penalty: float) -> DataFr
 
 def draw_next(df: DataFrame, contexts: DataFrame, seed: int = 0) -> DataFrame:
     """``key, context, token`` drawn for each (key, context) by inverse distribution and a hash."""
-    upto = F.sum("p").over(BEST.rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.sum("p").over(_best().rowsBetween(Window.unboundedPreceding, 0))
     t = df.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("p"))
     u = contexts.withColumn("u", uniform("key", "context", seed=seed))
     return u.join(t, "context").where((F.col("lo") <= F.col("u")) & (F.col("u") < F.col("hi"))).select("key", "context", "token")

@@ -83,7 +83,7 @@ def build_sequences(person: DataFrame, visits: DataFrame, events: DataFrame, opt
     same = Window.partitionBy("person_id", "start", "visit_id", F.when(F.col("stay"), F.col("time")).otherwise(F.date_trunc("day", "time")), "code", "text", "unit").orderBy("time", "number")
     j = j.withColumn("n", F.row_number().over(in_visit)).withColumn("dup", F.row_number().over(same) > 1)
     seen = F.max(F.when(~F.col("dup"), F.col("time"))).over(in_visit.rowsBetween(Window.unboundedPreceding, -1))
-    clock = F.greatest("start", F.coalesce(F.when(F.col("stay"), F.least(seen, F.coalesce("end", seen))).otherwise(seen), "start"))
+    clock = F.greatest("start", F.coalesce(F.when(F.col("stay") & seen.isNotNull(), F.least(seen, F.coalesce("end", seen))).otherwise(seen), "start"))
     j = j.withColumn("clock", clock)
     gap = tk.whole_days(F.col("time"), F.col("clock"))
     seconds = (F.unix_micros(F.col("time").cast("timestamp")) - F.unix_micros(F.col("clock").cast("timestamp"))) / 1_000_000
