@@ -79,10 +79,10 @@ class TestSet:
 
 
 def _hits(batches: Iterator[pa.RecordBatch], tests) -> Iterator[pa.RecordBatch]:
-    """(key, text) to (key, item, windows, spans as word positions [from, to) merged)."""
+    """(key, text_hash, text) to (key, text_hash, item, windows, spans as word positions [from, to) merged)."""
     words, strip = _regex()
     for b in batches:
-        texts = [words.findall(normalised(t, strip)) if t else [] for t in b.column(1).to_pylist()]
+        texts = [words.findall(normalised(t, strip)) if t else [] for t in b.column(2).to_pylist()]
         by: dict[tuple[int, int], list[int]] = {}
         for d, i, item in tests.value.windows(texts):
             by.setdefault((d, item), []).append(i)
@@ -95,7 +95,8 @@ def _hits(batches: Iterator[pa.RecordBatch], tests) -> Iterator[pa.RecordBatch]:
                 else:
                     merged.append([i, i + tests.value.n])
             rows.append(d), items.append(item), n.append(len(at)), spans.append(merged)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(items, pa.int64()), pa.array(n, pa.int32()), pa.array(spans, pa.list_(pa.list_(pa.int32())))], ["key", "item", "windows", "spans"])
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(items, pa.int64()), pa.array(n, pa.int32()), pa.array(spans, pa.list_(pa.list_(pa.int32())))], ["key", "text_hash", "item", "windows", "spans"])
 
 
 def _blocks(items: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, str]]]:
@@ -110,8 +111,14 @@ def _blocks(items: DataFrame, item: str, text: str) -> Iterator[list[tuple[int,
     yield block
 
 
+def _rows(documents: DataFrame, key: str, text: str) -> DataFrame:
+    return documents.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+
+
 def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, n: int = WORDS) -> DataFrame:
-    """Every document with every item of which it holds n or more consecutive words: ``key, item, windows, spans``.
+    """Every document with every item of which it holds n or more consecutive words: ``key, text_hash, item, windows, spans``.
+
+    text_hash tells the texts of a repeated key apart.
 
     Words are runs of letters and digits after NFKC, removal of format
     characters and lower-casing. Null and short texts on either side give
@@ -122,11 +129,11 @@ def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item: str
     """
     sc = documents.sparkSession.sparkContext
     kind = documents.schema[key].dataType.simpleString()
-    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = _rows(documents, key, text)
     out = None
     for block in _blocks(items, item, item_text):
         tests = sc.broadcast(TestSet(block, n))
-        one = rows.mapInArrow(lambda it, tests=tests: _hits(it, tests), f"key {kind}, item bigint, windows int, spans array<array<int>>")
+        one = rows.mapInArrow(lambda it, tests=tests: _hits(it, tests), f"key {kind}, text_hash bigint, item bigint, windows int, spans array<array<int>>")
         out = one if out is None else out.unionAll(one)
     return out
 
@@ -173,12 +180,12 @@ def without_leaks(documents: DataFrame, key: str, text: str, found: DataFrame, w
     A text whose words cannot be located (its normal form crosses its
     characters) becomes null, as does a null text.
     """
-    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows, by = _rows(documents, key, text), ["key", "text_hash"]
     if whole:
-        return rows.join(found.select("key").distinct(), "key", "left_anti")
-    spans = found.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        return rows.join(found.select(*by).distinct(), by, "left_anti").select("key", "text")
+    spans = found.groupBy(*by).agg(F.flatten(F.collect_list("spans")).alias("spans"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.join(spans, "key", "left").mapInArrow(_remove, f"key {kind}, text string")
+    return rows.join(spans, by, "left").select("key", "text", "spans").mapInArrow(_remove, f"key {kind}, text string")
 
 
 def _leaks(spark, sf_dir: str) -> DataFrame:

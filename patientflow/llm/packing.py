@@ -115,6 +115,6 @@ SQL = {
     "p7_found": f"{_LEN} SELECT person_id FROM l WHERE n > {CAPACITY}",
     "p7_classes": f"""{_LEN}, p AS (SELECT n, unnest(range(0, (n - 1) // {CAPACITY} + 1)) AS i FROM l WHERE n > 0),
 s AS (SELECT least({CAPACITY}, n - i * {CAPACITY}) AS size FROM p)
-SELECT least({CAPACITY} // size, {CLASSES}) AS class, count(*) AS n_pieces, sum(size) AS n_tokens FROM s GROUP BY 1""",
+SELECT least({CAPACITY} // size, {CLASSES}) AS class, count(*) AS n_pieces, CAST(sum(size) AS BIGINT) AS n_tokens FROM s GROUP BY 1""",
 }
 QUERIES = {"p7_found": p7_found, "p7_bins": p7_bins, "p7_classes": p7_classes, "p7_fill": p7_fill, "p7_packed": p7_packed}

@@ -198,7 +198,7 @@ def lab_values(spark, sf_dir: str) -> DataFrame:
     All rows count, redelivered ones too; concept ids without outer blanks. Positions beyond the end of an array have no value or unit.
     """
     labs = table(spark, sf_dir, "lab_stats").select(F.btrim("concept_id", F.lit(BLANKS)).alias("c"), F.col("unit").alias("u")).where("c is not null").distinct()
-    finite = F.filter(F.arrays_zip("concept_ids", "values", "units"), lambda x: x["values"].isNotNull() & ~F.isnan(x["values"]) & (F.abs(x["values"]) < float("inf")))
+    finite = F.filter(F.arrays_zip("concept_ids", "values", F.coalesce("units", F.array().cast("array<string>")).alias("units")), lambda x: x["values"].isNotNull() & ~F.isnan(x["values"]) & (F.abs(x["values"]) < float("inf")))
     at = table(spark, sf_dir, "processed_dataset").select(F.explode(finite).alias("x")).select(F.btrim("x.concept_ids", F.lit(BLANKS)).alias("concept_id"), F.col("x.units").alias("unit"), F.col("x.values").alias("value"))
     small = broadcast_if_small(labs, MOST_LABS)
     return at.join(small, (F.col("concept_id") == F.col("c")) & F.col("unit").eqNullSafe(F.col("u"))).select("concept_id", "unit", "value")
