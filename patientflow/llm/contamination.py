@@ -90,7 +90,7 @@ def _hits(batches: Iterator[pa.RecordBatch], tests) -> Iterator[pa.RecordBatch]:
         for (d, item), at in by.items():
             merged: list[list[int]] = []
             for i in sorted(at):
-                if merged and i <= merged[-1][1]:
+                if merged and i < merged[-1][1]:
                     merged[-1][1] = i + tests.value.n
                 else:
                     merged.append([i, i + tests.value.n])
