@@ -6,11 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.runtime import new_path, partitions, persisted, table
-from ..plans.skew import broadcast_if_small, skew_join
+from ..plans.skew import skew_join
 from .grouped_splits import split_name
 from .ngrams import clean_terms
 
