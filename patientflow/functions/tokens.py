@@ -177,7 +177,7 @@ SELECT token, token IN ('VS', '[VS]') AS visit_start, token IN ('VE', '[VE]') AS
  regexp_matches(token, '^[DWMY][0-9]') OR token = 'LT' OR starts_with(token, 'VS-') OR (starts_with(token, 'i-') AND NOT starts_with(token, 'i-H')) AS att,
  regexp_matches(token, '^(VS-|i-)D[0-9]') AS inpatient_att, regexp_matches(token, '^[0-9]+$') AS clinical, days,
  'year:' || (days // 365) || ' month:' || (days % 365 // 30) || CASE WHEN regexp_matches(token, '^(VS-|i-)D[0-9]') THEN ' i-day:' ELSE ' day:' END || (days % 365 % 30) AS sub_time,
- CASE WHEN days >= 1095 THEN 'LT' ELSE 'M' || (days // 30) END AS bucket,
+ CASE WHEN days >= 1095 THEN 'LT' WHEN days IS NOT NULL THEN 'M' || (days // 30) END AS bucket,
  CASE WHEN starts_with(token, 'age:') THEN 'age:' || (TRY_CAST(substr(token, 5) AS INT) // 10 * 10) || '-' || (TRY_CAST(substr(token, 5) AS INT) // 10 * 10 + 10) END AS age_group FROM d""")
 def token_classes(spark, sf_dir: str) -> DataFrame:
     """Every token with its class, days, sub-tokens, month bucket and age group."""
@@ -188,8 +188,6 @@ def token_classes(spark, sf_dir: str) -> DataFrame:
     return d.select("*", F.when(days.isNotNull(), F.array_join(time_tuple(days, F.col("inpatient_att")), " ")).alias("sub_time"), F.when(days.isNotNull(), month_bucket(days)).alias("bucket"), F.when(t.startswith("age:"), age_group(t)).alias("age_group"))
 
 
-R.sql["token_classes"] = R.sql["token_classes"].replace("CASE WHEN days >= 1095 THEN 'LT' ELSE", "CASE WHEN days >= 1095 THEN 'LT' WHEN days IS NOT NULL THEN")
-
 
 @R.query("artificial_time_tokens", "SELECT 'D' || i AS token FROM range(2000) r(i) UNION ALL SELECT 'W' || i FROM range(4) r(i) UNION ALL SELECT 'M' || i FROM range(12) r(i) UNION ALL SELECT 'LT'")
 def artificial_tokens(spark, sf_dir: str) -> DataFrame:

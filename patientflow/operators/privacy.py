@@ -7,14 +7,13 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import tokens as tk
 from ..functions.tokens import sequences
 from ..plans.registry import Registry
 from ..plans.runtime import new_path, partitions, persisted, table
 from .sequences import clinical_set, demographics
-from .splits import draw
 
 MEMBER_THRESHOLD = 5.0
 #: Rows of the target that a task holds at once.
@@ -329,7 +328,7 @@ def salted_join_query(spark, sf_dir: str) -> DataFrame:
     return salted_join(c, v, ["person_id"]).groupBy("visit_concept_id").agg(F.count("*").alias("n"))
 
 
-@R.query("blocked_nearest", "SELECT a.vec_id, round(sqrt(min(list_sum([(x - y) * (x - y) FOR x, y IN []]))), 4) AS dist FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id GROUP BY 1".replace("min(list_sum([(x - y) * (x - y) FOR x, y IN []]))", "min(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) ** 2)"))
+@R.query("blocked_nearest", "SELECT a.vec_id, round(min(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 4) AS dist FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id GROUP BY 1")
 def blocked_nearest(spark, sf_dir: str) -> DataFrame:
     """Distance of each dense vector to its nearest other one, by matrix blocks."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v"))

@@ -179,14 +179,12 @@ _S = SEQUENCES_SQL
 MOST = 64
 
 
-@R.query("demographic_projection", _S + "SELECT person_id, coalesce(TRY_CAST(substr(t[1], 6) AS INT), 1900) AS year, coalesce(TRY_CAST(substr(t[2], 5) AS INT), -1) AS age, t[3] AS gender, t[4] AS race, TRY_CAST(substr(t[1], 6) AS INT) - TRY_CAST(substr(t[2], 5) AS INT) BETWEEN 1900 AND 2026 IS TRUE AS plausible FROM s")
+@R.query("demographic_projection", _S + "SELECT person_id, coalesce(TRY_CAST(substr(t[1], 6) AS INT), 1900) AS year, coalesce(TRY_CAST(substr(t[2], 5) AS INT), -1) AS age, t[3] AS gender, t[4] AS race, coalesce(TRY_CAST(substr(t[1], 6) AS INT) - TRY_CAST(substr(t[2], 5) AS INT) BETWEEN 1900 AND 2026, false) AS plausible FROM s")
 def demographic_projection(spark, sf_dir: str) -> DataFrame:
     t = F.col("t")
     return sequences(spark, sf_dir).select("person_id", *demographics(t), plausible_birth_year(t, 2026).alias("plausible"))
 
 
-R.sql["demographic_projection"] = R.sql["demographic_projection"].replace("TRY_CAST(substr(t[1], 6) AS INT) - TRY_CAST(substr(t[2], 5) AS INT) BETWEEN 1900 AND 2026 IS TRUE", "coalesce(TRY_CAST(substr(t[1], 6) AS INT) - TRY_CAST(substr(t[2], 5) AS INT) BETWEEN 1900 AND 2026, false)")
-
 
 @R.query("clinical_concept_set", _S + "SELECT person_id, array_to_string(list_sort(list_distinct([x FOR x IN t[5:] IF regexp_matches(x, '^[0-9]+$')])), ' ') AS concepts FROM s")
 def clinical_concept_set(spark, sf_dir: str) -> DataFrame:

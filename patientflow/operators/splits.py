@@ -176,8 +176,8 @@ def split_hash(spark, sf_dir: str) -> DataFrame:
     return random_split(_persons(spark, sf_dir).select("person_id").distinct(), "person_id", [("train", 0.8), ("validation", 0.1), ("test", 0.1)], seed=3)
 
 
-@R.query("few_shot", f"""WITH p AS (SELECT DISTINCT person_id FROM person ORDER BY {_md5('person_id')}, person_id LIMIT 50), r AS (SELECT person_id, row_number() OVER (ORDER BY {_md5('person_id', 1)}, person_id) - 1 AS k FROM p)
-SELECT person_id, CASE WHEN k < 10 THEN 'validation' ELSE 'train' END AS split FROM r""".replace("SELECT DISTINCT person_id FROM person", "SELECT person_id FROM (SELECT DISTINCT person_id FROM person)"))
+@R.query("few_shot", f"""WITH p AS (SELECT person_id FROM (SELECT DISTINCT person_id FROM person) ORDER BY {_md5('person_id')}, person_id LIMIT 50), r AS (SELECT person_id, row_number() OVER (ORDER BY {_md5('person_id', 1)}, person_id) - 1 AS k FROM p)
+SELECT person_id, CASE WHEN k < 10 THEN 'validation' ELSE 'train' END AS split FROM r""")
 def few_shot_query(spark, sf_dir: str) -> DataFrame:
     return few_shot(_persons(spark, sf_dir).select("person_id").distinct(), "person_id", 50)
 

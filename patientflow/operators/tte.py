@@ -131,8 +131,8 @@ def tte_first_hit(spark, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir)
 
 
-@R.query("tte_summary", _LONG + """, b AS (SELECT event, CASE WHEN days >= 1095 THEN 'LT' ELSE 'M' || (days // 30) END AS k, count(*) AS n, min(days) AS d FROM r GROUP BY 1, 2), m AS (SELECT event, arg_max(k, (n, -d)) AS most_likely_time FROM b GROUP BY 1)
-SELECT event, count(*) AS n, avg(days) AS average_time, median(days) AS median_time, stddev_pop(days) AS standard_deviation, avg((event <> '0')::INT) AS event_probability, any_value(most_likely_time) AS most_likely_time FROM r JOIN m USING (event) GROUP BY 1""".replace(", b AS (SELECT event, CASE WHEN days >= 1095 THEN 'LT' ELSE 'M' || (days // 30) END", ", b AS (SELECT event, CASE WHEN days >= 1095 THEN 'LT' ELSE 'M' || CAST(floor(days / 30) AS INT) END"))
+@R.query("tte_summary", _LONG + """, b AS (SELECT event, CASE WHEN days >= 1095 THEN 'LT' ELSE 'M' || CAST(floor(days / 30) AS INT) END AS k, count(*) AS n, min(days) AS d FROM r GROUP BY 1, 2), m AS (SELECT event, arg_max(k, (n, -d)) AS most_likely_time FROM b GROUP BY 1)
+SELECT event, count(*) AS n, avg(days) AS average_time, median(days) AS median_time, stddev_pop(days) AS standard_deviation, avg((event <> '0')::INT) AS event_probability, any_value(most_likely_time) AS most_likely_time FROM r JOIN m USING (event) GROUP BY 1""")
 def tte_summary(spark, sf_dir: str) -> DataFrame:
     return summarise(_hits(spark, sf_dir), ["event"])
 

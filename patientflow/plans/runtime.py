@@ -17,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     folder is made and registered.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             sc.setCheckpointDir(named)
