@@ -50,12 +50,6 @@ def sequence_bodies(df: DataFrame, key: str, terms: str, header: int = HEADER) -
     return df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), t.alias("t")).select("key", F.slice("t", skip + 1, F.size("t")).alias("body"))
 
 
-def runs(c: str = "body", n: int = RUN) -> F.Column:
-    """Distinct runs of n consecutive terms, as text with a separator that terms cannot hold after cleaning of control breaks."""
-    at = F.sequence(F.lit(1), F.size(c) - (n - 1))
-    return F.when(F.size(c) >= n, F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(c, i, n), "\x1f")))).otherwise(F.array().cast("array<string>"))
-
-
 def _grams(text: str) -> dict[str, None]:
     return dict.fromkeys(text[i : i + RUN] for i in range(len(text) - RUN + 1))
 
@@ -175,6 +169,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], ["train", "eval", "similarity", "coverage"])
 
 
+def _body_hash() -> F.Column:
+    """128 bits over the terms one by one, so that ["a", "b"] and ["ab"] differ."""
+    return F.concat_ws("-", F.xxhash64("body"), F.xxhash64(F.lit(1), "body"))
+
+
 def cross_split_overlaps(bodies: DataFrame, splits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Near-same records between train and the evaluation splits.
 
@@ -193,7 +192,7 @@ def cross_split_overlaps(bodies: DataFrame, splits: DataFrame) -> tuple[DataFram
     spark = bodies.sparkSession
     flags = splits.where("key is not null and split is not null").groupBy("key").agg(F.max(F.col("split") == "train").alias("train"), F.max(F.col("split") != "train").alias("eval"))
     rows = bodies.where(F.size("body") >= RUN + LEAST_RUNS - 1).join(flags, "key")
-    hashed = rows.select("key", "train", "eval", F.md5(F.array_join("body", "\x1f").cast("binary")).alias("h"), "body")
+    hashed = rows.select("key", "train", "eval", _body_hash().alias("h"), "body")
     hashed = persisted(hashed, "bodies")
     classes = hashed.groupBy("h").agg(F.max("train").alias("train"), F.max("eval").alias("eval"), F.first("body").alias("body"))
     classes = classes.select(F.monotonically_increasing_id().alias("no"), "h", "train", "eval", "body")

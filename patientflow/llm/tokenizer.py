@@ -56,20 +56,20 @@ def _encode_whole(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([b.column(0), _lists([enc.encode_ordinary(t) if t else [] for t in b.column(1).to_pylist()])], ["key", "ids"])
 
 
-def _pretokenise(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
-    """(key, k, text) to (key, k, text, starts, head, tail): boundaries within the chunk, and those of the regions shared with its neighbours, counted from the region's start."""
+def _pretokenise(batches: Iterator[pa.RecordBatch], chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
+    """(row, k, text) to (row, k, text, starts, head, tail): boundaries within the chunk, and those of the regions shared with its neighbours, counted from the region's start."""
     for b in batches:
         starts, heads, tails = [], [], []
         for k, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
             at = [i for i in boundaries(t) if i < len(t) - UNSURE] if len(t) > chunk else boundaries(t)
             starts.append(at)
-            heads.append([i for i in at if 0 < i < OVERLAP] if k else [])
+            heads.append([i for i in at if 0 < i < overlap] if k else [])
             tails.append([i - chunk for i in at if i > chunk])
-        yield pa.RecordBatch.from_arrays([*b.columns, *map(_lists, (starts, heads, tails))], ["key", "k", "text", "starts", "head", "tail"])
+        yield pa.RecordBatch.from_arrays([*b.columns, *map(_lists, (starts, heads, tails))], ["row", "k", "text", "starts", "head", "tail"])
 
 
 def _encode_pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """(key, k, text, starts, first, last): ids of the pieces from first to last (null: the end) of each chunk."""
+    """(row, k, text, starts, first, last): ids of the pieces from first to last (null: the end) of each chunk."""
     enc = encoding(path)
     known: dict[str, list[int]] = {}
     for b in batches:
@@ -86,13 +86,13 @@ def _encode_pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
                         known[piece] = x
                 ids += x
             rows.append(ids)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(rows)], ["key", "k", "ids"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(rows)], ["row", "k", "ids"])
 
 
 def encode(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Token ids of every text: ``key, ids``; an empty list for empty and null texts.
 
-    Keys must be unique among texts longer than ``chunk``; others may repeat and each row stands. Special tokens'
+    Each row gives one row, also for null and repeated keys. Special tokens'
     names in a text are ordinary text. Texts up to ``chunk`` characters are one
     chunk and are encoded in one go. Longer ones are cut into chunks with
     an overlap and spread over all tasks: each chunk is pre-tokenised alone;
@@ -105,24 +105,27 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, chu
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     long = F.length("text") > chunk
     kind = rows.schema["key"].dataType.simpleString()
-    whole = lambda d: d.mapInArrow(lambda it: _encode_whole(it, vocabulary), f"key {kind}, ids array<int>")
+    whole = lambda d: d.mapInArrow(lambda it: _encode_whole(it, vocabulary), f"key {d.schema['key'].dataType.simpleString()}, ids array<int>")
     short = whole(rows.where(~F.coalesce(long, F.lit(False))))
     if not rows.where(long).limit(1).count():
         return short
+    # A number of its own tells long rows apart, also those of one key or of none.
+    big = persisted(rows.where(long).select(F.monotonically_increasing_id().alias("row"), "key", "text"), "long")
     n = F.ceil(F.length("text") / chunk).cast("int")
-    cut = rows.where(long).select("key", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring("text", k * chunk + 1, F.lit(chunk + overlap)))).alias("k", "text"))
-    pre = persisted(cut.repartition(partitions(spark), "key", "k").mapInArrow(lambda it: _pretokenise(it, chunk), f"key {kind}, k int, text string, starts array<int>, head array<int>, tail array<int>"), "chunks")
-    by = Window.partitionBy("key").orderBy("k")
+    cut = big.select("row", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring("text", k * chunk + 1, F.lit(chunk + overlap)))).alias("k", "text"))
+    pre = persisted(cut.repartition(partitions(spark), "row", "k").mapInArrow(lambda it: _pretokenise(it, chunk, overlap), "row bigint, k int, text string, starts array<int>, head array<int>, tail array<int>"), "chunks")
+    by = Window.partitionBy("row").orderBy("k")
     meet = F.array_min(F.array_intersect("tail", F.lead("head").over(by)))
     # The lists of one text: at most an overlap per chunk.
-    stitch = pre.select("key", "k", "head", "tail").select("key", "k", meet.alias("next"), F.lead("k").over(by).alias("more")).withColumn("first", F.coalesce(F.lag("next").over(by), F.lit(0)))
-    stitch = stitch.withColumn("failed", F.max(F.col("more").isNotNull() & F.col("next").isNull()).over(Window.partitionBy("key")))
+    stitch = pre.select("row", "k", "head", "tail").select("row", "k", meet.alias("next"), F.lead("k").over(by).alias("more")).withColumn("first", F.coalesce(F.lag("next").over(by), F.lit(0)))
+    stitch = stitch.withColumn("failed", F.max(F.col("more").isNotNull() & F.col("next").isNull()).over(Window.partitionBy("row")))
     stitch = persisted(stitch, "stitches")
-    pieces = pre.join(stitch.where("not failed"), ["key", "k"]).select("key", "k", "text", "starts", "first", (F.col("next") + chunk).alias("last"))
-    ids = pieces.mapInArrow(lambda it: _encode_pieces(it, vocabulary), f"key {kind}, k int, ids array<int>")
-    joined = ids.groupBy("key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
-    rest = whole(rows.where(long).join(stitch.where("failed").select("key").distinct(), "key", "left_semi"))
-    return short.unionByName(joined).unionByName(rest)
+    pieces = pre.join(stitch.where("not failed"), ["row", "k"]).select("row", "k", "text", "starts", "first", (F.col("next") + chunk).alias("last"))
+    ids = pieces.mapInArrow(lambda it: _encode_pieces(it, vocabulary), "row bigint, k int, ids array<int>")
+    joined = ids.groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
+    rest = whole(big.join(stitch.where("failed").select("row").distinct(), "row", "left_semi").select(F.col("row").alias("key"), "text"))
+    done = joined.unionAll(rest.select(F.col("key").alias("row"), "ids"))
+    return short.unionByName(big.select("row", "key").join(done, "row").select(F.col("key").cast(kind).alias("key"), "ids"))
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

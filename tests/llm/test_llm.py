@@ -114,6 +114,16 @@ def test_cross_split_overlaps(spark):
     assert overlaps.person_pairs(*none).count() == 0
 
 
+def test_bodies_that_join_to_the_same_text_are_not_copies(spark):
+    words = [str(i) for i in range(30)]
+    other = ["0\x1f1", *words[2:]]
+    rows = [(1, ["a", "b", "c", "d", *words]), (2, ["a", "b", "c", "d", *other])]
+    d = spark.createDataFrame(rows, "person_id bigint, concept_ids array<string>")
+    s = spark.createDataFrame([(1, "train"), (2, "test")], "key bigint, split string")
+    m, p = overlaps.cross_split_overlaps(overlaps.sequence_bodies(d, "person_id", "concept_ids"), s)
+    assert m.select("no").distinct().count() == 2 and 0.5 < p.first().similarity < 1
+
+
 def test_overlaps_over_many_shards(spark, monkeypatch):
     rng = random.Random(2)
     t = [[str(rng.randrange(40)) for _ in range(40)] for _ in range(31)]
@@ -217,19 +227,21 @@ def test_chunks_give_the_same_ids(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("key", F.lit(1)).withColumn("ids", F.lit("x"))
     want = {i: enc.encode_ordinary(t) if t else [] for i, t in enumerate(texts)}
     for chunk, overlap in ((300, 60), (997, 200), (1 << 16, 1 << 10)):
-        import patientflow.llm.tokenizer as m
-
-        old, m.OVERLAP = m.OVERLAP, overlap
-        try:
-            got = {r.key: r.ids for r in tokenizer.encode(df, "doc_id", "text", chunk=chunk, overlap=overlap).collect()}
-        finally:
-            m.OVERLAP = old
+        got = {r.key: r.ids for r in tokenizer.encode(df, "doc_id", "text", chunk=chunk, overlap=overlap).collect()}
         assert got == want
     back = {r.key: r.text for r in tokenizer.decode(tokenizer.encode(df, "doc_id", "text"), "key", "ids").collect()}
     assert back == {i: t or "" for i, t in enumerate(texts)}
     assert tokenizer.encode(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_repeated_and_null_keys_keep_their_rows(spark):
+    long = [" ".join(f"w{i * k}" for i in range(400)) for k in (1, 7)]
+    rows = [(1, long[0]), (1, long[0]), (1, long[1]), (None, long[1]), (None, "short"), (1, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((str(r.key), r.ids) for r in tokenizer.encode(df, "doc_id", "text", chunk=300, overlap=60).collect())
+    assert got == sorted((str(k), tokenizer.encoding().encode_ordinary(t) if t else []) for k, t in rows)
+
+
 def test_ids_equal_the_other_library(spark):
     from tokenizers import Tokenizer
 
