@@ -51,21 +51,24 @@ def assemble(seqs: DataFrame, batch: list[str], order: str, ids: str, add_end: b
     return packed.select(*batch, F.flatten("p").alias("input_ids"), F.flatten(F.transform("p", mask)).alias("attention_mask"), F.flatten(F.transform("p", n)).alias("position_ids"))
 
 
+def _segments(mask: Column) -> Column:
+    """The runs of ones between zeros, as texts; linear in the length."""
+    return F.split(F.array_join(F.transform(mask, lambda m: F.when(m != 0, "1").otherwise("0")), ""), "0", -1)
+
+
 def segment_ids(mask: Column) -> Column:
     """Per position the number of its segment (zeros before it), null where the mask is 0."""
-    zeros = F.aggregate(mask, F.array(F.lit(0)), lambda a, m: F.concat(a, F.array(F.get(a, F.size(a) - 1) + (m == 0).cast("int"))))
-    return F.zip_with(mask, F.slice(zeros, 1, F.size(mask)), lambda m, z: F.when(m != 0, z))
+    parts = F.transform(_segments(mask), lambda s, i: F.concat(F.array_repeat(i, F.length(s)), F.array(F.lit(None).cast("int"))))
+    return F.slice(F.flatten(parts), 1, F.size(mask))
 
 
 def unpadded(mask: Column) -> Column:
     """``struct(indices, offsets, longest, packed)``: kept positions, cumulative lengths of segments, the longest, and whether a zero stands between ones."""
     indices = F.filter(F.transform(mask, lambda m, i: F.when(m != 0, i)), lambda i: i.isNotNull())
-    seg = segment_ids(mask)
-    lengths = F.transform(F.array_distinct(F.filter(seg, lambda s: s.isNotNull())), lambda s: F.size(F.filter(seg, lambda x: x == s)))
+    lengths = F.filter(F.transform(_segments(mask), F.length), lambda n: n > 0)
+    # One element per segment.
     offsets = F.aggregate(lengths, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.get(a, F.size(a) - 1) + n)))
-    last = F.get(indices, F.size(indices) - 1)
-    packed = F.exists(F.transform(mask, lambda m, i: (m == 0) & (i < last)), lambda x: x)
-    return F.struct(indices.alias("indices"), offsets.alias("offsets"), F.array_max(lengths).alias("longest"), packed.alias("packed"))
+    return F.struct(indices.alias("indices"), offsets.alias("offsets"), F.array_max(lengths).alias("longest"), (F.size(lengths) > 1).alias("packed"))
 
 
 def block_mask(packs: DataFrame, key: str, mask: str) -> DataFrame:

@@ -117,10 +117,16 @@ def prompts_at_visits(seqs: DataFrame, key: str, c: str) -> DataFrame:
 
     A header that cannot be read counts as year 1900 and age 0, and its year and age are ``unknown``.
     """
-    long = seqs.select(key, F.get(c, F.lit(2)).alias("gender"), F.get(c, F.lit(3)).alias("race"), F.substring(F.get(c, F.lit(0)), 6, 12).try_cast("int").alias("y"), F.substring(F.get(c, F.lit(1)), 5, 12).try_cast("int").alias("a"), F.transform(c, lambda x: F.struct(x.alias("x"), F.when(tk.is_att_token(x), tk.interval_days(x)).otherwise(0).alias("d"))).alias("z"))
-    # Days before each position by a running sum inside the row: no shuffle.
-    sums = F.aggregate("z", F.array().cast("array<int>"), lambda acc, z: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + F.coalesce(z["d"], F.lit(0)))))
-    rows = long.withColumn("s", sums).select("*", F.posexplode(F.arrays_zip(F.col("z.x").alias("x"), F.col("s").alias("s"))).alias("pos", "w")).where(tk.is_visit_start(F.col("w.x")))
+    head = [F.get(c, F.lit(2)).alias("gender"), F.get(c, F.lit(3)).alias("race"), F.substring(F.get(c, F.lit(0)), 6, 12).try_cast("int").alias("y"), F.substring(F.get(c, F.lit(1)), 5, 12).try_cast("int").alias("a")]
+    # A fold inside the row keeps the days so far and notes them at visit starts: no shuffle, and an array as long as the visits.
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("d"), F.array().cast("array<struct<pos:int,s:int>>").alias("w"))
+
+    def step(s: Column, x: Column) -> Column:
+        days = F.when(F.coalesce(tk.is_att_token(x), F.lit(False)), F.coalesce(tk.interval_days(x), F.lit(0))).otherwise(0)
+        noted = F.when(F.coalesce(tk.is_visit_start(x), F.lit(False)), F.concat(s["w"], F.array(F.struct(s["i"].alias("pos"), s["d"].alias("s"))))).otherwise(s["w"])
+        return F.struct((s["i"] + 1).alias("i"), (s["d"] + days).alias("d"), noted.alias("w"))
+
+    rows = seqs.select(key, *head, F.explode(F.aggregate(c, start, step)["w"]).alias("w")).withColumn("pos", F.col("w.pos"))
     known = F.col("y").isNotNull() & F.col("a").isNotNull()
     year = F.year(F.date_add(F.make_date(F.when(known, F.col("y")).otherwise(1900), F.lit(1), F.lit(1)), F.col("w.s")))
     return rows.select(key, "pos", F.when(known, F.concat(F.lit("year:"), year)).otherwise("year:unknown").alias("year"), F.when(known, F.concat(F.lit("age:"), year - (F.col("y") - F.col("a")))).otherwise("age:unknown").alias("age"), "gender", "race")

@@ -21,7 +21,8 @@ VALUE_BINS = 10
 
 def token_counts(seqs: DataFrame, c: str) -> DataFrame:
     """``token, n``: words between blanks of all tokens, so a token of two words counts for both."""
-    words = seqs.select(F.explode(c).alias("t")).select(F.explode(F.split("t", r"\s+")).alias("token")).where("token <> ''")
+    t = seqs.select(F.explode(c).alias("t"))
+    words = t.select(F.explode(F.when(F.col("t").rlike(r"\s"), F.split("t", r"\s+")).otherwise(F.array("t"))).alias("token")).where("token <> ''")
     return words.groupBy("token").agg(F.count("*").alias("n"))
 
 
