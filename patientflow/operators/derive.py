@@ -58,18 +58,20 @@ def observation_period(person: DataFrame, tables: dict[str, DataFrame], domains:
 
     Domains without a table are left out. Dates before 1985 or after ``as_of``
     and persons unknown to ``person`` give nothing; so do persons whose ends are all null.
-    Partial aggregates per domain go through one union and one final aggregate.
+    One shuffle of partial aggregates serves all domains.
     """
     today = F.lit(as_of).cast("date")
-    parts = None
-    for d in domains:
-        if d.name not in tables:
-            continue
-        one = tables[d.name].select("person_id", F.col(d.start).cast("date").alias("s"), F.col(d.end).cast("date").alias("e")).where((F.year("s") >= FIRST_YEAR) & (F.col("s") <= today) & F.col("person_id").isNotNull())
-        one = one.groupBy("person_id").agg(F.min("s").alias("s"), F.max("e").alias("e")).where("e is not null")
-        parts = one if parts is None else parts.unionAll(one)
-    known = person.where("person_id is not null").select("person_id").distinct()
-    whole = parts.groupBy("person_id").agg(F.min("s").alias("s"), F.max("e").alias("e")).join(known, "person_id", "left_semi")
+    used = [d for d in domains if d.name in tables]
+    rows = None
+    for i, d in enumerate(used):
+        one = tables[d.name].select("person_id", F.lit(i).alias("i"), F.col(d.start).cast("date").alias("s"), F.col(d.end).cast("date").alias("e")).where((F.year("s") >= FIRST_YEAR) & (F.col("s") <= today) & F.col("person_id").isNotNull())
+        rows = one if rows is None else rows.unionAll(one)
+    # One aggregate for all domains, with map-side combine: a domain whose ends are all null does not count, so each keeps its own bounds.
+    bounds = rows.groupBy("person_id").agg(*[f(F.when(F.col("i") == i, F.col(c))).alias(f"{c}{i}") for i in range(len(used)) for c, f in (("s", F.min), ("e", F.max))])
+    starts = [F.when(F.col(f"e{i}").isNotNull(), F.col(f"s{i}")) for i in range(len(used))]
+    ends = [F.col(f"e{i}") for i in range(len(used))]
+    whole = bounds.select("person_id", (F.least(*starts) if len(used) > 1 else starts[0]).alias("s"), (F.greatest(*ends) if len(used) > 1 else ends[0]).alias("e")).where("e is not null")
+    whole = whole.join(person.where("person_id is not null").select("person_id"), "person_id", "left_semi")
     end = F.when(F.col("e") >= F.add_months(today, -RECENT_MONTHS), today).otherwise(F.col("e"))
     return whole.select("person_id", F.col("s").alias("observation_period_start_date"), end.alias("observation_period_end_date"), F.lit(PERIOD_TYPE).alias("period_type_concept_id"))
 

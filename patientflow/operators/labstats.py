@@ -52,10 +52,10 @@ def _quantile(q: float) -> Column:
 
 
 def trimmed(r: DataFrame, std: float = OUTLIER_STD) -> DataFrame:
-    """Values within the quantiles of a normal's -std and +std, both inclusive; ``total`` is the number before."""
+    """Values within the quantiles of a normal's -std and +std, both inclusive, with the rank ``r`` and number ``total`` before."""
     q = r.groupBy(*KEY).agg(_quantile(normal_cdf(-std)).alias("lo"), _quantile(normal_cdf(std)).alias("hi"))
     eps = 1e-9  # the interpolation's rounding must not drop the bound itself
-    return r.join(broadcast_if_small(q, MOST_GROUPS), KEY).where((F.col("value") >= F.col("lo") - eps * F.abs("lo")) & (F.col("value") <= F.col("hi") + eps * F.abs("hi"))).select(*KEY, "value", F.col("n").alias("total"))
+    return r.join(broadcast_if_small(q, MOST_GROUPS), KEY).where((F.col("value") >= F.col("lo") - eps * F.abs("lo")) & (F.col("value") <= F.col("hi") + eps * F.abs("hi"))).select(*KEY, "value", "r", F.col("n").alias("total"))
 
 
 def numeric_stats(values: DataFrame) -> DataFrame:
@@ -69,7 +69,11 @@ def lab_bins(trimmed_values: DataFrame, bins: int = BINS, freedom: int = FREEDOM
     Edges are the values at ranks k * (n // bins), the outer ones infinite;
     groups with fewer than bins * (freedom + 1) values have none and are left out.
     """
-    r = ranked(trimmed_values.select(*KEY, "value"))
+    if "r" in trimmed_values.columns:  # what is left of ranked values is a stretch of their ranks
+        g = trimmed_values.groupBy(*KEY).agg(F.min("r").alias("low"), F.count("*").alias("n"))
+        r = trimmed_values.join(broadcast_if_small(g, MOST_GROUPS), KEY).select(*KEY, "value", (F.col("r") - F.col("low")).alias("r"), "n")
+    else:
+        r = ranked(trimmed_values.select(*KEY, "value"))
     step = F.floor(F.col("n") / bins)
     stats = trimmed_values.groupBy(*KEY).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.first("total").alias("count"))
     edges = r.where((F.col("n") >= bins * (freedom + 1)) & (F.col("r") % step == 0) & (F.col("r") > 0) & (F.col("r") < step * bins)).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("r", "value"))).value.alias("e"))
