@@ -17,10 +17,10 @@ RUN, LEAST_RUNS = 4, 20
 #: At least half of the distinct runs of both stand in both.
 SIMILARITY = 0.5
 HEADER = 4
-#: Patterns of one automaton (about 60 MB); the evaluation records are spread over as many shards as that needs.
-PATTERNS_PER_SHARD = 150_000
-#: Texts that a task holds while it goes through the shards.
-TEXTS_HELD = 40_000
+#: Patterns of one automaton (about 120 MB); the evaluation records are spread over as many shards as that needs.
+PATTERNS_PER_SHARD = 300_000
+#: Texts that a task holds while it goes through the shards, and whose hits it counts in one go.
+TEXTS_HELD, TEXTS_AT_ONCE = 100_000, 1_000
 #: Terms become one character each by a hash into the planes above the basic one; the two terms of a collision are told apart by the exact check.
 FIRST_SYMBOL, SYMBOLS = 0x10000, 0xF0000
 
@@ -95,25 +95,30 @@ class Shard:
         if len(coded.dictionary):
             self.automaton.make_automaton()
 
-    def candidates(self, text: str, size: int) -> np.ndarray:
-        """Records of this shard that may reach the similarity with a text of ``size`` distinct runs.
+    def candidates(self, texts: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (place of the text, record) that may reach the similarity; ``sizes`` are the texts' distinct runs.
 
         Of a record's n runs ``taken`` are passages. Similar records share
         at least s / (1 + s) * (n + size) runs, hence at least that less
         (n - taken) passages: a bound that loses no pair.
         """
-        hits = {i for _, i in self.automaton.iter(text)} if len(self.records) else None
-        if not hits:
-            return np.empty(0, np.int64)
+        if not len(self.records):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        scan, hits, found = self.automaton.iter, [], np.empty(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            own = {h for _, h in scan(text)}
+            found[i] = len(own)
+            hits.extend(own)
         h = np.fromiter(hits, np.int64, len(hits))
-        start, stop = self.at[h], self.at[h + 1]
-        count = stop - start
+        start, count = self.at[h], self.at[h + 1] - self.at[h]
         place = np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        who, shared = np.unique(self.holders[place], return_counts=True)
-        n, taken = self.n[who], self.taken[who]
+        text = np.repeat(np.repeat(np.arange(len(texts)), found), count)
+        pair, shared = np.unique(text * len(self.records) + self.holders[place], return_counts=True)
+        text, who = pair // len(self.records), pair % len(self.records)
+        n, taken, size = self.n[who], self.taken[who], sizes[text]
         need = np.ceil(SIMILARITY / (1 + SIMILARITY) * (n + size) - 1e-9) - (n - taken)
         near = (shared >= need) & (np.minimum(n, size) >= SIMILARITY * np.maximum(n, size) - 1e-9)
-        return self.records[who[near]]
+        return text[near], self.records[who[near]]
 
 
 def _scan(batches: Iterator[pa.RecordBatch], path: str, shards: int) -> Iterator[pa.RecordBatch]:
@@ -121,16 +126,15 @@ def _scan(batches: Iterator[pa.RecordBatch], path: str, shards: int) -> Iterator
     held: list[tuple[int, str, int]] = []
 
     def through() -> Iterator[pa.RecordBatch]:
+        no, size = np.array([x[0] for x in held]), np.array([x[2] for x in held])
+        texts = [x[1] for x in held]
         for s in range(shards):
             shard = Shard(path, s)
-            left, right = [], []
-            for no, text, size in held:
-                found = shard.candidates(text, size)
-                if len(found):
-                    left.append(np.full(len(found), no, np.int64))
-                    right.append(found)
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["train", "eval"])
+            for i in range(0, len(texts), TEXTS_AT_ONCE):
+                part = slice(i, i + TEXTS_AT_ONCE)
+                left, right = shard.candidates(texts[part], size[part])
+                if len(left):
+                    yield pa.RecordBatch.from_arrays([pa.array(no[part][left]), pa.array(right)], ["train", "eval"])
         held.clear()
 
     for b in batches:
@@ -211,7 +215,9 @@ def cross_split_overlaps(bodies: DataFrame, splits: DataFrame) -> tuple[DataFram
     path = new_path(spark, "passages")
     passages.withColumn("shard", F.pmod(F.xxhash64("no"), F.lit(shards))).repartition(min(shards, partitions(spark)), "shard").write.partitionBy("shard").parquet(path)
 
-    texts = classes.where("train").select("no", "text").repartition(partitions(spark))
+    # Every task builds every automaton: as few tasks as the cores and the texts that one may hold allow.
+    texts = classes.where("train").select("no", "text")
+    texts = texts.repartition(max(spark.sparkContext.defaultParallelism, -(-texts.count() // TEXTS_HELD)))
     found = texts.mapInArrow(lambda it: _scan(it, _local(path), shards), "train bigint, eval bigint")
     found = persisted(found, "candidates")
     one = classes.select("no", "body")
