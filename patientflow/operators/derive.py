@@ -32,7 +32,6 @@ def condition_era(conditions: DataFrame, gap_days: int = ERA_GAP_DAYS, by_type:
     rows = conditions.select(*key, "condition_type_concept_id", F.col("condition_start_date").alias("s"), F.coalesce("condition_end_date", F.date_add("condition_start_date", 1)).alias("e")).where("person_id is not null and condition_concept_id is not null and s is not null")
     by = Window.partitionBy(*key).orderBy("s", "e")
     before = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    # Keep the earliest end beyond reach: an end before its own start never ends an era earlier than the start.
     new = F.when(before.isNull() | (F.col("s") > F.date_add(before, gap_days)), 1).otherwise(0)
     marked = rows.withColumn("new", new).withColumn("era", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     eras = marked.groupBy(*key, "era", "condition_type_concept_id").agg(F.min("s").alias("condition_era_start_date"), F.max("e").alias("e"), F.count_distinct("s").cast("bigint").alias("condition_occurrence_count"))
@@ -64,7 +63,7 @@ def observation_period(person: DataFrame, tables: dict[str, DataFrame], domains:
     used = [d for d in domains if d.name in tables]
     rows = None
     for i, d in enumerate(used):
-        one = tables[d.name].select("person_id", F.lit(i).alias("i"), F.col(d.start).cast("date").alias("s"), F.col(d.end).cast("date").alias("e")).where((F.year("s") >= FIRST_YEAR) & (F.col("s") <= today) & F.col("person_id").isNotNull())
+        one = tables[d.name].select("person_id", F.lit(i).alias("i"), F.col(d.start).cast("date").alias("s"), F.col(d.end).cast("date").alias("e")).where((F.col("s") >= F.lit(f"{FIRST_YEAR}-01-01").cast("date")) & (F.col("s") <= today) & F.col("person_id").isNotNull())
         rows = one if rows is None else rows.unionAll(one)
     # One aggregate for all domains, with map-side combine: a domain whose ends are all null does not count, so each keeps its own bounds.
     bounds = rows.groupBy("person_id").agg(*[f(F.when(F.col("i") == i, F.col(c))).alias(f"{c}{i}") for i in range(len(used)) for c, f in (("s", F.min), ("e", F.max))])
