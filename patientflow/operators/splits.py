@@ -25,7 +25,7 @@ def chronological_split(df: DataFrame, date: str, key: str, train: float = 0.8,
     """Adds ``split``: the earliest share is train; the rest is divided into validation and test by draw. Null dates come first."""
     r = persisted(global_rank(df, [F.asc_nulls_first(date), F.col(key)]), "ranked")
     n = r.count()
-    first = int(train * n)
+    first = int(round(train * n, 6))
     late = F.when(uniform(key) < test, "test").otherwise("validation")
     return r.withColumn("split", F.when(F.col("rank") < first, "train").otherwise(late)).drop("rank")
 
@@ -34,8 +34,8 @@ def split_by_patient(df: DataFrame, person: str, train: float = 0.8, validation:
     """Adds ``split`` such that a person is in one split; ``validation`` is its share of what train leaves. Null persons get null."""
     ids = persisted(global_rank(df.where(F.col(person).isNotNull()).select(person).distinct(), [draw(person, seed=seed), F.col(person)]), "ids")
     n = ids.count()
-    a = int(train * n)
-    b = a + int((1 - train) * n * validation)
+    a = int(round(train * n, 6))
+    b = a + int(round((1 - train) * n * validation, 6))
     named = ids.select(person, F.when(F.col("rank") < a, "train").when(F.col("rank") < b, "validation").otherwise("test").alias("split"))
     return df.join(named, person, "left")
 
@@ -46,7 +46,7 @@ def random_split(df: DataFrame, key: str, shares: list[tuple[str, float]], seed:
     n, at, c = r.count(), 0.0, None
     for name, share in shares[:-1]:
         at += share
-        c = F.when(F.col("rank") < int(at * n), name) if c is None else c.when(F.col("rank") < int(at * n), name)
+        c = F.when(F.col("rank") < int(round(at * n, 6)), name) if c is None else c.when(F.col("rank") < int(round(at * n, 6)), name)
     last = shares[-1][0]
     return r.withColumn("split", F.lit(last) if c is None else c.otherwise(last)).drop("rank")
 
