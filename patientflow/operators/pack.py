@@ -136,8 +136,8 @@ def pack_estimate(spark, sf_dir: str) -> DataFrame:
 
 
 def _packs(spark, sf_dir: str) -> DataFrame:
-    """Small packs: sequences of up to 256 ids, eight neighbours by id to a pack."""
-    i = _ids(spark, sf_dir).where(F.size("ids").between(1, 256))
+    """Packs of all sequences that have ids, at whatever length: eight neighbours by id to a pack."""
+    i = _ids(spark, sf_dir).where(F.size("ids") >= 1)
     return assemble(i.withColumn("pack", F.floor(F.col("person_id") / 8)), ["pack"], "person_id", "ids")
 
 
