@@ -141,6 +141,8 @@ def attribute_inference(real: DataFrame, synthetic: DataFrame, common: Column, s
 MAX_LEVELS = [1, 0, 0] + [1] * 7
 AGE_BASES = {0: 1, 1: 10}
 SENSITIVE_MATCHES, LAMBDA = 17, 0.23
+#: Share of the real rows from which a sensitive concept counts as known.
+WIDESPREAD = 0.5
 
 
 def lattice(levels: list[int] = MAX_LEVELS) -> list[tuple[int, ...]]:
@@ -169,13 +171,15 @@ def reid_risk(sample: DataFrame, population: DataFrame, synthetic: DataFrame, le
     All three tables have ``id, age, gender, race, common, sensitive``. A sample row
     learns something new if a synthetic row of its class shares more than
     ``least`` sensitive concepts (both have at least ``least``). Its class sizes
-    in sample and population weigh it. Null attributes match nothing.
+    in sample and population weigh it. Null attributes match nothing. Concepts
+    that half of the sample has are no news and left out of its sensitive ones.
 
     Skewed classes are left to the adaptive join; only the greatest overlap per row goes on.
     """
     f = sample.join(class_sizes(sample).withColumnRenamed("n", "f"), QUASI).join(class_sizes(population).withColumnRenamed("n", "F_"), QUASI).select("id", "f", "F_")
     enough = F.size("sensitive") >= least
-    pairs = sample.where(enough).select("id", *QUASI, "sensitive").join(synthetic.where(enough).select(*QUASI, F.col("sensitive").alias("other")), QUASI)
+    real = sample.withColumn("sensitive", F.array_except("sensitive", _array(majority(sample.select(F.col("sensitive").alias("concepts")), WIDESPREAD))))
+    pairs = real.where(enough).select("id", *QUASI, "sensitive").join(synthetic.where(enough).select(*QUASI, F.col("sensitive").alias("other")), QUASI)
     new = pairs.groupBy("id").agg((F.max(F.size(F.array_intersect("sensitive", "other"))) > least).cast("int").alias("new"))
     j = f.join(new, "id", "left").withColumn("new", F.coalesce("new", F.lit(0)))
     n, big = sample.count(), population.count()
@@ -241,6 +245,10 @@ def nnaa_privacy_loss(spark, sf_dir: str) -> DataFrame:
     return a.join(b, "k").select("aa_train", "aa_test", (F.col("aa_test") - F.col("aa_train")).alias("privacy_loss"))
 
 
+def _array(concepts: list[str]) -> Column:
+    return F.array(*[F.lit(x) for x in concepts]).cast("array<string>")
+
+
 def majority(rows: DataFrame, share: float = 0.2) -> list[str]:
     """Concepts in at least ``share`` of the rows: at most mean set size / share of them."""
     n = rows.count()
@@ -274,7 +282,7 @@ def _reid(spark, sf_dir: str) -> dict[str, DataFrame]:
     t = F.col("t")
     one = sequences(spark, sf_dir).where(F.size("t") > 4).groupBy(F.col("person_id").alias("id")).agg(F.max("t").alias("t"))
     rows = persisted(one.select("id", *demographics(t), clinical_set(t).alias("concepts")).where("age >= 0"), "reid")
-    common = F.array(*[F.lit(x) for x in majority(rows)[:3]])
+    common = _array(majority(rows))
     rows = rows.select("id", "age", F.coalesce("gender", F.lit("")).alias("gender"), F.coalesce("race", F.lit("")).alias("race"), F.array_join(F.array_intersect(F.array_sort("concepts"), common), " ").alias("common"), F.array_except("concepts", common).alias("sensitive"))
     from .splits import uniform
 

@@ -6,6 +6,7 @@ from pathlib import Path
 import pyarrow.parquet as pq
 import pytest
 
+from patientflow.operators import privacy
 from patientflow.queries import QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
@@ -39,3 +40,19 @@ def test_packs_hold_long_sequences(run):
     assert {r.pack: (r.n_kept, r.longest, r.packed) for r in run("unpad_offsets")} == {k: (sum(n), max(n), len(n) > 1) for k, n in lengths.items()}
     assert {r.pack: r.last_ids for r in run("segment_last_tokens")} == {k: text([[3] * len(n)]) for k, n in lengths.items()}
     assert {r.pack: r.n_pairs for r in run("block_mask_counts")} == {k: sum(x * x for x in n) for k, n in lengths.items()}
+
+
+def test_all_common_attributes_make_the_class(spark, run):
+    c = privacy._reid(spark, str(DATA))
+    used = {x for part in ("population", "synthetic") for r in c[part].collect() for x in r.common.split()}
+    assert used == {r.concept_id for r in run("majority_attributes")} and len(used) > 3
+    assert not any(used & set(r.sensitive) for part in ("population", "synthetic") for r in c[part].collect())
+
+
+def test_widespread_concepts_are_no_news(spark):
+    f = "id bigint, age bigint, gender string, race string, common string, sensitive array<string>"
+    real = spark.createDataFrame([(1, 3, "m", "a", "", ["w", "x", "y", "z"]), (2, 4, "m", "a", "", ["w", "x", "p"]), (3, 5, "m", "a", "", ["q", "r", "s"]), (4, 6, "m", "a", "", [])], f)
+    # x and w are in half of the rows; without them only the first row's two others are left to be shared.
+    made = spark.createDataFrame([(9, 3, "m", "a", "", ["w", "x", "y", "z"]), (8, 4, "m", "a", "", ["w", "x", "p"])], f)
+    terms = lambda least: privacy.reid_risk(real, real, made, least=least, lam=1.0).first()
+    assert terms(1).b_term == 1 / 4 and terms(2).b_term == 0
