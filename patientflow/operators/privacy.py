@@ -137,9 +137,10 @@ def attribute_inference(real: DataFrame, synthetic: DataFrame, common: Column, s
     return near.join(a, "id").join(b, "match_id").select("id", "match_id", *set_overlap(F.col("known"), F.col("guessed")))
 
 
-# Levels of each attribute's generalization (age, gender, race, seven groups of common attributes) and thresholds.
+# Levels of each attribute (age, gender, race, seven groups of common attributes; 0 is the most general one) and thresholds.
 MAX_LEVELS = [1, 0, 0] + [1] * 7
-AGE_BASES = {0: 1, 1: 10}
+GROUPS = len(MAX_LEVELS) - 3
+AGE_BASES = {0: 10, 1: 1}
 SENSITIVE_MATCHES, LAMBDA = 17, 0.23
 #: Share of the real rows from which a sensitive concept counts as known.
 WIDESPREAD = 0.5
@@ -151,13 +152,30 @@ def lattice(levels: list[int] = MAX_LEVELS) -> list[tuple[int, ...]]:
     return nodes[1:]
 
 
-def quasi_identifiers(rows: DataFrame, age_base: int, gender: bool = True, race: bool = True) -> DataFrame:
-    """``age, gender, race, common`` generalized: the age divided by its base and rounded up, an attribute that is fully generalized is ``*``."""
-    age = F.ceil(F.col("age") / age_base)
-    return rows.withColumn("age", age).withColumn("gender", F.col("gender") if gender else F.lit("*")).withColumn("race", F.col("race") if race else F.lit("*"))
+QUASI = ["age", "gender", "race", "common"]
 
 
-QUASI = ["age", "gender", "race", "common"]
+def _nodes() -> Column:
+    """The nodes of the lattice as an array of ``node, base, keep``: its levels as a text, the age's base, 1 for each group of common attributes that stays."""
+    return F.array(*[F.struct(F.lit("".join(map(str, x))).alias("node"), F.lit(AGE_BASES[x[0]]).alias("base"), F.array(*map(F.lit, x[3:])).alias("keep")) for x in lattice()])
+
+
+def at_node(rows: DataFrame, k: str) -> DataFrame:
+    """``node`` and the rows with ``age, common`` generalized as the node in column k says; ``groups`` are the texts of the groups of common attributes."""
+    common = F.array_join(F.zip_with("groups", f"{k}.keep", lambda g, keep: F.when(keep == 1, g).otherwise("*")), "|")
+    return rows.withColumn("node", F.col(f"{k}.node")).withColumn("age", F.ceil(F.col("age") / F.col(f"{k}.base"))).withColumn("common", common).drop("groups", k)
+
+
+def lattice_sizes(rows: DataFrame) -> DataFrame:
+    """``node, age, gender, race, common, n``: sizes of the classes of every node, from the distinct rows and one aggregate."""
+    base = ["age", "gender", "race", "groups"]
+    x = at_node(class_sizes(rows, base).withColumn("k", F.explode(_nodes())), "k")
+    return x.groupBy("node", *QUASI).agg(F.sum("n").alias("n"))
+
+
+def quasi_identifiers(rows: DataFrame, age_base: int) -> DataFrame:
+    """``age, gender, race, common`` with the age divided by its base and rounded up and all common attributes."""
+    return rows.withColumn("age", F.ceil(F.col("age") / age_base)).withColumn("common", F.array_join("groups", "|")).drop("groups")
 
 
 def class_sizes(rows: DataFrame, keys: list[str] = QUASI) -> DataFrame:
@@ -166,25 +184,36 @@ def class_sizes(rows: DataFrame, keys: list[str] = QUASI) -> DataFrame:
 
 
 def reid_risk(sample: DataFrame, population: DataFrame, synthetic: DataFrame, least: int = SENSITIVE_MATCHES, lam: float = LAMBDA) -> DataFrame:
-    """One row ``a_term, b_term``: the two risks of re-identification.
+    """``node, a_term, b_term``: the two risks of re-identification at every node of the lattice.
 
-    All three tables have ``id, age, gender, race, common, sensitive``. A sample row
+    All three tables have ``id, age, gender, race, groups, sensitive``. A sample row
     learns something new if a synthetic row of its class shares more than
     ``least`` sensitive concepts (both have at least ``least``). Its class sizes
     in sample and population weigh it. Null attributes match nothing. Concepts
     that half of the sample has are no news and left out of its sensitive ones.
 
-    Skewed classes are left to the adaptive join; only the greatest overlap per row goes on.
+    Pairs are compared once, in the classes of the most general node: what they differ in tells the nodes
+    where they share a class. Skewed classes are left to the adaptive join; only distinct differences per row go on.
     """
-    f = sample.join(class_sizes(sample).withColumnRenamed("n", "f"), QUASI).join(class_sizes(population).withColumnRenamed("n", "F_"), QUASI).select("id", "f", "F_")
     enough = F.size("sensitive") >= least
-    real = sample.withColumn("sensitive", F.array_except("sensitive", _array(majority(sample.select(F.col("sensitive").alias("concepts")), WIDESPREAD))))
-    pairs = real.where(enough).select("id", *QUASI, "sensitive").join(synthetic.where(enough).select(*QUASI, F.col("sensitive").alias("other")), QUASI)
-    new = pairs.groupBy("id").agg((F.max(F.size(F.array_intersect("sensitive", "other"))) > least).cast("int").alias("new"))
-    j = f.join(new, "id", "left").withColumn("new", F.coalesce("new", F.lit(0)))
+    known = _array(majority(sample.select(F.col("sensitive").alias("concepts")), WIDESPREAD))
+    # Bases divide each other, so rows of one class at any node share the widest age.
+    wide = F.ceil(F.col("age") / max(AGE_BASES.values())).alias("wide")
+    left = sample.withColumn("sensitive", F.array_except("sensitive", known)).where(enough).select("id", "age", wide, "gender", "race", "groups", "sensitive")
+    right = synthetic.where(enough).select(F.col("age").alias("age2"), wide, "gender", "race", F.col("groups").alias("groups2"), F.col("sensitive").alias("other"))
+    pairs = left.join(right, ["wide", "gender", "race"]).where(F.size(F.array_intersect("sensitive", "other")) > least)
+    differ = F.zip_with("groups", "groups2", lambda a, b: (a != b).cast("int"))
+    found = pairs.select("id", (F.col("age") == F.col("age2")).alias("exact"), differ.alias("differ")).distinct()
+    same = F.filter(_nodes(), lambda k: (F.col("exact") | (k["base"] > 1)) & ~F.exists(F.zip_with(k["keep"], F.col("differ"), lambda a, b: a * b), lambda x: x == 1))
+    new = found.select("id", F.explode(same).alias("k")).distinct()
+    j = at_node(new.join(sample.select("id", "age", "gender", "race", "groups"), "id"), "k")
+    keys = ["node", *QUASI]
+    j = j.join(lattice_sizes(sample).withColumnRenamed("n", "f"), keys).join(lattice_sizes(population).withColumnRenamed("n", "F_"), keys)
     n, big = sample.count(), population.count()
     w = (1 + lam) / 2
-    return j.agg((F.coalesce(F.sum(F.lit(w) * F.col("new") / F.col("f")), F.lit(0.0)) / F.lit(float(big or 1))).alias("a_term"), (F.coalesce(F.sum(F.lit(w) * F.col("new") / F.col("F_")), F.lit(0.0)) / F.lit(float(n or 1))).alias("b_term"))
+    sums = j.groupBy("node").agg(F.sum(F.lit(w) / F.col("f")).alias("a"), F.sum(F.lit(w) / F.col("F_")).alias("b"))
+    every = sample.sparkSession.range(1).select(F.explode(_nodes()).alias("k")).select("k.node")
+    return every.join(sums, "node", "left").select("node", (F.coalesce("a", F.lit(0.0)) / F.lit(float(big or 1))).alias("a_term"), (F.coalesce("b", F.lit(0.0)) / F.lit(float(n or 1))).alias("b_term"))
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 20, seed: int = 0) -> DataFrame:
@@ -282,12 +311,14 @@ def _reid(spark, sf_dir: str) -> dict[str, DataFrame]:
     t = F.col("t")
     one = sequences(spark, sf_dir).where(F.size("t") > 4).groupBy(F.col("person_id").alias("id")).agg(F.max("t").alias("t"))
     rows = persisted(one.select("id", *demographics(t), clinical_set(t).alias("concepts")).where("age >= 0"), "reid")
-    common = _array(majority(rows))
-    rows = rows.select("id", "age", F.coalesce("gender", F.lit("")).alias("gender"), F.coalesce("race", F.lit("")).alias("race"), F.array_join(F.array_intersect(F.array_sort("concepts"), common), " ").alias("common"), F.array_except("concepts", common).alias("sensitive"))
+    common = majority(rows)
+    # Each group of common attributes is generalized as a whole; all of them are in one.
+    groups = F.array(*[F.array_join(F.array_intersect(F.array_sort("concepts"), _array(common[i::GROUPS])), " ") for i in range(GROUPS)])
+    rows = rows.select("id", "age", F.coalesce("gender", F.lit("")).alias("gender"), F.coalesce("race", F.lit("")).alias("race"), groups.alias("groups"), F.array_except("concepts", _array(common)).alias("sensitive"))
     from .splits import uniform
 
-    rows = quasi_identifiers(rows.withColumn("u", uniform("id", seed=12)), AGE_BASES[1])
-    return {"population": rows.where("u < 0.6"), "sample": rows.where("u < 0.3"), "synthetic": rows.where("u >= 0.6")}
+    rows = persisted(rows, "reid_rows").withColumn("u", uniform("id", seed=12))
+    return {"all": rows, "population": rows.where("u < 0.6"), "sample": rows.where("u < 0.3"), "synthetic": rows.where("u >= 0.6")}
 
 
 _REID = tk.SEQUENCES_SQL + """, o AS (SELECT person_id AS id, max(t) AS t FROM s WHERE len(t) > 4 GROUP BY 1),
@@ -301,7 +332,8 @@ po AS (SELECT age, gender, race, common, count(*) AS n FROM q WHERE u < 0.6 GROU
 @R.query("equivalence_class_size", _REID + " SELECT n AS size, count(*) AS n_classes FROM po GROUP BY 1")
 def equivalence_class_size(spark, sf_dir: str) -> DataFrame:
     """How many classes of persons have which size."""
-    return class_sizes(_reid(spark, sf_dir)["population"]).groupBy(F.col("n").alias("size")).agg(F.count("*").alias("n_classes"))
+    rows = quasi_identifiers(_reid(spark, sf_dir)["population"], AGE_BASES[0])
+    return class_sizes(rows).groupBy(F.col("n").alias("size")).agg(F.count("*").alias("n_classes"))
 
 
 @R.query("reid_risk", _REID + """, nw AS (SELECT a.id, max(len(list_intersect(a.z, b.z))) > 5 AS w FROM q a JOIN q b USING (age, gender, race, common) WHERE a.u < 0.3 AND b.u >= 0.6 AND len(a.z) >= 5 AND len(b.z) >= 5 GROUP BY a.id)
@@ -317,15 +349,9 @@ def reid_risk_query(spark, sf_dir: str) -> DataFrame:
 b AS (SELECT age_base, use_gender, use_race, ceil(a / age_base::DOUBLE) AS age, CASE WHEN use_gender THEN gender ELSE '*' END AS gender, CASE WHEN use_race THEN race ELSE '*' END AS race, count(*) AS n FROM e, g, h, r GROUP BY ALL)
 SELECT age_base, use_gender, use_race, count(*) AS n_classes, min(n) AS smallest, sum((n = 1)::INT) AS n_unique FROM b GROUP BY 1, 2, 3""")
 def lattice_counts(spark, sf_dir: str) -> DataFrame:
-    """Classes of every generalization of age, gender and race, all from one scan: the configurations are exploded into the grouping key."""
-    t = F.col("t")
-    one = sequences(spark, sf_dir).where(F.size("t") > 4).groupBy(F.col("person_id").alias("id")).agg(F.max("t").alias("t"))
-    rows = one.select("id", *demographics(t)).where("age >= 0")
-    nodes = F.array(*[F.struct(F.lit(b).alias("age_base"), F.lit(g).alias("use_gender"), F.lit(r).alias("use_race")) for b in (1, 10) for g in (True, False) for r in (True, False)])
-    x = rows.withColumn("k", F.explode(nodes)).select("k.*", "age", "gender", "race")
-    keys = ["age_base", "use_gender", "use_race"]
-    g = x.groupBy(*keys, F.ceil(F.col("age") / F.col("age_base")).alias("a"), F.when(F.col("use_gender"), F.col("gender")).otherwise("*").alias("g"), F.when(F.col("use_race"), F.col("race")).otherwise("*").alias("r")).agg(F.count("*").alias("n"))
-    return g.groupBy(*keys).agg(F.count("*").alias("n_classes"), F.min("n").alias("smallest"), F.sum((F.col("n") == 1).cast("int")).alias("n_unique"))
+    """Classes of every node of the lattice, all from one scan: the nodes are exploded into the grouping key."""
+    g = lattice_sizes(_reid(spark, sf_dir)["all"])
+    return g.groupBy("node").agg(F.count("*").alias("n_classes"), F.min("n").alias("smallest"), F.sum((F.col("n") == 1).cast("int")).alias("n_unique"))
 
 
 @R.query("salted_join", "SELECT v.visit_concept_id, count(*) AS n FROM condition_occurrence c JOIN visit_occurrence v ON c.person_id = v.person_id GROUP BY 1")

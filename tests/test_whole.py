@@ -1,6 +1,9 @@
 """Registered queries do the whole job: every row of the tables against brute force, no bound on length, subset or threshold."""
 
-from collections import defaultdict
+import random
+from collections import Counter, defaultdict
+from itertools import product
+from math import ceil
 from pathlib import Path
 
 import pyarrow.parquet as pq
@@ -44,15 +47,52 @@ def test_packs_hold_long_sequences(run):
 
 def test_all_common_attributes_make_the_class(spark, run):
     c = privacy._reid(spark, str(DATA))
-    used = {x for part in ("population", "synthetic") for r in c[part].collect() for x in r.common.split()}
+    used = {x for part in ("population", "synthetic") for r in c[part].collect() for g in r.groups for x in g.split()}
     assert used == {r.concept_id for r in run("majority_attributes")} and len(used) > 3
     assert not any(used & set(r.sensitive) for part in ("population", "synthetic") for r in c[part].collect())
 
 
 def test_widespread_concepts_are_no_news(spark):
-    f = "id bigint, age bigint, gender string, race string, common string, sensitive array<string>"
-    real = spark.createDataFrame([(1, 3, "m", "a", "", ["w", "x", "y", "z"]), (2, 4, "m", "a", "", ["w", "x", "p"]), (3, 5, "m", "a", "", ["q", "r", "s"]), (4, 6, "m", "a", "", [])], f)
+    f = "id bigint, age bigint, gender string, race string, groups array<string>, sensitive array<string>"
+    real = spark.createDataFrame([(1, 3, "m", "a", [""] * 7, ["w", "x", "y", "z"]), (2, 4, "m", "a", [""] * 7, ["w", "x", "p"]), (3, 5, "m", "a", [""] * 7, ["q", "r", "s"]), (4, 6, "m", "a", [""] * 7, [])], f)
     # x and w are in half of the rows; without them only the first row's two others are left to be shared.
-    made = spark.createDataFrame([(9, 3, "m", "a", "", ["w", "x", "y", "z"]), (8, 4, "m", "a", "", ["w", "x", "p"])], f)
-    terms = lambda least: privacy.reid_risk(real, real, made, least=least, lam=1.0).first()
+    made = spark.createDataFrame([(9, 3, "m", "a", [""] * 7, ["w", "x", "y", "z"]), (8, 4, "m", "a", [""] * 7, ["w", "x", "p"])], f)
+    terms = lambda least: privacy.reid_risk(real, real, made, least=least, lam=1.0).where("node = '1001111111'").first()
     assert terms(1).b_term == 1 / 4 and terms(2).b_term == 0
+
+
+LEVELS = [(b, keep) for b in (0, 1) for keep in product((0, 1), repeat=7) if b or any(keep)]
+
+
+def at(level, r):
+    b, keep = level
+    return ceil(r[1] / (1 if b else 10)), r[2], r[3], tuple(g if k else None for g, k in zip(r[4], keep))
+
+
+def name(level):
+    return f"{level[0]}00" + "".join(map(str, level[1]))
+
+
+def test_every_node_of_the_lattice_has_its_classes(spark, run):
+    rows = [(r.id, r.age, r.gender, r.race, r.groups) for r in privacy._reid(spark, str(DATA))["all"].collect()]
+    want = {}
+    for level in LEVELS:
+        n = Counter(at(level, r) for r in rows).values()
+        want[name(level)] = (len(n), min(n), sum(x == 1 for x in n))
+    assert len(want) == 255 and {r.node: (r.n_classes, r.smallest, r.n_unique) for r in run("lattice_counts")} == want
+
+
+def test_every_node_of_the_lattice_has_its_risk(spark):
+    rng = random.Random(5)
+    make = lambda o, n: [(o + i, rng.randrange(38, 43), rng.choice("mf"), "a", [rng.choice(["", "", "c"]) if g < 3 else "" for g in range(7)], rng.sample("pqrstuvwxyz", rng.randrange(0, 6))) for i in range(n)]
+    sample, made = make(0, 30), make(100, 40)
+    population = sample + make(200, 30)
+    assert max(Counter(c for r in sample for c in r[5]).values()) < 15
+    want = {}
+    for level in LEVELS:
+        f, big = Counter(at(level, r) for r in sample), Counter(at(level, r) for r in population)
+        new = [r for r in sample if any(at(level, r) == at(level, x) and len(set(r[5]) & set(x[5])) > 2 for x in made)]
+        want[name(level)] = (round(sum(1 / f[at(level, r)] for r in new) / 60, 9), round(sum(1 / big[at(level, r)] for r in new) / 30, 9))
+    f = "id bigint, age bigint, gender string, race string, groups array<string>, sensitive array<string>"
+    got = privacy.reid_risk(*[spark.createDataFrame(x, f) for x in (sample, population, made)], least=2, lam=1.0).collect()
+    assert {r.node: (round(r.a_term, 9), round(r.b_term, 9)) for r in got} == want and len(set(want.values())) > 5
