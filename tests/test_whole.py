@@ -1,5 +1,6 @@
 """Registered queries do the whole job: every row of the tables against brute force, no bound on length, subset or threshold."""
 
+import inspect
 import random
 from collections import Counter, defaultdict
 from itertools import product
@@ -96,3 +97,12 @@ def test_every_node_of_the_lattice_has_its_risk(spark):
     f = "id bigint, age bigint, gender string, race string, groups array<string>, sensitive array<string>"
     got = privacy.reid_risk(*[spark.createDataFrame(x, f) for x in (sample, population, made)], least=2, lam=1.0).collect()
     assert {r.node: (round(r.a_term, 9), round(r.b_term, 9)) for r in got} == want and len(set(want.values())) > 5
+
+
+def test_risk_has_the_threshold_of_the_operator(spark, run, monkeypatch):
+    call = inspect.signature(privacy.reid_risk)
+    seen = []
+    monkeypatch.setattr(privacy, "reid_risk", lambda *a, **k: seen.append(call.bind(*a, **k)) or spark.range(0).selectExpr("0D a_term", "0D b_term"))
+    run("reid_risk")
+    seen[0].apply_defaults()
+    assert seen[0].arguments["least"] == 17
