@@ -253,7 +253,7 @@ def nn_distance(spark, sf_dir: str) -> DataFrame:
 @R.query("nn_self_distance", _V + _pairs("ev", "ev", "n", True) + " SELECT * FROM n")
 def nn_self_distance(spark, sf_dir: str) -> DataFrame:
     c = _cohorts(spark, sf_dir)
-    return nearest(c["evaluation"], c["evaluation"], other=True).select("id", "dist")
+    return nearest(c["all"], c["all"], other=True).select("id", "dist")
 
 
 @R.query("membership_metrics", _V + _pairs("sy", "tr", "a") + _pairs("sy", "ev", "b") + """, r AS (SELECT (dist < 5)::INT AS p, 1 AS l FROM a UNION ALL SELECT (dist < 5)::INT, 0 FROM b), g AS (SELECT sum(p * l) AS tp, sum(p) AS p, sum(l) AS l, count(*) AS n, sum((p = l)::INT) AS ok FROM r)
@@ -332,7 +332,7 @@ po AS (SELECT age, gender, race, common, count(*) AS n FROM q WHERE u < 0.6 GROU
 @R.query("equivalence_class_size", _REID + " SELECT n AS size, count(*) AS n_classes FROM po GROUP BY 1")
 def equivalence_class_size(spark, sf_dir: str) -> DataFrame:
     """How many classes of persons have which size."""
-    rows = quasi_identifiers(_reid(spark, sf_dir)["population"], AGE_BASES[0])
+    rows = quasi_identifiers(_reid(spark, sf_dir)["all"], AGE_BASES[0])
     return class_sizes(rows).groupBy(F.col("n").alias("size")).agg(F.count("*").alias("n_classes"))
 
 

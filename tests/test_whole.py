@@ -106,3 +106,11 @@ def test_risk_has_the_threshold_of_the_operator(spark, run, monkeypatch):
     run("reid_risk")
     seen[0].apply_defaults()
     assert seen[0].arguments["least"] == 17
+
+
+def test_all_persons_have_a_class_and_a_neighbour(spark, run):
+    v = privacy._cohorts(spark, str(DATA))["all"].collect()
+    far = lambda x, y: round((x.age - y.age) ** 2 + 2 * (x.gender != y.gender) + 2 * (x.race != y.race) + len(set(x.concepts) ^ set(y.concepts)), 9)
+    assert {r.id: r.dist for r in run("nn_self_distance")} == pytest.approx({x.id: min(far(x, y) for y in v if y.id != x.id) for x in v}, abs=1e-6)
+    n = Counter((ceil(r.age / 10), r.gender, r.race, tuple(r.groups)) for r in privacy._reid(spark, str(DATA))["all"].collect())
+    assert {r["size"]: r.n_classes for r in run("equivalence_class_size")} == Counter(n.values())
