@@ -10,15 +10,12 @@ from ..plans.registry import Registry
 from ..plans.runtime import persisted, table
 from ..plans.skew import broadcast_if_small
 
-MOST_BROADCAST = 2_000_000
 FIRST_DATE, LAST_DATE = "1900-01-01", "9999-01-01"
-#: The date column of each table that bounds its rows.
-DATE_COLUMNS = {"person": "birth_datetime", "visit_occurrence": "visit_start_date", "condition_occurrence": "condition_start_date", "procedure_occurrence": "procedure_date", "drug_exposure": "drug_exposure_start_date", "measurement": "measurement_date", "observation": "observation_date", "death": "death_date"}
 
 
 def subset(tables: dict[str, DataFrame], persons: DataFrame, key: str = "person_id", existing: frozenset[str] = frozenset()) -> dict[str, DataFrame]:
     """Each table's rows of the persons of a sample (semi-join: repeated sample rows do no harm); tables in ``existing`` are skipped."""
-    ids = broadcast_if_small(persons.select(key).distinct(), MOST_BROADCAST)
+    ids = broadcast_if_small(persons.select(key).distinct())
     return {n: d.join(ids, key, "left_semi") for n, d in tables.items() if n not in existing}
 
 

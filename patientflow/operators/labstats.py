@@ -14,7 +14,6 @@ from ..plans.skew import broadcast_if_small, global_rank
 BINS, FREEDOM, OUTLIER_STD = 10, 3, 2.0
 NA = "N/A"
 #: Groups beyond which the lookups become ordinary joins.
-MOST_GROUPS = 1_000_000
 
 
 def normal_cdf(x: float) -> float:
@@ -39,7 +38,7 @@ def ranked(values: DataFrame) -> DataFrame:
     """
     all_ = persisted(global_rank(values, [F.col("concept_id"), F.col("unit"), F.col("value")]), "ranked")
     g = all_.groupBy(*KEY).agg(F.min("rank").alias("s"), F.count("*").alias("n"))
-    return all_.join(broadcast_if_small(g, MOST_GROUPS), KEY).select(*KEY, "value", (F.col("rank") - F.col("s")).alias("r"), "n")
+    return all_.join(broadcast_if_small(g), KEY).select(*KEY, "value", (F.col("rank") - F.col("s")).alias("r"), "n")
 
 
 def _quantile(q: float) -> Column:
@@ -55,7 +54,7 @@ def trimmed(r: DataFrame, std: float = OUTLIER_STD) -> DataFrame:
     """Values within the quantiles of a normal's -std and +std, both inclusive, with the rank ``r`` and number ``total`` before."""
     q = r.groupBy(*KEY).agg(_quantile(normal_cdf(-std)).alias("lo"), _quantile(normal_cdf(std)).alias("hi"))
     eps = 1e-9  # the interpolation's rounding must not drop the bound itself
-    return r.join(broadcast_if_small(q, MOST_GROUPS), KEY).where((F.col("value") >= F.col("lo") - eps * F.abs("lo")) & (F.col("value") <= F.col("hi") + eps * F.abs("hi"))).select(*KEY, "value", "r", F.col("n").alias("total"))
+    return r.join(broadcast_if_small(q), KEY).where((F.col("value") >= F.col("lo") - eps * F.abs("lo")) & (F.col("value") <= F.col("hi") + eps * F.abs("hi"))).select(*KEY, "value", "r", F.col("n").alias("total"))
 
 
 def numeric_stats(values: DataFrame) -> DataFrame:
@@ -71,7 +70,7 @@ def lab_bins(trimmed_values: DataFrame, bins: int = BINS, freedom: int = FREEDOM
     """
     if "r" in trimmed_values.columns:  # what is left of ranked values is a stretch of their ranks
         g = trimmed_values.groupBy(*KEY).agg(F.min("r").alias("low"), F.count("*").alias("n"))
-        r = trimmed_values.join(broadcast_if_small(g, MOST_GROUPS), KEY).select(*KEY, "value", (F.col("r") - F.col("low")).alias("r"), "n")
+        r = trimmed_values.join(broadcast_if_small(g), KEY).select(*KEY, "value", (F.col("r") - F.col("low")).alias("r"), "n")
     else:
         r = ranked(trimmed_values.select(*KEY, "value"))
     step = F.floor(F.col("n") / bins)
@@ -91,7 +90,7 @@ def bin_of(value: Column, bins: Column) -> Column:
 
 def assign_bins(values: DataFrame, stats: DataFrame) -> DataFrame:
     """Adds ``bin`` to (concept_id, unit, value); groups without statistics are BIN:unknown. Statistics must be unique per group."""
-    return values.join(broadcast_if_small(stats.select(*KEY, "bins"), MOST_GROUPS), KEY, "left").withColumn("bin", bin_of(F.col("value"), F.col("bins"))).drop("bins")
+    return values.join(broadcast_if_small(stats.select(*KEY, "bins")), KEY, "left").withColumn("bin", bin_of(F.col("value"), F.col("bins"))).drop("bins")
 
 
 def value_of_bin(index: Column, bins: Column, u: Column) -> Column:
@@ -134,7 +133,7 @@ def unit_distribution(stats: DataFrame) -> DataFrame:
 def random_unit(concepts: DataFrame, distribution: DataFrame, seed: int = 0) -> DataFrame:
     """``key, concept_id, unit`` drawn by the distribution; N/A for a concept without units."""
     u = F.pmod(F.xxhash64("key", "concept_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    rows = concepts.withColumn("u", u).join(broadcast_if_small(distribution, MOST_GROUPS), "concept_id", "left")
+    rows = concepts.withColumn("u", u).join(broadcast_if_small(distribution), "concept_id", "left")
     hit = F.col("unit").isNull() | ((F.col("u") >= F.col("below")) & (F.col("u") < F.col("below") + F.col("p")))
     return rows.groupBy("key", "concept_id").agg(F.coalesce(F.max(F.when(hit, F.col("unit"))), F.lit(NA)).alias("unit"))
 

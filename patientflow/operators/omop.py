@@ -19,7 +19,6 @@ DIED = 4216643
 DISCHARGES = [4216643, 4021968, 4146681, 4161979]
 OTHER_DOMAINS = {1525734: "Drug", 779414: "Drug", 722117: "Drug", 722118: "Drug", 722119: "Drug", 905420: "Drug", 1525543: "Drug"}
 VISIT_TYPE, CONDITION_TYPE, DRUG_TYPE, PROCEDURE_TYPE, NUMERIC_OPERATOR, DEATH_TYPE, DISCHARGE_DEATH = 44818702, 32817, 38000177, 38000178, 4172703, 32817, 32823
-MOST_CONCEPTS = 20_000_000
 KNOWN_TIME = tk.is_known_time_token
 
 VS, VE, TIME, STAY_DAYS, STAY_HOURS, CONCEPT, SKIP, DEATH, OTHER = range(9)
@@ -179,7 +178,7 @@ class OmopTables:
     def __init__(self, sequences: DataFrame, concept: DataFrame):
         self.valid = valid_rows(sequences)
         found = facts(self.valid)
-        known = broadcast_if_small(domains(concept), MOST_CONCEPTS)
+        known = broadcast_if_small(domains(concept))
         other = F.create_map(*[F.lit(x) for k, v in OTHER_DOMAINS.items() for x in (k, v)])
         c = F.col("concept")
         joined = found.join(known.withColumn("known", F.lit(True)), "concept", "left")

@@ -13,6 +13,7 @@ from ..functions import tokens as tk
 from ..functions.tokens import sequences
 from ..plans.registry import Registry
 from ..plans.runtime import new_path, partitions, persisted, table
+from ..plans.skew import salted_join
 from .sequences import clinical_set, demographics
 
 MEMBER_THRESHOLD = 5.0
@@ -216,12 +217,6 @@ def reid_risk(sample: DataFrame, population: DataFrame, synthetic: DataFrame, le
     return every.join(sums, "node", "left").select("node", (F.coalesce("a", F.lit(0.0)) / F.lit(float(big or 1))).alias("a_term"), (F.coalesce("b", F.lit(0.0)) / F.lit(float(n or 1))).alias("b_term"))
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 20, seed: int = 0) -> DataFrame:
-    """Inner equi-join whose left rows are spread by a hash salt, the right ones repeated per salt; the result does not depend on the salt."""
-    salt = F.pmod(F.xxhash64(*left.columns, F.lit(seed)), F.lit(salts)).cast("int")
-    return left.withColumn("_s", salt).join(right.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "_s"]).drop("_s")
-
-
 R = Registry()
 
 

@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.runtime import partitions, table
-from ..plans.skew import HOT_PER_PARTITION
+from ..plans.skew import HOT_PER_PARTITION, heavy, salts
 
 #: Runs are cut where ``key >> BLOCK_BITS`` changes, so a run holds at most 4,096 keys and never leaves its block.
 BLOCK_BITS = 12
@@ -85,19 +85,24 @@ def key_runs(df: DataFrame, parent: Parent) -> DataFrame:
     return by.mapInArrow(_runs, "block bigint, start bigint, end bigint, since array<bigint>")
 
 
-def reference_rows(df: DataFrame, refs: References) -> DataFrame:
-    """Long form: column_no, parent, key, row_id, first_loaded (earliest load time of the row's id; NEVER-late if unknown).
+def reference_rows(df: DataFrame, refs: References, hot: list[int]) -> DataFrame:
+    """Long form: no, parent, key, row_id, first_loaded (earliest load time of the row's id; NEVER if unknown).
 
-    One shuffle by row id, where all reference columns go together; rows without any reference are left out first.
+    One shuffle by row id, where all reference columns go together; rows
+    without any reference are left out first where load times do not matter.
+    ``hot`` are row ids of many rows: they, and the rows without id, are
+    reduced to their distinct references with map-side combine and get
+    their few earliest times by a broadcast of one row an id.
     """
     names = [c for c, _ in refs.columns]
-    cols = [F.col(c).cast("bigint").alias(f"r{i}") for i, c in enumerate(names)]
-    rows = df.select(F.col(refs.row_id).cast("bigint").alias("row_id"), *cols, *([_micros(F.col(refs.loaded)).alias("t")] if refs.loaded else []))
     keys = [f"r{i}" for i in range(len(names))]
+    rows = df.select(F.col(refs.row_id).cast("bigint").alias("row_id"), *[F.col(c).cast("bigint").alias(k) for c, k in zip(names, keys)], *([_micros(F.col(refs.loaded)).alias("t")] if refs.loaded else []))
     if refs.loaded:
-        from pyspark.sql import Window
-
-        rows = rows.withColumn("first_loaded", F.min("t").over(Window.partitionBy("row_id"))).drop("t")
+        special = F.col("row_id").isNull() | (F.col("row_id").isin(hot) if hot else F.lit(False))
+        few = rows.where(special).groupBy("row_id", *keys).agg(F.min("t").alias("t"))
+        first = few.groupBy(F.col("row_id").alias("i")).agg(F.min("t").alias("first_loaded"))
+        few = few.join(F.broadcast(first), F.col("row_id").eqNullSafe(F.col("i"))).drop("i", "t")
+        rows = rows.where(~special).withColumn("first_loaded", F.min("t").over(Window.partitionBy("row_id"))).drop("t").unionByName(few)
     else:
         rows = rows.where(F.coalesce(*keys).isNotNull()).groupBy("row_id", *keys).agg(F.lit(NEVER).alias("first_loaded"))
     each = F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.lit(i).alias("no"), F.lit(p).alias("parent"), F.col(k).alias("key"))) for i, (k, (_, p)) in enumerate(zip(keys, refs.columns))])
@@ -105,39 +110,43 @@ def reference_rows(df: DataFrame, refs: References) -> DataFrame:
 
 
 def _asof(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by (parent, block, salt, key, side): each reference meets the preceding run start of its block.
+    """Sorted by (at, key, tag): each reference meets the preceding run start of its place and block.
 
-    Columns: parent, block, salt, key, end (run rows only), since (run rows only), tag, row_id, first_loaded.
+    Columns: at (parent and salt), key, tag (-1: a run), x (a run's end, or the
+    row id), first_loaded, since (runs only).
     """
     held = None  # the run row in force, as a batch of one row
     for batch in batches:
-        t = pa.Table.from_batches([held, batch] if held is not None else [batch])
-        t = t.combine_chunks()
+        t = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks()
         if not t.num_rows:
             continue
         b = t.to_batches()[0]
-        run = b.column(4).is_valid().to_numpy(zero_copy_only=False)
-        at = np.flatnonzero(run)
-        refs = np.flatnonzero(~run)
+        where, keys, tags = (b.column(i).to_numpy() for i in range(3))
+        run = tags < 0
+        at, refs = np.flatnonzero(run), np.flatnonzero(~run)
         if len(refs):
-            key, tag, rid, loaded = (b.column(i).take(pa.array(refs)).to_numpy(zero_copy_only=False) for i in (3, 6, 7, 8))
+            key, loaded = keys[refs], b.column(4).to_numpy(zero_copy_only=False)[refs]
             kind = np.zeros(len(refs), np.int8)  # 0 missing, 1 deleted, 2 late, 3 holds
             if len(at):
-                which = np.searchsorted(at, refs) - 1  # the preceding run row
-                w = np.maximum(which, 0)
-                start, end, block, parent = (b.column(i).take(pa.array(at)).to_numpy(zero_copy_only=False) for i in (3, 4, 1, 0))
-                mine = (which >= 0) & (block[w] == b.column(1).take(pa.array(refs)).to_numpy()) & (parent[w] == b.column(0).take(pa.array(refs)).to_numpy(zero_copy_only=False)) & (start[w] <= key) & (key <= end[w])
+                w = np.searchsorted(at, refs) - 1  # the preceding run row
+                run_at = at[np.maximum(w, 0)]
+                end = b.column(3).take(pa.array(run_at)).to_numpy(zero_copy_only=False)
+                mine = (w >= 0) & (where[run_at] == where[refs]) & (keys[run_at] <= key) & (key <= end)
                 lists = b.column(5)
-                flat, offset = lists.values.to_numpy(), lists.offsets.to_numpy()[at]
-                since = flat[np.where(mine, offset[w] + key - start[w], 0)]
+                flat, offset = lists.values.to_numpy(), lists.offsets.to_numpy()[run_at]
+                since = flat[np.where(mine, offset + key - keys[run_at], 0)]
                 kind = np.where(~mine, 0, np.where(since == DELETED, 1, np.where(since > loaded, 2, 3))).astype(np.int8)
             bad = kind < 3
             if bad.any():
-                yield pa.RecordBatch.from_arrays([pa.array(tag[bad]), b.column(7).take(pa.array(refs[bad])), pa.array(loaded[bad]), pa.array(kind[bad].astype(np.int32))], ["tag", "row_id", "first_loaded", "kind"])
+                yield pa.RecordBatch.from_arrays([pa.array(tags[refs[bad]]), b.column(3).take(pa.array(refs[bad])), pa.array(loaded[bad]), pa.array(kind[bad].astype(np.int32))], ["tag", "row_id", "first_loaded", "kind"])
         if len(at):
             held = pa.Table.from_batches([b.slice(int(at[-1]), 1)]).combine_chunks().to_batches()[0]
 
 
+#: Bits of a block's hot number below a parent's number in ``at``; more salts than that share places, which costs only balance.
+SALT_BITS = 24
+
+
 def orphan_references(tables: dict[str, DataFrame], parents: list[Parent], references: list[References]) -> DataFrame:
     """Every row with a non-null reference that does not hold: ``table_name, column_name, row_id, kind, first_loaded``.
 
@@ -150,42 +159,50 @@ def orphan_references(tables: dict[str, DataFrame], parents: list[Parent], refer
     referring table has no load time.
 
     Parent keys become contiguous runs that carry their keys' load times.
-    References and runs meet in one shuffle by (parent, block of 4,096 keys,
-    salt) and one sorted sweep. Blocks that hold more than 1/(4 * partitions)
-    of the references are salted by row id and their runs repeated per salt;
-    there are fewer than 4 * partitions such blocks for each column.
+    References and runs meet in one shuffle by (parent, salt, block of 4,096
+    keys) and one sorted sweep. One scan of each table finds its heavy blocks
+    and row ids without a shuffle; a heavy block gets salts in proportion to
+    its references (all of them together fewer than four times the partitions) and its runs are repeated per salt.
     """
     spark = next(iter(tables.values())).sparkSession
     n = partitions(spark)
     by_name = {p.name: i for i, p in enumerate(parents)}
-    counts = None
+    total, load, hot_ids = 0, {}, {}
     for r in references:
-        for c, p in r.columns:
-            one = tables[r.name].select(F.lit(by_name[p]).alias("p"), F.shiftright(F.col(c).cast("bigint"), BLOCK_BITS).alias("block")).where("block is not null").groupBy("p", "block").count()
-            counts = one if counts is None else counts.unionAll(one)
-    counts = counts.groupBy("p", "block").agg(F.sum("count").alias("c"))
-    total = counts.agg(F.sum("c")).first()[0] or 0
-    hot = [tuple(r) for r in counts.where(F.col("c") * HOT_PER_PARTITION * n > max(total, n)).select("p", "block").limit(HOT_PER_PARTITION * n).collect()]
-    is_hot = F.lit(False)
-    for p in {p for p, _ in hot}:
-        is_hot = is_hot | ((F.col("p") == p) & F.col("block").isin([b for q, b in hot if q == p]))
+        blocks = [F.shiftright(F.col(c).cast("bigint"), BLOCK_BITS).alias(f"b{i}") for i, (c, _) in enumerate(r.columns)]
+        rows, found = heavy(tables[r.name].select(F.col(r.row_id).cast("bigint").alias("row_id"), *blocks), ["row_id", *[f"b{i}" for i in range(len(blocks))]])
+        total += rows * len(blocks)
+        hot_ids[r.name] = [k for k, c in found[0].items() if k is not None and c * HOT_PER_PARTITION * n > max(rows, HOT_PER_PARTITION * n)]
+        for (_, p), counts in zip(r.columns, found[1:]):
+            for k, c in counts.items():
+                if k is not None:
+                    load[by_name[p], k] = load.get((by_name[p], k), 0) + c
+    spread: dict[int, list[int]] = {}  # salts, rounded up to a power of two, and the blocks that need so many
+    for (p, k), m in salts(load, total, n).items():
+        spread.setdefault(1 << (m - 1).bit_length(), []).append(k * len(parents) + p)
+
+    def many(p: F.Column, key: F.Column) -> F.Column:
+        code, m = F.shiftright(key, BLOCK_BITS) * len(parents) + p, F.lit(1)
+        for s, blocks in spread.items():
+            m = F.when(code.isin(blocks), s).otherwise(m)
+        return m
+
+    place = lambda p, salt: (F.shiftleft(p.cast("bigint"), SALT_BITS) + salt).cast("bigint")
     tags, refs = [], None
     for r in references:
         base = len(tags)
         tags += [(r.name, c) for c, _ in r.columns]
-        one = reference_rows(tables[r.name], References(r.name, r.row_id, tuple((c, str(by_name[p])) for c, p in r.columns), r.loaded)).withColumn("tag", F.col("no") + base)
+        one = reference_rows(tables[r.name], References(r.name, r.row_id, tuple((c, str(by_name[p])) for c, p in r.columns), r.loaded), hot_ids[r.name]).withColumn("tag", F.col("no") + base)
         refs = one if refs is None else refs.unionByName(one)
-    none = F.lit(None)
-    refs = refs.select(F.col("parent").cast("int").alias("p"), F.shiftright("key", BLOCK_BITS).alias("block"), "key", none.cast("bigint").alias("end"), none.cast("array<bigint>").alias("since"), "tag", "row_id", "first_loaded")
-    refs = refs.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("row_id"), F.lit(n)).cast("int")).otherwise(0))
+    salt = F.pmod(F.xxhash64("row_id", "key", "first_loaded"), many(F.col("parent").cast("int"), F.col("key")))
+    refs = refs.select(place(F.col("parent").cast("int"), salt).alias("at"), "key", F.col("tag").cast("int").alias("tag"), F.col("row_id").alias("x"), "first_loaded", F.lit(None).cast("array<bigint>").alias("since"))
     runs = None
     for p in parents:
-        one = key_runs(tables[p.name], p).select(F.lit(by_name[p.name]).alias("p"), "block", F.col("start").alias("key"), "end", "since", none.cast("int").alias("tag"), none.cast("bigint").alias("row_id"), none.cast("bigint").alias("first_loaded"))
+        i = F.lit(by_name[p.name])
+        one = key_runs(tables[p.name], p).withColumn("salt", F.explode(F.sequence(F.lit(0), many(i, F.col("start")) - 1)))
+        one = one.select(place(i, F.col("salt")).alias("at"), F.col("start").alias("key"), F.lit(-1).alias("tag"), F.col("end").alias("x"), F.lit(0).cast("bigint").alias("first_loaded"), "since")
         runs = one if runs is None else runs.unionAll(one)
-    runs = runs.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))))
-    order = ["p", "block", "salt", "key", "end", "since", "tag", "row_id", "first_loaded"]
-    both = refs.select(order).unionAll(runs.select(order))
-    sweep = both.repartition(n, "p", "block", "salt").sortWithinPartitions("p", "block", "salt", "key", F.col("end").isNull())
+    sweep = refs.unionAll(runs).repartition(n, "at", F.shiftright("key", BLOCK_BITS)).sortWithinPartitions("at", "key", "tag")
     found = sweep.mapInArrow(_asof, "tag int, row_id bigint, first_loaded bigint, kind int").distinct()
     names = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(c).alias("c")) for t, c in tags])
     return found.select(names[F.col("tag")].t.alias("table_name"), names[F.col("tag")].c.alias("column_name"), "row_id", F.array(*map(F.lit, ("missing", "deleted", "late")))[F.col("kind")].alias("kind"), F.when(F.col("first_loaded") != NEVER, F.timestamp_micros("first_loaded")).alias("first_loaded"))

@@ -140,7 +140,7 @@ def causal_split(rows: DataFrame, n_train: int, seed: int = 1) -> DataFrame:
     p = spark.createDataFrame([(a, x, y / all_) for a, x, y in probs], "age string, prob double, adjusted_prob double")
     joined = persisted(clean.join(F.broadcast(p), "age"), "causal")
     train = weighted_sample(joined, n_train, "adjusted_prob", "person_id", seed=seed).select("person_id").withColumn("t", F.lit(1)).distinct()
-    return joined.join(broadcast_if_small(train, 1_000_000), "person_id", "left").withColumn("split", F.when(F.col("t").isNotNull(), "train").otherwise("validation")).drop("t")
+    return joined.join(broadcast_if_small(train), "person_id", "left").withColumn("split", F.when(F.col("t").isNotNull(), "train").otherwise("validation")).drop("t")
 
 
 R = Registry()

@@ -10,30 +10,46 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and authority of its file system, as every machine must read it."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.
+    """The folder all executors share, from ``spark.checkpoint.dir``, with its scheme.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is made and registered.
+    Only where the session names none and all work is done in this process (a
+    ``local`` master) a temporary folder is made; elsewhere that is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             sc.setCheckpointDir(named)
-        return named.rstrip("/")
+        return _qualified(spark, named)
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
-        return have.get().rstrip("/")
+        return _qualified(spark, have.get())
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="patientflow-")
     atexit.register(shutil.rmtree, own, True)
     sc.setCheckpointDir(own)
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+    return _qualified(spark, sc._jsc.sc().getCheckpointDir().get())
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the application's part of the shared folder, which is deleted when the driver ends."""
+    sc = spark.sparkContext
+    base = f"{shared_dir(spark)}/patientflow-{sc.applicationId}"
+    p = sc._jvm.org.apache.hadoop.fs.Path(base)
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def persisted(df: DataFrame, name: str) -> DataFrame:

@@ -2,20 +2,49 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .runtime import checkpointed, partitions
+from .runtime import checkpointed, partitions, persisted
 
 #: A key is hot if it holds more rows than this share of a partition; there are fewer than HOT_PER_PARTITION * partitions such keys.
 HOT_PER_PARTITION = 4
 
 
+def heavy(df: DataFrame, columns: list[str]) -> tuple[int, list[dict]]:
+    """Rows of ``df`` and, for each column, its heavy values with a count that is never too low.
+
+    One scan without a shuffle: each task keeps a frequent-items sketch of
+    fixed size, so that every value with more than 1/(4 * partitions) of the
+    rows is among them (the sketch errs by 1/(36 * partitions) at most); others may be too.
+    Nulls are counted under None.
+    """
+    n = HOT_PER_PARTITION * partitions(df.sparkSession)
+    most = min(1_000_000, max(1_024, 32 * n))
+    names = [F.expr(f"approx_top_k(`{c}`, {min(most, 4 * n)}, {most})").alias(f"k{i}") for i, c in enumerate(columns)]
+    r = df.agg(F.count(F.lit(1)).alias("n"), *names).first()
+    return r[0], [{x[0]: x[1] for x in (r[f"k{i}"] or [])} for i in range(len(columns))]
+
+
 def hot_keys(df: DataFrame, key: str) -> list:
-    """Keys with more than 1/(4 * partitions) of the rows: fewer than 4 * partitions values, counted with map-side combine."""
+    """Keys with more than 1/(4 * partitions) of the rows: fewer than 4 * partitions values, and a few near that share."""
     n = HOT_PER_PARTITION * partitions(df.sparkSession)
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).count()
-    total = df.count()
-    return [r[0] for r in counts.where(F.col("count") * n > max(total, n)).limit(n).collect()]
+    total, (counts,) = heavy(df.select(key), [key])
+    return sorted(k for k, c in counts.items() if k is not None and c * n > max(total, n))
+
+
+#: Rows that one task takes of a key before the key is spread over more of them.
+ROWS_PER_TASK = 100_000
+
+
+def salts(counts: dict, total: int, n: int) -> dict:
+    """How many tasks each heavy key needs, in proportion to its load; keys that one task can take are left out.
+
+    A task's share is total / n, so all keys together get fewer than 2 n salts.
+    """
+    share = max(ROWS_PER_TASK, total / n)
+    return {k: math.ceil(c / share) for k, c in counts.items() if k is not None and c > share}
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: list | None = None) -> DataFrame:
@@ -58,6 +87,31 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank", per: str
     return part.join(F.broadcast(starts), ["_p", "_g"]).withColumn(name, F.col("_i") - F.col("_s") + F.col("_o")).drop("_p", "_g", "_i", "_s", "_o")
 
 
-def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
-    """Marks ``df`` for broadcast if it has at most ``most_rows`` rows, counted up to that bound; else leaves the join to Spark."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+#: Bytes of a side that may be broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def width(df: DataFrame) -> Column:
+    """About the bytes of a row: texts by their length, nested values by their JSON text, all else eight."""
+    size = F.lit(16)
+    for f in df.schema.fields:
+        kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
+        if kind in ("string", "binary", "varchar", "char"):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        elif kind in ("array", "map", "struct"):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+        else:
+            size = size + 8
+    return size
+
+
+def broadcast_if_small(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Writes ``df`` once and marks it for broadcast if its rows take at most ``most_bytes``; else leaves the join to Spark."""
+    kept = persisted(df, "side")
+    return F.broadcast(kept) if (kept.agg(F.sum(width(kept))).first()[0] or 0) <= most_bytes else kept
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 20, seed: int = 0) -> DataFrame:
+    """Inner equi-join whose left rows are spread by a hash salt, the right ones repeated per salt; the result does not depend on the salt."""
+    salt = F.pmod(F.xxhash64(*left.columns, F.lit(seed)), F.lit(salts)).cast("int")
+    return left.withColumn("_s", salt).join(right.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "_s"]).drop("_s")

@@ -143,6 +143,22 @@ def test_orphan_references(spark):
     assert sorted((r.row_id, r.kind) for r in none.collect()) == [(1, "missing"), (2, "missing"), (55, "missing")]
 
 
+def test_hot_row_ids_and_blocks_of_references(spark, monkeypatch):
+    from patientflow.plans import skew
+
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 50)
+    d = lambda n: T(2020, 1, n)
+    person = spark.createDataFrame([(k, d(1 + k % 20), None) for k in range(0, 9000, 3)], "person_id bigint, loaded_at timestamp_ntz, deleted_at timestamp_ntz")
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, i % 4200, d(1 + i % 17)) for i in range(6000)]
+    visit = spark.createDataFrame(rows, "vid bigint, person_id bigint, loaded_at timestamp_ntz")
+    first = {}
+    for v, _, t in rows:
+        first[v] = min(first.get(v, t), t)
+    want = {(v, "missing" if p % 3 else "late") for v, p, _ in rows if p % 3 or d(1 + p % 20) > first[v]}
+    got = orphan_references({"person": person, "visit": visit}, [Parent("person", "person_id")], [References("visit", "vid", (("person_id", "person"),))]).collect()
+    assert {(r.row_id, r.kind) for r in got} == want and len(got) == len(want)
+
+
 # --- derived tables
 def test_condition_era_edges(spark):
     D = dt.date
