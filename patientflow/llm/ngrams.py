@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.runtime import partitions, persisted, table
+from ..plans.skew import salts
 
 BLANKS = " \t\n\r"
 
@@ -18,10 +19,10 @@ def clean_terms(c: str = "concept_ids") -> F.Column:
     return F.filter(F.transform(c, lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: F.length(x) > 0)
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch], max_n: int, salts: int) -> Iterator[pa.RecordBatch]:
-    """Truncated suffixes of (record, salt, terms) rows, pre-aggregated per batch: one row per suffix and salt with its record set."""
+def _suffixes(batches: Iterator[pa.RecordBatch], max_n: int) -> Iterator[pa.RecordBatch]:
+    """Truncated suffixes of (record, terms) rows, pre-aggregated per batch: one row per suffix with its record set, and that set's size."""
     for b in batches:
-        rec, terms = b.column(0), b.column(2)
+        rec, terms = b.column(0), b.column(1)
         if not b.num_rows:
             continue
         offsets = terms.offsets.to_numpy()
@@ -30,7 +31,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], max_n: int, salts: int) -> Iter
         coded = flat.dictionary_encode()
         code, words = coded.indices.to_numpy(), coded.dictionary
         known = rec.is_valid().to_numpy(zero_copy_only=False)
-        ids, salt = rec.fill_null(0).to_numpy(), b.column(1).to_numpy()
+        ids = rec.fill_null(0).to_numpy()
         row = np.repeat(np.arange(b.num_rows), lengths)
         left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(row))  # terms from here to the end of the row
         cols = [code.astype(np.int32)]
@@ -42,14 +43,14 @@ def _suffixes(batches: Iterator[pa.RecordBatch], max_n: int, salts: int) -> Iter
         some = np.flatnonzero(lengths > 0)  # the empty suffix stands once for each row that has a term
         row = np.concatenate([row, some])
         cols = [np.concatenate([c, np.full(len(some), -1, np.int32)]) for c in cols]
-        order = np.lexsort([ids[row], known[row], salt[row], *cols[::-1]])
+        order = np.lexsort([ids[row], known[row], *cols[::-1]])
         row, cols = row[order], [c[order] for c in cols]
-        s, r, k = salt[row], ids[row], known[row]
+        r, k = ids[row], known[row]
         n = len(row)
         if not n:
             continue
         head = np.ones(n, bool)
-        head[1:] = (s[1:] != s[:-1]) | np.any([c[1:] != c[:-1] for c in cols], axis=0)
+        head[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
         fresh = head.copy()
         fresh[1:] |= (r[1:] != r[:-1]) | (k[1:] != k[:-1])
         at = np.flatnonzero(head)
@@ -61,7 +62,31 @@ def _suffixes(batches: Iterator[pa.RecordBatch], max_n: int, salts: int) -> Iter
         suffix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has.sum(1))]).astype(np.int32)), words.take(pa.array(m[has])) if has.any() else pa.array([], pa.string()))
         first = words.take(pa.array(np.where(m[:, 0] >= 0, m[:, 0], 0))) if len(words) else pa.array([""] * len(at))
         first = pa.compute.if_else(pa.array(m[:, 0] >= 0), first, pa.array([""] * len(at)))
-        yield pa.RecordBatch.from_arrays([first, pa.array(s[at].astype(np.int32)), suffix, pa.array(np.diff(np.append(at, n))), records], ["first", "salt", "suffix", "occurrences", "records"])
+        yield pa.RecordBatch.from_arrays([first, suffix, pa.array(np.diff(np.append(at, n))), pa.array(size), records], ["first", "suffix", "occurrences", "load", "records"])
+
+
+def _salted(batches: Iterator[pa.RecordBatch], spread: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """(first, suffix, occurrences, records) to (first, salt, suffix, occurrences, records): record sets of the first terms in ``spread`` are split by a hash of the record; the occurrences stay with the first part."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        many = np.array([spread.get(x, 1) for x in b.column(0).to_pylist()])
+        lists = b.column(3)
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        flat, at = flat[at[0] : at[-1]], at - at[0]
+        row = np.repeat(np.arange(b.num_rows), np.diff(at))
+        mixed = (flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        salt = (mixed % many[row].astype(np.uint64)).astype(np.int64)
+        # Each row has a part of salt 0, for its occurrences, and those that its records need.
+        top = int(many.max())
+        parts, where = np.unique(np.concatenate([np.arange(b.num_rows) * top, row * top + salt]), return_inverse=True)
+        where = where[b.num_rows :]
+        order = np.argsort(where, kind="stable")
+        size = np.bincount(where, minlength=len(parts))
+        own, part = pa.array(parts // top), parts % top
+        records = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat[order]))
+        occurrences = np.where(part == 0, b.column(2).to_numpy()[parts // top], 0)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(own), pa.array(part.astype(np.int32)), b.column(1).take(own), pa.array(occurrences), records], ["first", "salt", "suffix", "occurrences", "records"])
 
 
 def _stack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,16 +154,21 @@ def suffix_counts(df: DataFrame, record: str, terms: str, max_n: int = 1) -> Dat
     each as occurrences; null and empty arrays give nothing; other columns are ignored.
 
     Each batch emits its suffixes, cut to ``max_n`` terms, with their record
-    sets (map-side combine). They are routed by first term and a salt from the
-    record, so that a term in every record is spread over all partitions while
-    a record's rows stay together; record counts of the salts therefore add up.
-    Sorted in reverse, a stack yields all prefix counts in one pass.
+    sets (map-side combine). They are routed by first term; only a first term
+    whose record sets are more than a task's share is salted, in proportion
+    to them, by a hash of the record: a record's rows stay together, so the
+    record counts of the salts add up. Sorted in reverse, a stack yields all
+    prefix counts in one pass.
     """
-    spark = df.sparkSession
-    salts = partitions(spark)
-    rows = df.select(F.col(record).cast("bigint").alias("record"), F.pmod(F.xxhash64(F.col(record).cast("bigint")), F.lit(salts)).cast("int").alias("salt"), clean_terms(terms).alias("terms")).where("size(terms) > 0")
-    sent = rows.mapInArrow(lambda it: _suffixes(it, max_n, salts), "first string, salt int, suffix array<string>, occurrences bigint, records array<bigint>")
-    by = sent.repartition(partitions(spark), "first", "salt").sortWithinPartitions("first", "salt", F.desc("suffix"))
+    n = partitions(df.sparkSession)
+    rows = df.select(F.col(record).cast("bigint").alias("record"), clean_terms(terms).alias("terms")).where("size(terms) > 0")
+    sent = persisted(rows.mapInArrow(lambda it: _suffixes(it, max_n), "first string, suffix array<string>, occurrences bigint, load bigint, records array<bigint>"), "suffixes")
+    load = sent.groupBy("first").agg(F.sum("load").alias("load"))
+    total = load.agg(F.sum("load")).first()[0] or 0
+    heavy = load.where(F.col("load") * n > total).limit(n)  # fewer than n can be
+    spread = salts({r[0]: r[1] for r in heavy.collect()}, total, n)
+    split = sent.select("first", "suffix", "occurrences", "records").mapInArrow(lambda it: _salted(it, spread), "first string, salt int, suffix array<string>, occurrences bigint, records array<bigint>")
+    by = split.repartition(n, "first", "salt").sortWithinPartitions("first", "salt", F.desc("suffix"))
     part = by.mapInArrow(_stack, "ngram array<string>, occurrences bigint, records bigint")
     return part.groupBy("ngram").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
@@ -146,12 +176,17 @@ def suffix_counts(df: DataFrame, record: str, terms: str, max_n: int = 1) -> Dat
 RARE_PERSONS, COMMON_SHARE = 5, 0.6
 
 
-def marked_terms(counts: DataFrame, rare: int = RARE_PERSONS, common: float = COMMON_SHARE) -> DataFrame:
-    """Terms with their counts and a mark: rare (fewer than ``rare`` records), common (more than ``common`` of all records) or null."""
+def marked(counts: DataFrame, rare: int = RARE_PERSONS, common: float = COMMON_SHARE) -> DataFrame:
+    """Every n-gram with its counts and a mark: rare (fewer than ``rare`` records), common (more than ``common`` of all records with a term) or null."""
     total = counts.where("size(ngram) = 0").select("records").first()
     limit = common * (total[0] if total else 0)
     mark = F.when(F.col("records") < rare, "rare").when(F.col("records") > limit, "common")
-    return counts.where("size(ngram) = 1").select(F.col("ngram")[0].alias("concept_id"), F.col("occurrences").alias("n_occurrences"), F.col("records").alias("n_persons"), mark.alias("mark"))
+    return counts.where("size(ngram) > 0").select("ngram", F.col("occurrences").alias("n_occurrences"), F.col("records").alias("n_persons"), mark.alias("mark"))
+
+
+def marked_terms(counts: DataFrame, rare: int = RARE_PERSONS, common: float = COMMON_SHARE) -> DataFrame:
+    """:func:`marked` of single terms."""
+    return marked(counts, rare, common).where("size(ngram) = 1").select(F.col("ngram")[0].alias("concept_id"), "n_occurrences", "n_persons", "mark")
 
 
 def _counts(spark, sf_dir: str, max_n: int = 1) -> DataFrame:
@@ -168,9 +203,8 @@ def p1_terms(spark, sf_dir: str) -> DataFrame:
 
 
 def p1_ngrams(spark, sf_dir: str) -> DataFrame:
-    """Runs of one to three terms that at least five persons have."""
-    c = _counts(spark, sf_dir, 3).where(f"size(ngram) > 0 and records >= {RARE_PERSONS}")
-    return c.select(F.array_join("ngram", " ").alias("ngram"), F.size("ngram").alias("n"), F.col("occurrences").alias("n_occurrences"), F.col("records").alias("n_persons"))
+    """Every run of one to three terms with its occurrences, persons and mark."""
+    return marked(_counts(spark, sf_dir, 3)).select(F.array_join("ngram", " ").alias("ngram"), F.size("ngram").alias("n"), "n_occurrences", "n_persons", "mark")
 
 
 TERMS = """
@@ -186,8 +220,9 @@ SQL = {
     "p1_terms": _MARKED + "SELECT * FROM m",
     "p1_ngrams": TERMS + """,
 i AS (SELECT person_id, terms, unnest(range(1, len(terms) + 1)) AS i FROM c),
-g AS (SELECT person_id, terms, i, unnest([1, 2, 3]) AS n FROM i)
-SELECT array_to_string(terms[i : i + n - 1], ' ') AS ngram, n, count(*) AS n_occurrences, count(DISTINCT person_id) AS n_persons
-FROM g WHERE i + n - 1 <= len(terms) GROUP BY 1, 2 HAVING count(DISTINCT person_id) >= 5""",
+g AS (SELECT person_id, terms, i, unnest([1, 2, 3]) AS n FROM i),
+t AS (SELECT count(DISTINCT person_id) AS total FROM c WHERE len(terms) > 0),
+k AS (SELECT terms[i : i + n - 1] AS gram, n, count(*) AS n_occurrences, count(DISTINCT person_id) AS n_persons FROM g WHERE i + n - 1 <= len(terms) GROUP BY 1, 2)
+SELECT array_to_string(gram, ' ') AS ngram, n, n_occurrences, n_persons, CASE WHEN n_persons < 5 THEN 'rare' WHEN n_persons > 0.6 * total THEN 'common' END AS mark FROM k, t""",
 }
 QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p1_ngrams": p1_ngrams}

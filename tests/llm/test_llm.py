@@ -44,6 +44,22 @@ def test_suffix_counts(spark, n):
     assert ngrams.marked_terms(ngrams.suffix_counts(df.limit(0), "p", "concept_ids")).count() == 0
 
 
+def test_hot_terms_are_salted(spark, monkeypatch):
+    from patientflow.plans import skew
+
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 10)
+    rows = [(i % 700 if i % 11 else None, ["hot", "a" if i % 2 else "b", f"t{i % 97}", "hot"]) for i in range(2000)]
+    occ, rec = Counter(), defaultdict(set)
+    for r, t in rows:
+        for k in (1, 2):
+            for i in range(len(t) - k + 1):
+                occ[tuple(t[i : i + k])] += 1
+                rec[tuple(t[i : i + k])] |= {r} - {None}
+    df = spark.createDataFrame(rows, "p bigint, t array<string>")
+    got = {tuple(r.ngram): (r.occurrences, r.records) for r in ngrams.suffix_counts(df, "p", "t", 2).where("size(ngram) > 0").collect()}
+    assert got == {k: (occ[k], len(rec[k])) for k in occ}
+
+
 # --- 3 quantiles
 def test_merged_summaries_keep_their_bound():
     rng = np.random.default_rng(0)
@@ -226,8 +242,8 @@ def test_chunks_give_the_same_ids(spark):
     texts = TEXTS + ["".join(rng.choice(["a", "b", " ", "  ", "\n", "'s", "'ll", "é", "9", "!", "漢"]) for _ in range(3000)) for _ in range(6)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("key", F.lit(1)).withColumn("ids", F.lit("x"))
     want = {i: enc.encode_ordinary(t) if t else [] for i, t in enumerate(texts)}
-    for chunk, overlap in ((300, 60), (997, 200), (1 << 16, 1 << 10)):
-        got = {r.key: r.ids for r in tokenizer.encode(df, "doc_id", "text", chunk=chunk, overlap=overlap).collect()}
+    for chunk, overlap, span, edge in ((300, 60, 1200, 100), (64, 16, 6400, 700), (997, 200, 997, 300), (512, 128, 1 << 21, 4096)):
+        got = {r.key: r.ids for r in tokenizer.encode(df, "doc_id", "text", chunk=chunk, overlap=overlap, span=span, edge=edge).collect()}
         assert got == want
     back = {r.key: r.text for r in tokenizer.decode(tokenizer.encode(df, "doc_id", "text"), "key", "ids").collect()}
     assert back == {i: t or "" for i, t in enumerate(texts)}
@@ -238,10 +254,18 @@ def test_repeated_and_null_keys_keep_their_rows(spark):
     long = [" ".join(f"w{i * k}" for i in range(400)) for k in (1, 7)]
     rows = [(1, long[0]), (1, long[0]), (1, long[1]), (None, long[1]), (None, "short"), (1, None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = sorted((str(r.key), r.ids) for r in tokenizer.encode(df, "doc_id", "text", chunk=300, overlap=60).collect())
+    got = sorted((str(r.key), r.ids) for r in tokenizer.encode(df, "doc_id", "text", chunk=300, overlap=60, span=600, edge=100).collect())
     assert got == sorted((str(k), tokenizer.encoding().encode_ordinary(t) if t else []) for k, t in rows)
 
 
+def test_stitching_joins_chunks_without_a_common_boundary():
+    rng = random.Random(3)
+    for text in ("漢" * 3000, "a" * 700 + " b" * 300, "".join(rng.choice("ab  \n'’.9漢") for _ in range(4000)), "x" * 64 + " y", "ab" * 31 + "c "):
+        for chunk, overlap in ((64, 16), (100, 99), (512, 128)):
+            cut = [text[k : k + chunk + overlap] for k in range(0, len(text), chunk)]
+            assert tokenizer.stitched(cut, chunk) == tokenizer.pretokens(text)[0]
+
+
 def test_ids_equal_the_other_library(spark):
     from tokenizers import Tokenizer
 
