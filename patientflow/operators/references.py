@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.runtime import partitions, table
-from ..plans.skew import HOT_PER_PARTITION, heavy, salts
+from ..plans.skew import HOT_PER_PARTITION, heavy, salt_count, salts
 
 #: Runs are cut where ``key >> BLOCK_BITS`` changes, so a run holds at most 4,096 keys and never leaves its block.
 BLOCK_BITS = 12
@@ -177,16 +177,8 @@ def orphan_references(tables: dict[str, DataFrame], parents: list[Parent], refer
             for k, c in counts.items():
                 if k is not None:
                     load[by_name[p], k] = load.get((by_name[p], k), 0) + c
-    spread: dict[int, list[int]] = {}  # salts, rounded up to a power of two, and the blocks that need so many
-    for (p, k), m in salts(load, total, n).items():
-        spread.setdefault(1 << (m - 1).bit_length(), []).append(k * len(parents) + p)
-
-    def many(p: F.Column, key: F.Column) -> F.Column:
-        code, m = F.shiftright(key, BLOCK_BITS) * len(parents) + p, F.lit(1)
-        for s, blocks in spread.items():
-            m = F.when(code.isin(blocks), s).otherwise(m)
-        return m
-
+    spread = {k * len(parents) + p: m for (p, k), m in salts(load, total, n).items()}
+    many = lambda p, key: salt_count(F.shiftright(key, BLOCK_BITS) * len(parents) + p, spread)
     place = lambda p, salt: (F.shiftleft(p.cast("bigint"), SALT_BITS) + salt).cast("bigint")
     tags, refs = [], None
     for r in references:

@@ -47,6 +47,29 @@ def salts(counts: dict, total: int, n: int) -> dict:
     return {k: math.ceil(c / share) for k, c in counts.items() if k is not None and c > share}
 
 
+def salt_count(key: Column, spread: dict) -> Column:
+    """How many salts the key has: those of ``spread``, rounded up to a power of two, else one. Keys are looked up in hash sets, one for each power."""
+    sets: dict[int, list] = {}
+    for k, m in spread.items():
+        sets.setdefault(1 << (m - 1).bit_length(), []).append(k)
+    out = F.lit(1)
+    for m, keys in sets.items():
+        out = F.when(key.isin(keys), m).otherwise(out)
+    return out
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, spread: dict | None = None) -> DataFrame:
+    """Inner equi-join of two sides that may both repeat a key; heavy left keys are salted in proportion to their rows, their right rows repeated per salt."""
+    if spread is None:
+        total, (counts,) = heavy(left.select(key), [key])
+        spread = salts(counts, total, partitions(left.sparkSession))
+    if not spread:
+        return left.join(right, key)
+    n = salt_count(F.col(key), spread)
+    salted = left.withColumn("_s", F.pmod(F.xxhash64(*left.columns), n).cast("int"))
+    return salted.join(right.withColumn("_s", F.explode(F.sequence(F.lit(0), n - 1))), [key, "_s"]).drop("_s")
+
+
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: list | None = None) -> DataFrame:
     """Equi-join of ``left`` with a ``right`` that is unique on ``key``; hot left keys are joined without moving the left rows.
 

@@ -11,6 +11,7 @@ from patientflow.functions import tokens as tk
 from patientflow.operators import derive, labstats, omop, pack, privacy, sequences, splits, tte
 from patientflow.operators.intervals import merge_intervals, periods_and_gaps, visit_periods
 from patientflow.operators.references import Parent, References, orphan_references
+from patientflow.plans import skew
 from patientflow.plans.skew import global_rank, hot_keys, skew_join
 
 
@@ -58,6 +59,9 @@ def test_skew_join_and_rank(spark):
     left = spark.createDataFrame([(1, i) for i in range(400)] + [(k, 0) for k in range(2, 60)] + [(None, 5)], "k int, v int")
     right = spark.createDataFrame([(k, k * 10) for k in range(1, 40)], "k int, w int")
     assert hot_keys(left, "k") == [1]
+    many = right.unionAll(right)
+    for spread in (None, {1: 7, 2: 2}):
+        assert sorted(map(str, skew.spread_join(left, many, "k", spread).collect())) == sorted(map(str, left.join(many, "k").collect()))
     for how in ("inner", "left", "left_semi", "left_anti"):
         a = sorted(map(str, skew_join(left, right, "k", how).collect()))
         assert a == sorted(map(str, left.join(right, "k", how).collect()))
@@ -144,8 +148,6 @@ def test_orphan_references(spark):
 
 
 def test_hot_row_ids_and_blocks_of_references(spark, monkeypatch):
-    from patientflow.plans import skew
-
     monkeypatch.setattr(skew, "ROWS_PER_TASK", 50)
     d = lambda n: T(2020, 1, n)
     person = spark.createDataFrame([(k, d(1 + k % 20), None) for k in range(0, 9000, 3)], "person_id bigint, loaded_at timestamp_ntz, deleted_at timestamp_ntz")
