@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..plans.runtime import new_path, partitions, persisted, table
-from ..plans.skew import skew_join
+from ..plans.runtime import partitions, persisted, table
+from ..plans.skew import broadcast_if_small, salt_count, salts, skew_join, spread_join
 from .grouped_splits import split_name
 from .ngrams import clean_terms
 
@@ -17,30 +17,53 @@ RUN, LEAST_RUNS = 4, 20
 #: At least half of the distinct runs of both stand in both.
 SIMILARITY = 0.5
 HEADER = 4
-#: Patterns of one automaton (about 120 MB); the evaluation records are spread over as many shards as that needs.
-PATTERNS_PER_SHARD = 300_000
-#: Texts that a task holds while it goes through the shards, and whose hits it counts in one go.
-TEXTS_HELD, TEXTS_AT_ONCE = 100_000, 1_000
-#: Terms become one character each by a hash into the planes above the basic one; the two terms of a collision are told apart by the exact check.
+#: Passages that one automaton holds (about 120 MB); a shard with more is split, and its windows go to each piece.
+PASSAGES_PER_TASK = 300_000
+#: Counters of the sketch that tells how often evaluation records have a run: 2 MB for each task, whatever the data.
+SKETCH = 1 << 20
+#: Terms become one character each by a hash into the planes above the basic one. Terms that collide only make more candidates: lengths and checks use the terms themselves.
 FIRST_SYMBOL, SYMBOLS = 0x10000, 0xF0000
+#: Stands between the windows of a text that do not touch, and for terms that an evaluation record does not have.
+GAP = "\x01"
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _symbol(word: str | None) -> int:
+def _symbol(word: str | None, symbols: int) -> int:
     import xxhash
 
-    return FIRST_SYMBOL + xxhash.xxh64_intdigest((word or "").encode("utf-8", "surrogatepass")) % SYMBOLS
+    return FIRST_SYMBOL + xxhash.xxh64_intdigest((word or "").encode("utf-8", "surrogatepass")) % symbols
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the text of symbols of each body (the last column)."""
+def _starts(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts of these sizes, laid end to end: where each run of RUN terms starts, and whose it is."""
+    runs = np.maximum(size - RUN + 1, 0)
+    text = np.repeat(np.arange(len(size)), runs)
+    at = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else np.empty(0, np.int64)
+    first = np.concatenate([[0], np.cumsum(runs)[:-1]]) if len(size) else np.empty(0, np.int64)
+    return np.arange(len(text)) - first[text] + at[text], text
+
+
+def _distinct_runs(codes: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Distinct runs of each of these texts of term numbers, exactly."""
+    start, text = _starts(size)
+    run = codes[start].astype(np.int64) if len(start) else np.empty(0, np.int64)
+    for j in range(1, RUN):  # numbers the runs of j + 1 terms from those of j
+        run = np.unique(run * (int(codes.max(initial=0)) + 1) + codes[start + j], return_inverse=True)[1].astype(np.int64)
+    return np.bincount(np.unique(text * (run.max(initial=0) + 1) + run) // (run.max(initial=0) + 1), minlength=len(size))
+
+
+def _texts(batches: Iterator[pa.RecordBatch], symbols: int) -> Iterator[pa.RecordBatch]:
+    """Adds the text of symbols of each body (the last column) and its number of distinct runs."""
     for b in batches:
         body = b.column(b.num_columns - 1)
         offsets = body.offsets.to_numpy()
         coded = body.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        symbol = np.array([_symbol(w) for w in coded.dictionary.to_pylist()], np.uint32)
-        whole = symbol[coded.indices.to_numpy()].astype("<u4").tobytes().decode("utf-32-le") if len(coded) else ""
+        symbol = np.array([_symbol(w, symbols) for w in coded.dictionary.to_pylist()], np.uint32)
+        code = coded.indices.to_numpy().astype(np.int64)
+        whole = symbol[code].astype("<u4").tobytes().decode("utf-32-le") if len(coded) else ""
         at = offsets - offsets[0]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([whole[i:j] for i, j in zip(at[:-1], at[1:])], pa.string())], [*b.schema.names, "text"])
+        n = _distinct_runs(code, np.diff(at))
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([whole[i:j] for i, j in zip(at[:-1], at[1:])], pa.string()), pa.array(n, pa.int64())], [*b.schema.names, "text", "n"])
 
 
 def sequence_bodies(df: DataFrame, key: str, terms: str, header: int = HEADER) -> DataFrame:
@@ -50,125 +73,148 @@ def sequence_bodies(df: DataFrame, key: str, terms: str, header: int = HEADER) -
     return df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), t.alias("t")).select("key", F.slice("t", skip + 1, F.size("t")).alias("body"))
 
 
-def _grams(text: str) -> dict[str, None]:
-    return dict.fromkeys(text[i : i + RUN] for i in range(len(text) - RUN + 1))
+def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, text and 48-bit hash of the first of each distinct run of each text (runs of equal hash are one)."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    flat = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64)
+    start, text = _starts(size)
+    h = np.zeros(len(start), np.uint64)
+    for j in range(RUN):
+        h = (h + flat[start + j]) * _A
+        h ^= h >> np.uint64(29)
+    h = (h * _B) >> np.uint64(16)
+    order = np.lexsort([h, text])
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (h[order][1:] != h[order][:-1]) | (text[order][1:] != text[order][:-1])
+    keep = order[fresh]
+    return start[keep], text[keep], h[keep]
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], counters: int) -> Iterator[pa.RecordBatch]:
+    """(text) to (counter, n) of the sketch, summed per batch."""
+    for b in batches:
+        h = _hashed(b.column(0).to_pylist())[2]
+        c, n = np.unique((h % np.uint64(counters)).astype(np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(n, pa.int64())], ["counter", "n"])
 
 
-def _eval_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(no, text) to (no, n, gram), one row per distinct run."""
-    for b in batches:
-        nos, ns, grams = [], [], []
-        for no, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            g = _grams(text)
-            if len(g) >= LEAST_RUNS:
-                nos += [no] * len(g)
-                ns += [len(g)] * len(g)
-                grams += g
-        yield pa.RecordBatch.from_arrays([pa.array(nos, pa.int64()), pa.array(ns, pa.int32()), pa.array(grams, pa.string())], ["no", "n", "gram"])
+def _prefixes(texts: list[str], n: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, text, hash and sketch count of the rarest n - ceil(s n) + 1 runs of each text of n distinct runs.
 
+    All texts order their runs alike, by (count, hash). Two texts whose similarity is at least s share at least
+    ceil(s n) runs of either, so the first n - ceil(s n) + 1 of one and those of the other have a run in common.
+    Runs that fall together by their hash make both sets only larger against what they need.
+    """
+    start, text, h = _hashed(texts)
+    count = np.minimum(sketch[(h % np.uint64(len(sketch))).astype(np.int64)], (1 << 15) - 1).astype(np.uint64)
+    order = np.lexsort([(count << np.uint64(48)) | h, text])
+    first = np.searchsorted(text[order], np.arange(len(texts)))
+    taken = n - np.ceil(SIMILARITY * n - 1e-9).astype(np.int64) + 1
+    keep = order[np.arange(len(order)) - first[text[order]] < taken[text[order]]]
+    return start[keep], text[keep], h[keep], count[keep]
 
-class Shard:
-    """The automaton of one shard's passages and, for each passage, the evaluation records that hold it."""
 
-    def __init__(self, path: str, shard: int):
-        import ahocorasick
-        import pyarrow.dataset as ds
-        from pyarrow import fs
-
-        where, base = (None, path) if "://" not in path else fs.FileSystem.from_uri(path)
-        try:
-            t = ds.dataset(f"{base}/shard={shard}", format="parquet", filesystem=where).to_table(columns=["no", "n", "taken", "gram"])
-        except FileNotFoundError:  # no record fell into this shard
-            t = pa.table({"no": pa.array([], pa.int64()), "n": pa.array([], pa.int32()), "taken": pa.array([], pa.int32()), "gram": pa.array([], pa.string())})
-        no, n, taken = (t.column(c).to_numpy() for c in ("no", "n", "taken"))
-        coded = pa.concat_arrays([pa.array([], pa.string()), *t.column("gram").chunks]).dictionary_encode()
-        code = coded.indices.to_numpy()
-        self.records, local = np.unique(no, return_inverse=True)
-        self.n, self.taken = np.zeros(len(self.records), np.int64), np.zeros(len(self.records), np.int64)
-        self.n[local], self.taken[local] = n, taken
-        order = np.argsort(code, kind="stable")
-        self.holders = local[order]
-        self.at = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))])
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for i, g in enumerate(coded.dictionary.to_pylist()):
-            self.automaton.add_word(g, i)
-        if len(coded.dictionary):
-            self.automaton.make_automaton()
-
-    def candidates(self, texts: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (place of the text, record) that may reach the similarity; ``sizes`` are the texts' distinct runs.
-
-        Of a record's n runs ``taken`` are passages. Similar records share
-        at least s / (1 + s) * (n + size) runs, hence at least that less
-        (n - taken) passages: a bound that loses no pair.
-        """
-        if not len(self.records):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        scan, hits, found = self.automaton.iter, [], np.empty(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            own = {h for _, h in scan(text)}
-            found[i] = len(own)
-            hits.extend(own)
-        h = np.fromiter(hits, np.int64, len(hits))
-        start, count = self.at[h], self.at[h + 1] - self.at[h]
-        place = np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        text = np.repeat(np.repeat(np.arange(len(texts)), found), count)
-        pair, shared = np.unique(text * len(self.records) + self.holders[place], return_counts=True)
-        text, who = pair // len(self.records), pair % len(self.records)
-        n, taken, size = self.n[who], self.taken[who], sizes[text]
-        need = np.ceil(SIMILARITY / (1 + SIMILARITY) * (n + size) - 1e-9) - (n - taken)
-        near = (shared >= need) & (np.minimum(n, size) >= SIMILARITY * np.maximum(n, size) - 1e-9)
-        return text[near], self.records[who[near]]
-
-
-def _scan(batches: Iterator[pa.RecordBatch], path: str, shards: int) -> Iterator[pa.RecordBatch]:
-    """Every text (no, text) against every shard: rows (train, eval)."""
-    held: list[tuple[int, str, int]] = []
-
-    def through() -> Iterator[pa.RecordBatch]:
-        no, size = np.array([x[0] for x in held]), np.array([x[2] for x in held])
-        texts = [x[1] for x in held]
-        for s in range(shards):
-            shard = Shard(path, s)
-            for i in range(0, len(texts), TEXTS_AT_ONCE):
-                part = slice(i, i + TEXTS_AT_ONCE)
-                left, right = shard.candidates(texts[part], size[part])
-                if len(left):
-                    yield pa.RecordBatch.from_arrays([pa.array(no[part][left]), pa.array(right)], ["train", "eval"])
-        held.clear()
+def _passages(batches: Iterator[pa.RecordBatch], sketch, shards: int) -> Iterator[pa.RecordBatch]:
+    """Evaluation records (no, n, text) to their passages (shard, no, n, text)."""
+    for b in batches:
+        texts, n = b.column(2).to_pylist(), b.column(1).to_numpy()
+        start, text, h, _ = _prefixes(texts, n, sketch.value)
+        whole, own = "".join(texts), pa.array(text)
+        shard = pa.array((h % np.uint64(shards)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([shard, b.column(0).take(own), b.column(1).take(own), pa.array([whole[i : i + RUN] for i in start.tolist()], pa.string())], ["shard", "no", "n", "text"])
 
+
+def _windows(batches: Iterator[pa.RecordBatch], sketch, shards: int) -> Iterator[pa.RecordBatch]:
+    """Training texts (no, n, text) to what each shard has to scan of them (shard, no, n, text): their windows that may be passages, with those that touch joined."""
+    for b in batches:
+        texts, n = b.column(2).to_pylist(), b.column(1).to_numpy()
+        start, text, h, count = _prefixes(texts, n, sketch.value)
+        some = count > 0  # no evaluation record has the others
+        start, text, shard = start[some], text[some], (h[some] % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort([start, shard, text])
+        start, text, shard = start[order], text[order], shard[order]
+        whole = "".join(texts)
+        new = np.ones(len(start), bool)
+        new[1:] = (text[1:] != text[:-1]) | (shard[1:] != shard[:-1])
+        apart = new.copy()
+        apart[1:] |= start[1:] >= start[:-1] + RUN
+        at = np.flatnonzero(apart)
+        end = start[np.append(at[1:], len(start)) - 1] + RUN if len(at) else at
+        pieces = [whole[i:j] for i, j in zip(start[at].tolist(), end.tolist())]
+        head = np.flatnonzero(new[at])
+        rows = [GAP.join(pieces[i:j]) for i, j in zip(head.tolist(), [*head[1:].tolist(), len(pieces)])]
+        own = pa.array(text[at][head])
+        yield pa.RecordBatch.from_arrays([pa.array(shard[at][head], pa.int32()), b.column(0).take(own), b.column(1).take(own), pa.array(rows, pa.string())], ["shard", "no", "n", "text"])
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by (place, side): the passages of a place (side 0) become an automaton, which scans its texts (side 1): pairs (train, eval)."""
+    import ahocorasick
+
+    place, automaton, built = None, None, False
+    passages: dict[str, list[tuple[int, int]]] = {}
     for b in batches:
-        for no, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            size = len(_grams(text))
-            if size >= LEAST_RUNS:
-                held.append((no, text, size))
-        if len(held) >= TEXTS_HELD:
-            yield from through()
-    if held:
-        yield from through()
+        train, evaluation = [], []
+        for where, side, no, n, text in zip(*(b.column(i).to_pylist() for i in range(5))):
+            if where != place:
+                place, built, passages = where, False, {}
+            if side == 0:
+                passages.setdefault(text, []).append((no, n))
+                continue
+            if not built:
+                automaton, built = ahocorasick.Automaton(), True
+                for k, holders in passages.items():
+                    automaton.add_word(k, holders)
+                if passages:
+                    automaton.make_automaton()
+            if not passages:
+                continue
+            found = {e for _, holders in automaton.iter(text) for e, m in holders if min(n, m) >= SIMILARITY * max(n, m) - 1e-9}
+            train += [no] * len(found)
+            evaluation += found
+        yield pa.RecordBatch.from_arrays([pa.array(train, pa.int64()), pa.array(evaluation, pa.int64())], ["train", "eval"])
+
+
+class Record:
+    """An evaluation record's runs as an automaton over its own terms, numbered without collisions."""
 
+    def __init__(self, body: list[str]):
+        import ahocorasick
 
-def _local(path: str) -> str:
-    return path[7:] if path.startswith("file://") else path[5:] if path.startswith("file:") else path
+        self.symbol = {w: chr(FIRST_SYMBOL + i) for i, w in enumerate(dict.fromkeys(body))}
+        text = self.text(body)
+        self.runs = [text[i : i + RUN] for i in range(len(text) - RUN + 1)]
+        self.size, self.n = len(body), len(set(self.runs))
+        self.automaton = ahocorasick.Automaton()
+        for g in self.runs:
+            self.automaton.add_word(g, g)
+        self.automaton.make_automaton()
+
+    def text(self, body: list[str]) -> str:
+        return "".join(self.symbol.get(w, GAP) for w in body)
+
+    def match(self, body: list[str]) -> tuple[int, float]:
+        """Distinct runs shared with another body, and the share of the record's terms that the merged matched intervals cover."""
+        hit = {g for _, g in self.automaton.iter(self.text(body))}
+        covered, end = 0, 0
+        for i, g in enumerate(self.runs):  # intervals [i, i + RUN) come in order
+            if g in hit:
+                covered += i + RUN - max(i, end)
+                end = i + RUN
+        return len(hit), covered / self.size
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(train, eval, body_t, body_e): the exact shares of runs, and the evaluation record's coverage by merged matched intervals."""
+    """(train, eval, n of train, train's body, eval's body), best sorted by eval: the exact similarity and the coverage of those that reach it."""
+    last, record = None, None
     for b in batches:
         out = []
-        for t, e, bt, be in zip(*(c.to_pylist() for c in b.columns)):
-            rt = {tuple(bt[i : i + RUN]) for i in range(len(bt) - RUN + 1)}
-            at = [tuple(be[i : i + RUN]) for i in range(len(be) - RUN + 1)]
-            re = set(at)
-            both = len(rt & re)
-            if min(len(rt), len(re)) < LEAST_RUNS or both < SIMILARITY * (len(rt) + len(re) - both):
-                continue
-            covered, end = 0, 0  # intervals [i, i + RUN) come in order; merge them
-            for i, g in enumerate(at):
-                if g in rt:
-                    covered += i + RUN - max(i, end)
-                    end = i + RUN
-            out.append((t, e, both / (len(rt) + len(re) - both), covered / len(be)))
+        for t, e, n, bt, be in zip(*(c.to_pylist() for c in b.columns)):
+            if e != last:
+                last, record = e, Record(be)
+            both, coverage = record.match(bt)
+            if both >= SIMILARITY * (n + record.n - both):
+                out.append((t, e, both / (n + record.n - both), coverage))
         cols = list(zip(*out)) or [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], ["train", "eval", "similarity", "coverage"])
 
@@ -178,7 +224,32 @@ def _body_hash() -> F.Column:
     return F.concat_ws("-", F.xxhash64("body"), F.xxhash64(F.lit(1), "body"))
 
 
-def cross_split_overlaps(bodies: DataFrame, splits: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _scanned(classes: DataFrame, counters: int) -> DataFrame:
+    """Candidates (train, eval) of classes ``no, train, eval, text, n``."""
+    spark = classes.sparkSession
+    shards = partitions(spark)
+    counts = classes.where("eval").select("text").mapInArrow(lambda it: _sketch(it, counters), "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    sketch = np.zeros(counters, np.uint16)
+    sketch[counts.column("counter").to_numpy()] = np.minimum(counts.column("n").to_numpy(), 65_535)
+    sent = spark.sparkContext.broadcast(sketch)
+    fields = "shard int, no bigint, n bigint, text string"
+    passages = persisted(classes.where("eval").select("no", "n", "text").mapInArrow(lambda it: _passages(it, sent, shards), fields), "passages")
+    windows = persisted(classes.where("train").select("no", "n", "text").mapInArrow(lambda it: _windows(it, sent, shards), fields), "windows")
+    # A shard is a grid of places: its passages in as many pieces as automata of bounded size need, its windows in proportion to their number.
+    pieces = {r[0]: -(-r[1] // PASSAGES_PER_TASK) for r in passages.groupBy("shard").count().collect()}
+    loads = {r[0]: r[1] for r in windows.groupBy("shard").agg(F.sum(F.floor(F.length("text") / RUN) + 1)).collect()}
+    a = salt_count(F.col("shard"), {k: m for k, m in pieces.items() if m > 1})
+    b = salt_count(F.col("shard"), salts(loads, sum(loads.values()), shards))
+    own = lambda n: F.pmod(F.xxhash64("no"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = passages.select("shard", own(a).alias("i"), every(b).alias("j"), F.lit(0).alias("side"), "no", "n", "text")
+    right = windows.select("shard", every(a).alias("i"), own(b).alias("j"), F.lit(1).alias("side"), "no", "n", "text")
+    place = F.concat_ws("-", "shard", "i", "j").alias("place")
+    rows = left.unionAll(right).select(place, "side", "no", "n", "text").repartition(shards, "place").sortWithinPartitions("place", "side")
+    return persisted(rows.mapInArrow(_scan, "train bigint, eval bigint").distinct(), "candidates")
+
+
+def cross_split_overlaps(bodies: DataFrame, splits: DataFrame, symbols: int = SYMBOLS, counters: int = SKETCH) -> tuple[DataFrame, DataFrame]:
     """Near-same records between train and the evaluation splits.
 
     bodies: ``key, body``; splits: ``key, split`` (train, validation, test or
@@ -187,51 +258,60 @@ def cross_split_overlaps(bodies: DataFrame, splits: DataFrame) -> tuple[DataFram
     numbers). Keys with several bodies or splits belong to each; keys without
     split or body take no part; copies are compared once, as their class.
 
-    The rarest runs of each evaluation record, enough that no similar record
-    can miss all of them, are passages of sharded Aho-Corasick automata;
-    all training texts are scanned by every shard; hits are counted per record
-    against a bound without loss, and the remaining pairs are checked
-    exactly, with matched intervals merged into coverage.
+    The rarest runs of each evaluation record are passages of Aho-Corasick
+    automata, dealt to shards by their hash; each training text sends a shard
+    only its windows that belong there and are among its own rarest. A record
+    and a text that are similar have such a run in common, so no pair is lost,
+    every passage stands in one automaton and the work grows with the texts and not with texts times
+    shards. Candidates are checked exactly: an automaton of all runs of the
+    record scans the text, and matched intervals are merged into coverage.
     """
-    spark = bodies.sparkSession
     flags = splits.where("key is not null and split is not null").groupBy("key").agg(F.max(F.col("split") == "train").alias("train"), F.max(F.col("split") != "train").alias("eval"))
-    rows = bodies.where(F.size("body") >= RUN + LEAST_RUNS - 1).join(flags, "key")
-    hashed = rows.select("key", "train", "eval", _body_hash().alias("h"), "body")
-    hashed = persisted(hashed, "bodies")
+    rows = bodies.where(F.size("body") >= RUN + LEAST_RUNS - 1).join(broadcast_if_small(flags), "key")
+    hashed = persisted(rows.select("key", "train", "eval", _body_hash().alias("h"), "body"), "bodies")
     classes = hashed.groupBy("h").agg(F.max("train").alias("train"), F.max("eval").alias("eval"), F.first("body").alias("body"))
     classes = classes.select(F.monotonically_increasing_id().alias("no"), "h", "train", "eval", "body")
     fields = "no bigint, h string, train boolean, eval boolean, body array<string>"
-    classes = persisted(classes.mapInArrow(_texts, f"{fields}, text string"), "classes")
+    classes = persisted(classes.mapInArrow(lambda it: _texts(it, symbols), f"{fields}, text string, n bigint").where(F.col("n") >= LEAST_RUNS), "classes")
     members = skew_join(hashed.select("key", "train", "eval", "h").distinct(), classes.select("h", "no"), "h").drop("h")
-
-    grams = persisted(classes.where("eval").select("no", "text").mapInArrow(_eval_grams, "no bigint, n int, gram string"), "grams")
-    often = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = skew_join(grams, often, "gram").withColumn("k", F.row_number().over(Window.partitionBy("no").orderBy("df", "gram")))
-    # A similar record shares at least half of the record's runs, so one of the rarest n - ceil(n / 2) + 1.
-    taken = F.col("n") - F.ceil(F.lit(SIMILARITY) * F.col("n") - 1e-9).cast("int") + 1
-    passages = ranked.withColumn("taken", taken).where("k <= taken").select("no", "n", "taken", "gram")
-    total = grams.count() * (1 - SIMILARITY) + 1
-    shards = max(1, int(np.ceil(total / PATTERNS_PER_SHARD)))
-    path = new_path(spark, "passages")
-    passages.withColumn("shard", F.pmod(F.xxhash64("no"), F.lit(shards))).repartition(min(shards, partitions(spark)), "shard").write.partitionBy("shard").parquet(path)
-
-    # Every task builds every automaton: as few tasks as the cores and the texts that one may hold allow.
-    texts = classes.where("train").select("no", "text")
-    texts = texts.repartition(max(spark.sparkContext.defaultParallelism, -(-texts.count() // TEXTS_HELD)))
-    found = texts.mapInArrow(lambda it: _scan(it, _local(path), shards), "train bigint, eval bigint")
-    found = persisted(found, "candidates")
-    one = classes.select("no", "body")
-    left = skew_join(found, one.select(F.col("no").alias("train"), F.col("body").alias("bt")), "train")
-    both = skew_join(persisted(left, "left"), one.select(F.col("no").alias("eval"), F.col("body").alias("be")), "eval")
-    pairs = both.select("train", "eval", "bt", "be").mapInArrow(_verify, "train bigint, eval bigint, similarity double, coverage double")
-    return members, persisted(pairs, "pairs")
+    found = _scanned(classes.select("no", "train", "eval", "text", "n"), counters)
+    left = skew_join(found, classes.select(F.col("no").alias("train"), "n", F.col("body").alias("bt")), "train")
+    both = skew_join(persisted(left, "left"), classes.select(F.col("no").alias("eval"), F.col("body").alias("be")), "eval")
+    pairs = both.select("train", "eval", "n", "bt", "be").sortWithinPartitions("eval").mapInArrow(_verify, "train bigint, eval bigint, similarity double, coverage double")
+    return persisted(members, "members"), persisted(pairs, "pairs")
 
 
 def person_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs of keys, smaller first: ``key_1, key_2, similarity, coverage, train_key, eval_key``; a key in both splits pairs with itself."""
+    """Pairs of keys, smaller first: ``key_1, key_2, similarity, coverage, train_key, eval_key``; a key in both splits pairs with itself.
+
+    All pairs of the members of two similar classes are the result here;
+    members of large classes are spread over tasks in proportion to them.
+    """
     t = members.where("train").select(F.col("key").alias("tk"), F.col("no").alias("train"))
     e = members.where("eval").select(F.col("key").alias("ek"), F.col("no").alias("eval"))
-    return pairs.join(t, "train").join(e, "eval").select(F.least("tk", "ek").alias("key_1"), F.greatest("tk", "ek").alias("key_2"), "similarity", "coverage", F.col("tk").alias("train_key"), F.col("ek").alias("eval_key"))
+    first = spread_join(t, pairs, "train")
+    load = pairs.join(t.groupBy("train").agg(F.count("*").alias("size")), "train").groupBy("eval").agg(F.sum("size").alias("load"))
+    n = partitions(pairs.sparkSession)
+    total = load.agg(F.sum("load")).first()[0] or 0
+    large = {r[0]: r[1] for r in load.where(F.col("load") * n > total).limit(n).collect()}  # fewer than n can be
+    both = spread_join(first, e, "eval", salts(large, total, n))
+    return both.select(F.least("tk", "ek").alias("key_1"), F.greatest("tk", "ek").alias("key_2"), "similarity", "coverage", F.col("tk").alias("train_key"), F.col("ek").alias("eval_key"))
+
+
+def overlaps_per_key(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``eval_key, n, c``: for each evaluation key the number of similar training keys and its greatest coverage, without listing the pairs.
+
+    Training keys of one body are counted per class; only those of several bodies, which might count twice, are listed.
+    """
+    t = members.where("train").select("key", "no")
+    several = persisted(t.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "several")
+    sizes = skew_join(t, several, "key", "left_anti").groupBy(F.col("no").alias("train")).agg(F.count("*").alias("size"))
+    per = spread_join(members.where("eval").select(F.col("key").alias("eval_key"), F.col("no").alias("eval")), pairs.select("train", "eval", "coverage"), "eval")
+    per = per.groupBy("eval_key", "train").agg(F.max("coverage").alias("c"))
+    per = persisted(per, "per")
+    single = per.join(sizes, "train", "left").groupBy("eval_key").agg(F.sum(F.coalesce("size", F.lit(0))).alias("a"), F.max("c").alias("c"))
+    listed = per.join(skew_join(t, several, "key", "left_semi").select("key", F.col("no").alias("train")), "train").groupBy("eval_key").agg(F.count_distinct("key").alias("b"))
+    return single.join(listed, "eval_key", "left").select("eval_key", (F.col("a") + F.coalesce("b", F.lit(0))).alias("n"), "c")
 
 
 def _overlaps(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -246,10 +326,9 @@ def p4_found(spark, sf_dir: str) -> DataFrame:
 
 def p4_report(spark, sf_dir: str) -> DataFrame:
     """Pairs, evaluation persons and mean coverage per evaluation split and source (the evaluation person's least care site; null if none)."""
-    p = person_pairs(*_overlaps(spark, sf_dir))
+    per = overlaps_per_key(*_overlaps(spark, sf_dir))
     s = table(spark, sf_dir, "patient_splits").select(F.col("person_id").alias("eval_key"), split_name().alias("split")).where("split <> 'train'").distinct()
     site = table(spark, sf_dir, "person").groupBy(F.col("person_id").alias("eval_key")).agg(F.min("care_site_id").alias("care_site_id"))
-    per = p.groupBy("eval_key").agg(F.count_distinct("train_key").alias("n"), F.max("coverage").alias("c"))
     return per.join(s, "eval_key").join(site, "eval_key", "left").groupBy("split", "care_site_id").agg(F.sum("n").alias("n_pairs"), F.count("*").alias("n_persons"), F.round(F.avg("c"), 6).alias("coverage"))
 
 
@@ -266,5 +345,8 @@ d AS (SELECT DISTINCT person_id FROM s WHERE split = 'train'), w AS (SELECT DIST
 o AS (SELECT a.person_id AS x, b.person_id AS y, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS o FROM q a JOIN q b USING (g)
   WHERE a.person_id IN (SELECT person_id FROM d) AND b.person_id IN (SELECT person_id FROM w) GROUP BY a.person_id, a.v, b.person_id, b.v)
 """
-SQL = {"p4_found": _PAIRS + "SELECT DISTINCT least(x, y) AS person_id_1, greatest(x, y) AS person_id_2 FROM o WHERE o >= 0.5 * (na + nb - o)"}
+_NEAR = "o >= 0.5 * (na + nb - o)"
+SQL = {
+    "p4_found": _PAIRS + f"SELECT DISTINCT least(x, y) AS person_id_1, greatest(x, y) AS person_id_2 FROM o WHERE {_NEAR}",
+}
 QUERIES = {"p4_found": p4_found, "p4_report": p4_report}

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from patientflow.llm import abuse, contamination, grouped_splits, ngrams, overlaps, packing, quantiles, registry, tokenizer
+from patientflow.plans import skew
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
@@ -45,8 +46,6 @@ def test_suffix_counts(spark, n):
 
 
 def test_hot_terms_are_salted(spark, monkeypatch):
-    from patientflow.plans import skew
-
     monkeypatch.setattr(skew, "ROWS_PER_TASK", 10)
     rows = [(i % 700 if i % 11 else None, ["hot", "a" if i % 2 else "b", f"t{i % 97}", "hot"]) for i in range(2000)]
     occ, rec = Counter(), defaultdict(set)
@@ -147,10 +146,24 @@ def test_overlaps_over_many_shards(spark, monkeypatch):
     d = spark.createDataFrame(rows, "person_id bigint, concept_ids array<string>")
     s = spark.createDataFrame([(i, "train" if i % 2 else "test") for i in range(120)], "key bigint, split string")
     b = overlaps.sequence_bodies(d, "person_id", "concept_ids")
-    one = {tuple(r) for r in overlaps.person_pairs(*overlaps.cross_split_overlaps(b, s)).select("key_1", "key_2").collect()}
-    monkeypatch.setattr(overlaps, "PATTERNS_PER_SHARD", 50)
-    many = {tuple(r) for r in overlaps.person_pairs(*overlaps.cross_split_overlaps(b, s)).select("key_1", "key_2").collect()}
-    assert one == many and one
+    run = lambda **k: {tuple(r) for r in overlaps.person_pairs(*overlaps.cross_split_overlaps(b, s, **k)).select("key_1", "key_2").collect()}
+    one = run()
+    monkeypatch.setattr(overlaps, "PASSAGES_PER_TASK", 50)
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 10)
+    assert run() == one and one
+    assert run(symbols=7, counters=3) == one  # most terms collide: more candidates, the same pairs
+    per = {r.eval_key: r.n for r in overlaps.overlaps_per_key(*overlaps.cross_split_overlaps(b, s)).collect()}
+    assert per == Counter(x if x % 2 == 0 else y for x, y in one)
+
+
+def test_keys_of_several_bodies_count_once(spark):
+    body = [[f"{i}" for i in range(40)], [f"{i}" for i in range(1, 41)]]
+    rows = [(1, ["a", "b", "c", "d"] + body[0]), (1, ["a", "b", "c", "d"] + body[1]), (2, ["a", "b", "c", "d"] + body[0]), (3, ["a", "b", "c", "d"] + body[1])]
+    d = spark.createDataFrame(rows, "person_id bigint, concept_ids array<string>")
+    s = spark.createDataFrame([(1, "train"), (2, "test"), (3, "train"), (3, "test")], "key bigint, split string")
+    found = overlaps.cross_split_overlaps(overlaps.sequence_bodies(d, "person_id", "concept_ids"), s)
+    assert {(r.eval_key, r.n) for r in overlaps.overlaps_per_key(*found).collect()} == {(2, 2), (3, 2)}
+    assert {(r.key_1, r.key_2) for r in overlaps.person_pairs(*found).collect()} == {(1, 2), (2, 3), (1, 3), (3, 3)}
 
 
 # --- 5 grouped splits
