@@ -24,6 +24,8 @@ CHUNK, OVERLAP = 512, 128
 SPAN, EDGE = 4096 * CHUNK, 4096
 #: A boundary so near to a chunk's end may depend on what follows (the pattern looks at most three characters ahead, white space apart).
 UNSURE = 8
+#: Characters of a batch of parts.
+BATCH_CHARS = 1 << 24
 #: Pre-tokens whose ids a task remembers, and the longest of them.
 REMEMBERED, LONGEST = 200_000, 64
 
@@ -68,11 +70,22 @@ def _lists(rows: list[list[int]]) -> pa.Array:
 def _parts(batches: Iterator[pa.RecordBatch], span: int, edge: int) -> Iterator[pa.RecordBatch]:
     """(key, row, text) to (key, row, part, parts, text): a part with the edge that it shares with the next one; also an empty text has a part."""
     for b in batches:
-        for i, text in enumerate(b.column(2).to_pylist()):
+        at, ks, ns, texts, size = [], [], [], [], 0
+        rows = b.column(2).to_pylist()
+        for i, text in enumerate(rows):
             text = text or ""
             n = max(1, -(-len(text) // span))
-            at = pa.array([i] * n)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(range(n), pa.int32()), pa.array([n] * n, pa.int32()), pa.array([text[k * span : (k + 1) * span + edge] for k in range(n)])], ["key", "row", "part", "parts", "text"])
+            for k in range(n):
+                part = text if n == 1 else text[k * span : (k + 1) * span + edge]
+                at.append(i)
+                ks.append(k)
+                ns.append(n)
+                texts.append(part)
+                size += len(part)
+                if size > BATCH_CHARS or (i + 1 == len(rows) and k + 1 == n):
+                    own = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), pa.array(ks, pa.int32()), pa.array(ns, pa.int32()), pa.array(texts)], ["key", "row", "part", "parts", "text"])
+                    at, ks, ns, texts, size = [], [], [], [], 0
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
@@ -140,7 +153,7 @@ def _encode(batches: Iterator[pa.RecordBatch], vocabulary, chunk: int, span: int
             held.append(text)
             if k < chunks - 1:
                 continue
-            pieces = stitched(held, chunk) if chunks > 1 else pretokens(text)[0]
+            pieces = stitched(held, chunk) if chunks > 1 else _pattern().findall(text)
             tokens = [known.get(p) or ids_of(p) for p in pieces]
             held = []
             at.append(i)
@@ -165,10 +178,11 @@ def text_chunks(df: DataFrame, key: str, text: str, chunk: int = CHUNK, overlap:
     rows = df.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     fields = f"key {kind}, row bigint, part int, parts int"
+    chunks = f"{fields}, k int, chunks int, text string"
+    if not spread:
+        return rows.mapInArrow(lambda it: _chunks(_parts(it, span, edge), chunk, overlap), chunks)
     parts = rows.mapInArrow(lambda it: _parts(it, span, edge), f"{fields}, text string")
-    if spread:
-        parts = parts.repartition(partitions(df.sparkSession), "row", "part")
-    return parts.mapInArrow(lambda it: _chunks(it, chunk, overlap), f"{fields}, k int, chunks int, text string")
+    return parts.repartition(partitions(df.sparkSession), "row", "part").mapInArrow(lambda it: _chunks(it, chunk, overlap), chunks)
 
 
 def encode(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP, span: int = SPAN, edge: int = EDGE) -> DataFrame:
