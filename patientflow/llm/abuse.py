@@ -12,13 +12,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..plans.runtime import table
 from ..plans.skew import broadcast_if_small
+from .ngrams import distinct
 
 #: Hashed features; the broadcast weights never exceed 8 bytes for each.
 BITS = 20
 #: Labelled documents that the classifier is fitted on at most, in the order of a hash of their key.
 MOST_LABELLED = 60_000
-#: Beyond this many labels the join with the texts is an ordinary one.
-MOST_BROADCAST = 200_000
 #: Words of a window and from one window to the next: a text is as abusive as its worst window.
 WINDOW, STRIDE = 10, 5
 ROUNDS, EPOCHS, BATCH = 4, 3, 64
@@ -36,19 +35,19 @@ LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@
 
 @functools.lru_cache(maxsize=1)
 def _patterns():
+    import re
+
     import regex
 
     return (
         regex.compile(r"[\p{Cf}\p{Mn}]+"),
-        regex.compile(r"(?<![\w])(?:[^\W_][ .\-_·]){3,}[^\W_](?![\w])"),
-        regex.compile(r"(?<=\w)['’](?=\w)"),
-        regex.compile(r"(?<=[.!?…])\s+|[\r\n]+"),
-        regex.compile(r"[\w@$*]+|[\"'“”„«»‘’`>]"),
-        regex.compile(r"^(?=.*[a-z])(?=.*[0-9@$])[a-z0-9@$]+$"),
+        re.compile(r"(?<!\w)[^\W_](?:[ .\-_·][^\W_]){3,}(?!\w)"),
+        re.compile(r"(?<=\w)['’](?=\w)"),
+        regex.compile(r"[\w@$*]+|[\"'“”„«»‘’`>]|(?<=[.!?…])\s+|[\r\n]+|\x00"),
+        re.compile(r"^(?=.*[a-z])(?=.*[0-9@$])[a-z0-9@$]+$"),
     )
 
 
-@functools.lru_cache(maxsize=400_000)
 def _word(w: str) -> str:
     """The key of a word that survives doubled, swapped, hidden and replaced letters."""
     if not any(c.isalpha() for c in w):
@@ -59,7 +58,7 @@ def _word(w: str) -> str:
         return "<id>"
     if any(ord(c) > 0x36F for c in w) and any("a" <= c <= "z" for c in w):
         w = "".join(ALIKE.get(c, c) for c in w)
-    if _patterns()[5].match(w):
+    if _patterns()[4].match(w):
         w = "".join(LEET.get(c, c) for c in w)
     core = w.strip("*@$")
     if "*" in core:
@@ -68,61 +67,111 @@ def _word(w: str) -> str:
     return w if len(w) < 4 else w[0] + "".join(sorted(set(w)))
 
 
-@functools.lru_cache(maxsize=400_000)
 def _code(word: str) -> int:
     import xxhash
 
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
+#: Between two texts of a batch.
+_BETWEEN = "\n\x00\n"
+
+
+class _Words:
+    """Numbers of the spellings met so far: 0 ends a sentence, 1 a text; ``codes`` are the words' keys."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {"\x00": 1}
+        self.codes: list[int] = [0, 0]
+
+    def of(self, found: list[str]) -> np.ndarray:
+        get = self.number.get
+        out = list(map(get, found))
+        if None in out:
+            for i, x in enumerate(out):
+                if x is None:
+                    w = found[i]
+                    if (k := get(w)) is None:
+                        if w.isspace():
+                            k = 0
+                        else:
+                            k = len(self.codes)
+                            self.codes.append(_code(_word(w)))
+                        self.number[w] = k
+                    out[i] = k
+        return np.array(out, np.int64)
+
+
+_known = _Words()
+
+
+def sentences(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of all words, and each sentence's number of words and text; all texts are read in one go."""
+    global _known
+    drop, spaced, inner, words, _ = _patterns()
+    whole = _BETWEEN.join((t or "").replace("\x00", "\x01") for t in texts)
+    if not whole.isascii():
+        whole = drop.sub("", unicodedata.normalize("NFKD", whole))
+    whole = inner.sub("", whole.lower())
+    whole = spaced.sub(lambda m: "".join(c for c in m.group() if c.isalnum()), whole)
+    if len(_known.codes) > 400_000:
+        _known = _Words()
+    number = _known.of(words.findall(whole))
+    text = np.cumsum(number == 1)
+    sentence = np.cumsum(number < 2)
+    own = number > 1
+    _, first, size = np.unique(sentence[own], return_index=True, return_counts=True)
+    return np.array(_known.codes, np.uint64)[number[own]], size, text[own][first]
+
+
+def _per_sentence(size: np.ndarray) -> np.ndarray:
+    """Windows of sentences of these sizes: of WINDOW words, one every STRIDE words."""
+    return np.maximum(1, -(-(size - WINDOW + STRIDE) // STRIDE))
+
+
 def windows(text: str | None) -> list[list[int]]:
     """Codes of the words of each window of a text."""
-    if not text:
-        return []
-    drop, spaced, inner, cut, words, _ = _patterns()
-    if not text.isascii():
-        text = drop.sub("", unicodedata.normalize("NFKD", text))
-    text = inner.sub("", text.lower())
-    out = []
-    for part in cut.split(text):
-        if not part:
-            continue
-        part = spaced.sub(lambda m: "".join(c for c in m.group() if c.isalnum()), part)
-        w = [_code(_word(x)) for x in words.findall(part)]
-        if not w:
-            continue
-        for i in range(0, max(1, len(w) - WINDOW + STRIDE), STRIDE):
-            out.append(w[i : i + WINDOW])
+    codes, size, _ = sentences([text])
+    out, at = [], 0
+    for n, k in zip(size.tolist(), _per_sentence(size).tolist()):
+        w = codes[at : at + n].tolist()
+        out += [w[i * STRIDE : i * STRIDE + WINDOW] for i in range(k)]
+        at += n
     return out
 
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def features(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed uni-, bi- and trigrams and skip-bigrams (one or two words left out) of windows: (window, feature), distinct and sorted."""
-    size = np.fromiter(map(len, rows), np.int64, len(rows))
-    flat = np.fromiter((c for r in rows for c in r), np.uint64, int(size.sum()))
-    win = np.repeat(np.arange(len(rows)), size)
-    at, keys = [win], [flat * _A]
-
-    def pair(gap: int, salt: int) -> None:
-        same = win[gap:] == win[:-gap]
-        at.append(win[:-gap][same])
-        keys.append(((flat[:-gap][same] * _A + np.uint64(salt)) ^ (flat[gap:][same] >> np.uint64(7))) * _B)
-
-    if len(flat) > 1:
-        pair(1, 1)
-    if len(flat) > 2:
-        pair(2, 2)
-        same = win[2:] == win[:-2]
-        at.append(win[:-2][same])
-        keys.append((((flat[:-2][same] * _A + np.uint64(5)) ^ (flat[1:-1][same] >> np.uint64(7))) * _B + flat[2:][same]) * _A)
-    if len(flat) > 3:
-        pair(3, 3)
-    window = np.concatenate(at)
-    feature = (np.concatenate(keys) >> np.uint64(64 - BITS)).astype(np.int64)
-    both = np.unique((window << BITS) | feature)
+def grams(codes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed uni-, bi- and trigrams and skip-bigrams (one or two words left out) of sentences: first word, words from it to the last, feature."""
+    sentence = np.repeat(np.arange(len(size)), size)
+    at, far, keys = [np.arange(len(codes))], [np.zeros(len(codes), np.int64)], [codes * _A]
+
+    def add(gap: int, key) -> None:
+        same = np.flatnonzero(sentence[gap:] == sentence[: len(sentence) - gap])
+        at.append(same)
+        far.append(np.full(len(same), gap))
+        keys.append(key(same))
+
+    pair = lambda gap, salt: lambda i: ((codes[i] * _A + np.uint64(salt)) ^ (codes[i + gap] >> np.uint64(7))) * _B
+    for gap in (1, 2, 3):
+        add(gap, pair(gap, gap))
+    add(2, lambda i: (((codes[i] * _A + np.uint64(5)) ^ (codes[i + 1] >> np.uint64(7))) * _B + codes[i + 2]) * _A)
+    return np.concatenate(at), np.concatenate(far), (np.concatenate(keys) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def in_windows(size: np.ndarray, at: np.ndarray, far: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(window, feature), distinct and sorted, of grams: every window that holds all words of the gram."""
+    number = _per_sentence(size)
+    sentence = np.repeat(np.arange(len(size)), size)[at]
+    place = at - np.concatenate([[0], np.cumsum(size)])[sentence]
+    low = np.maximum(0, -(-(place + far - WINDOW + 1) // STRIDE))
+    high = np.minimum(place // STRIDE, number[sentence] - 1)
+    n = np.maximum(0, high - low + 1)
+    first = np.concatenate([[0], np.cumsum(number)])[sentence] + low
+    window = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    both = distinct((window << BITS) | np.repeat(feature, n))
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
@@ -176,15 +225,11 @@ def fit(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, f
     is judged by a model of the other half; labels that it clearly contradicts
     (wrong judgments) are given no weight, unless that were most of the flagged ones. Deterministic.
     """
-    rows, doc = [], []
-    for d, t in enumerate(texts):
-        w = windows(t)
-        rows += w
-        doc += [d] * len(w)
-    doc = np.array(doc, np.int64)
+    codes, size, text = sentences(texts)
+    doc = np.repeat(text, _per_sentence(size))
     if not len(doc) or not labels.any() or labels.all():
         return np.empty(0, np.int64), np.empty(0), -35.0 if not labels.any() else PRIOR
-    window, feature = features(rows)
+    window, feature = in_windows(size, *grams(codes, size))
     n = len(texts)
     mine = labels[doc] > 0
     y = mine.astype(float)
@@ -220,20 +265,24 @@ def fit(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, f
     return at, w[at], min(model.intercept(), PRIOR)
 
 
-def score(texts: list[str | None], at: np.ndarray, values: np.ndarray, intercept: float) -> np.ndarray:
-    """Probability of each text's worst window; 0 for texts without words."""
-    rows, doc = [], []
-    for d, t in enumerate(texts):
-        w = windows(t)
-        rows += w
-        doc += [d] * len(w)
+def score(texts: list[str | None], weights: np.ndarray, intercept: float) -> np.ndarray:
+    """Probability of each text's worst window; 0 for texts without words. Grams without a weight are left out before their windows are looked up."""
+    codes, size, text = sentences(texts)
     out = np.zeros(len(texts))
-    if rows:
-        weights = np.zeros(1 << BITS)
-        weights[at] = values
-        window, feature = features(rows)
-        p = probability(np.bincount(window, weights[feature], len(rows)) + intercept)
-        np.maximum.at(out, np.array(doc), p)
+    if len(size):
+        at, far, feature = grams(codes, size)
+        told = np.flatnonzero(weights[feature])
+        window, feature = in_windows(size, at[told], far[told], feature[told])
+        doc = np.repeat(text, _per_sentence(size))
+        p = probability(np.bincount(window, weights[feature], len(doc)) + intercept)
+        first = np.flatnonzero(np.diff(doc, prepend=-1))
+        out[doc[first]] = np.maximum.reduceat(p, first)
+    return out
+
+
+def _dense(at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << BITS)
+    out[at] = values
     return out
 
 
@@ -251,25 +300,29 @@ def train(documents: DataFrame, key: str, text: str, labels: DataFrame, flag: st
     labelled documents, in one task. Without any label nothing is flagged.
     """
     y = labels.where(f"{flag} is not null and {key} is not null").groupBy(key).agg(F.avg(flag).alias("y")).where("y <> 0.5")
-    rows = documents.select(key, text).join(broadcast_if_small(y, MOST_BROADCAST), key)
+    rows = documents.select(key, text).join(broadcast_if_small(y), key)
     sample = rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.when(F.col("y") > 0.5, 1.0).otherwise(0.0).alias("y")).orderBy(F.xxhash64("key"), "key", "text").limit(most)
     return sample.coalesce(1).mapInArrow(_fit, "feature bigint, weight double")
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    """Adds the score of the text, the last column, which is left out."""
     at, values, intercept = model.value
+    weights = _dense(at, values)
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score(b.column(1).to_pylist(), at, values, intercept))], ["key", "score"])
+        last = b.num_columns - 1
+        yield pa.RecordBatch.from_arrays([*b.columns[:last], pa.array(score(b.column(last).to_pylist(), weights, intercept))], [*b.schema.names[:last], "score"])
 
 
-def scores(documents: DataFrame, key: str, text: str, model: DataFrame) -> DataFrame:
-    """``key, score`` of every document, by the whole text; null, empty and wordless texts score 0; repeated keys each stand."""
+def scores(documents: DataFrame, key: str, text: str, model: DataFrame, also: dict[str, F.Column] | None = None) -> DataFrame:
+    """``key, score`` of every document, by the whole text, and the columns of ``also``; null, empty and wordless texts score 0; repeated keys each stand."""
     spark = documents.sparkSession
     rows = {r[0]: r[1] for r in model.collect()}
     intercept = rows.pop(-1, -35.0)
     sent = spark.sparkContext.broadcast((np.array(list(rows), np.int64), np.array(list(rows.values())), intercept))
-    kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, text).mapInArrow(lambda it: _score(it, sent), f"key {kind}, score double")
+    d = documents.select(F.col(key).alias("key"), *[c.alias(n) for n, c in (also or {}).items()], F.col(text).alias("text"))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema.fields[:-1])
+    return d.mapInArrow(lambda it: _score(it, sent), f"{fields}, score double")
 
 
 def source_name(c: str = "source") -> F.Column:
@@ -277,9 +330,9 @@ def source_name(c: str = "source") -> F.Column:
     return F.regexp_replace(F.lower(F.btrim(c, F.lit(" \t\n\r"))), r"^www\.", "")
 
 
-def _scored(spark, sf_dir: str) -> DataFrame:
+def _scored(spark, sf_dir: str, also: dict[str, F.Column] | None = None) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return scores(d, "doc_id", "text", train(d, "doc_id", "text", table(spark, sf_dir, "review_labels"), "flagged"))
+    return scores(d, "doc_id", "text", train(d, "doc_id", "text", table(spark, sf_dir, "review_labels"), "flagged"), also)
 
 
 def p10_found(spark, sf_dir: str) -> DataFrame:
@@ -292,9 +345,9 @@ def p10_scores(spark, sf_dir: str) -> DataFrame:
 
 def p10_rates(spark, sf_dir: str) -> DataFrame:
     """Documents, flagged ones and their rate per source (null: unknown)."""
-    s = _scored(spark, sf_dir).withColumnRenamed("key", "doc_id")
-    d = table(spark, sf_dir, "documents").select("doc_id", source_name().alias("source"))
-    return d.join(s, "doc_id").groupBy("source").agg(F.count("*").alias("n_documents"), F.sum((F.col("score") > THRESHOLD).cast("int")).alias("n_flagged"), F.avg((F.col("score") > THRESHOLD).cast("int")).alias("rate"))
+    s = _scored(spark, sf_dir, {"source": source_name()})
+    flagged = (F.col("score") > THRESHOLD).cast("int")
+    return s.groupBy("source").agg(F.count("*").alias("n_documents"), F.sum(flagged).alias("n_flagged"), F.avg(flagged).alias("rate"))
 
 
 QUERIES = {"p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}

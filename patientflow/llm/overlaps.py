@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..plans.runtime import partitions, persisted, table
 from ..plans.skew import broadcast_if_small, salt_count, salts, skew_join, spread_join
 from .grouped_splits import split_name
-from .ngrams import clean_terms
+from .ngrams import clean_terms, distinct
 
 RUN, LEAST_RUNS = 4, 20
 #: At least half of the distinct runs of both stand in both.
@@ -49,7 +49,7 @@ def _distinct_runs(codes: np.ndarray, size: np.ndarray) -> np.ndarray:
     run = codes[start].astype(np.int64) if len(start) else np.empty(0, np.int64)
     for j in range(1, RUN):  # numbers the runs of j + 1 terms from those of j
         run = np.unique(run * (int(codes.max(initial=0)) + 1) + codes[start + j], return_inverse=True)[1].astype(np.int64)
-    return np.bincount(np.unique(text * (run.max(initial=0) + 1) + run) // (run.max(initial=0) + 1), minlength=len(size))
+    return np.bincount(distinct(text * (run.max(initial=0) + 1) + run) // (run.max(initial=0) + 1), minlength=len(size))
 
 
 def _texts(batches: Iterator[pa.RecordBatch], symbols: int) -> Iterator[pa.RecordBatch]:

@@ -342,11 +342,13 @@ def test_held_out_accuracy():
     y = np.array(labels)
     noisy = np.where(np.array([rng.random() < 0.05 for _ in y]), 1 - y, y)
     m = abuse.fit(texts[:1000], noisy[:1000])
-    p = abuse.score(texts[1000:], *m) > abuse.THRESHOLD
+    model = abuse._dense(*m[:2]), m[2]
+    p = abuse.score(texts[1000:], *model) > abuse.THRESHOLD
     t = y[1000:] > 0
     assert (p & t).sum() >= 0.95 * t.sum() and (p & ~t).sum() <= 0.05 * max(1, p.sum())
     assert len(m[0]) < 50_000
-    assert abuse.score([None, "", "  ", "​"], *m).tolist()[:3] == [0, 0, 0]
+    assert abuse.score([None, "", "  ", "​"], *model).tolist()[:3] == [0, 0, 0]
+    assert np.array_equal(abuse.score(texts[:50], *model), [abuse.score([t], *model)[0] for t in texts[:50]])
 
 
 def test_no_labels_flag_nothing(spark):
