@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,39 +99,51 @@ def _sketch(batches: Iterator[pa.RecordBatch], counters: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(n, pa.int64())], ["counter", "n"])
 
 
-def _prefixes(texts: list[str], n: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, text, hash and sketch count of the rarest n - ceil(s n) + 1 runs of each text of n distinct runs.
+class _Prefixes:
+    """The rarest n - ceil(s n) + 1 runs of each text of n distinct runs: ``start, text, h, count``; ``taken`` of each text and its ``last`` key.
 
-    All texts order their runs alike, by (count, hash). Two texts whose similarity is at least s share at least
+    All texts order their runs alike, by key (count, hash). Two texts whose similarity is at least s share at least
     ceil(s n) runs of either, so the first n - ceil(s n) + 1 of one and those of the other have a run in common.
     Runs that fall together by their hash make both sets only larger against what they need.
     """
-    start, text, h = _hashed(texts)
-    count = np.minimum(sketch[(h % np.uint64(len(sketch))).astype(np.int64)], (1 << 15) - 1).astype(np.uint64)
-    order = np.lexsort([(count << np.uint64(48)) | h, text])
-    first = np.searchsorted(text[order], np.arange(len(texts)))
-    taken = n - np.ceil(SIMILARITY * n - 1e-9).astype(np.int64) + 1
-    keep = order[np.arange(len(order)) - first[text[order]] < taken[text[order]]]
-    return start[keep], text[keep], h[keep], count[keep]
+
+    def __init__(self, texts: list[str], n: np.ndarray, sketch: np.ndarray):
+        start, text, h = _hashed(texts)
+        count = np.minimum(sketch[(h % np.uint64(len(sketch))).astype(np.int64)], (1 << 15) - 1).astype(np.uint64)
+        key = ((count << np.uint64(48)) | h).astype(np.int64)
+        order = np.lexsort([key, text])
+        place = np.searchsorted(text[order], np.arange(len(texts) + 1))
+        most = n - np.ceil(SIMILARITY * n - 1e-9).astype(np.int64) + 1
+        self.taken = np.minimum(most, np.diff(place))
+        self.last = key[order][place[:-1] + self.taken - 1]
+        keep = order[np.arange(len(order)) - place[text[order]] < self.taken[text[order]]]
+        self.start, self.text, self.h, self.count = start[keep], text[keep], h[keep], count[keep]
+
+
+def _sent(b: pa.RecordBatch, p: _Prefixes, own: np.ndarray, shard: np.ndarray, texts: list[str]) -> pa.RecordBatch:
+    at = pa.array(own)
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), b.column(0).take(at), b.column(1).take(at), pa.array(p.taken[own]), pa.array(p.last[own]), pa.array(texts, pa.string())], ["shard", "no", "n", "taken", "last", "text"])
 
 
 def _passages(batches: Iterator[pa.RecordBatch], sketch, shards: int) -> Iterator[pa.RecordBatch]:
-    """Evaluation records (no, n, text) to their passages (shard, no, n, text)."""
+    """Evaluation records (no, n, text) to their passages (shard, no, n, taken, last, text)."""
     for b in batches:
-        texts, n = b.column(2).to_pylist(), b.column(1).to_numpy()
-        start, text, h, _ = _prefixes(texts, n, sketch.value)
-        whole, own = "".join(texts), pa.array(text)
-        shard = pa.array((h % np.uint64(shards)).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([shard, b.column(0).take(own), b.column(1).take(own), pa.array([whole[i : i + RUN] for i in start.tolist()], pa.string())], ["shard", "no", "n", "text"])
+        texts = b.column(2).to_pylist()
+        if not texts:
+            continue
+        p, whole = _Prefixes(texts, b.column(1).to_numpy(), sketch.value), "".join(texts)
+        yield _sent(b, p, p.text, (p.h % np.uint64(shards)).astype(np.int64), [whole[i : i + RUN] for i in p.start.tolist()])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], sketch, shards: int) -> Iterator[pa.RecordBatch]:
-    """Training texts (no, n, text) to what each shard has to scan of them (shard, no, n, text): their windows that may be passages, with those that touch joined."""
+    """Training texts (no, n, text) to what each shard has to scan of them (shard, no, n, taken, last, text): their windows that may be passages, with those that touch joined."""
     for b in batches:
-        texts, n = b.column(2).to_pylist(), b.column(1).to_numpy()
-        start, text, h, count = _prefixes(texts, n, sketch.value)
-        some = count > 0  # no evaluation record has the others
-        start, text, shard = start[some], text[some], (h[some] % np.uint64(shards)).astype(np.int64)
+        texts = b.column(2).to_pylist()
+        if not texts:
+            continue
+        p = _Prefixes(texts, b.column(1).to_numpy(), sketch.value)
+        some = p.count > 0  # no evaluation record has the others
+        start, text, shard = p.start[some], p.text[some], (p.h[some] % np.uint64(shards)).astype(np.int64)
         order = np.lexsort([start, shard, text])
         start, text, shard = start[order], text[order], shard[order]
         whole = "".join(texts)
@@ -143,36 +156,49 @@ def _windows(batches: Iterator[pa.RecordBatch], sketch, shards: int) -> Iterator
         pieces = [whole[i:j] for i, j in zip(start[at].tolist(), end.tolist())]
         head = np.flatnonzero(new[at])
         rows = [GAP.join(pieces[i:j]) for i, j in zip(head.tolist(), [*head[1:].tolist(), len(pieces)])]
-        own = pa.array(text[at][head])
-        yield pa.RecordBatch.from_arrays([pa.array(shard[at][head], pa.int32()), b.column(0).take(own), b.column(1).take(own), pa.array(rows, pa.string())], ["shard", "no", "n", "text"])
+        yield _sent(b, p, text[at][head], shard[at][head], rows)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by (place, side): the passages of a place (side 0) become an automaton, which scans its texts (side 1): pairs (train, eval)."""
+    """Sorted by (place, side): the passages of a place (side 0) become an automaton, which scans its texts (side 1): (train, eval, shared, need).
+
+    shared: passages of the record in the text. Of two similar texts of n and m distinct runs at least a = ceil(s / (1 + s) (n + m)) are
+    shared. The one whose prefix ends first in the common order can share at most n - taken beyond its prefix, so at least a - (n - taken) passages.
+    """
     import ahocorasick
 
     place, automaton, built = None, None, False
-    passages: dict[str, list[tuple[int, int]]] = {}
+    passages: dict[str, list[int]] = {}
+    records: dict[int, tuple[int, int, int]] = {}
     for b in batches:
-        train, evaluation = [], []
-        for where, side, no, n, text in zip(*(b.column(i).to_pylist() for i in range(5))):
+        train, evaluation, shared, needed = [], [], [], []
+        for where, side, no, n, taken, last, text in zip(*(b.column(i).to_pylist() for i in range(7))):
             if where != place:
-                place, built, passages = where, False, {}
+                place, built, passages, records = where, False, {}, {}
             if side == 0:
-                passages.setdefault(text, []).append((no, n))
+                passages.setdefault(text, []).append(no)
+                records[no] = n, taken, last
                 continue
             if not built:
                 automaton, built = ahocorasick.Automaton(), True
                 for k, holders in passages.items():
-                    automaton.add_word(k, holders)
+                    automaton.add_word(k, (k, holders))
                 if passages:
                     automaton.make_automaton()
             if not passages:
                 continue
-            found = {e for _, holders in automaton.iter(text) for e, m in holders if min(n, m) >= SIMILARITY * max(n, m) - 1e-9}
-            train += [no] * len(found)
-            evaluation += found
-        yield pa.RecordBatch.from_arrays([pa.array(train, pa.int64()), pa.array(evaluation, pa.int64())], ["train", "eval"])
+            count: dict[int, int] = {}
+            for holders in {k: h for _, (k, h) in automaton.iter(text)}.values():
+                for e in holders:
+                    count[e] = count.get(e, 0) + 1
+            for e, c in count.items():
+                m, own, end = records[e]
+                if min(n, m) >= SIMILARITY * max(n, m) - 1e-9:
+                    train.append(no)
+                    evaluation.append(e)
+                    shared.append(c)
+                    needed.append(math.ceil(SIMILARITY / (1 + SIMILARITY) * (n + m) - 1e-9) - (m - own if end <= last else n - taken))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (train, evaluation, shared, needed)], ["train", "eval", "shared", "need"])
 
 
 class Record:
@@ -232,7 +258,7 @@ def _scanned(classes: DataFrame, counters: int) -> DataFrame:
     sketch = np.zeros(counters, np.uint16)
     sketch[counts.column("counter").to_numpy()] = np.minimum(counts.column("n").to_numpy(), 65_535)
     sent = spark.sparkContext.broadcast(sketch)
-    fields = "shard int, no bigint, n bigint, text string"
+    fields = "shard int, no bigint, n bigint, taken bigint, last bigint, text string"
     passages = persisted(classes.where("eval").select("no", "n", "text").mapInArrow(lambda it: _passages(it, sent, shards), fields), "passages")
     windows = persisted(classes.where("train").select("no", "n", "text").mapInArrow(lambda it: _windows(it, sent, shards), fields), "windows")
     # A shard is a grid of places: its passages in as many pieces as automata of bounded size need, its windows in proportion to their number.
@@ -242,11 +268,14 @@ def _scanned(classes: DataFrame, counters: int) -> DataFrame:
     b = salt_count(F.col("shard"), salts(loads, sum(loads.values()), shards))
     own = lambda n: F.pmod(F.xxhash64("no"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = passages.select("shard", own(a).alias("i"), every(b).alias("j"), F.lit(0).alias("side"), "no", "n", "text")
-    right = windows.select("shard", every(a).alias("i"), own(b).alias("j"), F.lit(1).alias("side"), "no", "n", "text")
+    rest = ["no", "n", "taken", "last", "text"]
+    left = passages.select("shard", own(a).alias("i"), every(b).alias("j"), F.lit(0).alias("side"), *rest)
+    right = windows.select("shard", every(a).alias("i"), own(b).alias("j"), F.lit(1).alias("side"), *rest)
     place = F.concat_ws("-", "shard", "i", "j").alias("place")
-    rows = left.unionAll(right).select(place, "side", "no", "n", "text").repartition(shards, "place").sortWithinPartitions("place", "side")
-    return persisted(rows.mapInArrow(_scan, "train bigint, eval bigint").distinct(), "candidates")
+    rows = left.unionAll(right).select(place, "side", *rest).repartition(shards, "place").sortWithinPartitions("place", "side")
+    hits = rows.mapInArrow(_scan, "train bigint, eval bigint, shared bigint, need bigint")
+    found = hits.groupBy("train", "eval").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need")
+    return persisted(found.select("train", "eval"), "candidates")
 
 
 def cross_split_overlaps(bodies: DataFrame, splits: DataFrame, symbols: int = SYMBOLS, counters: int = SKETCH) -> tuple[DataFrame, DataFrame]:
@@ -261,7 +290,7 @@ def cross_split_overlaps(bodies: DataFrame, splits: DataFrame, symbols: int = SY
     The rarest runs of each evaluation record are passages of Aho-Corasick
     automata, dealt to shards by their hash; each training text sends a shard
     only its windows that belong there and are among its own rarest. A record
-    and a text that are similar have such a run in common, so no pair is lost,
+    and a text that are similar have enough such runs in common, so no pair is lost,
     every passage stands in one automaton and the work grows with the texts and not with texts times
     shards. Candidates are checked exactly: an automaton of all runs of the
     record scans the text, and matched intervals are merged into coverage.
