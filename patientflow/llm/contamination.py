@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.runtime import table
+from ..plans.skew import broadcast_if_small
 
 WORDS = 10
-#: Characters of test items whose n-grams one broadcast set holds (about 500 MB at worst if exceeded: hence blocks of items beyond it).
+#: Characters of test items whose n-grams one broadcast set holds: about 20 bytes a gram in arrays (60 MB) and the block's distinct words. More items are taken in blocks.
 BLOCK_CHARS = 16_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -29,20 +30,23 @@ def normalised(text: str, strip) -> str:
 
 
 class TestSet:
-    """Hash set of the normalised n-grams of test items; ``items`` are (id, text)."""
+    """Hash set of the normalised n-grams of test items, as sorted arrays; ``items`` are (id, text)."""
 
     def __init__(self, items: list[tuple[int, str]], n: int = WORDS):
         words, strip = _regex()
-        self.n, self.ids, self.grams = n, {}, {}
-        found: dict[int, set[tuple[int, tuple[str, ...]]]] = {}
-        for item, text in items:
-            w = words.findall(normalised(text or "", strip))
-            for i in range(len(w) - n + 1):
-                g = tuple(w[i : i + n])
-                codes = np.array([[self.ids.setdefault(x, len(self.ids)) for x in g]])
-                found.setdefault(int(self.hashes(codes.ravel())[0]), set()).add((item, g))
-        self.grams = found
-        self.keys = np.array(sorted(found), np.uint64)
+        self.n, self.words = n, {}
+        number = self.words.setdefault
+        texts = [np.array([number(x, len(self.words)) for x in words.findall(normalised(text or "", strip))], np.int32) for _, text in items]
+        self.flat = np.concatenate([*texts, np.empty(0, np.int32)])
+        size = np.array([len(t) for t in texts], np.int64)
+        first = np.concatenate([[0], np.cumsum(size)])[:-1] if len(size) else size
+        grams = np.maximum(size - n + 1, 0)
+        own = np.repeat(np.arange(len(size)), grams)
+        place = np.arange(len(own)) - np.repeat(np.cumsum(grams) - grams, grams) + np.repeat(first, grams)
+        h = self.hashes(self.flat)[place] if len(place) else np.empty(0, np.uint64)
+        order = np.argsort(h, kind="stable")
+        #: Of each gram: its hash, where it starts in ``flat``, and its item.
+        self.keys, self.place, self.item = h[order], place[order], np.array([i for i, _ in items], np.int64)[own[order]] if len(items) else own
 
     def hashes(self, codes: np.ndarray) -> np.ndarray:
         """Hash of every window of n codes."""
@@ -54,11 +58,11 @@ class TestSet:
         return h
 
     def windows(self, documents: list[list[str]]) -> list[tuple[int, int, int]]:
-        """(document, position, item) of every verified window."""
+        """(document, position, item) of every window whose words were compared with the item's."""
         if not len(self.keys):
             return []
         size = np.fromiter(map(len, documents), np.int64, len(documents))
-        get = self.ids.get
+        get = self.words.get
         codes = np.fromiter((c for d in documents for c in [*(get(w, -1) for w in d), -1]), np.int64, int(size.sum()) + len(documents))
         if len(codes) < self.n:
             return []
@@ -67,15 +71,17 @@ class TestSet:
         if not len(whole):
             return []
         h = self.hashes(codes)[whole]
-        hit = np.isin(h, self.keys)
+        low, high = np.searchsorted(self.keys, h, "left"), np.searchsorted(self.keys, h, "right")
+        count = high - low
+        at = np.repeat(whole, count)
+        gram = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+        same = np.ones(len(at), bool)
+        for j in range(self.n):
+            same &= codes[at + j] == self.flat[self.place[gram] + j]
+        at, item = at[same], self.item[gram[same]]
         start = np.concatenate([[0], np.cumsum(size + 1)])
-        out = []
-        for p, x in zip(whole[hit], h[hit]):
-            d = int(np.searchsorted(start, p, "right")) - 1
-            i = int(p - start[d])
-            g = tuple(documents[d][i : i + self.n])
-            out += [(d, i, item) for item, own in self.grams[int(x)] if own == g]
-        return out
+        d = np.searchsorted(start, at, "right") - 1
+        return sorted(set(zip(d.tolist(), (at - start[d]).tolist(), item.tolist())))
 
 
 def _hits(batches: Iterator[pa.RecordBatch], tests) -> Iterator[pa.RecordBatch]:
@@ -124,7 +130,7 @@ def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item: str
     characters and lower-casing. Null and short texts on either side give
     nothing; repeated items of one id count once; items of equal text each
     count. The items' n-grams are a broadcast hash set, bounded by
-    ``BLOCK_CHARS`` of item text; more items are scanned for block by block.
+    ``BLOCK_CHARS`` of item text; more items take another scan of the corpus per block.
     Hits of the hash are verified on the words. Nothing of the corpus is shuffled.
     """
     sc = documents.sparkSession.sparkContext
@@ -177,13 +183,14 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without_leaks(documents: DataFrame, key: str, text: str, found: DataFrame, whole: bool = False) -> DataFrame:
     """``key, text`` of the corpus without the leaked spans, or (``whole``) without the documents that have any.
 
-    A text whose words cannot be located (its normal form crosses its
+    The few leaked documents are looked up in place where their spans are small
+    enough to be sent to all tasks. A text whose words cannot be located (its normal form crosses its
     characters) becomes null, as does a null text.
     """
     rows, by = _rows(documents, key, text), ["key", "text_hash"]
     if whole:
-        return rows.join(found.select(*by).distinct(), by, "left_anti").select("key", "text")
-    spans = found.groupBy(*by).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        return rows.join(broadcast_if_small(found.select(*by).distinct()), by, "left_anti").select("key", "text")
+    spans = broadcast_if_small(found.groupBy(*by).agg(F.flatten(F.collect_list("spans")).alias("spans")))
     kind = rows.schema["key"].dataType.simpleString()
     return rows.join(spans, by, "left").select("key", "text", "spans").mapInArrow(_remove, f"key {kind}, text string")
 
