@@ -15,10 +15,11 @@ from ..plans.skew import broadcast_if_small
 from .ngrams import BLANKS
 
 #: A summary is a sorted list of (value, rmin, rmax): the rank of the value in its data lies between rmin and rmax.
-SUMMARY = "group string, node int, n bigint, value array<double>, rmin array<bigint>, rmax array<bigint>"
+SUMMARY = "group string, node bigint, n bigint, value array<double>, rmin array<bigint>, rmax array<bigint>"
+#: Summaries of a group that are merged at once, about.
 FAN_IN = 16
-#: Values of one group that a task holds before it summarises them.
-BUFFER = 1 << 16
+#: Values of all groups that a task holds (16 MB) before it summarises the largest groups and lets them go.
+HELD = 1 << 21
 
 
 def exact(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,34 +66,33 @@ def error(s: tuple) -> float:
     return float(max((hi - lo).max(), ((hi[1:] - lo[:-1]) / 2).max())) if len(lo) > 1 else float((hi - lo).max())
 
 
-def _fold(stack: list[tuple[int, tuple]], s: tuple, keep: int) -> None:
-    """Keeps summaries of doubling level, so that a task's own merges stay logarithmic."""
-    level = 0
-    while stack and stack[-1][0] == level:
-        s = compress(merge(stack.pop()[1], s), keep)
-        level += 1
-    stack.append((level, s))
-
-
-def _join(stack: list[tuple[int, tuple]], keep: int) -> tuple:
-    s = stack.pop()[1]
-    while stack:
-        s = merge(stack.pop()[1], s)
-    return compress(s, keep)
+def merge_all(found: list[tuple], keep: int) -> tuple:
+    """The union of summaries, compressed once: however many are merged, the compression adds n / (2 keep) only once."""
+    while len(found) > 1:
+        found = [merge(*found[i : i + 2]) if i + 1 < len(found) else found[i] for i in range(0, len(found), 2)]
+    return compress(found[0], keep)
 
 
 def _rows(found: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*found))
     lists = [pa.array([x[i] for x in cols[3]], pa.list_(t)) for i, t in enumerate((pa.float64(), pa.int64(), pa.int64()))]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), *lists], ["group", "node", "n", "value", "rmin", "rmax"])
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), *lists], ["group", "node", "n", "value", "rmin", "rmax"])
 
 
-def _leaves(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[pa.RecordBatch]:
-    """One summary per group of this partition."""
+def _leaves(batches: Iterator[pa.RecordBatch], keep: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Summaries of this partition's groups: one for each, or more where all groups together hold more than ``most`` values."""
     part = TaskContext.get().partitionId()
     held: dict[str, list[np.ndarray]] = {}
     size: dict[str, int] = {}
-    done: dict[str, list] = {}
+
+    def close(groups: list[str]) -> pa.RecordBatch:
+        out = []
+        for g in groups:
+            s = compress(exact(np.concatenate(held.pop(g))), keep)
+            out.append((g, part, size.pop(g), s))
+        return _rows(out)
+
+    total = 0
     for b in batches:
         if not b.num_rows:
             continue
@@ -104,42 +104,59 @@ def _leaves(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[pa.RecordB
             g = c.dictionary[int(code[rows[0]])].as_py()
             held.setdefault(g, []).append(v[rows])
             size[g] = size.get(g, 0) + len(rows)
-            if size[g] >= BUFFER:
-                _fold(done.setdefault(g, []), compress(exact(np.concatenate(held.pop(g))), keep), keep)
-                size[g] = 0
-    for g, x in held.items():
-        _fold(done.setdefault(g, []), compress(exact(np.concatenate(x)), keep), keep)
-    found = []
-    for g, stack in done.items():
-        s = _join(stack, keep)
-        found.append((g, part, int(s[2][-1]), s))
-    if found:
-        yield _rows(found)
+        total += len(v)
+        if total > most:  # the largest groups go, until half is free
+            go = []
+            for g in sorted(size, key=lambda g: (-size[g], g)):
+                if total <= most // 2:
+                    break
+                total -= size[g]
+                go.append(g)
+            for i in range(0, len(go), GROUPS_AT_ONCE):
+                yield close(go[i : i + GROUPS_AT_ONCE])
+    left = sorted(held)
+    for i in range(0, len(left), GROUPS_AT_ONCE):
+        yield close(left[i : i + GROUPS_AT_ONCE])
+
+
+def _read(b: pa.RecordBatch) -> Iterator[tuple[str, int, int, tuple]]:
+    lists = [b.column(i) for i in (3, 4, 5)]
+    flat, at = [x.values.to_numpy() for x in lists], [x.offsets.to_numpy() for x in lists]
+    for i, (g, node, n) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)))):
+        yield g, node, n, tuple(f[o[i] : o[i + 1]] for f, o in zip(flat, at))
 
 
 def _merged(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[pa.RecordBatch]:
-    """Merges neighbouring rows of one (group, node); at most FAN_IN rows each."""
-    now, stack = None, []
+    """Merges neighbouring rows of one (group, node), in one compression."""
+    now, found = None, []
 
     def close() -> pa.RecordBatch:
-        s = _join(stack, keep)
+        s = merge_all(found, keep)
         return _rows([(*now, int(s[2][-1]), s)])
 
     for b in batches:
-        for r in b.to_pylist():
-            if (r["group"], r["node"]) != now:
+        for g, node, _, s in _read(b):
+            if (g, node) != now:
                 if now is not None:
                     yield close()
-                now = (r["group"], r["node"])
-            _fold(stack, tuple(np.array(r[k], t) for k, t in (("value", float), ("rmin", np.int64), ("rmax", np.int64))), keep)
+                now, found = (g, node), []
+            found.append(tuple(x.copy() for x in s))
     if now is not None:
         yield close()
 
 
-def kept_tuples(epsilon: float, nodes: int, fan_in: int = FAN_IN) -> int:
-    """Tuples per summary such that the compressions of a leaf and of every level of the tree add up to at most epsilon * n."""
-    levels = 1 + max(1, math.ceil(math.log(max(2, nodes), fan_in)))
-    return math.ceil(levels * (1 + math.log2(fan_in)) / (2 * epsilon))
+#: Groups in one batch of summaries.
+GROUPS_AT_ONCE = 1_000
+
+
+def leaf_tuples(epsilon: float) -> int:
+    """Tuples of a leaf such that its one compression adds at most epsilon / 2 * n."""
+    return math.ceil(1 / epsilon)
+
+
+def merged_tuples(epsilon: float, levels: int) -> int:
+    """Tuples of a merged summary such that the compressions of all levels add at most epsilon / 2 * n."""
+    return math.ceil(max(1, levels) / epsilon)
 
 
 def summarise(df: DataFrame, group: str, value: str, epsilon: float) -> DataFrame:
@@ -148,37 +165,37 @@ def summarise(df: DataFrame, group: str, value: str, epsilon: float) -> DataFram
     Null, NaN and infinite values and null groups are left out.
     """
     rows = df.select(F.col(group).cast("string").alias("group"), F.col(value).cast("double").alias("value")).where("group is not null and value is not null and not isnan(value) and abs(value) < double('inf')")
-    keep = kept_tuples(epsilon, 1 << 16)
-    return rows.mapInArrow(lambda it: _leaves(it, keep), SUMMARY)
+    keep = leaf_tuples(epsilon)
+    return rows.mapInArrow(lambda it: _leaves(it, keep, HELD), SUMMARY)
 
 
 def combine(summaries: DataFrame, epsilon: float, fan_in: int = FAN_IN) -> DataFrame:
-    """Merges summaries of any number of partitions, days or loads into one per group, ``fan_in`` at a time.
+    """Merges summaries of any number of partitions, days or loads into one per group, about ``fan_in`` at a time.
 
-    Several tables of summaries are combined by a union before. The leaves are
-    the partitions that made them, so a task merges at most ``fan_in`` small
-    summaries of each load; only summaries are shuffled.
+    Several tables of summaries are combined by a union before. Summaries are
+    dealt to the leaves of a tree as deep as the greatest number of them in a
+    group asks for; each level merges and compresses once, and the tuples kept
+    follow from the real depth. Only summaries are shuffled.
     """
-    keep = kept_tuples(epsilon, 1 << 16)
-    spark = summaries.sparkSession
     now = persisted(summaries, "summaries")
-    most = now.agg(F.max("node")).first()[0] or 0
-    while True:
-        by = now.withColumn("node", F.floor(F.col("node") / fan_in).cast("int")).repartition(partitions(spark), "group", "node").sortWithinPartitions("group", "node", "n", "value")
+    spark = summaries.sparkSession
+    most = now.groupBy("group").count().agg(F.max("count")).first()[0] or 1
+    levels = max(1, math.ceil(math.log(most, fan_in) - 1e-9))
+    keep = merged_tuples(epsilon, levels)
+    now = now.withColumn("node", F.pmod(F.xxhash64("node", "n", "value"), F.lit(fan_in**levels)).cast("bigint"))
+    for _ in range(levels):
+        by = now.withColumn("node", F.floor(F.col("node") / fan_in).cast("bigint")).repartition(partitions(spark), "group", "node").sortWithinPartitions("group", "node", "n", "value")
         now = by.mapInArrow(lambda it: _merged(it, keep), SUMMARY)
-        most //= fan_in
-        if most == 0:
-            return now
+    return now
 
 
 def _answers(batches: Iterator[pa.RecordBatch], shares: list[float]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for r in b.to_pylist():
-            lo, hi = np.array(r["rmin"]), np.array(r["rmax"])
-            want = [max(1, math.ceil(q * r["n"] - 1e-9)) for q in shares]
+        for g, _, n, (value, lo, hi) in _read(b):
+            want = [max(1, math.ceil(q * n - 1e-9)) for q in shares]
             off = [np.maximum(hi - k, k - lo) for k in want]
             at = [int(x.argmin()) for x in off]
-            yield pa.RecordBatch.from_arrays([pa.array([r["group"]]), pa.array([r["n"]]), pa.array([[r["value"][i] for i in at]], pa.list_(pa.float64())), pa.array([[int(x[i]) for x, i in zip(off, at)]], pa.list_(pa.int64())), pa.array([error((None, lo, hi))])], ["group", "n", "quantiles", "rank_errors", "max_error"])
+            yield pa.RecordBatch.from_arrays([pa.array([g]), pa.array([n]), pa.array([[float(value[i]) for i in at]], pa.list_(pa.float64())), pa.array([[int(x[i]) for x, i in zip(off, at)]], pa.list_(pa.int64())), pa.array([error((None, lo, hi))])], ["group", "n", "quantiles", "rank_errors", "max_error"])
 
 
 def quantiles(summaries: DataFrame, shares: list[float]) -> DataFrame:
@@ -188,8 +205,6 @@ def quantiles(summaries: DataFrame, shares: list[float]) -> DataFrame:
 
 EPSILON = 0.001
 SHARES = (1, 5, 25, 50, 75, 95, 99)
-#: Labs are a fixed list; beyond this many rows the lookup becomes an ordinary join.
-MOST_LABS = 100_000
 
 
 def lab_values(spark, sf_dir: str) -> DataFrame:
@@ -200,7 +215,7 @@ def lab_values(spark, sf_dir: str) -> DataFrame:
     labs = table(spark, sf_dir, "lab_stats").select(F.btrim("concept_id", F.lit(BLANKS)).alias("c"), F.col("unit").alias("u")).where("c is not null").distinct()
     finite = F.filter(F.arrays_zip("concept_ids", "values", F.coalesce("units", F.array().cast("array<string>")).alias("units")), lambda x: x["values"].isNotNull() & ~F.isnan(x["values"]) & (F.abs(x["values"]) < float("inf")))
     at = table(spark, sf_dir, "processed_dataset").select(F.explode(finite).alias("x")).select(F.btrim("x.concept_ids", F.lit(BLANKS)).alias("concept_id"), F.col("x.units").alias("unit"), F.col("x.values").alias("value"))
-    small = broadcast_if_small(labs, MOST_LABS)
+    small = broadcast_if_small(labs)
     return at.join(small, (F.col("concept_id") == F.col("c")) & F.col("unit").eqNullSafe(F.col("u"))).select("concept_id", "unit", "value")
 
 
@@ -222,6 +237,11 @@ def p3_percentiles(spark, sf_dir: str) -> DataFrame:
     return lab_percentiles(lab_summaries(lab_values(spark, sf_dir)))
 
 
+def p3_sizes(spark, sf_dir: str) -> DataFrame:
+    """Per lab its values and the tuples of its combined summary: the summary's size does not grow with the data."""
+    return _split(combine(lab_summaries(lab_values(spark, sf_dir)), EPSILON)).select("concept_id", "unit", F.col("n").alias("n_values"), F.size("value").alias("n_tuples"))
+
+
 def p3_combined(spark, sf_dir: str) -> DataFrame:
     """As p3_percentiles, from the summaries of two separate loads (odd and even values by hash) that are combined afterwards."""
     v = lab_values(spark, sf_dir)
@@ -232,11 +252,11 @@ def p3_combined(spark, sf_dir: str) -> DataFrame:
 
 def p3_verified(spark, sf_dir: str) -> DataFrame:
     """Per lab the number of values and whether the true ranks of all its percentiles lie within epsilon * n, counted over all values."""
-    v, q = lab_values(spark, sf_dir), persisted(p3_percentiles(spark, sf_dir), "percentiles")
+    v, q = lab_values(spark, sf_dir), broadcast_if_small(p3_percentiles(spark, sf_dir))
     same = (v.concept_id == q.concept_id) & v.unit.eqNullSafe(q.unit)
     below = [F.sum(F.when(F.col("value") < F.col(f"p{p:02d}"), 1).otherwise(0)).alias(f"b{p}") for p in SHARES]
     upto = [F.sum(F.when(F.col("value") <= F.col(f"p{p:02d}"), 1).otherwise(0)).alias(f"u{p}") for p in SHARES]
-    c = v.join(broadcast_if_small(q, MOST_LABS), same).groupBy(q.concept_id, q.unit).agg(F.count("*").alias("n_values"), *below, *upto)
+    c = v.join(q, same).groupBy(q.concept_id, q.unit).agg(F.count("*").alias("n_values"), *below, *upto)
     ok = F.lit(True)
     for p in SHARES:
         rank = F.greatest(F.lit(1), F.ceil(F.lit(p / 100) * F.col("n_values") - 1e-9))
@@ -251,4 +271,4 @@ x AS (SELECT trim(unnest(concept_ids), ' ' || chr(9) || chr(10) || chr(13)) AS c
 f AS (SELECT labs.c AS concept_id, labs.u AS unit, v FROM x JOIN labs ON x.c = labs.c AND x.u IS NOT DISTINCT FROM labs.u WHERE v IS NOT NULL AND isfinite(v))
 """
 SQL = {"p3_verified": _VALUES + "SELECT concept_id, unit, count(*) AS n_values, 1 AS within FROM f GROUP BY ALL"}
-QUERIES = {"p3_percentiles": p3_percentiles, "p3_combined": p3_combined, "p3_verified": p3_verified}
+QUERIES = {"p3_percentiles": p3_percentiles, "p3_sizes": p3_sizes, "p3_combined": p3_combined, "p3_verified": p3_verified}

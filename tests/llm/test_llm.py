@@ -80,6 +80,38 @@ def test_merged_summaries_keep_their_bound():
     assert bound <= 0.08 * len(all_)
 
 
+def test_summaries_are_small_and_within_the_error(spark):
+    v = spark.range(400_000, numPartitions=24).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 50)).alias("g"), (F.xxhash64("id") % 10_000_000).cast("double").alias("v"))
+    leaves = quantiles.summarise(v, "g", "v", 0.01)
+    hot = [r.size for r in leaves.where("group = 'hot'").select(F.size("value").alias("size")).collect()]
+    assert len(hot) == 24 and max(hot) <= 102
+    got = {r.group: r for r in quantiles.quantiles(quantiles.combine(leaves, 0.01), [0.01, 0.5, 0.99]).collect()}
+    true = defaultdict(list)
+    for g, x in v.collect():
+        true[g].append(x)
+    assert set(got) == set(true)
+    for g, x in true.items():
+        x = np.sort(x)
+        for q, value, e in zip([0.01, 0.5, 0.99], got[g].quantiles, got[g].rank_errors):
+            k = math.ceil(q * len(x))
+            assert np.searchsorted(x, value, "left") + 1 - e <= k <= np.searchsorted(x, value, "right") + e and e <= 0.01 * len(x) + 1, (g, e, len(x))
+
+
+def test_a_task_lets_its_largest_groups_go(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(quantiles.TaskContext, "get", staticmethod(lambda: type("T", (), {"partitionId": lambda self: 3})()))
+    rng = np.random.default_rng(1)
+    batches = [pa.RecordBatch.from_arrays([pa.array([f"g{i}" for i in rng.integers(0, 40, 500)]), pa.array(rng.normal(size=500))], ["g", "v"]) for _ in range(30)]
+    out = list(quantiles._leaves(iter(batches), 100, 2_000))
+    n = Counter()
+    for b in out:
+        for g, k in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+            n[g] += k
+    want = Counter(x for b in batches for x in b.column(0).to_pylist())
+    assert n == want and len(out) > 5
+
+
 def test_quantiles_of_loads(spark):
     rows = [("hot", float(i % 997)) for i in range(20_000)] + [("one", 5.0), ("bad", float("nan")), ("bad", float("inf")), ("bad", None), (None, 1.0)] + [("ties", 2.0)] * 50
     df = spark.createDataFrame(rows, "g string, v double").withColumn("value", F.lit("x")).withColumn("node", F.lit(1))
