@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def _qualified(spark: SparkSession, path: str) -> str:
@@ -60,6 +60,14 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict[str, int]]:
+    """As :func:`persisted`, with aggregates that are taken while writing (0 where nothing was written)."""
+    seen = Observation()
+    kept = persisted(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), name)
+    found = seen.get
+    return kept, {k: found.get(k) or 0 for k in metrics}
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``checkpoint()``: as :func:`persisted`, but partitions and their order stay as they are."""
     shared_dir(df.sparkSession)
