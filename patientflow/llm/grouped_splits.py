@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..plans.runtime import new_path, persisted, table
-from ..plans.skew import global_rank, skew_join
+from ..plans.runtime import counted, new_path, partitions, persisted, table
+from ..plans.skew import HOT_PER_PARTITION, global_rank, heavy, skew_join
 
 SHARES = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
 
@@ -44,48 +44,63 @@ def spanning_forest(edges: DataFrame, path: str | None = None) -> tuple[DataFram
     edges reduced to the least. Components at least halve, so there are at most
     log2(nodes) rounds. The forest is written round by round to ``path`` (or
     the shared folder); every round's tables are written too, so lost
-    executors cost one round. An empty table gives empty results.
+    executors cost one round. Heavy nodes are looked for once a round. Labels
+    are put together at the end, from the last round to the first. An empty table gives empty results.
     """
     spark = edges.sparkSession
     path = path or new_path(spark, "forest")
-    now = persisted(edges.select("a", "b", F.col("a").alias("u"), F.col("b").alias("v")), "edges")
-    labels = None
-    k = 0
-    while now.limit(1).count():
+    rows = F.count(F.lit(1))
+    now, left = counted(edges.select("a", "b", F.col("a").alias("u"), F.col("b").alias("v")), "edges", n=rows)
+    steps: list[DataFrame] = []
+    while left["n"]:
+        hot = _hot(now)
         both = now.select("u", "v", "a", "b").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v"), "a", "b"))
         taken = both.groupBy("u").agg(F.min(F.struct("a", "b", "v")).alias("m")).select("u", "m.v", "m.a", "m.b")
-        # An edge is taken by one of its two components or by both.
+        # An edge is taken by one of its two components or by both; then the smaller one is the root.
         hook = taken.groupBy("a", "b").agg(F.min("u").alias("lo"), F.max("u").alias("hi"), F.max("v").alias("v"))
-        hook = persisted(hook, "hooks")
-        hook.select("a", "b").write.parquet(f"{path}/round={k}")
-        step = hook.select(F.when(F.col("lo") != F.col("hi"), F.col("hi")).otherwise(F.col("lo")).alias("node"), F.when(F.col("lo") != F.col("hi"), F.col("lo")).otherwise(F.col("v")).alias("root"))
-        step = _roots(step)
-        now = skew_join(now, step.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").select("v", "a", "b", F.coalesce("ru", "u").alias("u"))
-        now = skew_join(persisted(now, "edges"), step.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left").select("u", "a", "b", F.coalesce("rv", "v").alias("v"))
-        now = now.where("u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min(F.struct("a", "b")).alias("m")).select("m.a", "m.b", "u", "v")
-        now = persisted(now, "edges")
-        if labels is None:
-            # every node has an edge in the first round, so the roots of that round are the labels of all nodes but the roots themselves
-            labels = step.unionAll(step.select(F.col("root").alias("node"), "root").distinct())
-        else:
-            moved = skew_join(labels, step.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
-            labels = moved.select("node", F.coalesce("to", "root").alias("root"))
-        labels = persisted(labels, "labels")
-        k += 1
-    if labels is None:
+        twice = F.col("lo") != F.col("hi")
+        hook.select("a", "b", F.when(twice, F.col("hi")).otherwise(F.col("lo")).alias("node"), F.when(twice, F.col("lo")).otherwise(F.col("v")).alias("root")).write.parquet(f"{path}/round={len(steps)}")
+        step = _roots(spark.read.schema("a bigint, b bigint, node bigint, root bigint").parquet(f"{path}/round={len(steps)}").select("node", "root"), hot)
+        steps.append(step)
+        near = skew_join(now, step.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left", hot["u"]).select("v", "a", "b", F.coalesce("ru", "u").alias("u"))
+        near = skew_join(near, step.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left", hot["v"]).select("u", "a", "b", F.coalesce("rv", "v").alias("v"))
+        near = near.where("u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min(F.struct("a", "b")).alias("m")).select("m.a", "m.b", "u", "v")
+        now, left = counted(near, "edges", n=rows)
+    if not steps:
         return spark.createDataFrame([], "node bigint, root bigint"), spark.createDataFrame([], "a bigint, b bigint")
-    return labels, spark.read.parquet(path).select("a", "b")
-
-
-def _roots(step: DataFrame) -> DataFrame:
-    """Follows (node, root) to the end by doubling; a node that has no row of its own is a root."""
-    step = persisted(step, "steps")
-    while True:
-        up = step.select(F.col("node").alias("root"), F.col("root").alias("to"))
-        new = persisted(skew_join(step, up, "root", "left").select("node", F.coalesce("to", "root").alias("root"), F.col("to").isNotNull().alias("moved")), "steps")
-        step = new.select("node", "root")
-        if not new.where("moved").limit(1).count():
-            return step
+    # A round's nodes point to roots of that round, which may be nodes of a later one.
+    labels = steps.pop()
+    while steps:
+        moved = skew_join(steps.pop(), labels.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        labels = persisted(moved.unionAll(labels), "labels")
+    labels = labels.unionAll(labels.select(F.col("root").alias("node"), "root").distinct())
+    return labels, spark.read.schema("a bigint, b bigint").parquet(path).select("a", "b")
+
+
+def _hot(edges: DataFrame) -> dict[str, list]:
+    """Nodes at very many edges' ends u and v, and as either."""
+    n = HOT_PER_PARTITION * partitions(edges.sparkSession)
+    total, counts = heavy(edges.select("u", "v"), ["u", "v"])
+    out = {c: sorted(k for k, x in found.items() if x * n > max(total, n)) for c, found in zip("uv", counts)}
+    return {**out, "either": sorted({*out["u"], *out["v"]})}
+
+
+def _roots(step: DataFrame, hot: dict[str, list]) -> DataFrame:
+    """Follows (node, root) to the end by doubling; a node that has no row of its own is a root.
+
+    A row is done when its root is one; only the others are followed further.
+    Many rows can point to a node at first only if it has many edges.
+    """
+    up = step.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    # Where "to" is null the root has no row; else the row now points to its root's root, which may be an end or not.
+    first = skew_join(step, up, "root", "left", hot["either"]).select("node", F.coalesce("to", "root").alias("root"), F.col("to").isNull().alias("done"))
+    step, left = counted(first, "steps", n=F.count_if(~F.col("done")))
+    while left["n"]:
+        up = step.select(F.col("node").alias("root"), F.col("root").alias("to"), F.col("done").alias("end"))
+        # A node without a row is an end; one whose row is done points to it.
+        open_ = skew_join(step.where("not done").drop("done"), up, "root", "left").select("node", F.coalesce("to", "root").alias("root"), F.coalesce("end", F.lit(True)).alias("done"))
+        step, left = counted(step.where("done").unionByName(open_), "steps", n=F.count_if(~F.col("done")))
+    return step.select("node", "root")
 
 
 def deal(nodes: DataFrame, labels: DataFrame) -> DataFrame:
