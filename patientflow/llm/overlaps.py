@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..plans.runtime import partitions, persisted, table
 from ..plans.skew import broadcast_if_small, salt_count, salts, skew_join, spread_join
 from .grouped_splits import split_name
-from .ngrams import clean_terms, distinct
+from .ngrams import BLANKS, distinct
 
 RUN, LEAST_RUNS = 4, 20
 #: At least half of the distinct runs of both stand in both.
@@ -22,6 +22,8 @@ HEADER = 4
 PASSAGES_PER_TASK = 300_000
 #: Counters of the sketch that tells how often evaluation records have a run: 2 MB for each task, whatever the data.
 SKETCH = 1 << 20
+#: Bits that tell which runs the training texts and the evaluation records have: 16 MB each for a task, whatever the data; a full one filters nothing.
+BITMAP, BUCKET = 1 << 27, 1 << 15
 #: Terms become one character each by a hash into the planes above the basic one. Terms that collide only make more candidates: lengths and checks use the terms themselves.
 FIRST_SYMBOL, SYMBOLS = 0x10000, 0xF0000
 #: Stands between the windows of a text that do not touch, and for terms that an evaluation record does not have.
@@ -67,11 +69,89 @@ def _texts(batches: Iterator[pa.RecordBatch], symbols: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array([whole[i:j] for i, j in zip(at[:-1], at[1:])], pa.string()), pa.array(n, pa.int64())], [*b.schema.names, "text", "n"])
 
 
+def _bodies(batches: Iterator[pa.RecordBatch], header: int) -> Iterator[pa.RecordBatch]:
+    """(key, terms) to (key, h, body): clean terms after the header, and 128 bits over the terms and their places, so that ["a", "b"] and ["ab"] differ."""
+    import xxhash
+
+    for b in batches:
+        lists = b.column(1)
+        if not b.num_rows:
+            continue
+        size = np.diff(lists.offsets.to_numpy())
+        size[~lists.is_valid().to_numpy(zero_copy_only=False)] = 0
+        coded = lists.flatten().dictionary_encode()
+        words = [w.strip(BLANKS) for w in coded.dictionary.to_pylist()] or [""]
+        kept = np.array([w != "" for w in words])
+        code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        good = (code >= 0) & kept[np.maximum(code, 0)]
+        text = np.repeat(np.arange(b.num_rows), size)[good]
+        code = code[good]
+        size = np.bincount(text, minlength=b.num_rows)
+        first = np.concatenate([[0], np.cumsum(size)])[:-1]
+        place = np.arange(len(code)) - first[text]
+        start = np.array([w == "[START]" for w in words])
+        begins = np.zeros(b.num_rows, bool)
+        begins[size > 0] = start[code[first[size > 0]]]
+        body = place >= header + begins[text]
+        text, code, place = text[body], code[body], (place - begins[text])[body].astype(np.uint64)
+        size = np.bincount(text, minlength=b.num_rows)
+        halves = []
+        for seed, mix in ((0, _A), (1, _B)):
+            h = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in words], np.uint64)[code]
+            h = (h ^ (place * mix)) * _A
+            h = (h ^ (h >> np.uint64(29))) * _B
+            total = np.zeros(b.num_rows, np.uint64)
+            some = size > 0
+            if some.any():
+                total[some] = np.add.reduceat(h ^ (h >> np.uint64(32)), (np.cumsum(size) - size)[some])
+            halves.append(total)
+        name = [f"{x:016x}{y:016x}" for x, y in zip(halves[0].tolist(), halves[1].tolist())]
+        out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(words).take(pa.array(code)) if len(code) else pa.array([], pa.string()))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(name), out], ["key", "h", "body"])
+
+
 def sequence_bodies(df: DataFrame, key: str, terms: str, header: int = HEADER) -> DataFrame:
-    """``key, body``: the terms after an optional [START] and the header; null keys are left out, null arrays give empty bodies."""
-    t = F.coalesce(clean_terms(terms), F.array().cast("array<string>"))
-    skip = F.when(F.get("t", F.lit(0)) == "[START]", header + 1).otherwise(header)
-    return df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), t.alias("t")).select("key", F.slice("t", skip + 1, F.size("t")).alias("body"))
+    """``key, h, body``: the terms after an optional [START] and the header, and their hash; null keys are left out, null arrays give empty bodies."""
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(terms).alias("terms"))
+    return rows.mapInArrow(lambda it: _bodies(it, header), f"key {rows.schema['key'].dataType.simpleString()}, h string, body array<string>")
+
+
+def _hash_runs(flat: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """48-bit hashes of the runs of symbols that start there."""
+    h = np.zeros(len(start), np.uint64)
+    for j in range(RUN):
+        h = (h + flat[start + j]) * _A
+        h ^= h >> np.uint64(29)
+    return (h * _B) >> np.uint64(16)
+
+
+def _presence(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(train, eval, text) to the bitmaps of the runs of either side: (side, bucket, bits) of the buckets that are not empty."""
+    maps = [np.zeros(size // 8, np.uint8) for _ in range(2)]
+    for b in batches:
+        texts = b.column(2).to_pylist()
+        n = np.fromiter(map(len, texts), np.int64, len(texts))
+        flat = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64)
+        start, text = _starts(n)
+        h = _hash_runs(flat, start)
+        for side in (0, 1):
+            own = b.column(side).to_numpy(zero_copy_only=False).astype(bool)
+            bit = distinct((h[own[text]] % np.uint64(size)).astype(np.int64))
+            if len(bit):
+                first = np.flatnonzero(np.diff(bit >> 3, prepend=-1))
+                maps[side][bit[first] >> 3] |= np.bitwise_or.reduceat(np.left_shift(1, bit & 7).astype(np.uint8), first)
+    for side, bits in enumerate(maps):
+        buckets = bits.reshape(-1, BUCKET // 8)
+        some = np.flatnonzero(buckets.any(1))
+        for i in range(0, len(some), 1024):
+            part = some[i : i + 1024]
+            yield pa.RecordBatch.from_arrays([pa.array([side] * len(part), pa.int32()), pa.array(part, pa.int32()), pa.array([buckets[k].tobytes() for k in part], pa.binary())], ["side", "bucket", "bits"])
+
+
+def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether a bitmap may have these runs."""
+    at = (h % np.uint64(8 * len(bits))).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
 def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,12 +159,8 @@ def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     flat = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64)
     start, text = _starts(size)
-    h = np.zeros(len(start), np.uint64)
-    for j in range(RUN):
-        h = (h + flat[start + j]) * _A
-        h ^= h >> np.uint64(29)
-    h = (h * _B) >> np.uint64(16)
-    order = np.lexsort([h, text])
+    h = _hash_runs(flat, start)
+    order = np.argsort((text.astype(np.uint64) << np.uint64(48)) | h) if len(texts) <= 1 << 16 else np.lexsort([h, text])
     fresh = np.ones(len(order), bool)
     fresh[1:] = (h[order][1:] != h[order][:-1]) | (text[order][1:] != text[order][:-1])
     keep = order[fresh]
@@ -100,14 +176,14 @@ def _sketch(batches: Iterator[pa.RecordBatch], counters: int) -> Iterator[pa.Rec
 
 
 class _Prefixes:
-    """The rarest n - ceil(s n) + 1 runs of each text of n distinct runs: ``start, text, h, count``; ``taken`` of each text and its ``last`` key.
+    """The rarest n - ceil(s n) + 1 runs of each text of n distinct runs, as far as the ``other`` side may have them: ``start, text, h``; ``taken`` of each text and its ``last`` key.
 
     All texts order their runs alike, by key (count, hash). Two texts whose similarity is at least s share at least
     ceil(s n) runs of either, so the first n - ceil(s n) + 1 of one and those of the other have a run in common.
     Runs that fall together by their hash make both sets only larger against what they need.
     """
 
-    def __init__(self, texts: list[str], n: np.ndarray, sketch: np.ndarray):
+    def __init__(self, texts: list[str], n: np.ndarray, sketch: np.ndarray, other: np.ndarray):
         start, text, h = _hashed(texts)
         count = np.minimum(sketch[(h % np.uint64(len(sketch))).astype(np.int64)], (1 << 15) - 1).astype(np.uint64)
         key = ((count << np.uint64(48)) | h).astype(np.int64)
@@ -117,7 +193,8 @@ class _Prefixes:
         self.taken = np.minimum(most, np.diff(place))
         self.last = key[order][place[:-1] + self.taken - 1]
         keep = order[np.arange(len(order)) - place[text[order]] < self.taken[text[order]]]
-        self.start, self.text, self.h, self.count = start[keep], text[keep], h[keep], count[keep]
+        keep = keep[_has(other, h[keep])]  # runs that the other side does not have hit nothing
+        self.start, self.text, self.h = start[keep], text[keep], h[keep]
 
 
 def _sent(b: pa.RecordBatch, p: _Prefixes, own: np.ndarray, shard: np.ndarray, texts: list[str]) -> pa.RecordBatch:
@@ -126,13 +203,21 @@ def _sent(b: pa.RecordBatch, p: _Prefixes, own: np.ndarray, shard: np.ndarray, t
 
 
 def _passages(batches: Iterator[pa.RecordBatch], sketch, shards: int) -> Iterator[pa.RecordBatch]:
-    """Evaluation records (no, n, text) to their passages (shard, no, n, taken, last, text)."""
+    """Evaluation records (no, n, text) to each shard's passages of them, one after the other (shard, no, n, taken, last, text)."""
     for b in batches:
         texts = b.column(2).to_pylist()
         if not texts:
             continue
-        p, whole = _Prefixes(texts, b.column(1).to_numpy(), sketch.value), "".join(texts)
-        yield _sent(b, p, p.text, (p.h % np.uint64(shards)).astype(np.int64), [whole[i : i + RUN] for i in p.start.tolist()])
+        p, whole = _Prefixes(texts, b.column(1).to_numpy(), *sketch.value), "".join(texts)
+        shard = (p.h % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort([shard, p.text])
+        start, text, shard = p.start[order], p.text[order], shard[order]
+        new = np.ones(len(start), bool)
+        new[1:] = (text[1:] != text[:-1]) | (shard[1:] != shard[:-1])
+        head = np.flatnonzero(new)
+        pieces = [whole[i : i + RUN] for i in start.tolist()]
+        rows = ["".join(pieces[i:j]) for i, j in zip(head.tolist(), [*head[1:].tolist(), len(pieces)])]
+        yield _sent(b, p, text[head], shard[head], rows)
 
 
 def _windows(batches: Iterator[pa.RecordBatch], sketch, shards: int) -> Iterator[pa.RecordBatch]:
@@ -141,9 +226,8 @@ def _windows(batches: Iterator[pa.RecordBatch], sketch, shards: int) -> Iterator
         texts = b.column(2).to_pylist()
         if not texts:
             continue
-        p = _Prefixes(texts, b.column(1).to_numpy(), sketch.value)
-        some = p.count > 0  # no evaluation record has the others
-        start, text, shard = p.start[some], p.text[some], (p.h[some] % np.uint64(shards)).astype(np.int64)
+        p = _Prefixes(texts, b.column(1).to_numpy(), *sketch.value)
+        start, text, shard = p.start, p.text, (p.h % np.uint64(shards)).astype(np.int64)
         order = np.lexsort([start, shard, text])
         start, text, shard = start[order], text[order], shard[order]
         whole = "".join(texts)
@@ -176,7 +260,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if where != place:
                 place, built, passages, records = where, False, {}, {}
             if side == 0:
-                passages.setdefault(text, []).append(no)
+                for i in range(0, len(text), RUN):
+                    passages.setdefault(text[i : i + RUN], []).append(no)
                 records[no] = n, taken, last
                 continue
             if not built:
@@ -245,25 +330,26 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], ["train", "eval", "similarity", "coverage"])
 
 
-def _body_hash() -> F.Column:
-    """128 bits over the terms one by one, so that ["a", "b"] and ["ab"] differ."""
-    return F.concat_ws("-", F.xxhash64("body"), F.xxhash64(F.lit(1), "body"))
-
-
-def _scanned(classes: DataFrame, counters: int) -> DataFrame:
+def _scanned(classes: DataFrame, counters: int, bits: int) -> DataFrame:
     """Candidates (train, eval) of classes ``no, train, eval, text, n``."""
     spark = classes.sparkSession
     shards = partitions(spark)
     counts = classes.where("eval").select("text").mapInArrow(lambda it: _sketch(it, counters), "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     sketch = np.zeros(counters, np.uint16)
     sketch[counts.column("counter").to_numpy()] = np.minimum(counts.column("n").to_numpy(), 65_535)
-    sent = spark.sparkContext.broadcast(sketch)
+    found = classes.select("train", "eval", "text").mapInArrow(lambda it: _presence(it, bits), "side int, bucket int, bits binary").groupBy("side", "bucket").agg(F.bitmap_or_agg("bits").alias("bits")).toArrow()
+    maps = np.zeros((2, bits // BUCKET, BUCKET // 8), np.uint8)
+    for side, bucket, x in zip(*(found.column(c).to_pylist() for c in ("side", "bucket", "bits"))):
+        maps[side, bucket] = np.frombuffer(x, np.uint8)
+    send = lambda side: spark.sparkContext.broadcast((sketch, maps[side].ravel()))
+    train, evaluation = send(0), send(1)
     fields = "shard int, no bigint, n bigint, taken bigint, last bigint, text string"
-    passages = persisted(classes.where("eval").select("no", "n", "text").mapInArrow(lambda it: _passages(it, sent, shards), fields), "passages")
-    windows = persisted(classes.where("train").select("no", "n", "text").mapInArrow(lambda it: _windows(it, sent, shards), fields), "windows")
+    passages = persisted(classes.where("eval").select("no", "n", "text").mapInArrow(lambda it: _passages(it, train, shards), fields), "passages")
+    windows = persisted(classes.where("train").select("no", "n", "text").mapInArrow(lambda it: _windows(it, evaluation, shards), fields), "windows")
     # A shard is a grid of places: its passages in as many pieces as automata of bounded size need, its windows in proportion to their number.
-    pieces = {r[0]: -(-r[1] // PASSAGES_PER_TASK) for r in passages.groupBy("shard").count().collect()}
-    loads = {r[0]: r[1] for r in windows.groupBy("shard").agg(F.sum(F.floor(F.length("text") / RUN) + 1)).collect()}
+    size = F.sum(F.floor(F.length("text") / RUN) + 1)
+    pieces = {r[0]: -(-r[1] // PASSAGES_PER_TASK) for r in passages.groupBy("shard").agg(size).collect()}
+    loads = {r[0]: r[1] for r in windows.groupBy("shard").agg(size).collect()}
     a = salt_count(F.col("shard"), {k: m for k, m in pieces.items() if m > 1})
     b = salt_count(F.col("shard"), salts(loads, sum(loads.values()), shards))
     own = lambda n: F.pmod(F.xxhash64("no"), n).cast("int")
@@ -278,10 +364,10 @@ def _scanned(classes: DataFrame, counters: int) -> DataFrame:
     return persisted(found.select("train", "eval"), "candidates")
 
 
-def cross_split_overlaps(bodies: DataFrame, splits: DataFrame, symbols: int = SYMBOLS, counters: int = SKETCH) -> tuple[DataFrame, DataFrame]:
+def cross_split_overlaps(bodies: DataFrame, splits: DataFrame, symbols: int = SYMBOLS, counters: int = SKETCH, bits: int = BITMAP) -> tuple[DataFrame, DataFrame]:
     """Near-same records between train and the evaluation splits.
 
-    bodies: ``key, body``; splits: ``key, split`` (train, validation, test or
+    bodies: ``key, h, body``; splits: ``key, split`` (train, validation, test or
     null). Returns the members ``key, no, train, eval`` of classes of equal
     bodies and the similar classes ``train, eval, similarity, coverage`` (class
     numbers). Keys with several bodies or splits belong to each; keys without
@@ -297,13 +383,15 @@ def cross_split_overlaps(bodies: DataFrame, splits: DataFrame, symbols: int = SY
     """
     flags = splits.where("key is not null and split is not null").groupBy("key").agg(F.max(F.col("split") == "train").alias("train"), F.max(F.col("split") != "train").alias("eval"))
     rows = bodies.where(F.size("body") >= RUN + LEAST_RUNS - 1).join(broadcast_if_small(flags), "key")
-    hashed = persisted(rows.select("key", "train", "eval", _body_hash().alias("h"), "body"), "bodies")
-    classes = hashed.groupBy("h").agg(F.max("train").alias("train"), F.max("eval").alias("eval"), F.first("body").alias("body"))
-    classes = classes.select(F.monotonically_increasing_id().alias("no"), "h", "train", "eval", "body")
-    fields = "no bigint, h string, train boolean, eval boolean, body array<string>"
+    hashed = persisted(rows.select(F.monotonically_increasing_id().alias("row"), "key", "train", "eval", "h", "body"), "bodies")
+    # One row stands for all of equal bodies, so that only its body goes on.
+    first = hashed.groupBy("h").agg(F.min("row").alias("no"), F.max("train").alias("train"), F.max("eval").alias("eval"))
+    first = broadcast_if_small(first)
+    classes = hashed.select(F.col("row").alias("no"), "body").join(first.select("no", "train", "eval"), "no").select("no", "train", "eval", "body")
+    fields = "no bigint, train boolean, eval boolean, body array<string>"
     classes = persisted(classes.mapInArrow(lambda it: _texts(it, symbols), f"{fields}, text string, n bigint").where(F.col("n") >= LEAST_RUNS), "classes")
-    members = skew_join(hashed.select("key", "train", "eval", "h").distinct(), classes.select("h", "no"), "h").drop("h")
-    found = _scanned(classes.select("no", "train", "eval", "text", "n"), counters)
+    members = skew_join(hashed.select("key", "train", "eval", "h").distinct(), first.select("h", "no"), "h").drop("h")
+    found = _scanned(classes.select("no", "train", "eval", "text", "n"), counters, bits)
     left = skew_join(found, classes.select(F.col("no").alias("train"), "n", F.col("body").alias("bt")), "train")
     both = skew_join(persisted(left, "left"), classes.select(F.col("no").alias("eval"), F.col("body").alias("be")), "eval")
     pairs = both.select("train", "eval", "n", "bt", "be").sortWithinPartitions("eval").mapInArrow(_verify, "train bigint, eval bigint, similarity double, coverage double")

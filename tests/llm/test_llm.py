@@ -183,7 +183,7 @@ def test_overlaps_over_many_shards(spark, monkeypatch):
     monkeypatch.setattr(overlaps, "PASSAGES_PER_TASK", 50)
     monkeypatch.setattr(skew, "ROWS_PER_TASK", 10)
     assert run() == one and one
-    assert run(symbols=7, counters=3) == one  # most terms collide: more candidates, the same pairs
+    assert run(symbols=7, counters=3, bits=1 << 15) == one  # most terms collide: more candidates, the same pairs
     per = {r.eval_key: r.n for r in overlaps.overlaps_per_key(*overlaps.cross_split_overlaps(b, s)).collect()}
     assert per == Counter(x if x % 2 == 0 else y for x, y in one)
 
