@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.registry import Registry
-from ..plans.runtime import table
+from ..plans.runtime import persisted, table
 from .splits import draw
 
 MAX_TOKENS, CONTEXT, EXTRA = 16_384, 1_024, 2
@@ -72,9 +72,10 @@ def unpadded(mask: Column) -> Column:
 
 
 def block_mask(packs: DataFrame, key: str, mask: str) -> DataFrame:
-    """``key, i, j``: pairs of positions that may see each other, both in one segment; as long as the sum of squared segment lengths."""
+    """``key, i, first, last``: each kept position with the range of positions that it may see, those of its segment; linear in the length."""
     s = packs.select(key, F.posexplode(segment_ids(F.col(mask))).alias("i", "s")).where("s is not null")
-    return s.join(s.select(key, F.col("i").alias("j"), "s"), [key, "s"]).select(key, "i", "j")
+    own = Window.partitionBy(key, "s")
+    return s.select(key, "i", F.min("i").over(own).alias("first"), F.max("i").over(own).alias("last"))
 
 
 def last_of_segments(values: Column, mask: Column) -> Column:
@@ -142,7 +143,7 @@ def _packs(spark, sf_dir: str) -> DataFrame:
 
 
 _PACKS = """WITH i AS (SELECT person_id, max(input_ids) AS ids FROM processed_dataset WHERE person_id IS NOT NULL AND input_ids IS NOT NULL GROUP BY 1),
-l AS (SELECT person_id, person_id // 8 AS pack, list_concat(ids, [3, 0]) AS p FROM i WHERE len(ids) BETWEEN 1 AND 256),
+l AS (SELECT person_id, person_id // 8 AS pack, list_concat(ids, [3, 0]) AS p FROM i WHERE len(ids) >= 1),
 e AS (SELECT person_id, pack, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS id, len(p) AS n FROM l),
 f AS (SELECT *, row_number() OVER (PARTITION BY pack ORDER BY person_id, pos) - 1 AS i, (pos < n - 1)::INT AS m, dense_rank() OVER (PARTITION BY pack ORDER BY person_id) - 1 AS seg FROM e)"""
 
@@ -171,9 +172,24 @@ def segment_last_tokens(spark, sf_dir: str) -> DataFrame:
 @R.query("block_mask_counts", _PACKS + ", g AS (SELECT pack, seg, count(*) AS n FROM f WHERE m = 1 GROUP BY ALL) SELECT pack, sum(n * n) AS n_pairs FROM g GROUP BY 1")
 def block_mask_counts(spark, sf_dir: str) -> DataFrame:
     """Visible pairs of positions in each pack."""
-    s = F.filter(segment_ids(F.col("attention_mask")), lambda x: x.isNotNull())
-    e = _packs(spark, sf_dir).select("pack", F.explode(s).alias("s")).groupBy("pack", "s").agg(F.count("*").alias("n"))
-    return e.groupBy("pack").agg(F.sum(F.col("n") * F.col("n")).alias("n_pairs"))
+    seen = block_mask(_packs(spark, sf_dir), "pack", "attention_mask")
+    return seen.groupBy("pack").agg(F.sum(F.col("last") - F.col("first") + 1).cast("bigint").alias("n_pairs"))
+
+
+@R.query("packed_batches", f"WITH i AS (SELECT person_id, max(input_ids) AS ids FROM processed_dataset WHERE person_id IS NOT NULL AND input_ids IS NOT NULL GROUP BY 1) SELECT person_id, least(len(ids), {CONTEXT}) + 1 AS n_tokens, array_to_string(list_concat(ids[:{CONTEXT}], [{END_ID}]), ' ') AS ids FROM i")
+def packed_batches(spark, sf_dir: str) -> DataFrame:
+    """What stands in the batches of next_fit after they were assembled: each sequence, cut at the context, as a segment of its batch."""
+    i = _ids(spark, sf_dir).withColumn("ids", F.slice("ids", 1, CONTEXT))
+    batch = ["rank", "run", "batch"]
+    to = next_fit(i.select("person_id", F.size("ids").alias("n")), "person_id", "n").select("person_id", *batch)
+    j = persisted(i.join(to, "person_id"), "batches")
+    persons = j.groupBy(*batch).agg(F.sort_array(F.collect_list("person_id")).alias("persons"))
+    packs = assemble(j, batch, "person_id", "ids").join(persons, batch)
+    u = unpadded(F.col("attention_mask"))
+    x = packs.select("persons", F.transform(u["indices"], lambda k: F.get("input_ids", k)).alias("kept"), u["offsets"].alias("at"))
+    each = x.select("kept", "at", F.posexplode("persons").alias("k", "person_id"))
+    first, last = F.get("at", F.col("k")), F.get("at", F.col("k") + 1)
+    return each.select("person_id", (last - first).alias("n_tokens"), F.array_join(F.slice("kept", first + 1, last - first), " ").alias("ids"))
 
 
 @R.query("segment_mean", "WITH e AS (SELECT vec_id // 8 AS pack, vec_id % 8 // 4 AS segment, label, generate_subscripts(embedding, 1) AS d, unnest(embedding) AS v FROM embeddings), m AS (SELECT pack, segment, d, coalesce(avg(v::DOUBLE) FILTER (label % 2 = 1), 0) AS v FROM e GROUP BY ALL) SELECT pack, row_number() OVER (PARTITION BY pack ORDER BY segment) - 1 AS segment, round(sum(v), 4) AS total FROM m GROUP BY pack, m.segment")

@@ -245,7 +245,7 @@ def nn_distance(spark, sf_dir: str) -> DataFrame:
     return nearest(c["evaluation"], c["synthetic"]).select("id", "dist")
 
 
-@R.query("nn_self_distance", _V + _pairs("ev", "ev", "n", True) + " SELECT * FROM n")
+@R.query("nn_self_distance", _V + _pairs("v", "v", "n", True) + " SELECT * FROM n")
 def nn_self_distance(spark, sf_dir: str) -> DataFrame:
     c = _cohorts(spark, sf_dir)
     return nearest(c["all"], c["all"], other=True).select("id", "dist")
@@ -273,7 +273,19 @@ def _array(concepts: list[str]) -> Column:
     return F.array(*[F.lit(x) for x in concepts]).cast("array<string>")
 
 
-def majority(rows: DataFrame, share: float = 0.2) -> list[str]:
+#: Share of the persons from which a concept counts as one of the common attributes of these tables.
+COMMON = 0.2
+
+
+def prevalence(rows: DataFrame) -> DataFrame:
+    """``concept_id, n, prevalence, is_majority``: the share of the rows that have each concept, and whether half of them do."""
+    total = rows.agg(F.count("*").alias("total"))
+    n = rows.select(F.explode(F.array_distinct("concepts")).alias("concept_id")).groupBy("concept_id").agg(F.count("*").alias("n"))
+    share = F.col("n") / F.col("total")
+    return n.join(F.broadcast(total), F.lit(True)).select("concept_id", "n", share.alias("prevalence"), (share >= WIDESPREAD).alias("is_majority"))
+
+
+def majority(rows: DataFrame, share: float = COMMON) -> list[str]:
     """Concepts in at least ``share`` of the rows: at most mean set size / share of them."""
     n = rows.count()
     return sorted(r[0] for r in rows.select(F.explode("concepts").alias("c")).groupBy("c").count().where(F.col("count") >= share * n).select("c").collect())
@@ -282,12 +294,10 @@ def majority(rows: DataFrame, share: float = 0.2) -> list[str]:
 _COMMON = ", k AS (SELECT x FROM (SELECT unnest(c) AS x FROM v) GROUP BY x HAVING count(*) >= 0.2 * (SELECT count(*) FROM v))"
 
 
-@R.query("majority_attributes", _V + _COMMON + " SELECT x AS concept_id FROM k")
+@R.query("majority_attributes", _V + f", k AS (SELECT unnest(c) AS concept_id FROM v), n AS (SELECT concept_id, count(*) AS n, count(*) / (SELECT count(*) FROM v) AS prevalence FROM k GROUP BY 1) SELECT *, prevalence >= {WIDESPREAD} AS is_majority FROM n")
 def majority_attributes(spark, sf_dir: str) -> DataFrame:
-    """Concepts that a fifth of the persons have."""
-    c = _cohorts(spark, sf_dir)["all"]
-    n = c.count()
-    return c.select(F.explode("concepts").alias("concept_id")).groupBy("concept_id").count().where(F.col("count") >= 0.2 * n).select("concept_id")
+    """The share of the persons that have each concept, and whether half of them do."""
+    return prevalence(_cohorts(spark, sf_dir)["all"])
 
 
 @R.query("attribute_inference_f1", _V + _COMMON + """, kl AS (SELECT list(x) AS l FROM k), w AS (SELECT id, age, gender, race, u, list_intersect(c, l) AS c, [q FOR q IN c IF NOT list_contains(l, q)] AS z FROM v, kl),
@@ -316,33 +326,38 @@ def _reid(spark, sf_dir: str) -> dict[str, DataFrame]:
     return {"all": rows, "population": rows.where("u < 0.6"), "sample": rows.where("u < 0.3"), "synthetic": rows.where("u >= 0.6")}
 
 
-_REID = tk.SEQUENCES_SQL + """, o AS (SELECT person_id AS id, max(t) AS t FROM s WHERE len(t) > 4 GROUP BY 1),
-d AS (SELECT id, coalesce(TRY_CAST(substr(t[2], 5) AS INT), -1) AS a, t[3] AS gender, t[4] AS race, list_sort(list_distinct([x FOR x IN t[5:] IF regexp_matches(x, '^[0-9]+$')])) AS c FROM o),
-e AS (SELECT *, (('0x' || substr(md5(concat_ws('|', id::VARCHAR, '12')), 1, 12))::BIGINT + 0.5) / 281474976710656.0 AS u FROM d WHERE a >= 0),
-k AS (SELECT x FROM (SELECT unnest(c) AS x FROM e) GROUP BY x HAVING count(*) >= 0.2 * (SELECT count(*) FROM e) ORDER BY x LIMIT 3),
-kl AS (SELECT list(x) AS l FROM k), q AS (SELECT id, u, ceil(a / 10.0) AS age, gender, race, array_to_string([x FOR x IN c IF list_contains(l, x)], ' ') AS common, [x FOR x IN c IF NOT list_contains(l, x)] AS z FROM e, kl),
-po AS (SELECT age, gender, race, common, count(*) AS n FROM q WHERE u < 0.6 GROUP BY ALL), sa AS (SELECT age, gender, race, common, count(*) AS n FROM q WHERE u < 0.3 GROUP BY ALL)"""
+_REID = tk.SEQUENCES_SQL + f""", o AS (SELECT person_id AS id, max(t) AS t FROM s WHERE len(t) > 4 GROUP BY 1),
+d AS (SELECT id, coalesce(TRY_CAST(substr(t[2], 5) AS INT), -1) AS age, coalesce(t[3], '') AS gender, coalesce(t[4], '') AS race, list_sort(list_distinct([x FOR x IN t[5:] IF regexp_matches(x, '^[0-9]+$')])) AS c FROM o),
+e AS (SELECT *, (('0x' || substr(md5(concat_ws('|', id::VARCHAR, '12')), 1, 12))::BIGINT + 0.5) / 281474976710656.0 AS u FROM d WHERE age >= 0),
+k AS (SELECT x, (row_number() OVER (ORDER BY x) - 1) % {GROUPS} AS g FROM (SELECT unnest(c) AS x FROM e) GROUP BY x HAVING count(*) >= 0.2 * (SELECT count(*) FROM e)),
+kl AS (SELECT list(x) AS l, [{", ".join(f"coalesce(list(x) FILTER (g = {i}), [])" for i in range(GROUPS))}] AS gl FROM k),
+q AS (SELECT id, u, age, gender, race, [array_to_string([x FOR x IN c IF list_contains(y, x)], ' ') FOR y IN gl] AS groups, [x FOR x IN c IF NOT list_contains(l, x)] AS z FROM e, kl),
+nodes AS (SELECT lv || '00' || array_to_string(keep, '') AS node, CASE lv WHEN 0 THEN {AGE_BASES[0]} ELSE {AGE_BASES[1]} END AS base, keep FROM (SELECT unnest([0, 1]) AS lv), (SELECT [(m >> ({GROUPS - 1} - i)) & 1 FOR i IN range({GROUPS})] AS keep FROM range({1 << GROUPS}) r(m)) WHERE lv + list_sum(keep) > 0)"""
+_AT_NODE = f"node, ceil(age / base::DOUBLE) AS age, gender, race, [CASE keep[i] WHEN 1 THEN groups[i] ELSE '*' END FOR i IN range(1, {GROUPS + 1})] AS common"
 
 
-@R.query("equivalence_class_size", _REID + " SELECT n AS size, count(*) AS n_classes FROM po GROUP BY 1")
+@R.query("equivalence_class_size", _REID + f", po AS (SELECT count(*) AS n FROM q GROUP BY ceil(age / {AGE_BASES[0]}::DOUBLE), gender, race, groups) SELECT n AS size, count(*) AS n_classes FROM po GROUP BY 1")
 def equivalence_class_size(spark, sf_dir: str) -> DataFrame:
     """How many classes of persons have which size."""
     rows = quasi_identifiers(_reid(spark, sf_dir)["all"], AGE_BASES[0])
     return class_sizes(rows).groupBy(F.col("n").alias("size")).agg(F.count("*").alias("n_classes"))
 
 
-@R.query("reid_risk", _REID + """, nw AS (SELECT a.id, max(len(list_intersect(a.z, b.z))) > 5 AS w FROM q a JOIN q b USING (age, gender, race, common) WHERE a.u < 0.3 AND b.u >= 0.6 AND len(a.z) >= 5 AND len(b.z) >= 5 GROUP BY a.id)
-SELECT sum(1.23 / 2 / sa.n * coalesce(w, false)::INT) / (SELECT count(*) FROM q WHERE u < 0.6) AS a_term, sum(1.23 / 2 / po.n * coalesce(w, false)::INT) / (SELECT count(*) FROM q WHERE u < 0.3) AS b_term
-FROM q JOIN sa USING (age, gender, race, common) JOIN po USING (age, gender, race, common) LEFT JOIN nw USING (id) WHERE u < 0.3""")
+@R.query("reid_risk", _REID + f""", kn AS (SELECT x FROM (SELECT unnest(z) AS x FROM q WHERE u < 0.3) GROUP BY x HAVING count(*) >= {WIDESPREAD} * (SELECT count(*) FROM q WHERE u < 0.3)), kz AS (SELECT coalesce(list(x), []) AS l FROM kn),
+a AS (SELECT id, age, ceil(age / {AGE_BASES[0]}::DOUBLE) AS wide, gender, race, groups, [x FOR x IN z IF NOT list_contains(l, x)] AS z FROM q, kz WHERE u < 0.3),
+b AS (SELECT age, ceil(age / {AGE_BASES[0]}::DOUBLE) AS wide, gender, race, groups, z FROM q WHERE u >= 0.6 AND len(z) >= {SENSITIVE_MATCHES}),
+pr AS (SELECT DISTINCT a.id, a.age = b.age AS exact, [(a.groups[i] <> b.groups[i])::INT FOR i IN range(1, {GROUPS + 1})] AS differ FROM a JOIN b USING (wide, gender, race) WHERE len(a.z) >= {SENSITIVE_MATCHES} AND len(list_intersect(a.z, b.z)) > {SENSITIVE_MATCHES}),
+nw AS (SELECT DISTINCT id, node FROM pr, nodes WHERE (exact OR base > 1) AND len([i FOR i IN range(1, {GROUPS + 1}) IF keep[i] = 1 AND differ[i] = 1]) = 0),
+po AS (SELECT {_AT_NODE}, count(*) AS n FROM q, nodes WHERE u < 0.6 GROUP BY ALL), sn AS (SELECT id, {_AT_NODE} FROM q, nodes WHERE u < 0.3), sa AS (SELECT node, age, gender, race, common, count(*) AS n FROM sn GROUP BY ALL),
+t AS (SELECT node, sum({(1 + LAMBDA) / 2} / sa.n) AS a, sum({(1 + LAMBDA) / 2} / po.n) AS b FROM nw JOIN sn USING (id, node) JOIN sa USING (node, age, gender, race, common) JOIN po USING (node, age, gender, race, common) GROUP BY 1)
+SELECT node, coalesce(a, 0) / (SELECT count(*) FROM q WHERE u < 0.6) AS a_term, coalesce(b, 0) / (SELECT count(*) FROM q WHERE u < 0.3) AS b_term FROM nodes LEFT JOIN t USING (node)""")
 def reid_risk_query(spark, sf_dir: str) -> DataFrame:
     """Risk at every node of the lattice, with the operator's own threshold."""
     c = _reid(spark, sf_dir)
     return reid_risk(c["sample"], c["population"], c["synthetic"])
 
 
-@R.query("lattice_counts", _REID + """, g AS (SELECT unnest([1, 10]) AS age_base, unnest([0, 1]) AS lv), h AS (SELECT unnest([true, false]) AS use_gender), r AS (SELECT unnest([true, false]) AS use_race),
-b AS (SELECT age_base, use_gender, use_race, ceil(a / age_base::DOUBLE) AS age, CASE WHEN use_gender THEN gender ELSE '*' END AS gender, CASE WHEN use_race THEN race ELSE '*' END AS race, count(*) AS n FROM e, g, h, r GROUP BY ALL)
-SELECT age_base, use_gender, use_race, count(*) AS n_classes, min(n) AS smallest, sum((n = 1)::INT) AS n_unique FROM b GROUP BY 1, 2, 3""")
+@R.query("lattice_counts", _REID + f", b AS (SELECT {_AT_NODE}, count(*) AS n FROM q, nodes GROUP BY ALL) SELECT node, count(*) AS n_classes, min(n) AS smallest, sum((n = 1)::INT) AS n_unique FROM b GROUP BY 1")
 def lattice_counts(spark, sf_dir: str) -> DataFrame:
     """Classes of every node of the lattice, all from one scan: the nodes are exploded into the grouping key."""
     g = lattice_sizes(_reid(spark, sf_dir)["all"])

@@ -60,14 +60,22 @@ def draw_next(df: DataFrame, contexts: DataFrame, seed: int = 0) -> DataFrame:
     return u.join(t, "context").where((F.col("lo") <= F.col("u")) & (F.col("u") < F.col("hi"))).select("key", "context", "token")
 
 
+#: Times of the simulation run from 0 to one less; so do the days between the two marks.
+TIMES = 21
+
+
 def simulated(spark, n: int, seed: int = 0) -> DataFrame:
-    """``id, x1, x2, t1, t2, y``: two binary marks at two times, and a label by nested rules on the marks and the time between them."""
+    """``id, x1, x2, t1, t2, y``: two binary marks at two times, and a label by rules on the marks and the days d between them.
+
+    A first mark of 1 with d divisible by 4 asks for a second mark of 0, one of 0 with d divisible by 3 for a second mark of 1;
+    else either but not both count up to 7 days, both up to 14 and any up to 21.
+    """
     # The rules' inputs come from hashes, so every cluster makes the same table.
     pick = lambda name, k: F.floor(uniform("id", seed=seed * 10 + name) * k).cast("int")
-    r = spark.range(n).select("id", pick(1, 2).alias("x1"), pick(2, 2).alias("x2"), pick(3, 50).alias("t1"), (pick(3, 50) + pick(4, 50)).alias("t2"))
-    d = F.col("t2") - F.col("t1")
-    both, any_, odd = (F.col("x1") == 1) & (F.col("x2") == 1), (F.col("x1") == 1) | (F.col("x2") == 1), F.col("x1") != F.col("x2")
-    y = F.when(d % 4 == 0, both).when(d % 3 == 0, any_).when(d < 25, odd).otherwise(~odd)
+    r = spark.range(n).select("id", pick(1, 2).alias("x1"), pick(2, 2).alias("x2"), pick(3, TIMES).alias("t1"), (pick(3, TIMES) + pick(4, TIMES)).alias("t2"))
+    d, x1, x2 = F.col("t2") - F.col("t1"), F.col("x1"), F.col("x2")
+    y = F.when((x1 == 1) & (d % 4 == 0), 1 - x2).when((x1 == 0) & (d % 3 == 0), x2)
+    y = y.when(d <= 7, x1.bitwiseXOR(x2)).when(d <= 14, x1.bitwiseAND(x2)).when(d <= 21, x1.bitwiseOR(x2)).otherwise(0)
     return r.withColumn("y", y.cast("int"))
 
 
@@ -129,18 +137,22 @@ def _u(name: int, n: int) -> str:
     return f"CAST(floor((('0x' || substr(md5(concat_ws('|', id::VARCHAR, '{name}')), 1, 12))::BIGINT + 0.5) / 281474976710656.0 * {n}) AS INT)"
 
 
-@R.query("simulation_rules", f"""WITH i AS (SELECT id FROM range(20000) r(id)), r AS (SELECT id, {_u(1, 2)} AS x1, {_u(2, 2)} AS x2, {_u(3, 50)} AS t1, {_u(3, 50)} + {_u(4, 50)} AS t2 FROM i)
-SELECT *, (CASE WHEN (t2 - t1) % 4 = 0 THEN x1 = 1 AND x2 = 1 WHEN (t2 - t1) % 3 = 0 THEN x1 = 1 OR x2 = 1 WHEN t2 - t1 < 25 THEN x1 <> x2 ELSE x1 = x2 END)::INT AS y FROM r""")
+_SIMULATED = f"WITH i AS (SELECT id FROM range(20000) r(id)), r AS (SELECT id, {_u(1, 2)} AS x1, {_u(2, 2)} AS x2, {_u(3, TIMES)} AS t1, {_u(3, TIMES)} + {_u(4, TIMES)} AS t2 FROM i)"
+
+
+@R.query("simulation_rules", _SIMULATED + """ SELECT *, CASE WHEN x1 = 1 AND (t2 - t1) % 4 = 0 THEN (x2 = 0)::INT WHEN x1 = 0 AND (t2 - t1) % 3 = 0 THEN (x2 = 1)::INT
+WHEN t2 - t1 <= 7 THEN (x1 <> x2)::INT WHEN t2 - t1 <= 14 THEN (x1 = 1 AND x2 = 1)::INT WHEN t2 - t1 <= 21 THEN (x1 = 1 OR x2 = 1)::INT ELSE 0 END AS y FROM r""")
 def simulation_rules(spark, sf_dir: str) -> DataFrame:
     return simulated(spark, 20_000)
 
 
-@R.query("simulation_token_ids", f"""WITH i AS (SELECT id FROM range(20000) r(id)), r AS (SELECT id, {_u(1, 2)} AS x1, {_u(4, 50)} AS d, {_u(2, 2)} AS x2 FROM i), t AS (SELECT id * 3 AS p, 'x1_' || x1 AS token FROM r UNION ALL SELECT id * 3 + 1, 'd_' || d FROM r UNION ALL SELECT id * 3 + 2, 'x2_' || x2 FROM r), f AS (SELECT token, min(p) AS p FROM t GROUP BY 1)
+@R.query("simulation_token_ids", _SIMULATED + """, t AS (SELECT id * 4 AS p, 'c-' || x1 AS token FROM r UNION ALL SELECT id * 4 + 1, 'c-' || x2 FROM r UNION ALL SELECT id * 4 + 2, 't-' || t1 FROM r UNION ALL SELECT id * 4 + 3, 't-' || t2 FROM r), f AS (SELECT token, min(p) AS p FROM t GROUP BY 1)
 SELECT token, row_number() OVER (ORDER BY p, token) AS id FROM f""")
 def simulation_token_ids(spark, sf_dir: str) -> DataFrame:
+    """Ids of marks and times in the order in which rows show them: both marks, then both times."""
     s = simulated(spark, 20_000)
-    parts = F.posexplode(F.array(F.concat(F.lit("x1_"), "x1"), F.concat(F.lit("d_"), F.col("t2") - F.col("t1")), F.concat(F.lit("x2_"), "x2"))).alias("k", "token")
-    return ids_by_first_place(s.select("id", parts).select("token", (F.col("id") * 3 + F.col("k")).alias("place")), "token", "place")
+    parts = F.posexplode(F.array(*[F.concat(F.lit(f"{k}-"), c) for k, c in (("c", "x1"), ("c", "x2"), ("t", "t1"), ("t", "t2"))])).alias("k", "token")
+    return ids_by_first_place(s.select("id", parts).select("token", (F.col("id") * 4 + F.col("k")).alias("place")), "token", "place")
 
 
 @R.query("aligned_metrics", f"WITH i AS (SELECT id FROM range(20000) r(id)), r AS (SELECT id // 100 AS step, {_u(1, 2)} AS x1, {_u(2, 2)} AS x2, id FROM i) SELECT a.step, a.v AS value_a, b.v AS value_b FROM (SELECT step, avg(x1) AS v FROM r GROUP BY 1) a JOIN (SELECT step, avg(x2) AS v FROM r WHERE step % 2 = 0 GROUP BY 1) b USING (step)")

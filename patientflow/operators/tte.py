@@ -26,7 +26,7 @@ class TaskConfig:
     future_visit_end: int = -1
     prediction_window_start: int = 0
     prediction_window_end: int = 365
-    max_new_tokens: int = 512
+    max_new_tokens: int = 128
 
     @classmethod
     def from_file(cls, path: str) -> TaskConfig:
@@ -42,6 +42,14 @@ def descendants(outcomes: DataFrame, ancestor: DataFrame) -> DataFrame:
     return outcomes.select("concept").union(down.select(F.col("descendant_concept_id").cast("string"))).distinct()
 
 
+def outcomes_of(task: TaskConfig, spark, ancestor: DataFrame | None = None) -> list[str]:
+    """The task's outcomes and, if it includes descendants, those of the closure table: at most the vocabulary."""
+    if not task.include_descendants or ancestor is None:
+        return sorted({*task.outcome_events})
+    given = spark.createDataFrame([(x,) for x in task.outcome_events], "concept string")
+    return sorted(r[0] for r in descendants(given, ancestor).collect())
+
+
 def first_hit(tokens: Column, outcomes: list[str], task: TaskConfig) -> Column:
     """``struct(event, days)`` of a continuation: the first outcome in the window, ``0`` if censored before, null if neither.
 
@@ -102,14 +110,25 @@ def without_done(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame
     return todo.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def prompt_truncation(c: Column, most: int, header: int = 4) -> Column:
-    """The header and the most recent tokens from a visit start on, at most ``most`` in all."""
+def prompt_truncation(c: Column, most: int, header: int = 0) -> Column:
+    """The most recent ``most`` tokens from their first visit start on; shorter sequences stay whole.
+
+    ``header`` tokens of the start are kept before them, within ``most``; usually none are.
+    """
     tail = F.slice(c, -(most - header), most - header)
     at = F.array_position(F.transform(tail, lambda x: F.when(tk.is_visit_start(x), "s").otherwise("")), "s").cast("int")
     cut = F.when(at > 0, F.slice(tail, at, most)).otherwise(tail)
-    return F.when(F.size(c) <= most, c).otherwise(F.concat(F.slice(c, 1, header), cut))
+    return F.when(F.size(c) < most, c).otherwise(F.concat(F.slice(c, 1, header), cut) if header else cut)
 
 
+# The prediction tasks.
+TASKS = [
+    TaskConfig("cabg_prediction", ["43528001", "43528003", "43528004", "43528002", "4305852", "4168831", "2107250", "2107216", "2107222", "2107231", "4336464", "4231998", "4284104", "2100873"], True, 0, -1, 0, 365, 1024),
+    TaskConfig("30_day_readmission_prediction", ["9201", "262", "8971", "8920"], False, 0, -1, 0, 30, 128),
+    TaskConfig("next_visit_type_prediction", ["9202", "9203", "581477", "9201", "5083", "262", "38004250", "8883", "38004238", "38004251", "38004222", "38004268", "38004228", "32693", "8971", "38004269", "38004193", "32036", "8782"], False, 0, 1),
+    TaskConfig("t2dm_hf_prediction", ["316139"], True, 0, -1, 30, -1, 512),
+]
+
 R = Registry()
 READMISSION = TaskConfig("readmission", ["9201", "262"], future_visit_start=1, prediction_window_end=365)
 _LONG = SEQUENCES_SQL + """, i AS (SELECT row_number() OVER () AS rn, person_id, t[5:] AS t FROM s), e AS (SELECT rn, person_id, generate_subscripts(t, 1) AS p, unnest(t) AS x FROM i WHERE len(t) > 0),
@@ -169,6 +188,41 @@ def resume_anti_join(spark, sf_dir: str) -> DataFrame:
     return without_done(todo, done, ["person_id", "condition_start_date"])
 
 
-@R.query("tte_prompts", SEQUENCES_SQL + ", l AS (SELECT person_id, t, list_position([CASE WHEN x IN ('VS', '[VS]') THEN 's' ELSE '' END FOR x IN list_slice(t, len(t) - 59, len(t))], 's') AS k FROM s) SELECT person_id, array_to_string(CASE WHEN len(t) <= 64 THEN t ELSE list_concat(t[:4], list_slice(t, len(t) - 60 + greatest(coalesce(k, 0), 1), len(t))) END, ' ') AS t FROM l")
+def _closure(spark, sf_dir: str) -> DataFrame:
+    """A stand-in for the closure table: each task's first outcome has the concepts of one domain below it."""
+    c = table(spark, sf_dir, "concept").where("concept_id is not null").select("domain_id", F.col("concept_id").alias("descendant_concept_id")).distinct()
+    roots = F.when(F.col("domain_id") == "Procedure", 43528001).when(F.col("domain_id") == "Condition", 316139).cast("bigint")
+    return c.select(roots.alias("ancestor_concept_id"), "descendant_concept_id").where("ancestor_concept_id is not null")
+
+
+def _task_sql(task: TaskConfig) -> str:
+    """(task, person_id, event, days) of one task over the tokens ``w`` with visit number v and days before."""
+    beyond = " OR ".join([f"v > {task.future_visit_end}"] * (task.future_visit_end != -1) + [f"before > {task.prediction_window_end}"] * (task.prediction_window_end != -1)) or "false"
+    given = ", ".join(f"'{x}'" for x in task.outcome_events)
+    domain = {"cabg_prediction": "Procedure", "t2dm_hf_prediction": "Condition"}.get(task.task_name, "") if task.include_descendants else ""
+    hit = f"(x IN ({given}) OR x IN (SELECT concept_id::VARCHAR FROM concept WHERE domain_id = '{domain}' AND concept_id IS NOT NULL))"
+    open_ = task.future_visit_end == -1 and task.prediction_window_end == -1
+    return f"""SELECT '{task.task_name}' AS task, person_id, CASE WHEN o IS NULL OR c <= o THEN '0' ELSE (SELECT any_value(x) FROM w y WHERE y.rn = h.rn AND y.p = h.o) END AS event,
+ CASE WHEN c IS NULL AND o IS NULL THEN total ELSE (SELECT any_value(before) FROM w y WHERE y.rn = h.rn AND y.p = least(coalesce(c, o), coalesce(o, c))) END AS days
+FROM (SELECT rn, person_id, min(p) FILTER ({beyond}) AS c, min(p) FILTER (NOT att AND v >= {task.future_visit_start} AND before >= {task.prediction_window_start} AND {hit}) AS o, sum(CASE WHEN att THEN n ELSE 0 END) AS total FROM w GROUP BY ALL) h
+WHERE {'true' if open_ else 'c IS NOT NULL OR o IS NOT NULL'}"""
+
+
+@R.query("tte_tasks", _LONG[: _LONG.index("h AS (SELECT rn")].rstrip().rstrip(",") + ", a AS (" + " UNION ALL ".join(map(_task_sql, TASKS)) + ") SELECT task, person_id, event, CAST(days AS BIGINT) AS days FROM a")
+def tte_tasks(spark, sf_dir: str) -> DataFrame:
+    """First hit or censoring of every recorded sequence for each prediction task, outcomes with their descendants where the task says so."""
+    s = sequences(spark, sf_dir).select("person_id", F.slice("t", 5, F.greatest(F.size("t"), F.lit(1))).alias("t")).where("size(t) > 0")
+    closure = _closure(spark, sf_dir)
+    each = F.array(*[F.struct(F.lit(x.task_name).alias("task"), first_hit(F.col("t"), outcomes_of(x, spark, closure), x).alias("h")) for x in TASKS])
+    return s.select("person_id", F.explode(each).alias("x")).where("x.h is not null").select("x.task", "person_id", "x.h.event", F.col("x.h.days").cast("bigint").alias("days"))
+
+
+@R.query("tte_prompts", SEQUENCES_SQL + ", l AS (SELECT person_id, t, list_position([CASE WHEN x IN ('VS', '[VS]') THEN 's' ELSE '' END FOR x IN list_slice(t, len(t) - 63, len(t))], 's') AS k FROM s) SELECT person_id, array_to_string(CASE WHEN len(t) < 64 THEN t ELSE list_slice(t, len(t) - 64 + greatest(coalesce(k, 0), 1), len(t)) END, ' ') AS t FROM l")
 def tte_prompts(spark, sf_dir: str) -> DataFrame:
     return sequences(spark, sf_dir).select("person_id", F.array_join(prompt_truncation(F.col("t"), 64), " ").alias("t"))
+
+
+@R.query("tte_prompts_with_header", SEQUENCES_SQL + ", l AS (SELECT person_id, t, list_position([CASE WHEN x IN ('VS', '[VS]') THEN 's' ELSE '' END FOR x IN list_slice(t, len(t) - 59, len(t))], 's') AS k FROM s) SELECT person_id, array_to_string(CASE WHEN len(t) < 64 THEN t ELSE list_concat(t[:4], list_slice(t, len(t) - 60 + greatest(coalesce(k, 0), 1), len(t))) END, ' ') AS t FROM l")
+def tte_prompts_with_header(spark, sf_dir: str) -> DataFrame:
+    """As tte_prompts, with the four header tokens before the most recent ones."""
+    return sequences(spark, sf_dir).select("person_id", F.array_join(prompt_truncation(F.col("t"), 64, 4), " ").alias("t"))
