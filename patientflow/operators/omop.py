@@ -185,8 +185,10 @@ class OmopTables:
         domain = F.coalesce("domain", F.get(F.array(other[c.cast("int")]), F.lit(0)))
         known = F.coalesce("known", F.lit(False)) | c.isin(*OTHER_DOMAINS)
         bad = (F.col("kind") == "bad") | ((F.col("kind") == "event") & ~known) | ((F.col("kind") == "visit") & (c != 0) & ~(F.coalesce("known", F.lit(False)) & (F.coalesce("domain", F.lit("")) == "Visit")))
-        self.all = persisted(joined.select("key", "pos", "kind", "visit", "concept", "time", "until", "number", "unit", domain.alias("domain"), bad.alias("bad")), "facts")
-        self.rejected = self.all.where("bad").groupBy("key").agg(F.min_by("kind", "pos").alias("kind"), F.min("pos").alias("pos"))
+        # Written once, a folder for each kind and domain, so that every table reads its own rows only.
+        part = F.when(bad, "bad").when(F.col("kind") == "event", F.concat(F.lit("event-"), F.coalesce(domain, F.lit("")))).otherwise(F.col("kind"))
+        self.all = persisted(joined.select("key", "pos", "kind", "visit", "concept", "time", "until", "number", "unit", domain.alias("domain"), part.alias("part")), "facts", by="part")
+        self.rejected = self.all.where("part = 'bad'").groupBy("key").agg(F.min_by("kind", "pos").alias("kind"), F.min("pos").alias("pos"))
         self.good = self.all.join(self.rejected.select("key"), "key", "left_anti")
 
     def person(self) -> DataFrame:
@@ -197,15 +199,15 @@ class OmopTables:
 
     def visits(self) -> DataFrame:
         """``person_id, visit, visit_concept_id, start, end, discharged_to_concept_id``; only stays have an end and discharge of their own."""
-        v = self.good.where("kind = 'visit'")
+        v = self.good.where("part = 'visit'")
         is_discharge = (F.col("domain") == "Visit") | F.col("concept").isin(*DISCHARGES)
-        d = self.good.where((F.col("kind") == "event") & is_discharge).groupBy("key", "visit").agg(F.max_by("concept", "pos").alias("d"))
+        d = self.good.where(F.col("part").startswith("event-") & is_discharge).groupBy("key", "visit").agg(F.max_by("concept", "pos").alias("d"))
         j = v.join(d, ["key", "visit"], "left")
         stay = F.col("until").isNotNull()
         return j.select(F.col("key").alias("person_id"), "visit", F.col("concept").alias("visit_concept_id"), F.col("time").alias("visit_start_datetime"), F.coalesce("until", "time").alias("visit_end_datetime"), F.when(stay, F.coalesce("d", F.lit(0))).otherwise(0).cast("bigint").alias("discharged_to_concept_id"), F.lit(VISIT_TYPE).alias("visit_type_concept_id"))
 
     def events(self, domain: str) -> DataFrame:
-        e = self.good.where((F.col("kind") == "event") & (F.col("domain") == domain) & ~F.col("concept").isin(*DISCHARGES))
+        e = self.good.where((F.col("part") == f"event-{domain}") & ~F.col("concept").isin(*DISCHARGES))
         return e.select(F.col("key").alias("person_id"), "visit", "pos", F.col("concept").alias("concept_id"), F.col("time").alias("datetime"), "number", "unit")
 
     def conditions(self) -> DataFrame:
@@ -222,7 +224,7 @@ class OmopTables:
 
     def deaths(self) -> DataFrame:
         """One per person, the last."""
-        return self.good.where("kind = 'death'").groupBy("key").agg(F.max(F.struct("pos", "time", "concept")).alias("d")).select(F.col("key").alias("person_id"), F.col("d.time").cast("date").alias("death_date"), F.col("d.concept").alias("death_type_concept_id"))
+        return self.good.where("part = 'death'").groupBy("key").agg(F.max(F.struct("pos", "time", "concept")).alias("d")).select(F.col("key").alias("person_id"), F.col("d.time").cast("date").alias("death_date"), F.col("d.concept").alias("death_type_concept_id"))
 
     def with_ids(self, df: DataFrame, name: str, order: list[str]) -> DataFrame:
         """Adds a dense key from 1 over all partitions."""
@@ -310,6 +312,24 @@ def sequence_bad_persons(spark, sf_dir: str) -> DataFrame:
     return omop_tables(spark, sf_dir).rejected.select(F.col("key").alias("person_id"))
 
 
+@R.query("rejected_sequences", _FACTS + "SELECT person_id, array_to_string(list_concat([y0, a0, g0, r0], [q.c FOR q IN z]), ' ') AS tokens FROM p WHERE person_id IN (FROM bad)")
+def rejected_sequences(spark, sf_dir: str) -> DataFrame:
+    """The sequences that the conversion rejects, without a closing [END]."""
+    t = omop_tables(spark, sf_dir)
+    tokens = F.when(F.get("t", F.size("t") - 1) == tk.END, F.slice("t", 1, F.size("t") - 1)).otherwise(F.col("t"))
+    return t.valid.join(t.rejected.select("key"), "key").select(F.col("key").alias("person_id"), F.array_join(tokens, " ").alias("tokens"))
+
+
+@R.query("conversion_totals", _FACTS + "SELECT (SELECT count(*) FROM p) AS n_sequences, (SELECT count(*) FROM bad) AS n_rejected, (SELECT count(*) FROM g WHERE visit) AS n_visits, (SELECT count(*) FROM g WHERE ev AND op IS NOT NULL) AS n_events")
+def conversion_totals(spark, sf_dir: str) -> DataFrame:
+    """Valid sequences, rejected ones, and visits and events of the others."""
+    t = omop_tables(spark, sf_dir)
+    n = t.valid.agg(F.count("*").alias("n_sequences"))
+    bad = t.rejected.agg(F.count("*").alias("n_rejected"))
+    made = t.good.agg(F.count_if(F.col("part") == "visit").alias("n_visits"), F.count_if(F.col("part").startswith("event-")).alias("n_events"))
+    return n.join(F.broadcast(bad), F.lit(True)).join(F.broadcast(made), F.lit(True))
+
+
 @R.query("visit_ids", _FACTS + "SELECT row_number() OVER (ORDER BY person_id, no) AS visit_occurrence_id, person_id, no AS visit FROM g WHERE visit")
 def visit_ids(spark, sf_dir: str) -> DataFrame:
     """Dense visit keys by person and visit."""
@@ -320,4 +340,4 @@ def visit_ids(spark, sf_dir: str) -> DataFrame:
 @R.query("domain_routing", _FACTS + "SELECT domain, count(*) AS n_events, count(DISTINCT person_id) AS n_persons FROM g WHERE ev AND op IS NOT NULL GROUP BY 1")
 def domain_routing(spark, sf_dir: str) -> DataFrame:
     """Events and persons per domain (null: a concept without domain)."""
-    return omop_tables(spark, sf_dir).good.where("kind = 'event'").groupBy("domain").agg(F.count("*").alias("n_events"), F.count_distinct("key").alias("n_persons"))
+    return omop_tables(spark, sf_dir).good.where("part like 'event-%'").groupBy("domain").agg(F.count("*").alias("n_events"), F.count_distinct("key").alias("n_persons"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
+from itertools import groupby, product
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import tokens as tk
 from ..functions.tokens import sequences
 from ..plans.registry import Registry
-from ..plans.runtime import new_path, partitions, persisted, table
+from ..plans.runtime import partitions, persisted, table
 from ..plans.skew import salted_join
 from .sequences import clinical_set, demographics
 
 MEMBER_THRESHOLD = 5.0
-#: Rows of the target that a task holds at once.
-BLOCK = 2_000
+#: Rows of the target, and of the source, that a task holds at once.
+BLOCK, SOURCE_ROWS = 2_000, 20_000
 
 
 def vectors(seqs: DataFrame, key: str, c: str) -> DataFrame:
@@ -51,46 +51,74 @@ class _Target:
         return (age - self.age) ** 2 + 2.0 * (self.gender != gender) + 2.0 * (self.race != race) + self.size + len(concepts) - 2 * both
 
 
-def _nearest(batches: Iterator[pa.RecordBatch], path: str, other: bool) -> Iterator[pa.RecordBatch]:
-    import pyarrow.dataset as ds
-    from pyarrow import fs
-
-    rows = [r for b in batches for r in b.to_pylist()]
-    best: list[tuple[float, int] | None] = [None] * len(rows)
-    where, base = (None, path) if "://" not in path else fs.FileSystem.from_uri(path)
-    for batch in ds.dataset(base, format="parquet", filesystem=where).to_batches(batch_size=BLOCK):
-        if not batch.num_rows:
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Iterator[pa.RecordBatch]]]:
+    """Rows sorted by (place, side) as each place's source rows (side 0) and its target rows (side 1) in blocks."""
+    runs = ((key, b.slice(i, j - i)) for b in batches if b.num_rows for key, i, j in _runs(b))
+    key, held = None, []
+    for place, group in groupby(runs, lambda x: x[0][0]):
+        key, held = None, []
+        blocks = groupby(group, lambda x: x[0][1])
+        key, first = next(blocks)
+        held = [b for _, b in first]
+        if key:  # no source row is here
+            continue
+        rest = next(blocks, None)
+        if rest is None:
             continue
-        target = _Target(pa.Table.from_batches([batch]))
-        for i, r in enumerate(rows):
-            d = np.round(target.distances(r["age"], r["gender"], r["race"], r["concepts"]), 9)
-            if other:
-                d = np.where(target.id == r["id"], np.inf, d)
-            low = d.min()
-            if low < np.inf:
-                near = (float(low), int(target.id[d == low].min()))
-                best[i] = near if best[i] is None else min(best[i], near)
-    found = [(r["id"], *b) for r, b in zip(rows, best) if b is not None]
-    cols = list(zip(*found)) or [(), (), ()]
-    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64())], ["id", "dist", "match_id"])
+        source = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield source, (part for _, b in rest[1] for part in _sliced(b))
+
+
+def _runs(b: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], int, int]]:
+    place, side = b.column(0).to_numpy(), b.column(1).to_numpy()
+    cut = [0, *(np.flatnonzero((np.diff(place) != 0) | (np.diff(side) != 0)) + 1).tolist(), len(place)]
+    return (((int(place[i]), int(side[i])), i, j) for i, j in zip(cut[:-1], cut[1:]))
+
+
+def _sliced(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (b.slice(i, BLOCK) for i in range(0, b.num_rows, BLOCK))
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], other: bool) -> Iterator[pa.RecordBatch]:
+    for source, blocks in _places(batches):
+        rows = source.to_pylist()
+        best: list[tuple[float, int] | None] = [None] * len(rows)
+        for block in blocks:
+            target = _Target(pa.Table.from_batches([block]))
+            for i, r in enumerate(rows):
+                d = np.round(target.distances(r["age"], r["gender"], r["race"], r["concepts"]), 9)
+                if other:
+                    d = np.where(target.id == r["id"], np.inf, d)
+                low = d.min()
+                if low < np.inf:
+                    near = (float(low), int(target.id[d == low].min()))
+                    best[i] = near if best[i] is None else min(best[i], near)
+        found = [(r["id"], *b) for r, b in zip(rows, best) if b is not None]
+        cols = list(zip(*found)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64())], ["id", "dist", "match_id"])
+
+
+def against(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Source and target rows of the same columns, brought together for a comparison of all source rows with all target rows: ``place, side, ...`` sorted.
+
+    A place holds at most about SOURCE_ROWS source rows (side 0) and then sees
+    the whole target (side 1), block by block: the target is sent once for each place, no pairs are.
+    """
+    n = partitions(source.sparkSession)
+    places = max(n, -(-source.count() // SOURCE_ROWS))
+    left = source.select(F.pmod(F.xxhash64("id"), F.lit(places)).cast("int").alias("place"), F.lit(0).alias("side"), *source.columns)
+    right = target.select(F.explode(F.sequence(F.lit(0), F.lit(places - 1))).alias("place"), F.lit(1).alias("side"), *source.columns)
+    return left.unionByName(right).repartitionById(n, F.col("place") % n).sortWithinPartitions("place", "side")
 
 
 def nearest(source: DataFrame, target: DataFrame, other: bool = False) -> DataFrame:
     """``id, dist, match_id``: squared distance to the nearest target row, ties to the least id.
 
     ``other`` leaves out the row of the same id (a table against itself). An
-    empty target gives no rows. All source rows meet all target rows, in
-    blocks: the target is written once and each task reads it block by
-    block beside its share of the source; no pairs are shuffled.
+    empty target gives no rows. All source rows meet all target rows, see :func:`against`.
     """
-    spark = source.sparkSession
-    path = new_path(spark, "targets")
-    fields = ["id", "age", "gender", "race", "concepts"]
-    target.select(F.col("id").cast("bigint").alias("id"), *fields[1:]).write.parquet(path)
-    local = path[7:] if path.startswith("file://") else path[5:] if path.startswith("file:") else path
-    n = partitions(spark)
-    rows = source.select(F.col("id").cast("bigint").alias("id"), *fields[1:]).repartition(n, "id")
-    return rows.mapInArrow(lambda it: _nearest(it, local, other), "id bigint, dist double, match_id bigint")
+    rows = [x.select(F.col("id").cast("bigint").alias("id"), "age", "gender", "race", "concepts") for x in (source, target)]
+    return against(*rows).mapInArrow(lambda it: _nearest(it, other), "id bigint, dist double, match_id bigint")
 
 
 def membership(train_dist: DataFrame, evaluation_dist: DataFrame, threshold: float = MEMBER_THRESHOLD) -> DataFrame:
@@ -379,33 +407,25 @@ def blocked_nearest(spark, sf_dir: str) -> DataFrame:
     return nearest_dense(e, e).select(F.col("id").alias("vec_id"), F.round("dist", 4).alias("dist"))
 
 
-def _dense(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    import pyarrow.dataset as ds
-    from pyarrow import fs
-
-    where, base = (None, path) if "://" not in path else fs.FileSystem.from_uri(path)
-    for b in batches:
-        if not b.num_rows:
-            continue
-        ids, a = b.column(0).to_numpy(), np.array(b.column(1).to_pylist(), float)
+def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for source, blocks in _places(batches):
+        ids, a = source.column(2).to_numpy(), np.array(source.column(3).to_pylist(), float)
         best, match = np.full(len(ids), np.inf), np.full(len(ids), -1)
-        for t in ds.dataset(base, format="parquet", filesystem=where).to_batches(batch_size=BLOCK):
-            if not t.num_rows:
-                continue
-            other, m = t.column(0).to_numpy(), np.array(t.column(1).to_pylist(), float)
-            d = (a * a).sum(1)[:, None] + (m * m).sum(1)[None, :] - 2 * a @ m.T
-            d[ids[:, None] == other[None, :]] = np.inf
-            i = d.argmin(1)
-            near = d[np.arange(len(ids)), i]
-            better = near < best
-            best[better], match[better] = near[better], other[i[better]]
+        for t in blocks:
+            other, m = t.column(2).to_numpy(), np.array(t.column(3).to_pylist(), float)
+            for i in range(0, len(ids), BLOCK):
+                own = slice(i, i + BLOCK)
+                d = (a[own] * a[own]).sum(1)[:, None] + (m * m).sum(1)[None, :] - 2 * a[own] @ m.T
+                d[ids[own][:, None] == other[None, :]] = np.inf
+                k = d.argmin(1)
+                near = d[np.arange(len(k)), k]
+                better = near < best[own]
+                best[own] = np.where(better, near, best[own])
+                match[own] = np.where(better, other[k], match[own])
         ok = best < np.inf
         yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(np.sqrt(np.maximum(best[ok], 0))), pa.array(match[ok])], ["id", "dist", "match_id"])
 
 
 def nearest_dense(source: DataFrame, target: DataFrame) -> DataFrame:
     """``id, dist, match_id``: Euclidean distance of (id, v) to the nearest target of another id, block by block; vectors have one length and no nulls."""
-    path = new_path(source.sparkSession, "dense")
-    target.select("id", "v").write.parquet(path)
-    local = path[7:] if path.startswith("file://") else path[5:] if path.startswith("file:") else path
-    return source.select("id", "v").mapInArrow(lambda it: _dense(it, local), "id bigint, dist double, match_id bigint")
+    return against(source.select("id", "v"), target.select("id", "v")).mapInArrow(_dense, "id bigint, dist double, match_id bigint")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from .functions import tokens
-from .operators import cohort, derive, intervals, labstats, metrics, omop, pack, privacy, probe, references, sampling, sequences, splits, tte, vocab
+from .operators import cdm, cohort, derive, intervals, labstats, metrics, omop, pack, privacy, probe, references, sampling, sequences, splits, tte, vocab
 from .sources import tables
 from .streaming import visits
 
@@ -29,7 +29,7 @@ def _rounded(f: Callable, columns: list[str]) -> Callable:
 
 QUERIES = {**references.QUERIES, **intervals.QUERIES}
 SQL = {**references.SQL, **intervals.SQL}
-for _m in (derive, tables, tokens, sequences, omop, vocab, labstats, splits, cohort, privacy, tte, pack, sampling, metrics, probe, visits):
+for _m in (derive, tables, tokens, sequences, omop, cdm, vocab, labstats, splits, cohort, privacy, tte, pack, sampling, metrics, probe, visits):
     QUERIES |= _m.R.queries
     SQL |= _m.R.sql
 for _n in {*ROUNDED, *COUNTS}:
