@@ -10,10 +10,10 @@ from ..functions import tokens as tk
 from ..plans.registry import Registry
 from ..plans.runtime import persisted, table
 from ..plans.skew import broadcast_if_small, global_rank
+from .splits import uniform
 
 BINS, FREEDOM, OUTLIER_STD = 10, 3, 2.0
 NA = "N/A"
-#: Groups beyond which the lookups become ordinary joins.
 
 
 def normal_cdf(x: float) -> float:
@@ -36,7 +36,9 @@ def ranked(values: DataFrame) -> DataFrame:
     One range sort over all partitions ranks everything, so a group of any
     size is spread; groups only contribute a start and a count.
     """
-    all_ = persisted(global_rank(values, [F.col("concept_id"), F.col("unit"), F.col("value")]), "ranked")
+    # A number of its own makes the order total, so that one value that many rows share is spread too; ranks of ties may change places.
+    rows = values.select(*KEY, "value").withColumn("_row", F.monotonically_increasing_id())
+    all_ = global_rank(rows, [F.col("concept_id"), F.col("unit"), F.col("value"), F.col("_row")]).drop("_row")
     g = all_.groupBy(*KEY).agg(F.min("rank").alias("s"), F.count("*").alias("n"))
     return all_.join(broadcast_if_small(g), KEY).select(*KEY, "value", (F.col("rank") - F.col("s")).alias("r"), "n")
 
@@ -85,7 +87,7 @@ def lab_bins(trimmed_values: DataFrame, bins: int = BINS, freedom: int = FREEDOM
 def bin_of(value: Column, bins: Column) -> Column:
     """``BIN:k`` of the first bin that holds the value (on an edge the lower one), BIN:unknown without one."""
     hit = F.get(F.filter(bins, lambda b: (b["start_val"] <= value) & (value <= b["end_val"])), F.lit(0))
-    return F.coalesce(F.concat(F.lit("BIN:"), hit["bin_index"]), F.lit("BIN:unknown"))
+    return F.coalesce(tk.value_bin(hit["bin_index"]), F.lit("BIN:unknown"))
 
 
 def assign_bins(values: DataFrame, stats: DataFrame) -> DataFrame:
@@ -123,6 +125,21 @@ def merge_counts(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.unionByName(b).groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
+#: Values drawn from each side when bins are fitted anew.
+REFIT_DRAWS = 10_000
+
+
+def merge_bins(a: DataFrame, b: DataFrame, draws: int = REFIT_DRAWS, bins: int = BINS) -> DataFrame:
+    """``concept_id, unit, bins`` of two tables of statistics: groups of both are fitted anew on as many draws from either, whatever their counts; others keep theirs."""
+    both = a.select(*KEY).join(b.select(*KEY), KEY)
+    per = draws // bins
+    sides = [sample_bins(x.join(both, KEY, "left_semi"), per, seed) for seed, x in enumerate((a, b))]
+    drawn = sides[0].unionByName(sides[1]).select(*KEY, "value").withColumn("total", F.lit(2 * draws).cast("bigint"))
+    fitted = lab_bins(drawn).select(*KEY, "bins")
+    rest = [x.join(both, KEY, "left_anti").select(*KEY, "bins") for x in (a, b)]
+    return fitted.unionByName(rest[0]).unionByName(rest[1])
+
+
 def unit_distribution(stats: DataFrame) -> DataFrame:
     """``p`` of each unit of a concept, and the cumulative share below it (for draws)."""
     by = Window.partitionBy("concept_id")
@@ -138,10 +155,32 @@ def random_unit(concepts: DataFrame, distribution: DataFrame, seed: int = 0) ->
     return rows.groupBy("key", "concept_id").agg(F.coalesce(F.max(F.when(hit, F.col("unit"))), F.lit(NA)).alias("unit"))
 
 
-def tokenised_values(tokens: Column, masks: Column, values: Column, texts: Column, numeric: Column, bins: Column) -> Column:
-    """Value token per position: BIN:NONE where unmarked, the bin of numbers, the text of others. All arrays run in parallel."""
-    z = F.arrays_zip(tokens.alias("c"), masks.alias("m"), values.alias("v"), texts.alias("t"), numeric.alias("k"), bins.alias("b"))
-    return F.transform(z, lambda x: F.when(F.coalesce(x["m"], F.lit(0)) != 1, "BIN:NONE").when(x["k"] == 1, F.coalesce(x["b"], F.lit("BIN:unknown"))).otherwise(F.coalesce(x["t"], F.lit("BIN:unknown"))))
+def value_token(mask: Column, number: Column, text: Column, bin_: Column) -> Column:
+    """A position's value token: BIN:NONE where unmarked, the bin of a number, else the text itself."""
+    return F.when(F.coalesce(mask, F.lit(0)) != 1, "BIN:NONE").when(number.isNotNull() | text.isNull(), F.coalesce(bin_, F.lit("BIN:unknown"))).otherwise(text)
+
+
+def normalised_values(rows: DataFrame, stats: DataFrame, distribution: DataFrame, seed: int = 0) -> DataFrame:
+    """Generated (key, pos, concept_id, token) to ``key, pos, concept_id, number, text, is_numeric, unit``, up to the first [END] of each key.
+
+    For a bin a unit of the concept is drawn and, if the concept has bins in
+    that unit, a number of the bin; else the number stays null. A token of
+    digits is kept as text. Where the token is no bin, the unit is N/A.
+    """
+    end = rows.where(F.col("concept_id") == tk.END).groupBy("key").agg(F.min("pos").alias("_end"))
+    kept = rows.join(end, "key", "left").where(F.col("_end").isNull() | (F.col("pos") < F.col("_end"))).drop("_end")
+    binned = tk.is_value_bin(F.col("token"))
+    u = uniform("key", "pos", "concept_id", seed=seed)
+    # One row of units and shares for each concept, drawn from in place.
+    units = distribution.groupBy("concept_id").agg(F.array_sort(F.collect_list(F.struct("unit", "p", "below"))).alias("_units"))
+    j = kept.join(broadcast_if_small(units), "concept_id", "left")
+    drawn = F.get(F.filter("_units", lambda x: (u >= x["below"]) & (u < x["below"] + x["p"])), F.lit(0))["unit"]
+    j = j.withColumn("unit", F.when(binned, F.coalesce(drawn, F.lit(NA))).otherwise(NA)).drop("_units")
+    j = j.join(broadcast_if_small(stats.select(*KEY, "bins")), KEY, "left")
+    index = F.regexp_extract("token", "^BIN:([0-9]+)$", 1).try_cast("int")
+    number = F.when(binned & (index < F.size("bins")), value_of_bin(index, F.col("bins"), uniform("key", "pos", "concept_id", seed=seed + 1)))
+    text = F.when(F.col("token").rlike("^[0-9]+$"), F.col("token"))
+    return j.select("key", "pos", "concept_id", number.alias("number"), text.alias("text"), number.isNotNull().cast("int").alias("is_numeric"), "unit")
 
 
 R = Registry()
@@ -162,7 +201,7 @@ def _values(spark, sf_dir: str) -> DataFrame:
 
 
 def _stats(spark, sf_dir: str) -> DataFrame:
-    return lab_bins(persisted(trimmed(ranked(_values(spark, sf_dir))), "trimmed"))
+    return lab_bins(trimmed(ranked(_values(spark, sf_dir))))
 
 
 @R.query("lab_numeric_stats", _VALUES + " SELECT concept_id, unit, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std FROM f GROUP BY ALL")
@@ -241,9 +280,87 @@ a AS (SELECT i.rn, m, i.concept_id, i.unit, i.value, min(bin_index) AS k FROM (S
 SELECT CASE WHEN coalesce(m, 0) <> 1 THEN 'BIN:NONE' WHEN k IS NULL THEN 'BIN:unknown' ELSE 'BIN:' || k END AS token, count(*) AS n FROM a GROUP BY 1""")
 def value_tokens(spark, sf_dir: str) -> DataFrame:
     """Counts of the value tokens of all positions."""
-    stats = persisted(_stats(spark, sf_dir), "stats").select(*KEY, "bins")
-    rows = table(spark, sf_dir, "processed_dataset").where("concept_ids is not null").select(F.explode(F.arrays_zip("concept_ids", "units", "values", "value_indicators")).alias("x"))
-    rows = rows.select(F.btrim("x.concept_ids", F.lit(tk.BLANKS)).alias("concept_id"), F.coalesce("x.units", F.lit(NA)).alias("unit"), F.col("x.values").alias("value"), F.coalesce("x.value_indicators", F.lit(0)).alias("m"))
-    marked = assign_bins(rows.where("m = 1").withColumn("value", F.when(~F.isnan("value"), F.col("value"))), stats).select(F.col("bin").alias("token"))
-    none = rows.where("m <> 1").select(F.lit("BIN:NONE").alias("token"))
-    return marked.unionByName(none).groupBy("token").agg(F.count("*").alias("n"))
+    return _tokens(spark, sf_dir, _stats(spark, sf_dir)).groupBy("token").agg(F.count("*").alias("n"))
+
+
+def _tokens(spark, sf_dir: str, stats: DataFrame) -> DataFrame:
+    """key, pos, concept_id, token of all positions of the sequences."""
+    rows = table(spark, sf_dir, "processed_dataset").where("concept_ids is not null").select(F.col("person_id").alias("key"), F.posexplode(F.arrays_zip("concept_ids", "units", "values", "value_indicators")).alias("pos", "x"))
+    rows = rows.select("key", "pos", F.btrim("x.concept_ids", F.lit(tk.BLANKS)).alias("concept_id"), F.coalesce("x.units", F.lit(NA)).alias("unit"), F.when(~F.isnan("x.values"), F.col("x.values")).alias("value"), F.col("x.value_indicators").alias("m"))
+    return assign_bins(rows, stats).select("key", "pos", "concept_id", value_token(F.col("m"), F.col("value"), F.lit(None), F.col("bin")).alias("token"))
+
+
+@R.query("measurement_value_tokens", _BINS + """, m AS (SELECT row_number() OVER () AS rn, measurement_concept_id::VARCHAR AS concept_id, coalesce(unit_source_value, 'N/A') AS unit, CASE WHEN NOT isnan(value_as_number) THEN value_as_number END AS value, nullif(value_source_value, '') AS text FROM measurement),
+a AS (SELECT rn, value, text, min(bin_index) AS k FROM m LEFT JOIN bins ON m.concept_id = bins.concept_id AND m.unit = bins.unit AND value BETWEEN start_val AND end_val GROUP BY ALL)
+SELECT CASE WHEN value IS NULL AND text IS NULL THEN 'BIN:NONE' WHEN value IS NULL THEN text WHEN k IS NULL THEN 'BIN:unknown' ELSE 'BIN:' || k END AS token, count(*) AS n FROM a GROUP BY 1""")
+def measurement_value_tokens(spark, sf_dir: str) -> DataFrame:
+    """Counts of the value tokens of measurements, by the bins of the sequences: numbers by their bin, texts as they are."""
+    m = table(spark, sf_dir, "measurement")
+    rows = m.select(F.col("measurement_concept_id").cast("string").alias("concept_id"), F.coalesce("unit_source_value", F.lit(NA)).alias("unit"), F.when(~F.isnan("value_as_number"), F.col("value_as_number")).alias("value"), F.when(F.col("value_source_value") != "", F.col("value_source_value")).alias("text"))
+    marked = (F.col("value").isNotNull() | F.col("text").isNotNull()).cast("int")
+    return assign_bins(rows, _stats(spark, sf_dir)).select(value_token(marked, F.col("value"), F.col("text"), F.col("bin")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+def _u(keys: str, seed: int) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', {keys}, '{seed}')), 1, 12))::BIGINT + 0.5) / 281474976710656.0"
+
+
+_KEYS = "i.key::VARCHAR, i.pos::VARCHAR, i.concept_id"
+
+
+@R.query("normalised_values", _BINS + f""", i AS (SELECT person_id AS key, generate_subscripts(concept_ids, 1) - 1 AS pos, {_T.format('unnest(concept_ids)')} AS concept_id, coalesce(unnest(units), 'N/A') AS unit, unnest("values") AS value, unnest(value_indicators) AS m FROM (SELECT DISTINCT ON (person_id) * FROM processed_dataset WHERE person_id IS NOT NULL AND concept_ids IS NOT NULL ORDER BY person_id, concept_ids DESC)),
+tk AS (SELECT i.key, i.pos, i.concept_id, CASE WHEN coalesce(m, 0) <> 1 THEN 'BIN:NONE' ELSE coalesce('BIN:' || min(bin_index), 'BIN:unknown') END AS token FROM i LEFT JOIN bins ON i.concept_id = bins.concept_id AND i.unit = bins.unit AND value BETWEEN start_val AND end_val AND NOT isnan(value) GROUP BY i.key, i.pos, i.concept_id, m),
+kp AS (SELECT * FROM tk i WHERE pos < coalesce((SELECT min(pos) FROM tk j WHERE j.key = i.key AND j.concept_id = '[END]'), 1000000000) AND concept_id IS NOT NULL),
+ud AS (SELECT concept_id, unit, count(*) / sum(count(*)) OVER (PARTITION BY concept_id) AS p, coalesce(sum(count(*)) OVER (PARTITION BY concept_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(count(*)) OVER (PARTITION BY concept_id) AS below FROM f GROUP BY concept_id, unit),
+dr AS (SELECT i.key, i.pos, i.concept_id, token, coalesce(min(ud.unit), 'N/A') AS unit FROM kp i LEFT JOIN ud ON i.concept_id = ud.concept_id AND {_u(_KEYS, 0)} >= below AND {_u(_KEYS, 0)} < below + p GROUP BY ALL),
+ed AS (SELECT b.concept_id, b.unit, b.bin_index, CASE WHEN b.bin_index = 0 THEN b.end_val - (n.end_val - n.start_val) ELSE b.start_val END AS lo, CASE WHEN b.bin_index = {BINS - 1} THEN b.start_val + (n.end_val - n.start_val) ELSE b.end_val END AS hi
+ FROM bins b JOIN bins n ON b.concept_id = n.concept_id AND b.unit = n.unit AND n.bin_index = CASE WHEN b.bin_index = 0 THEN 1 ELSE b.bin_index - 1 END)
+SELECT i.key, i.pos, i.concept_id, round(lo + (hi - lo) * {_u(_KEYS, 1)}, 4) AS number, CASE WHEN regexp_matches(token, '^[0-9]+$') THEN token END AS text, (lo IS NOT NULL)::INT AS is_numeric, i.unit
+FROM dr i LEFT JOIN ed ON i.concept_id = ed.concept_id AND i.unit = ed.unit AND token = 'BIN:' || bin_index""")
+def normalised_values_query(spark, sf_dir: str) -> DataFrame:
+    """Value tokens of each person's sequence back to numbers, units and texts."""
+    stats = persisted(_stats(spark, sf_dir), "stats")
+    t = table(spark, sf_dir, "processed_dataset").where("person_id is not null and concept_ids is not null")
+    one = t.groupBy("person_id").agg(F.max_by(F.struct("concept_ids", "units", "values", "value_indicators"), "concept_ids").alias("x"))
+    rows = one.select(F.col("person_id").alias("key"), F.posexplode(F.arrays_zip("x.concept_ids", "x.units", "x.values", "x.value_indicators")).alias("pos", "x"))
+    rows = rows.select("key", "pos", F.btrim("x.concept_ids", F.lit(tk.BLANKS)).alias("concept_id"), F.coalesce("x.units", F.lit(NA)).alias("unit"), F.when(~F.isnan("x.values"), F.col("x.values")).alias("value"), F.col("x.value_indicators").alias("m")).where("concept_id is not null")
+    tokens = assign_bins(rows, stats).select("key", "pos", "concept_id", value_token(F.col("m"), F.col("value"), F.lit(None), F.col("bin")).alias("token"))
+    d = unit_distribution(numeric_stats(_values(spark, sf_dir)))
+    return normalised_values(tokens, stats, d).withColumn("number", F.round("number", 4))
+
+
+def _halves(spark, sf_dir: str) -> list[DataFrame]:
+    """The values of persons with even ids, and of all others, as two cohorts."""
+    p = table(spark, sf_dir, "processed_dataset")
+    even = F.coalesce(F.col("person_id") % 2 == 0, F.lit(False))
+    return [numeric_values(p.where(even)), numeric_values(p.where(~even))]
+
+
+_SIDE = "SELECT concept_id, unit, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std FROM f WHERE {} GROUP BY ALL"
+_SIDES = f"""
+WITH x AS (SELECT coalesce(person_id % 2 = 0, false) AS even, {_T.format('unnest(concept_ids)')} AS concept_id, coalesce(unnest(units), 'N/A') AS unit, unnest("values") AS value, unnest(value_indicators) AS m FROM processed_dataset),
+f AS (SELECT even, concept_id, unit, value FROM x WHERE m = 1 AND value IS NOT NULL AND isfinite(value) AND value <> 0 AND concept_id IS NOT NULL),
+q AS (SELECT even, concept_id, unit, quantile_cont(value, {normal_cdf(-OUTLIER_STD)!r}) AS lo, quantile_cont(value, {normal_cdf(OUTLIER_STD)!r}) AS hi FROM f GROUP BY ALL),
+t AS (SELECT even, concept_id, unit, count(*) AS n FROM f JOIN q USING (even, concept_id, unit) WHERE value >= lo - 1e-9 * abs(lo) AND value <= hi + 1e-9 * abs(hi) GROUP BY ALL),
+w AS (SELECT DISTINCT concept_id, unit FROM t WHERE n >= {BINS * (FREEDOM + 1)})"""
+
+
+@R.query("vocabulary_expand_stats", _SIDES + f", g AS (SELECT concept_id, unit, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std FROM f GROUP BY ALL) SELECT g.*, CASE WHEN w.concept_id IS NULL THEN 0 ELSE {BINS} END AS n_bins, true AS contiguous FROM g LEFT JOIN w USING (concept_id, unit)")
+def vocabulary_expand_stats(spark, sf_dir: str) -> DataFrame:
+    """The statistics of two cohorts merged as a tokenizer is expanded: pooled moments, and bins fitted anew where both have them."""
+    a, b = _halves(spark, sf_dir)
+    pooled = merge_stats(numeric_stats(a), numeric_stats(b))
+    sides = [persisted(lab_bins(trimmed(ranked(x))), "side_bins") for x in (a, b)]
+    bins = merge_bins(*sides)
+    whole = F.forall(F.sequence(F.lit(1), F.size("bins") - 1), lambda i: F.get("bins", i)["start_val"] == F.get("bins", i - 1)["end_val"])
+    j = pooled.join(broadcast_if_small(bins), KEY, "left")
+    return j.select(*KEY, "n", "mean", "std", F.when(F.col("bins").isNull(), 0).otherwise(F.size("bins")).alias("n_bins"), F.coalesce(whole, F.lit(True)).alias("contiguous"))
+
+
+@R.query("lab_categorical_merge", "SELECT measurement_concept_id AS concept_id, value_source_value AS value, count(*) AS n FROM measurement WHERE coalesce(value_source_value, '') <> '' AND measurement_concept_id IS NOT NULL GROUP BY ALL")
+def lab_categorical_merge(spark, sf_dir: str) -> DataFrame:
+    """Text values counted in two loads apart (before and from 2020 on, by the measurement's date) and merged."""
+    m = table(spark, sf_dir, "measurement").where("value_source_value <> '' and measurement_concept_id is not null")
+    late = F.coalesce(F.col("measurement_date") >= F.lit("2020-01-01").cast("date"), F.lit(False))
+    count = lambda d: d.groupBy(F.col("measurement_concept_id").alias("concept_id"), F.col("value_source_value").alias("value")).agg(F.count("*").alias("n"))
+    return merge_counts(count(m.where(late)), count(m.where(~late)), ["concept_id", "value"])

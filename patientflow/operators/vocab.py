@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import tokens as tk
 from ..functions.tokens import SEQUENCES_SQL, sequences
 from ..plans.registry import Registry
-from ..plans.runtime import table
+from ..plans.runtime import new_path, table
 from ..plans.skew import global_rank
+from ..sources.tables import load_artifacts, save_artifacts
 
 SPECIALS = [tk.PAD, tk.OOV, tk.START, tk.END, tk.LINEAR]
 VOCAB_SIZE, MIN_FREQUENCY = 50_000, 1
@@ -93,10 +94,10 @@ def time_vocabulary(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.where(tk.is_att_token(t) & days.isNotNull()).select("token", *[parts[i].alias(f"part_{i + 1}") for i in range(3)])
 
 
-def value_vocabulary(text_values: DataFrame, bins: int = VALUE_BINS) -> DataFrame:
-    """Counts of text values with the value bins before them: ``token, n``."""
-    fixed = [(f"BIN:{i}", 0) for i in range(bins)] + [("BIN:unknown", 0), ("BIN:NONE", 0)]
-    return text_values.sparkSession.createDataFrame(fixed, "token string, n bigint").unionByName(text_values)
+def value_vocabulary(text_values: DataFrame, bins: int = VALUE_BINS, size: int = VOCAB_SIZE) -> DataFrame:
+    """The vocabulary of values, ``token, id, n``: padding, unknown and the bins first, then text values by falling count."""
+    fixed = [tk.PAD, tk.OOV, *[f"BIN:{i}" for i in range(bins)], "BIN:unknown", "BIN:NONE"]
+    return train_vocabulary(text_values, fixed, size)
 
 
 R = Registry()
@@ -174,3 +175,23 @@ def concept_names(spark, sf_dir: str) -> DataFrame:
     """Vocabulary tokens with their concept's name."""
     c = table(spark, sf_dir, "concept").where("concept_id is not null").select(F.col("concept_id").cast("string").alias("token"), F.trim("concept_name").alias("concept_name")).distinct()
     return vocabulary_of(spark, sf_dir).join(c, "token").select("token", "id", "concept_name")
+
+
+_VALUE_SPECIALS = "(VALUES " + ", ".join(f"('{t}', {i})" for i, t in enumerate([tk.PAD, tk.OOV, *[f"BIN:{i}" for i in range(VALUE_BINS)], "BIN:unknown", "BIN:NONE"])) + ") x(token, id)"
+
+
+@R.query("value_vocabulary", f"""WITH k AS (SELECT unnest(regexp_split_to_array(value_source_value, '\\s+')) AS token FROM measurement WHERE coalesce(value_source_value, '') <> ''), c AS (SELECT token, count(*) AS n FROM k WHERE token <> '' AND token NOT IN (SELECT token FROM {_VALUE_SPECIALS}) GROUP BY 1)
+SELECT token, id, NULL::BIGINT AS n FROM {_VALUE_SPECIALS} UNION ALL SELECT token, row_number() OVER (ORDER BY n DESC, token) + {VALUE_BINS + 3}, n FROM c""")
+def value_vocabulary_query(spark, sf_dir: str) -> DataFrame:
+    """Bins and the words of all text values of measurements."""
+    m = table(spark, sf_dir, "measurement").where("value_source_value <> ''")
+    return value_vocabulary(token_counts(m.select(F.array("value_source_value").alias("t")), "t"))
+
+
+@R.query("tokenizer_round_trip", _VOCAB + " SELECT * FROM voc")
+def tokenizer_round_trip(spark, sf_dir: str) -> DataFrame:
+    """A vocabulary saved with its time vocabulary as a tokenizer's parts and loaded again."""
+    v = vocabulary_of(spark, sf_dir)
+    path = new_path(spark, "tokenizer")
+    save_artifacts(path, vocabulary=v, times=time_vocabulary(v))
+    return load_artifacts(spark, path, ["vocabulary", "times"])["vocabulary"]

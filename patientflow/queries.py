@@ -13,7 +13,7 @@ from .streaming import visits
 
 #: Columns that depend on the order of floating-point additions, rounded to six places on both sides.
 ROUNDED = {
-    "lab_numeric_stats": "mean std", "lab_trimmed_stats": "mean std", "lab_stats_merge": "mean std", "unit_distribution": "p", "causal_age_probabilities": "prob adjusted_prob",
+    "lab_numeric_stats": "mean std", "lab_trimmed_stats": "mean std", "lab_stats_merge": "mean std", "vocabulary_expand_stats": "mean std", "unit_distribution": "p", "causal_age_probabilities": "prob adjusted_prob",
     "nn_distance": "dist", "nn_self_distance": "dist", "membership_metrics": "accuracy precision recall f1", "nnaa_privacy_loss": "aa_train aa_test privacy_loss", "attribute_inference_f1": "precision recall f1", "majority_attributes": "prevalence",
     "reid_risk": "a_term b_term", "tte_summary": "average_time median_time standard_deviation event_probability", "tte_time_buckets": "probability", "tte_cumulative": "probability cumulative", "pack_estimate": "mean_length",
     "top_k_next": "p", "top_p_next": "p", "temperature_next": "p", "epsilon_next": "p", "penalty_next": "p", "aligned_metrics": "value_a value_b", "roc_auc": "roc_auc", "pr_auc": "pr_auc",
