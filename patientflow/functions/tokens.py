@@ -175,7 +175,7 @@ d AS (SELECT token, CASE WHEN token = 'LT' THEN 1095 WHEN starts_with(token, 'VS
   ELSE TRY_CAST(substr(token, 2) AS INT) * CASE token[1] WHEN 'D' THEN 1 WHEN 'W' THEN 7 WHEN 'M' THEN 30 WHEN 'Y' THEN 365 END END AS days FROM k)
 SELECT token, token IN ('VS', '[VS]') AS visit_start, token IN ('VE', '[VE]') AS visit_end,
  regexp_matches(token, '^[DWMY][0-9]') OR token = 'LT' OR starts_with(token, 'VS-') OR (starts_with(token, 'i-') AND NOT starts_with(token, 'i-H')) AS att,
- regexp_matches(token, '^(VS-|i-)D[0-9]') AS inpatient_att, regexp_matches(token, '^[0-9]+$') AS clinical, days,
+ regexp_matches(token, '^(VS-|i-)D[0-9]') AS inpatient_att, regexp_matches(token, '^[0-9]+$') AS clinical, token IN (""" + ", ".join(f"'{x}'" for x in VISIT_CONCEPTS) + """) OR token IN ('VS', '[VS]', 'VE', '[VE]', '[END]') OR regexp_matches(token, '^[DWMY][0-9]') OR token = 'LT' OR starts_with(token, 'VS-') OR (starts_with(token, 'i-') AND NOT starts_with(token, 'i-H')) AS artificial, days,
  'year:' || (days // 365) || ' month:' || (days % 365 // 30) || CASE WHEN regexp_matches(token, '^(VS-|i-)D[0-9]') THEN ' i-day:' ELSE ' day:' END || (days % 365 % 30) AS sub_time,
  CASE WHEN days >= 1095 THEN 'LT' WHEN days IS NOT NULL THEN 'M' || (days // 30) END AS bucket,
  CASE WHEN starts_with(token, 'age:') THEN 'age:' || (TRY_CAST(substr(token, 5) AS INT) // 10 * 10) || '-' || (TRY_CAST(substr(token, 5) AS INT) // 10 * 10 + 10) END AS age_group FROM d""")
@@ -183,7 +183,7 @@ def token_classes(spark, sf_dir: str) -> DataFrame:
     """Every token with its class, days, sub-tokens, month bucket and age group."""
     t = F.col("token")
     k = sequences(spark, sf_dir).select(F.explode("t").alias("token")).distinct()
-    d = k.select(t, is_visit_start(t).alias("visit_start"), is_visit_end(t).alias("visit_end"), is_att_token(t).alias("att"), is_inpatient_att_token(t).alias("inpatient_att"), is_clinical_event(t).alias("clinical"), interval_days(t).alias("days"))
+    d = k.select(t, is_visit_start(t).alias("visit_start"), is_visit_end(t).alias("visit_end"), is_att_token(t).alias("att"), is_inpatient_att_token(t).alias("inpatient_att"), is_clinical_event(t).alias("clinical"), F.coalesce(is_artificial_token(t), F.lit(False)).alias("artificial"), interval_days(t).alias("days"))
     days = F.col("days")
     return d.select("*", F.when(days.isNotNull(), F.array_join(time_tuple(days, F.col("inpatient_att")), " ")).alias("sub_time"), F.when(days.isNotNull(), month_bucket(days)).alias("bucket"), F.when(t.startswith("age:"), age_group(t)).alias("age_group"))
 

@@ -130,15 +130,15 @@ def cohort_anti(spark, sf_dir: str) -> DataFrame:
 
 
 _SPLITS = """WITH u AS (SELECT person_id, min(lower(trim(split))) AS split FROM patient_splits WHERE person_id IS NOT NULL GROUP BY 1), p AS (SELECT DISTINCT person_id FROM person),
-r AS (SELECT p.person_id, split FROM p JOIN u USING (person_id)), top AS (SELECT max(person_id) AS m FROM r), y AS (SELECT person_id FROM p WHERE person_id % 2 = 0),
+r AS (SELECT p.person_id, split FROM p JOIN u USING (person_id)), top AS (SELECT max(person_id) AS m FROM r), y AS (SELECT person_id FROM p),
 m AS (SELECT person_id, split, 1 AS is_real, person_id AS new_person_id FROM r UNION ALL SELECT person_id, 'train', 0, person_id + (SELECT m FROM top) FROM y)"""
 
 
 def _merge(spark, sf_dir: str, test_only: bool = False) -> Merge:
-    """Persons of even id stand in for synthetic ones (the whole table is the real one)."""
+    """The whole person table stands in for the synthetic one too."""
     p = table(spark, sf_dir, "person").select("person_id").distinct()
     s = table(spark, sf_dir, "patient_splits").where("person_id is not null").groupBy("person_id").agg(F.min(F.lower(F.trim("split"))).alias("split"))
-    return prepare_merge(p, s, p.where("person_id % 2 = 0"), table(spark, sf_dir, "visit_occurrence"), test_only)
+    return prepare_merge(p, s, p, table(spark, sf_dir, "visit_occurrence"), test_only)
 
 
 @R.query("patient_splits_merge", _SPLITS + " SELECT * FROM m")

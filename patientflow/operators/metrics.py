@@ -56,14 +56,44 @@ def pr_auc(rows: DataFrame, score: str, label: str) -> DataFrame:
 
 
 R = Registry()
-# A documented toy score: the share of capital letters of a labelled text.
-_SCORES = """WITH s AS (SELECT flagged AS label, round(len(regexp_replace(text, '[^A-Z]', '', 'g')) / greatest(len(text), 1), 3) AS score FROM documents JOIN review_labels USING (doc_id) WHERE text IS NOT NULL AND flagged IS NOT NULL),
+# Visits that are stays.
+STAYS = (9201, 262, 8971, 8920)
+
+
+def prediction_table(rows: DataFrame) -> DataFrame:
+    """The output of a prediction: ``subject_id, prediction_time, predicted_boolean_probability, predicted_boolean_value, boolean_value``; null without a probability."""
+    p = F.col("probability").cast("double")
+    return rows.select(F.col("person_id").cast("bigint").alias("subject_id"), "prediction_time", p.alias("predicted_boolean_probability"), (p >= 0.5).cast("int").alias("predicted_boolean_value"), F.col("label").cast("int").alias("boolean_value"))
+
+
+_PREDICTIONS = f"""WITH v AS (SELECT DISTINCT visit_occurrence_id, person_id, visit_concept_id, visit_start_datetime FROM visit_occurrence WHERE visit_occurrence_id IS NOT NULL AND person_id IS NOT NULL AND visit_concept_id IS NOT NULL AND visit_start_datetime IS NOT NULL),
+w AS (SELECT *, lag(visit_concept_id) OVER q AS before, lead(visit_concept_id) OVER q IS NULL AS latest, (visit_concept_id IN {STAYS})::INT AS y FROM v WINDOW q AS (PARTITION BY person_id ORDER BY visit_start_datetime, visit_occurrence_id, visit_concept_id)),
+pr AS (SELECT before, avg(y) AS probability FROM w WHERE before IS NOT NULL AND NOT latest GROUP BY 1),
+pt AS (SELECT person_id AS subject_id, visit_start_datetime AS prediction_time, round(probability, 6) AS predicted_boolean_probability, (round(probability, 6) >= 0.5)::INT AS predicted_boolean_value, y AS boolean_value FROM w JOIN pr USING (before) WHERE latest)"""
+_SCORES = _PREDICTIONS + """, s AS (SELECT boolean_value AS label, predicted_boolean_probability AS score FROM pt),
 c AS (SELECT score, sum((label > 0)::INT) AS p, sum((label <= 0)::INT) AS n FROM s GROUP BY 1), k AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM c WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))"""
 
 
+def _predictions(spark, sf_dir: str) -> DataFrame:
+    """Whether each person's last visit is a stay, predicted from the visit before it by how often stays follow such visits earlier on."""
+    from pyspark.sql import Window
+
+    c = ["visit_occurrence_id", "person_id", "visit_concept_id", "visit_start_datetime"]
+    v = table(spark, sf_dir, "visit_occurrence").select(*c).dropna().distinct()
+    by = Window.partitionBy("person_id").orderBy("visit_start_datetime", "visit_occurrence_id", "visit_concept_id")
+    w = persisted(v.withColumns({"before": F.lag("visit_concept_id").over(by), "latest": F.lead("visit_concept_id").over(by).isNull(), "label": F.col("visit_concept_id").isin(*STAYS).cast("int")}).where("before is not null"), "visits")
+    share = w.where("not latest").groupBy("before").agg(F.round(F.avg("label"), 6).alias("probability"))
+    return prediction_table(w.where("latest").withColumnRenamed("visit_start_datetime", "prediction_time").join(share, "before"))
+
+
+@R.query("prediction_table", _PREDICTIONS + " SELECT * FROM pt")
+def prediction_table_query(spark, sf_dir: str) -> DataFrame:
+    """The prediction table, written and read again."""
+    return persisted(_predictions(spark, sf_dir), "predictions")
+
+
 def _scores(spark, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text is not null").join(table(spark, sf_dir, "review_labels").where("flagged is not null"), "doc_id")
-    return d.select(F.col("flagged").alias("label"), F.round(F.length(F.regexp_replace("text", "[^A-Z]", "")) / F.greatest(F.length("text"), F.lit(1)), 3).alias("score"))
+    return prediction_table_query(spark, sf_dir).select(F.col("boolean_value").alias("label"), F.col("predicted_boolean_probability").alias("score"))
 
 
 @R.query("roc_auc", _SCORES + " SELECT sum(n * (tp - p / 2.0)) / nullif(sum(p) * sum(n), 0) AS roc_auc FROM k")
@@ -76,9 +106,9 @@ def pr_auc_query(spark, sf_dir: str) -> DataFrame:
     return pr_auc(_scores(spark, sf_dir), "score", "label")
 
 
-@R.query("classification_metrics", _SCORES + ", x AS (SELECT (score > 0.05)::INT AS p, (label > 0)::INT AS l FROM s), g AS (SELECT sum(p * l) AS tp, sum(p) AS p, sum(l) AS l, count(*) AS n, sum((p = l)::INT) AS ok FROM x) SELECT ok / n AS accuracy, coalesce(tp / nullif(p, 0), 0) AS precision, coalesce(tp / nullif(l, 0), 0) AS recall, coalesce(2 * tp / nullif(p + l, 0), 0) AS f1 FROM g")
+@R.query("classification_metrics", _SCORES + ", x AS (SELECT (score >= 0.5)::INT AS p, (label > 0)::INT AS l FROM s), g AS (SELECT sum(p * l) AS tp, sum(p) AS p, sum(l) AS l, count(*) AS n, sum((p = l)::INT) AS ok FROM x) SELECT ok / n AS accuracy, coalesce(tp / nullif(p, 0), 0) AS precision, coalesce(tp / nullif(l, 0), 0) AS recall, coalesce(2 * tp / nullif(p + l, 0), 0) AS f1 FROM g")
 def classification_metrics_query(spark, sf_dir: str) -> DataFrame:
     from .privacy import classification_metrics
 
     s = _scores(spark, sf_dir)
-    return classification_metrics(s.select((F.col("score") > 0.05).cast("int").alias("pred"), (F.col("label") > 0).cast("int").alias("label")))
+    return classification_metrics(s.select((F.col("score") >= 0.5).cast("int").alias("pred"), (F.col("label") > 0).cast("int").alias("label")))

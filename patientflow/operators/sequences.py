@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import tokens as tk
 from ..functions.tokens import SEQUENCES_SQL, sequences
 from ..plans.registry import Registry
-from ..plans.runtime import table
+from ..plans.runtime import persisted, table
+from .splits import uniform
 
 HEADER = 4
 
@@ -24,9 +25,10 @@ def clinical_set(c: Column, skip: int = HEADER) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.slice(c, skip + 1, F.greatest(F.size(c), F.lit(1))), tk.is_clinical_event)))
 
 
-def partition_set(concepts: Column, common: Column, sensitive: Column) -> tuple[Column, Column]:
-    """The common and the sensitive members of a set of concepts."""
-    return F.array_sort(F.array_intersect(concepts, common)), F.array_sort(F.array_intersect(concepts, sensitive))
+def partition_set(concepts: Column, common: Column, sensitive: Column | None = None) -> tuple[Column, Column]:
+    """The common and the sensitive members of a set of concepts, by two lists; without a second one all others are sensitive."""
+    rest = F.array_except(concepts, common) if sensitive is None else F.array_intersect(concepts, sensitive)
+    return F.array_sort(F.array_intersect(concepts, common)), F.array_sort(rest)
 
 
 def valid_sequence(c: Column) -> Column:
@@ -165,19 +167,30 @@ def slice_candidates(c: Column, most: int) -> Column:
     return F.filter(at, lambda i: (i >= HEADER) & (i < last) & tk.is_visit_start(F.get(c, i)))
 
 
-def random_slice(seqs: DataFrame, key: str, c: str, most: int, seed: int = 0) -> DataFrame:
-    """``key, first, last``: a slice from a visit start drawn by a hash of key and seed to the last visit end inside the window; (0, 0) without a candidate."""
-    rows = seqs.withColumn("_c", slice_candidates(F.col(c), most))
-    pick = F.get("_c", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.greatest(F.size("_c"), F.lit(1))).cast("int"))
-    rows = rows.withColumn("first", F.when(F.size("_c") > 0, pick).otherwise(0))
+def slices(seqs: DataFrame, key: str, c: str, most: int) -> DataFrame:
+    """``key, first, last, year, age, gender, race``: from every visit start where a slice may begin to the last visit end inside its window, with the header renewed for it. Keys must be unique."""
+    rows = seqs.select(key, c, F.explode(slice_candidates(F.col(c), most)).alias("first"))
     window = F.slice(c, F.col("first") + 1, most - HEADER)
     back = F.array_position(F.reverse(F.transform(window, lambda x: F.when(tk.is_visit_end(x), "e").otherwise(""))), "e").cast("int")
-    last = F.when(F.size("_c") == 0, 0).when(back > 0, F.col("first") + F.size(window) - back).otherwise(F.col("first"))
-    return rows.select(key, "first", last.alias("last"))
+    rows = rows.select(key, "first", F.when(back > 0, F.col("first") + F.size(window) - back).otherwise(F.col("first")).alias("last"))
+    return rows.join(prompts_at_visits(seqs, key, c).withColumnRenamed("pos", "first"), [key, "first"])
+
+
+def random_slice(seqs: DataFrame, key: str, c: str, most: int, seed: int = 0) -> DataFrame:
+    """``key, first, last, year, age, gender, race``: one of :func:`slices` drawn by a hash of key and seed; (0, 0) and no header without a candidate."""
+    some = F.size(slice_candidates(F.col(c), most))
+    pick = F.get(slice_candidates(F.col(c), most), F.floor(uniform(key, seed=seed) * some).cast("int"))
+    drawn = seqs.select(key, F.coalesce(pick, F.lit(-1)).alias("first"))
+    return drawn.join(slices(seqs, key, c, most), [key, "first"], "left").withColumn("first", F.greatest("first", F.lit(0))).withColumn("last", F.coalesce("last", F.lit(0)))
 
 
-def with_end(c: Column, token: str = tk.END) -> Column:
-    return F.concat(c, F.array(F.lit(token)))
+def pretraining_cut(seqs: DataFrame, key: str, c: str, most: int, seed: int = 0, share: float = 0.5) -> DataFrame:
+    """``key, c``: of sequences longer than ``most`` a drawn slice with its renewed header (for a ``share`` of them, by hash, if there is one), else the start up to the last visit end; shorter ones whole."""
+    cut = random_slice(seqs, key, c, most, seed).join(seqs.select(key, c), key)
+    header = F.array("year", "age", F.coalesce("gender", F.lit("0")), F.coalesce("race", F.lit("0")))
+    part = F.concat(header, F.slice(c, F.col("first") + 1, F.col("last") - F.col("first") + 1))
+    taken = (F.size(c) > most) & (uniform(key, seed=seed + 1) < share) & F.col("year").isNotNull()
+    return cut.select(key, F.when(taken, part).otherwise(truncate_right(F.col(c), most)).alias(c))
 
 
 R = Registry()
@@ -207,8 +220,8 @@ def common_sensitive_partition(spark, sf_dir: str) -> DataFrame:
     common = s.select(F.explode("c").alias("k")).groupBy("k").count().where(F.col("count") * 2 >= n).agg(F.collect_list("k").alias("common"))
     # At most a set's size times two concepts stand in half of all sets; the one-row table is safe to send.
     j = s.join(F.broadcast(common), F.lit(True)).where("size(c) > 0")
-    both = F.size(F.array_intersect("c", "common"))
-    return j.select("person_id", both.alias("n_common"), (F.size("c") - both).alias("n_sensitive"))
+    known, rest = partition_set(F.col("c"), F.col("common"))
+    return j.select("person_id", F.size(known).alias("n_common"), F.size(rest).alias("n_sensitive"))
 
 
 @R.query("sequence_filters", _S + """SELECT person_id, len(t) AS n, len(t) > 4 AND t[-1] IN ('VE', '[VE]', '[END]') AND contains(lower(t[1]), 'year') AS valid, coalesce(t[-2] = '[DEATH]', false) AS died,
@@ -257,9 +270,38 @@ def sequence_slices(spark, sf_dir: str) -> DataFrame:
     return sequences(spark, sf_dir).select("person_id", F.size(slice_candidates(F.col("t"), MOST)).alias("n_candidates"))
 
 
-@R.query("sequence_random_slices")
+def _one(spark, sf_dir: str) -> DataFrame:
+    """One sequence a person, the greatest of several."""
+    return persisted(sequences(spark, sf_dir).groupBy("person_id").agg(F.max("t").alias("t")), "one")
+
+
+def _u(seed: int) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', person_id::VARCHAR, '{seed}')), 1, 12))::BIGINT + 0.5) / 281474976710656.0"
+
+
+_SLICES = _PROMPTS.rstrip() + f""", o AS (SELECT person_id, max(t) AS t FROM s GROUP BY 1), sc AS (SELECT person_id, t, [i - 1 FOR i IN range({HEADER + 1}, least(len(t), len(t) - {MOST - HEADER}) + 1) IF t[i] IN ('VS', '[VS]')] AS cs FROM o),
+sl AS (SELECT person_id, t, unnest(cs) AS first FROM sc), se AS (SELECT sl.*, coalesce(list_max([j FOR j IN range(first + 1, least(first + {MOST - HEADER}, len(t)) + 1) IF t[j] IN ('VE', '[VE]')]) - 1, first) AS last FROM sl),
+sh AS (SELECT se.*, CASE WHEN known THEN 'year:' || yy ELSE 'year:unknown' END AS year, CASE WHEN known THEN 'age:' || (yy - born) ELSE 'age:unknown' END AS age FROM se JOIN p ON se.person_id = p.person_id AND se.t = p.t AND se.first = p.pos),
+dn AS (SELECT person_id, t, coalesce(cs[CAST(floor({_u(0)} * len(cs)) AS INT) + 1], -1) AS pick FROM sc),
+dr AS (SELECT dn.person_id, dn.t, greatest(pick, 0) AS first, coalesce(last, 0) AS last, year, age, CASE WHEN year IS NOT NULL THEN dn.t[3] END AS gender, CASE WHEN year IS NOT NULL THEN dn.t[4] END AS race FROM dn LEFT JOIN sh ON dn.person_id = sh.person_id AND pick = sh.first)"""
+
+
+@R.query("sequence_slice_headers", _SLICES + " SELECT person_id, first, last, year, age, t[3] AS gender, t[4] AS race FROM sh")
+def sequence_slice_headers(spark, sf_dir: str) -> DataFrame:
+    """Every possible slice of each person's sequence, with its renewed header."""
+    return slices(_one(spark, sf_dir), "person_id", "t", MOST)
+
+
+@R.query("sequence_random_slices", _SLICES + " SELECT person_id, first, last, year, age, gender, race FROM dr")
 def sequence_random_slices(spark, sf_dir: str) -> DataFrame:
-    return random_slice(sequences(spark, sf_dir), "person_id", "t", MOST)
+    return random_slice(_one(spark, sf_dir), "person_id", "t", MOST)
+
+
+@R.query("sequence_pretraining_cut", _SLICES + f""", rc AS (SELECT *, CASE WHEN len(t) <= {MOST} THEN t WHEN len([i FOR i IN range(1, {MOST + 1}) IF t[i] IN ('VE', '[VE]')]) > 0 THEN t[:list_max([i FOR i IN range(1, {MOST + 1}) IF t[i] IN ('VE', '[VE]')]) - 1] ELSE t[:{MOST}] END AS r FROM dr)
+SELECT person_id, array_to_string(CASE WHEN len(t) > {MOST} AND {_u(1)} < 0.5 AND year IS NOT NULL THEN list_concat([year, age, coalesce(gender, '0'), coalesce(race, '0')], t[first + 1 : last + 1]) ELSE r END, ' ') AS t FROM rc""")
+def sequence_pretraining_cut(spark, sf_dir: str) -> DataFrame:
+    """Sequences cut for pretraining: by draw a slice or the start."""
+    return pretraining_cut(_one(spark, sf_dir), "person_id", "t", MOST).select("person_id", F.array_join("t", " ").alias("t"))
 
 
 def built_sequences(spark, sf_dir: str) -> DataFrame:

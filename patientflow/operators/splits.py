@@ -93,18 +93,47 @@ def weighted_draws(values: DataFrame, weight: str, key: str, n: int, seed: int =
     return spark.range(n if rows else 0).select(F.col("id").alias("draw")).select("draw", F.get(names, place).alias(key))
 
 
+def _keep_first(batches, keys: list[str], order: list[str], n: int):
+    """Rows sorted by keys and order, the first n of each group; at most twice the result and a batch are held."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def first(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(c, "ascending") for c in [*keys, *order]]).combine_chunks()
+        new = np.ones(t.num_rows, bool)
+        if t.num_rows > 1:
+            same = np.ones(t.num_rows - 1, bool)
+            for c in keys:
+                a, b = t.column(c).slice(1), t.column(c).slice(0, t.num_rows - 1)
+                equal = pc.fill_null(pc.equal(a, b), False).to_numpy() | (pc.is_null(a).to_numpy() & pc.is_null(b).to_numpy())
+                same &= equal
+            new[1:] = ~same
+        at = np.arange(t.num_rows)
+        return t.filter(pa.array(at - np.maximum.accumulate(np.where(new, at, 0)) < n))
+
+    held, limit = None, 1 << 17
+    for b in batches:
+        held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        if held.num_rows > limit:
+            held = first(held)
+            limit = max(1 << 17, 2 * held.num_rows)
+    if held is not None and held.num_rows:
+        yield from first(held).to_batches(max_chunksize=10_000)
+
+
 def reservoir(df: DataFrame, keys: list[str], n: int, *ids: str, seed: int = 0) -> DataFrame:
-    """At most n rows per group by the order of a hash. Each partition keeps its own n first, so hot groups shrink before the shuffle."""
+    """At most n rows per group by the order of a hash. Each task keeps its own n of each group before the shuffle, whatever n is, so hot groups arrive small."""
     from pyspark.sql import Window
 
-    h = df.withColumn("_h", draw(*ids, seed=seed)).withColumn("_p", F.pmod(F.hash("_h"), F.lit(partitions(df.sparkSession))))
-    part = h.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_p").orderBy("_h", *ids))).where(F.col("_k") <= n)
-    return part.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("_h", *ids))).where(F.col("_k") <= n).drop("_h", "_p", "_k")
+    h = df.withColumn("_h", draw(*ids, seed=seed))
+    part = h.mapInArrow(lambda it: _keep_first(it, keys, ["_h", *ids], n), h.schema)
+    return part.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("_h", *ids))).where(F.col("_k") <= n).drop("_h", "_k")
 
 
 def shuffled_within_rank(df: DataFrame, rank: str, key: str, seed: int = 0) -> DataFrame:
-    """Order by rank, then by hash."""
-    return df.orderBy(rank, draw(key, seed=seed), key)
+    """Adds ``place``, from 0: by rank, then by hash; over all partitions."""
+    return global_rank(df.withColumn("_h", draw(key, seed=seed)), [F.col(rank), F.col("_h"), F.col(key)], "place").drop("_h")
 
 
 def prompts(seqs: DataFrame, key: str, c: str, n: int, least: int, most: int, size: int = 4, seed: int = 0) -> DataFrame:
@@ -131,7 +160,6 @@ def causal_split(rows: DataFrame, n_train: int, seed: int = 1) -> DataFrame:
     """
     low = F.regexp_extract("age", r"^age:(-?[0-9]+)-", 1).try_cast("int")
     clean = rows.where((F.col("gender") != "0") & low.between(0, 99))
-    clean = clean.withColumn("race", remap(F.col("race"), RACES))
     groups = sorted((r[0], r[1]) for r in clean.groupBy("age").count().collect())  # about ten
     total = sum(n for _, n in groups)
     probs = [(a, n / total, n / total * w) for (a, n), w in zip(groups, AGE_WEIGHTS + [0] * len(groups))]
@@ -213,11 +241,11 @@ def reservoir_query(spark, sf_dir: str) -> DataFrame:
     return reservoir(m, ["measurement_concept_id"], 20, "measurement_id", "t").drop("t")
 
 
-@R.query("prompt_sample", SEQUENCES_SQL + f", u AS (SELECT person_id, max(array_to_string(t, ' ')) AS x, max(len(t)) AS n FROM s GROUP BY 1) SELECT person_id, array_to_string(string_split(x, ' ')[:4], ' ') AS prompt FROM u WHERE n BETWEEN 20 AND 512 ORDER BY {_md5('person_id')}, person_id LIMIT 64")
+@R.query("prompt_sample", SEQUENCES_SQL + f", u AS (SELECT person_id, max(array_to_string(t, ' ')) AS x FROM s GROUP BY 1) SELECT person_id, array_to_string(string_split(x, ' ')[:4], ' ') AS prompt FROM u WHERE len(string_split(x, ' ')) BETWEEN 20 AND 512 ORDER BY {_md5('person_id')}, person_id LIMIT 64")
 def prompt_sample(spark, sf_dir: str) -> DataFrame:
-    one = sequences(spark, sf_dir).groupBy("person_id").agg(F.max(F.array_join("t", " ")).alias("x"), F.max(F.size("t")).alias("n"))
-    s = one.where(F.col("n").between(20, 512)).select("person_id", F.split("x", " ").alias("t"))
-    return uniform_sample(s, 64, "person_id").select("person_id", F.array_join(F.slice("t", 1, 4), " ").alias("prompt"))
+    one = sequences(spark, sf_dir).groupBy("person_id").agg(F.max(F.array_join("t", " ")).alias("x"))
+    s = one.select("person_id", F.split("x", " ").alias("t"))
+    return prompts(s, "person_id", "t", 64, 20, 512).select("person_id", F.array_join("prompt", " ").alias("prompt"))
 
 
 def _ages(spark, sf_dir: str) -> DataFrame:
@@ -239,3 +267,16 @@ def causal_split_query(spark, sf_dir: str) -> DataFrame:
     """Half of the persons for train, weighted to the young; validation the others."""
     rows = persisted(_ages(spark, sf_dir), "ages")
     return causal_split(rows, rows.count() // 2).select("person_id", "age", "race", "gender", "split")
+
+
+@R.query("causal_races", SEQUENCES_SQL + ", o AS (SELECT person_id, max(t) AS t FROM s WHERE len(t) > 4 GROUP BY 1) SELECT CASE t[4] WHEN '38003613' THEN '8557' WHEN '38003610' THEN '8557' WHEN '38003579' THEN '8515' WHEN '44814653' THEN '0' ELSE t[4] END AS race, count(*) AS n_persons FROM o GROUP BY 1")
+def causal_races(spark, sf_dir: str) -> DataFrame:
+    """Persons of each race after races that are one were joined; the split itself keeps them as they are."""
+    return _ages(spark, sf_dir).groupBy(remap(F.col("race"), RACES).alias("race")).agg(F.count("*").alias("n_persons"))
+
+
+@R.query("shuffled_ranks", f"WITH p AS (SELECT DISTINCT person_id, coalesce(year_of_birth // 10, 0) AS rank FROM person WHERE person_id IS NOT NULL) SELECT *, row_number() OVER (ORDER BY rank, {_md5('person_id', 3)}, person_id) - 1 AS place FROM p")
+def shuffled_ranks(spark, sf_dir: str) -> DataFrame:
+    """Persons in the order of their decade of birth, shuffled within it."""
+    p = _persons(spark, sf_dir).where("person_id is not null").select("person_id", F.coalesce(F.floor(F.col("year_of_birth") / 10).cast("int"), F.lit(0)).alias("rank")).distinct()
+    return shuffled_within_rank(p, "rank", "person_id", seed=3)

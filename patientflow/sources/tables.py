@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..plans.registry import Registry
 from ..plans.runtime import new_path, table
 
-REBASE = {f"spark.sql.parquet.{k}RebaseModeIn{d}": "CORRECTED" for k in ("datetime", "int96") for d in ("Read", "Write")}
+#: Old dates are read as they are written, without a change of calendar.
+REBASE = {"datetimeRebaseMode": "CORRECTED", "int96RebaseMode": "CORRECTED"}
 #: Text files that keep blanks, line breaks, empty texts and nulls apart.
 CSV = {"header": True, "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "nullValue": "\\N", "emptyValue": "", "multiLine": True, "escape": '"'}
 JDBC_BATCH, JDBC_PARTITIONS, JDBC_TIMEOUT = 200_000, 10, 500
@@ -20,7 +21,7 @@ def read_folder(spark: SparkSession, folder: str, names: list[str]) -> dict[str,
     for n in names:
         for path in (f"{folder}/{n}", f"{folder}/{n}.parquet"):
             if exists(spark, path):
-                out[n] = spark.read.parquet(path)
+                out[n] = spark.read.options(**REBASE).parquet(path)
                 break
     return out
 
@@ -42,12 +43,6 @@ def pooled(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> Data
     return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).parquet(folder)
 
 
-def register(tables: dict[str, DataFrame]) -> None:
-    """Temporary views by name."""
-    for n, d in tables.items():
-        d.createOrReplaceTempView(n)
-
-
 def run_query(spark: SparkSession, text: str, tables: dict[str, DataFrame], parameters: dict | None = None) -> DataFrame:
     """SQL over given tables, named as ``{name}``, with ``:parameters``; nothing is registered globally."""
     return spark.sql(text, args=parameters or {}, **tables)
@@ -72,8 +67,7 @@ def export(tables: dict[str, DataFrame], folder: str, csv: bool = False, partiti
 
 def to_jdbc(df: DataFrame, url: str, name: str, properties: dict[str, str], partitions: int = JDBC_PARTITIONS) -> None:
     """Overwrites a database table in batches, with a bounded number of connections."""
-    w = df.coalesce(partitions) if df.rdd.getNumPartitions() > partitions else df.repartition(partitions)
-    w.write.format("jdbc").options(url=url, dbtable=name, batchsize=JDBC_BATCH, queryTimeout=JDBC_TIMEOUT, **properties).mode("overwrite").save()
+    df.write.format("jdbc").options(url=url, dbtable=name, batchsize=JDBC_BATCH, numPartitions=partitions, queryTimeout=JDBC_TIMEOUT, **properties).mode("overwrite").save()
 
 
 def cached(spark: SparkSession, path: str, make) -> DataFrame:
@@ -111,11 +105,6 @@ def nested_visits(df: DataFrame) -> DataFrame:
     return e.select("person_id", "birth", "gender", "race", "visit_no", "v.visit_type", F.col("v.visit_start_datetime").alias("start"), F.col("v.visit_end_datetime").alias("end"), F.col("v.discharge_facility").alias("discharge"), "e.time", "e.code", F.col("e.numeric_value").alias("number"), F.col("e.text_value").alias("text"), "e.unit")
 
 
-def common_columns(a: DataFrame, b: DataFrame) -> list[str]:
-    """Columns of ``a`` that ``b`` has as well, in the order of ``a``."""
-    return [c for c in a.columns if c in b.columns]
-
-
 R = Registry()
 _NAMES = ["person", "visit_occurrence", "condition_occurrence", "measurement", "processed_dataset", "patient_splits", "lab_stats", "concept"]
 
@@ -164,3 +153,19 @@ def embedding_store(spark, sf_dir: str) -> DataFrame:
     save_artifacts(path, vectors=table(spark, sf_dir, "embeddings"))
     v = load_artifacts(spark, path, ["vectors"])["vectors"]
     return v.select("vec_id", "label", F.round(F.sqrt(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)), 4).alias("norm"))
+
+
+@R.query("nested_visits", """WITH v AS (SELECT DISTINCT visit_occurrence_id, person_id, visit_concept_id, visit_start_datetime, visit_end_datetime FROM visit_occurrence WHERE visit_occurrence_id IS NOT NULL AND person_id IS NOT NULL),
+c AS (SELECT DISTINCT visit_occurrence_id, condition_concept_id, condition_start_datetime FROM condition_occurrence WHERE visit_occurrence_id IS NOT NULL)
+SELECT person_id, visit_concept_id::VARCHAR AS visit_type, visit_start_datetime AS start, condition_concept_id::VARCHAR AS code, condition_start_datetime AS time FROM v LEFT JOIN c USING (visit_occurrence_id)""")
+def nested_visits_query(spark, sf_dir: str) -> DataFrame:
+    """Visits and their conditions, nested into one record a person and read from it again."""
+    none = lambda kind: F.lit(None).cast(kind)
+    v = table(spark, sf_dir, "visit_occurrence").where("visit_occurrence_id is not null and person_id is not null").select("visit_occurrence_id", "person_id", "visit_concept_id", "visit_start_datetime", "visit_end_datetime").distinct()
+    c = table(spark, sf_dir, "condition_occurrence").where("visit_occurrence_id is not null").select("visit_occurrence_id", "condition_concept_id", "condition_start_datetime").distinct()
+    event = F.struct(F.col("condition_start_datetime").alias("time"), F.col("condition_concept_id").cast("string").alias("code"), none("double").alias("numeric_value"), none("string").alias("text_value"), none("string").alias("unit"))
+    e = c.groupBy("visit_occurrence_id").agg(F.collect_list(event).alias("events"))
+    visit = F.struct(F.col("visit_concept_id").cast("string").alias("visit_type"), "visit_start_datetime", "visit_end_datetime", none("string").alias("discharge_facility"), "events")
+    nested = v.join(e, "visit_occurrence_id", "left").groupBy(F.col("person_id").alias("patient_id")).agg(F.collect_list(visit).alias("visits"))
+    nested = nested.select("patient_id", none("timestamp_ntz").alias("birth_datetime"), none("string").alias("gender"), none("string").alias("race"), "visits")
+    return nested_visits(cached(spark, new_path(spark, "nested"), lambda: nested)).select("person_id", "visit_type", "start", "code", "time")
