@@ -212,3 +212,19 @@ def batch_padding(spark, sf_dir: str) -> DataFrame:
     m = F.transform("p", lambda x, j: ((j < F.size("ids")) & (x != PAD_ID)).cast("int"))
     l = labels(F.col("p"), m)  # noqa: E741
     return i.select("person_id", F.size("p").alias("n"), F.size(F.filter(l, lambda x: x != IGNORED)).alias("n_labels"), F.greatest(F.lit(64) - F.size("ids"), F.lit(0)).alias("n_pad"))
+
+
+@R.query("batch_padding_left", f"WITH i AS (SELECT person_id, max(input_ids) AS ids FROM processed_dataset WHERE person_id IS NOT NULL AND input_ids IS NOT NULL GROUP BY 1) SELECT person_id, array_to_string(list_concat([{PAD_ID} FOR x IN range(64 - len(ids))], ids), ' ') AS ids FROM i")
+def batch_padding_left(spark, sf_dir: str) -> DataFrame:
+    """Sequences filled up to 64 ids before their start, as for generation."""
+    return _ids(spark, sf_dir).select("person_id", F.array_join(padded(F.col("ids"), 64, F.lit(PAD_ID), left=True), " ").alias("ids"))
+
+
+@R.query("value_labels", f"WITH i AS (SELECT person_id, max({{'i': input_ids, 'm': value_indicators}}) AS x FROM processed_dataset WHERE person_id IS NOT NULL AND input_ids IS NOT NULL AND value_indicators IS NOT NULL GROUP BY 1) SELECT person_id, array_to_string([CASE WHEN x.m[k] = 1 THEN coalesce(x.i[k], {IGNORED}) ELSE {IGNORED} END FOR k IN range(1, len(x.i) + 1)], ' ') AS labels FROM i")
+def value_labels(spark, sf_dir: str) -> DataFrame:
+    """Ids of the positions with a value, all others ignored."""
+    p = table(spark, sf_dir, "processed_dataset").where("person_id is not null and input_ids is not null and value_indicators is not null")
+    x = p.groupBy("person_id").agg(F.max(F.struct(F.col("input_ids").alias("i"), F.col("value_indicators").alias("m"))).alias("x"))
+    mask = F.slice("x.m", 1, F.size("x.i"))
+    l = F.transform(labels(F.col("x.i"), mask), lambda v: F.coalesce(v, F.lit(IGNORED)))  # noqa: E741
+    return x.select("person_id", F.array_join(l, " ").alias("labels"))

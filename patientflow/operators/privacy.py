@@ -14,7 +14,7 @@ from ..functions.tokens import sequences
 from ..plans.registry import Registry
 from ..plans.runtime import partitions, persisted, table
 from ..plans.skew import salted_join
-from .sequences import clinical_set, demographics
+from .sequences import clinical_set, demographics, partition_set
 
 MEMBER_THRESHOLD = 5.0
 #: Rows of the target, and of the source, that a task holds at once.
@@ -153,16 +153,16 @@ def set_overlap(known: Column, guessed: Column) -> list[Column]:
     return [part(both, b).alias("precision"), part(both, a).alias("recall"), part(2 * both, a + b).alias("f1")]
 
 
-def attribute_inference(real: DataFrame, synthetic: DataFrame, common: Column, sensitive_of: Column | None = None) -> DataFrame:
+def attribute_inference(real: DataFrame, synthetic: DataFrame, common: Column, sensitive: Column | None = None) -> DataFrame:
     """``id, match_id, precision, recall, f1``: sensitive concepts of each real row guessed from its nearest synthetic row by common ones.
 
-    ``common`` is an array of concepts; the sensitive ones are all others.
+    ``common`` and ``sensitive`` are arrays of concepts; without the second all others are sensitive.
     Precision divides by the matched row's set.
     """
     cut = lambda d: d.withColumn("concepts", F.array_intersect("concepts", common))
     near = nearest(cut(real), cut(synthetic))
-    a = real.select("id", F.array_except("concepts", common).alias("known"))
-    b = synthetic.select(F.col("id").alias("match_id"), F.array_except("concepts", common).alias("guessed"))
+    a = real.select("id", partition_set(F.col("concepts"), common, sensitive)[1].alias("known"))
+    b = synthetic.select(F.col("id").alias("match_id"), partition_set(F.col("concepts"), common, sensitive)[1].alias("guessed"))
     return near.join(a, "id").join(b, "match_id").select("id", "match_id", *set_overlap(F.col("known"), F.col("guessed")))
 
 
@@ -339,6 +339,21 @@ def attribute_inference_f1(spark, sf_dir: str) -> DataFrame:
     return attribute_inference(c["train"], c["synthetic"], common)
 
 
+_DOMAIN = "(SELECT list(DISTINCT concept_id::VARCHAR) AS l FROM concept WHERE domain_id = '{}' AND concept_id IS NOT NULL)"
+
+
+@R.query("attribute_inference_configured", _V + f""", kl AS {_DOMAIN.format("Condition")}, zl AS {_DOMAIN.format("Drug")}, w AS (SELECT id, age, gender, race, u, list_intersect(c, kl.l) AS c, list_intersect(c, zl.l) AS z FROM v, kl, zl),
+m AS (SELECT a.id, arg_min(b.id, (round((a.age - b.age) ** 2 + 2 * (a.gender <> b.gender)::INT + 2 * (a.race <> b.race)::INT + len(a.c) + len(b.c) - 2 * len(list_intersect(a.c, b.c)), 9), b.id)) AS match_id FROM w a, w b WHERE a.u < 0.4 AND b.u >= 0.6 GROUP BY a.id),
+ov AS (SELECT m.id, m.match_id, len(list_intersect(a.z, b.z)) AS i, len(a.z) AS na, len(b.z) AS nb FROM m JOIN w a ON a.id = m.id JOIN w b ON b.id = m.match_id)
+SELECT id, match_id, coalesce(i / nullif(nb, 0), 0) AS precision, coalesce(i / nullif(na, 0), 0) AS recall, coalesce(2 * i / nullif(na + nb, 0), 0) AS f1 FROM ov""")
+def attribute_inference_configured(spark, sf_dir: str) -> DataFrame:
+    """As attribute_inference_f1, with two configured lists: conditions are known, drugs are guessed."""
+    c = _cohorts(spark, sf_dir)
+    k = table(spark, sf_dir, "concept").where("concept_id is not null")
+    listed = lambda d: _array(sorted(r[0] for r in k.where(F.col("domain_id") == d).select(F.col("concept_id").cast("string")).distinct().collect()))
+    return attribute_inference(c["train"], c["synthetic"], listed("Condition"), listed("Drug"))
+
+
 def _reid(spark, sf_dir: str) -> dict[str, DataFrame]:
     """Sample, population and synthetic tables of the re-identification risk."""
     t = F.col("t")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ..functions.tokens import SEQUENCES_SQL, sequences
 from ..plans.registry import Registry
+from ..plans.runtime import persisted
 from .splits import uniform
 
 
@@ -36,6 +37,25 @@ def top_p(df: DataFrame, share: float) -> DataFrame:
     return _again(df.withColumn("b", F.coalesce(before, F.lit(0.0))).where(F.col("b") < share - 1e-12), F.col("p"))
 
 
+def top_mix(df: DataFrame, k: int, share: float) -> DataFrame:
+    """The k most probable tokens, with shares anew, and of those the fewest that reach ``share``."""
+    return top_p(top_k(df, k), share)
+
+
+def beams(df: DataFrame, contexts: DataFrame, steps: int, width: int) -> DataFrame:
+    """``key, rank, tokens, p``: the ``width`` most probable continuations of ``steps`` tokens of each (key, context), found step by step from as many at each.
+
+    Only a context's ``width`` most probable tokens can go on, so they are taken first. Ties by the tokens' text.
+    """
+    next_ = persisted(df.withColumn("r", F.row_number().over(_best())).where(F.col("r") <= width).select("context", F.col("token").alias("t"), F.col("p").alias("q")), "best")
+    now = contexts.select("key", "context", F.lit(1.0).alias("p"), F.lit("").alias("tokens"))
+    best = Window.partitionBy("key").orderBy(F.desc(F.round("p", 12)), "tokens")
+    for _ in range(steps):
+        now = now.join(next_, "context").select("key", F.col("t").alias("context"), (F.col("p") * F.col("q")).alias("p"), F.concat_ws(" ", F.when(F.col("tokens") != "", F.col("tokens")), F.col("t")).alias("tokens"))
+        now = now.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= width)
+    return now.select("key", "rank", "tokens", "p")
+
+
 def temperature(df: DataFrame, t: float) -> DataFrame:
     """Shares to the power 1 / t."""
     return _again(df, F.pow("p", F.lit(1.0 / t)))
@@ -109,6 +129,23 @@ def top_p_next(spark, sf_dir: str) -> DataFrame:
     return top_p(_next(spark, sf_dir), 0.8)
 
 
+@R.query("top_mix_next", _N + ", a AS (SELECT context, token, p / sum(p) OVER (PARTITION BY context) AS p FROM o WHERE r <= 20), c AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY context ORDER BY p DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM a) SELECT context, token, p / sum(p) OVER (PARTITION BY context) AS p FROM c WHERE b < 0.8 - 1e-12")
+def top_mix_next(spark, sf_dir: str) -> DataFrame:
+    return top_mix(_next(spark, sf_dir), 20, 0.8)
+
+
+def _beam(k: int) -> str:
+    before = "b" + str(k - 1) if k > 1 else "(SELECT DISTINCT context AS key, context, 1.0::DOUBLE AS p, '' AS tokens FROM o)"
+    return f"b{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY round(p, 12) DESC, tokens) AS rank FROM (SELECT key, n.token AS context, b.p * n.p AS p, trim(tokens || ' ' || n.token) AS tokens FROM {before} b JOIN (SELECT context, token, p FROM o WHERE r <= 3) n ON n.context = b.context)) WHERE rank <= 3)"
+
+
+@R.query("beam_next", _N + ", " + ", ".join(map(_beam, (1, 2, 3))) + " SELECT key, rank, tokens, round(p, 9) AS p FROM b3")
+def beam_next(spark, sf_dir: str) -> DataFrame:
+    """The three most probable continuations of three tokens of every token."""
+    n = persisted(_next(spark, sf_dir), "next")
+    return beams(n, n.select(F.col("context").alias("key"), "context").distinct(), 3, 3).withColumn("p", F.round("p", 9))
+
+
 @R.query("temperature_next", _N + " SELECT context, token, p ** 2 / sum(p ** 2) OVER (PARTITION BY context) AS p FROM o")
 def temperature_next(spark, sf_dir: str) -> DataFrame:
     return temperature(_next(spark, sf_dir), 0.5)

@@ -94,6 +94,17 @@ def time_vocabulary(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.where(tk.is_att_token(t) & days.isNotNull()).select("token", *[parts[i].alias(f"part_{i + 1}") for i in range(3)])
 
 
+def time_ids(vocabulary: DataFrame) -> DataFrame:
+    """``token, id_1, id_2, id_3`` of every token of a vocabulary: the ids (from 1, in the order of the text) of the year, month and day of time tokens, 0 for all others."""
+    times = time_vocabulary(vocabulary)
+    parts = times.select(F.explode(F.array("part_1", "part_2", "part_3")).alias("part")).distinct()
+    ids = global_rank(parts, [F.col("part")]).select("part", (F.col("rank") + 1).alias("id"))
+    j = vocabulary.select("token").join(times, "token", "left")
+    for i in (1, 2, 3):
+        j = j.join(ids.select(F.col("part").alias(f"part_{i}"), F.col("id").alias(f"id_{i}")), f"part_{i}", "left")
+    return j.select("token", *[F.coalesce(f"id_{i}", F.lit(0)).alias(f"id_{i}") for i in (1, 2, 3)])
+
+
 def value_vocabulary(text_values: DataFrame, bins: int = VALUE_BINS, size: int = VOCAB_SIZE) -> DataFrame:
     """The vocabulary of values, ``token, id, n``: padding, unknown and the bins first, then text values by falling count."""
     fixed = [tk.PAD, tk.OOV, *[f"BIN:{i}" for i in range(bins)], "BIN:unknown", "BIN:NONE"]
@@ -157,13 +168,26 @@ def decode_tokens(spark, sf_dir: str) -> DataFrame:
     return d.select(F.col("key").alias("person_id"), F.array_join("t", " ").alias("t"))
 
 
-@R.query("time_vocabulary", _VOCAB + """, d AS (SELECT token, CASE WHEN token = 'LT' THEN 1095 WHEN starts_with(token, 'i-') OR starts_with(token, 'VS-') THEN TRY_CAST(substr(split_part(token, '-', 2), 2) AS INT)
+_TIMES = _VOCAB + """, d AS (SELECT token, CASE WHEN token = 'LT' THEN 1095 WHEN starts_with(token, 'i-') OR starts_with(token, 'VS-') THEN TRY_CAST(substr(split_part(token, '-', 2), 2) AS INT)
  ELSE TRY_CAST(substr(token, 2) AS BIGINT) * CASE token[1] WHEN 'D' THEN 1 WHEN 'W' THEN 7 WHEN 'M' THEN 30 WHEN 'Y' THEN 365 END END AS n FROM voc WHERE regexp_matches(token, '^[DWMY][0-9]') OR token = 'LT' OR starts_with(token, 'VS-') OR (starts_with(token, 'i-') AND NOT starts_with(token, 'i-H')))
-SELECT token, 'year:' || (n // 365) AS part_1, 'month:' || (n % 365 // 30) AS part_2, CASE WHEN regexp_matches(token, '^(VS-|i-)D[0-9]') THEN 'i-day:' ELSE 'day:' END || (n % 365 % 30) AS part_3 FROM d WHERE n IS NOT NULL""")
+SELECT token, 'year:' || (n // 365) AS part_1, 'month:' || (n % 365 // 30) AS part_2, CASE WHEN regexp_matches(token, '^(VS-|i-)D[0-9]') THEN 'i-day:' ELSE 'day:' END || (n % 365 % 30) AS part_3 FROM d WHERE n IS NOT NULL"""
+
+
+@R.query("time_vocabulary", _TIMES)
 def time_vocabulary_query(spark, sf_dir: str) -> DataFrame:
     return time_vocabulary(vocabulary_of(spark, sf_dir))
 
 
+_PARTS = _TIMES[: _TIMES.rindex("SELECT token, 'year:'")].rstrip() + ", tv AS (" + _TIMES[_TIMES.rindex("SELECT token, 'year:'") :] + """),
+pi AS (SELECT part, row_number() OVER (ORDER BY part) AS id FROM (SELECT part_1 AS part FROM tv UNION SELECT part_2 FROM tv UNION SELECT part_3 FROM tv))"""
+
+
+@R.query("time_ids", _PARTS + " SELECT voc.token, coalesce(a.id, 0) AS id_1, coalesce(b.id, 0) AS id_2, coalesce(c.id, 0) AS id_3 FROM voc LEFT JOIN tv ON voc.token = tv.token LEFT JOIN pi a ON a.part = part_1 LEFT JOIN pi b ON b.part = part_2 LEFT JOIN pi c ON c.part = part_3")
+def time_ids_query(spark, sf_dir: str) -> DataFrame:
+    """Ids of the parts of every vocabulary token."""
+    return time_ids(vocabulary_of(spark, sf_dir))
+
+
 @R.query("word_vocabulary", "SELECT token, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS token FROM documents) WHERE token <> '' GROUP BY 1")
 def word_vocabulary(spark, sf_dir: str) -> DataFrame:
     """Word counts of a text corpus, by the same operator."""

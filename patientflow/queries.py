@@ -16,7 +16,7 @@ ROUNDED = {
     "lab_numeric_stats": "mean std", "lab_trimmed_stats": "mean std", "lab_stats_merge": "mean std", "vocabulary_expand_stats": "mean std", "unit_distribution": "p", "causal_age_probabilities": "prob adjusted_prob",
     "nn_distance": "dist", "nn_self_distance": "dist", "membership_metrics": "accuracy precision recall f1", "nnaa_privacy_loss": "aa_train aa_test privacy_loss", "attribute_inference_f1": "precision recall f1", "majority_attributes": "prevalence",
     "reid_risk": "a_term b_term", "tte_summary": "average_time median_time standard_deviation event_probability", "tte_time_buckets": "probability", "tte_cumulative": "probability cumulative", "pack_estimate": "mean_length",
-    "top_k_next": "p", "top_p_next": "p", "temperature_next": "p", "epsilon_next": "p", "penalty_next": "p", "aligned_metrics": "value_a value_b", "roc_auc": "roc_auc", "prediction_table": "predicted_boolean_probability", "pr_auc": "pr_auc",
+    "top_k_next": "p", "top_p_next": "p", "top_mix_next": "p", "beam_next": "p", "attribute_inference_configured": "precision recall f1", "temperature_next": "p", "epsilon_next": "p", "penalty_next": "p", "aligned_metrics": "value_a value_b", "roc_auc": "roc_auc", "prediction_table": "predicted_boolean_probability", "pr_auc": "pr_auc",
     "classification_metrics": "accuracy precision recall f1", "event_windows": "total",
 }
 #: Sums of integers, which the SQL side would widen.
