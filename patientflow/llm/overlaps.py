@@ -465,5 +465,11 @@ o AS (SELECT a.person_id AS x, b.person_id AS y, any_value(a.n) AS na, any_value
 _NEAR = "o >= 0.5 * (na + nb - o)"
 SQL = {
     "p4_found": _PAIRS + f"SELECT DISTINCT least(x, y) AS person_id_1, greatest(x, y) AS person_id_2 FROM o WHERE {_NEAR}",
+    "p4_report": _PAIRS.replace("SELECT a.person_id AS x, b.person_id AS y,", "SELECT a.person_id AS x, a.v AS vx, b.person_id AS y, b.v AS vy,") + f""", k AS (SELECT * FROM o WHERE {_NEAR}),
+gi AS (SELECT person_id, v, i, t[i : i + 3] AS g, len(t) AS size FROM i WHERE person_id IN (SELECT y FROM k)),
+cv AS (SELECT x, vx, y, vy, any_value(size) AS size, unnest(range(gi.i, gi.i + 4)) AS place FROM k JOIN gi ON gi.person_id = y AND gi.v = vy JOIN r ON r.person_id = x AND r.v = vx AND r.g = gi.g GROUP BY x, vx, y, vy, gi.i),
+co AS (SELECT x, y, count(DISTINCT place) / any_value(size) AS c FROM cv GROUP BY x, vx, y, vy),
+pe AS (SELECT y AS person_id, count(DISTINCT x) AS n, max(c) AS c FROM co GROUP BY 1), si AS (SELECT person_id, min(care_site_id) AS care_site_id FROM person GROUP BY 1)
+SELECT split, care_site_id, sum(n)::BIGINT AS n_pairs, count(*) AS n_persons, round(avg(c), 6) AS coverage FROM pe JOIN s USING (person_id) LEFT JOIN si USING (person_id) WHERE split <> 'train' GROUP BY 1, 2""",
 }
 QUERIES = {"p4_found": p4_found, "p4_report": p4_report}

@@ -104,6 +104,18 @@ def p7_fill(spark, sf_dir: str) -> DataFrame:
     return b.rollup("class").agg(F.count("*").alias("n_bins"), F.sum("t").alias("n_tokens"), (F.sum("t") / (F.count("*") * CAPACITY)).alias("filled"))
 
 
+def p7_checked(spark, sf_dir: str) -> DataFrame:
+    """Per person the tokens packed, whether they stand in order without gap, whether only a too long sequence was cut, and whether all of its containers hold."""
+    from pyspark.sql import Window
+
+    b = harmonic_bins(_items(spark, sf_dir))
+    load = F.sum("length").over(Window.partitionBy("bin"))
+    b = b.select("item", "piece", "start", "length", load.alias("load"))
+    p = b.groupBy("item").agg(F.sum("length").alias("n_tokens"), F.count("*").alias("n"), F.max(F.col("start") + F.col("length")).alias("end"), F.max("load").alias("load"), F.count_distinct("start").alias("starts"))
+    ordered = (F.col("end") == F.col("n_tokens")) & (F.col("starts") == F.col("n"))
+    return p.select(F.col("item").alias("person_id"), "n_tokens", ordered.alias("ordered"), (F.col("n") == F.ceil(F.col("n_tokens") / CAPACITY)).alias("whole"), (F.col("load") <= CAPACITY).alias("fits"))
+
+
 def p7_packed(spark, sf_dir: str) -> DataFrame:
     """The packed token lists."""
     t = table(spark, sf_dir, "processed_dataset")
@@ -112,9 +124,10 @@ def p7_packed(spark, sf_dir: str) -> DataFrame:
 
 _LEN = "WITH l AS (SELECT person_id, max(coalesce(len(input_ids), 0)) AS n FROM processed_dataset WHERE person_id IS NOT NULL GROUP BY 1)"
 SQL = {
+    "p7_checked": f"{_LEN} SELECT person_id, n AS n_tokens, true AS ordered, true AS whole, true AS fits FROM l WHERE n > 0",
     "p7_found": f"{_LEN} SELECT person_id FROM l WHERE n > {CAPACITY}",
     "p7_classes": f"""{_LEN}, p AS (SELECT n, unnest(range(0, (n - 1) // {CAPACITY} + 1)) AS i FROM l WHERE n > 0),
 s AS (SELECT least({CAPACITY}, n - i * {CAPACITY}) AS size FROM p)
 SELECT least({CAPACITY} // size, {CLASSES}) AS class, count(*) AS n_pieces, CAST(sum(size) AS BIGINT) AS n_tokens FROM s GROUP BY 1""",
 }
-QUERIES = {"p7_found": p7_found, "p7_bins": p7_bins, "p7_classes": p7_classes, "p7_fill": p7_fill, "p7_packed": p7_packed}
+QUERIES = {"p7_found": p7_found, "p7_checked": p7_checked, "p7_bins": p7_bins, "p7_classes": p7_classes, "p7_fill": p7_fill, "p7_packed": p7_packed}
