@@ -196,10 +196,18 @@ def at_node(rows: DataFrame, k: str) -> DataFrame:
 
 
 def lattice_sizes(rows: DataFrame) -> DataFrame:
-    """``node, age, gender, race, common, n``: sizes of the classes of every node, from the distinct rows and one aggregate."""
-    base = ["age", "gender", "race", "groups"]
-    x = at_node(class_sizes(rows, base).withColumn("k", F.explode(_nodes())), "k")
-    return x.groupBy("node", *QUASI).agg(F.sum("n").alias("n"))
+    """``node, age, gender, race, common, n``: sizes of the classes of every node, from the distinct rows, one expansion over all sets of groups and one aggregate."""
+    names = [f"g{i}" for i in range(GROUPS)]
+    keys = ["age", "gender", "race", "groups"]
+    # Each distinct row becomes 256, so they are spread by number and not by their size.
+    ages = F.explode(F.array(*[F.struct(F.lit(level).alias("level"), F.ceil(F.col("age") / base).alias("age")) for level, base in AGE_BASES.items()]))
+    x = class_sizes(rows, keys).repartition(partitions(rows.sparkSession), F.xxhash64(*keys)).select(ages.alias("a"), "gender", "race", *[F.col("groups")[i].alias(g) for i, g in enumerate(names)], "n")
+    x = x.select("a.level", "a.age", "gender", "race", *names, "n")
+    kept = ", ".join(f"1 - grouping({g})" for g in names)
+    common = ", ".join(f"if(grouping({g}) = 1, '*', {g})" for g in names)
+    text = f"""SELECT concat(level, '00', {kept}) AS node, age, gender, race, concat_ws('|', {common}) AS common, sum(n) AS n
+    FROM {{x}} GROUP BY level, age, gender, race, CUBE ({", ".join(names)})"""
+    return rows.sparkSession.sql(text, x=x).where(F.col("node").contains("1"))  # all but the bottom one
 
 
 def quasi_identifiers(rows: DataFrame, age_base: int) -> DataFrame:
