@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.runtime import partitions, persisted, table
-from ..plans.skew import broadcast_if_small, salt_count, salts, skew_join, spread_join
+from ..plans.skew import broadcast_if_small, hot_keys, salt_count, salts, skew_join, spread_join
 from .grouped_splits import split_name
 from .ngrams import BLANKS, distinct
 
@@ -390,7 +390,7 @@ def cross_split_overlaps(bodies: DataFrame, splits: DataFrame, symbols: int = SY
     classes = hashed.select(F.col("row").alias("no"), "body").join(first.select("no", "train", "eval"), "no").select("no", "train", "eval", "body")
     fields = "no bigint, train boolean, eval boolean, body array<string>"
     classes = persisted(classes.mapInArrow(lambda it: _texts(it, symbols), f"{fields}, text string, n bigint").where(F.col("n") >= LEAST_RUNS), "classes")
-    members = skew_join(hashed.select("key", "train", "eval", "h").distinct(), first.select("h", "no"), "h").drop("h")
+    members = skew_join(hashed.select("key", "train", "eval", "h").distinct(), first.select("h", "no"), "h", hot=hot_keys(hashed, "h")).drop("h")
     found = _scanned(classes.select("no", "train", "eval", "text", "n"), counters, bits)
     left = skew_join(found, classes.select(F.col("no").alias("train"), "n", F.col("body").alias("bt")), "train")
     both = skew_join(persisted(left, "left"), classes.select(F.col("no").alias("eval"), F.col("body").alias("be")), "eval")
