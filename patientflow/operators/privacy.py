@@ -14,7 +14,7 @@ from ..functions.tokens import sequences
 from ..plans.registry import Registry
 from ..plans.runtime import partitions, persisted, table
 from ..plans.skew import salted_join
-from .sequences import clinical_set, demographics, partition_set
+from .sequences import clinical_set, demographics, members, partition_set
 
 MEMBER_THRESHOLD = 5.0
 #: Rows of the target, and of the source, that a task holds at once.
@@ -153,13 +153,13 @@ def set_overlap(known: Column, guessed: Column) -> list[Column]:
     return [part(both, b).alias("precision"), part(both, a).alias("recall"), part(2 * both, a + b).alias("f1")]
 
 
-def attribute_inference(real: DataFrame, synthetic: DataFrame, common: Column, sensitive: Column | None = None) -> DataFrame:
+def attribute_inference(real: DataFrame, synthetic: DataFrame, common: Column | list[str], sensitive: Column | list[str] | None = None) -> DataFrame:
     """``id, match_id, precision, recall, f1``: sensitive concepts of each real row guessed from its nearest synthetic row by common ones.
 
-    ``common`` and ``sensitive`` are arrays of concepts; without the second all others are sensitive.
+    ``common`` and ``sensitive`` are lists of concepts; without the second all others are sensitive.
     Precision divides by the matched row's set.
     """
-    cut = lambda d: d.withColumn("concepts", F.array_intersect("concepts", common))
+    cut = lambda d: d.withColumn("concepts", members(F.col("concepts"), common))
     near = nearest(cut(real), cut(synthetic))
     a = real.select("id", partition_set(F.col("concepts"), common, sensitive)[1].alias("known"))
     b = synthetic.select(F.col("id").alias("match_id"), partition_set(F.col("concepts"), common, sensitive)[1].alias("guessed"))
@@ -343,8 +343,7 @@ SELECT id, match_id, coalesce(i / nullif(nb, 0), 0) AS precision, coalesce(i / n
 def attribute_inference_f1(spark, sf_dir: str) -> DataFrame:
     """Sensitive concepts of train persons guessed from the nearest synthetic person."""
     c = _cohorts(spark, sf_dir)
-    common = F.array(*[F.lit(x) for x in majority(c["all"])])
-    return attribute_inference(c["train"], c["synthetic"], common)
+    return attribute_inference(c["train"], c["synthetic"], majority(c["all"]))
 
 
 _DOMAIN = "(SELECT list(DISTINCT concept_id::VARCHAR) AS l FROM concept WHERE domain_id = '{}' AND concept_id IS NOT NULL)"
@@ -358,7 +357,7 @@ def attribute_inference_configured(spark, sf_dir: str) -> DataFrame:
     """As attribute_inference_f1, with two configured lists: conditions are known, drugs are guessed."""
     c = _cohorts(spark, sf_dir)
     k = table(spark, sf_dir, "concept").where("concept_id is not null")
-    listed = lambda d: _array(sorted(r[0] for r in k.where(F.col("domain_id") == d).select(F.col("concept_id").cast("string")).distinct().collect()))
+    listed = lambda d: sorted(r[0] for r in k.where(F.col("domain_id") == d).select(F.col("concept_id").cast("string")).distinct().collect())
     return attribute_inference(c["train"], c["synthetic"], listed("Condition"), listed("Drug"))
 
 

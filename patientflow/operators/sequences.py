@@ -22,13 +22,21 @@ def demographics(c: Column) -> list[Column]:
 
 def clinical_set(c: Column, skip: int = HEADER) -> Column:
     """Sorted distinct numeric tokens after ``skip`` tokens."""
-    return F.array_sort(F.array_distinct(F.filter(F.slice(c, skip + 1, F.greatest(F.size(c), F.lit(1))), tk.is_clinical_event)))
+    return F.sort_array(F.filter(F.array_distinct(F.slice(c, skip + 1, F.greatest(F.size(c), F.lit(1)))), tk.is_clinical_event))
 
 
-def partition_set(concepts: Column, common: Column, sensitive: Column | None = None) -> tuple[Column, Column]:
+def members(concepts: Column, listed: Column | list[str]) -> Column:
+    """The concepts of a set that are in a list. A list of the program becomes one hash set for all rows, an array column one a row."""
+    if isinstance(listed, Column):
+        return F.array_intersect(concepts, listed)
+    return F.filter(concepts, lambda x: x.isin(listed) if listed else F.lit(False))
+
+
+def partition_set(concepts: Column, common: Column | list[str], sensitive: Column | list[str] | None = None) -> tuple[Column, Column]:
     """The common and the sensitive members of a set of concepts, by two lists; without a second one all others are sensitive."""
-    rest = F.array_except(concepts, common) if sensitive is None else F.array_intersect(concepts, sensitive)
-    return F.array_sort(F.array_intersect(concepts, common)), F.array_sort(rest)
+    known = members(concepts, common)
+    rest = F.array_except(concepts, known) if sensitive is None else members(concepts, sensitive)
+    return F.sort_array(known), F.sort_array(rest)
 
 
 def valid_sequence(c: Column) -> Column:
