@@ -395,6 +395,68 @@ def test_config_files(tmp_path):
     assert t.task_name == "a b" and t.outcome_events == [9201, "262"] and t.include_descendants and t.prediction_window_end == -1
 
 
+    from patientflow.sources.config import read_config
+
+    assert read_config(str(y))["task_name"] == "a b"
+
+
+def test_shipped_tasks_and_descendants(spark):
+    ancestor = spark.createDataFrame([(316139, 1), (316139, 316139), (9201, 5)], "ancestor_concept_id bigint, descendant_concept_id bigint")
+    by = {t.task_name: t for t in tte.TASKS}
+    assert tte.outcomes_of(by["t2dm_hf_prediction"], spark, ancestor) == ["1", "316139"]
+    assert tte.outcomes_of(by["30_day_readmission_prediction"], spark, ancestor) == ["262", "8920", "8971", "9201"]  # none asked for
+
+
+def test_database_table_round_trip(spark):
+    from patientflow.sources import tables
+
+    df = spark.createDataFrame([(1, "a", 0.5), (2, None, None)], "id bigint, s string, x double")
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    url = "jdbc:derby:memory:patients;create=true"
+    for _ in range(2):  # the second time over the first
+        tables.to_jdbc(df, url, "people", driver)
+    got = spark.read.format("jdbc").options(url=url, dbtable="people", **driver).load()
+    assert sorted(map(tuple, got.collect())) == [(1, "a", 0.5), (2, None, None)]
+
+
+def test_no_shared_folder_is_an_error_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from patientflow.plans import runtime
+
+    none = SimpleNamespace(isEmpty=lambda: True, isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d=None: d))
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(session)
+    assert runtime.new_path(spark, "x").startswith("file:/")
+
+
+def test_broadcast_by_bytes(spark):
+    from patientflow.plans.skew import broadcast_if_small
+
+    df = spark.range(1000).select("id", F.repeat(F.lit("x"), 100).alias("s"))
+    hint = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
+    assert hint(broadcast_if_small(df)) and not hint(broadcast_if_small(df, 50_000))
+
+
+def test_reservoir_keeps_any_number_of_a_hot_group(spark):
+    rows = spark.range(30_000, numPartitions=6).select((F.col("id") % 100 > 0).cast("int").alias("k"), "id", F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.lit("z")).alias("n"))
+    got = splits.reservoir(rows, ["k", "n"], 2_000, "id").collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.k, r.n), set()).add(r.id)
+    assert {k: len(v) for k, v in by.items()} == {(1, "z"): 2000, (1, None): 2000, (0, None): 300}
+    want = rows.withColumn("h", splits.draw("id")).where("k = 1 and n = 'z'").orderBy("h").limit(2_000).collect()
+    assert by[1, "z"] == {r.id for r in want}
+
+
+def test_a_value_that_half_of_the_rows_share_is_ranked_over_partitions(spark):
+    rows = [("1", "u", 7.0)] * 3000 + [("1", "u", float(i)) for i in range(3000)]
+    r = labstats.ranked(spark.createDataFrame(rows, "concept_id string, unit string, value double").repartition(6)).collect()
+    assert sorted(x.r for x in r) == list(range(6000)) and [x.value for x in sorted(r, key=lambda x: x.r)] == sorted(v for _, _, v in rows)
+
+
 def test_streaming_matches_batch(spark, tmp_path):
     from patientflow.streaming import visits
 
