@@ -22,22 +22,30 @@ def distinct(a: np.ndarray) -> np.ndarray:
     return a[keep]
 
 
-def clean_terms(c: str = "concept_ids") -> F.Column:
-    """Elements of an array without outer blanks, tabs and line breaks; null and empty ones are no terms."""
-    return F.filter(F.transform(c, lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: F.length(x) > 0)
+def clean_terms(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Terms of a batch of lists as numbers, their count in each row, and the words: without outer blanks, tabs and line breaks; null and empty elements and null lists give none.
+
+    Each distinct element is cleaned once.
+    """
+    size = np.diff(lists.offsets.to_numpy())
+    size[~lists.is_valid().to_numpy(zero_copy_only=False)] = 0
+    coded = lists.flatten().dictionary_encode()
+    number: dict[str, int] = {}
+    own = np.array([number.setdefault(x, len(number)) if (x := w.strip(BLANKS)) else -1 for w in coded.dictionary.to_pylist()] or [-1], np.int64)
+    code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    code = np.where(code >= 0, own[np.maximum(code, 0)], -1)
+    row = np.repeat(np.arange(len(lists)), size)[code >= 0]
+    return code[code >= 0], np.bincount(row, minlength=len(lists)), list(number)
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], max_n: int) -> Iterator[pa.RecordBatch]:
     """Truncated suffixes of (record, terms) rows, pre-aggregated per batch: one row per suffix with its record set, and that set's size."""
     for b in batches:
-        rec, terms = b.column(0), b.column(1)
+        rec = b.column(0)
         if not b.num_rows:
             continue
-        offsets = terms.offsets.to_numpy()
-        flat = terms.values.slice(offsets[0], offsets[-1] - offsets[0])
-        lengths = np.diff(offsets)
-        coded = flat.dictionary_encode()
-        code, words = coded.indices.to_numpy(), coded.dictionary
+        code, lengths, words = clean_terms(b.column(1))
+        words = pa.array(words, pa.string())
         known = rec.is_valid().to_numpy(zero_copy_only=False)
         ids = rec.fill_null(0).to_numpy()
         row = np.repeat(np.arange(b.num_rows), lengths)
@@ -169,7 +177,7 @@ def suffix_counts(df: DataFrame, record: str, terms: str, max_n: int = 1) -> Dat
     prefix counts in one pass.
     """
     n = partitions(df.sparkSession)
-    rows = df.select(F.col(record).cast("bigint").alias("record"), clean_terms(terms).alias("terms")).where("size(terms) > 0")
+    rows = df.select(F.col(record).cast("bigint").alias("record"), F.col(terms).alias("terms")).where("size(terms) > 0")
     sent = persisted(rows.mapInArrow(lambda it: _suffixes(it, max_n), "first string, suffix array<string>, occurrences bigint, load bigint, records array<bigint>"), "suffixes")
     load = sent.groupBy("first").agg(F.sum("load").alias("load"))
     total = load.agg(F.sum("load")).first()[0] or 0

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..plans.runtime import partitions, persisted, table
 from ..plans.skew import broadcast_if_small, hot_keys, salt_count, salts, skew_join, spread_join
 from .grouped_splits import split_name
-from .ngrams import BLANKS, distinct
+from .ngrams import clean_terms, distinct
 
 RUN, LEAST_RUNS = 4, 20
 #: At least half of the distinct runs of both stand in both.
@@ -74,22 +74,13 @@ def _bodies(batches: Iterator[pa.RecordBatch], header: int) -> Iterator[pa.Recor
     import xxhash
 
     for b in batches:
-        lists = b.column(1)
         if not b.num_rows:
             continue
-        size = np.diff(lists.offsets.to_numpy())
-        size[~lists.is_valid().to_numpy(zero_copy_only=False)] = 0
-        coded = lists.flatten().dictionary_encode()
-        words = [w.strip(BLANKS) for w in coded.dictionary.to_pylist()] or [""]
-        kept = np.array([w != "" for w in words])
-        code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        good = (code >= 0) & kept[np.maximum(code, 0)]
-        text = np.repeat(np.arange(b.num_rows), size)[good]
-        code = code[good]
-        size = np.bincount(text, minlength=b.num_rows)
+        code, size, words = clean_terms(b.column(1))
+        text = np.repeat(np.arange(b.num_rows), size)
         first = np.concatenate([[0], np.cumsum(size)])[:-1]
         place = np.arange(len(code)) - first[text]
-        start = np.array([w == "[START]" for w in words])
+        start = np.array([w == "[START]" for w in words] or [False])
         begins = np.zeros(b.num_rows, bool)
         begins[size > 0] = start[code[first[size > 0]]]
         body = place >= header + begins[text]
@@ -97,7 +88,7 @@ def _bodies(batches: Iterator[pa.RecordBatch], header: int) -> Iterator[pa.Recor
         size = np.bincount(text, minlength=b.num_rows)
         halves = []
         for seed, mix in ((0, _A), (1, _B)):
-            h = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in words], np.uint64)[code]
+            h = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in words] or [0], np.uint64)[code]
             h = (h ^ (place * mix)) * _A
             h = (h ^ (h >> np.uint64(29))) * _B
             total = np.zeros(b.num_rows, np.uint64)
