@@ -93,6 +93,12 @@ def merge_table(real: DataFrame, synthetic: DataFrame, merge: Merge, synthetic_v
     return one(real, 1).unionByName(b)
 
 
+def looked_up(rows: DataFrame, facts: DataFrame, keys: list[str], defaults: dict[str, object]) -> DataFrame:
+    """``rows`` with the columns of ``defaults`` from the row of ``facts`` of the same keys, or their default. ``facts`` must be unique on the keys; null keys meet nothing."""
+    j = rows.join(broadcast_if_small(facts.select(*keys, *defaults)), keys, "left")
+    return j.withColumns({c: F.coalesce(F.col(c), F.lit(d)) for c, d in defaults.items()})
+
+
 def classifier_label(label: str = "label", index_date: str = "index_date") -> list[Column]:
     """``classifier_label`` (1 if the label is above 0) and the index date in seconds."""
     return [(F.coalesce(F.col(label), F.lit(0)) > 0).cast("int").alias("classifier_label"), F.unix_timestamp(F.col(index_date).cast("timestamp")).alias("index_seconds")]
@@ -177,3 +183,13 @@ def classifier_labels(spark, sf_dir: str) -> DataFrame:
     """Labels and index times in the form of a classifier's input."""
     d = table(spark, sf_dir, "documents").select("doc_id", "created_at").join(table(spark, sf_dir, "review_labels"), "doc_id")
     return d.select("doc_id", *classifier_label("flagged", "created_at"))
+
+
+@R.query("demographics_lookup", """WITH d AS (SELECT v.person_id, v.visit_start_date AS at, max(year(v.visit_start_date) - p.year_of_birth) AS age, max(p.gender_concept_id) AS gender FROM visit_occurrence v JOIN person p ON p.person_id = v.person_id WHERE v.visit_start_date IS NOT NULL GROUP BY ALL)
+SELECT condition_occurrence_id, c.person_id, condition_start_date AS at, coalesce(age, 0) AS age, coalesce(gender, 0) AS gender FROM condition_occurrence c LEFT JOIN d ON d.person_id = c.person_id AND d.at = c.condition_start_date""")
+def demographics_lookup(spark, sf_dir: str) -> DataFrame:
+    """Age and gender at each condition from the person's visit on that date, 0 without one."""
+    p, v = table(spark, sf_dir, "person").select("person_id", "year_of_birth", "gender_concept_id"), table(spark, sf_dir, "visit_occurrence").where("visit_start_date is not null")
+    d = v.join(p, "person_id").groupBy("person_id", F.col("visit_start_date").alias("at")).agg(F.max(F.year("visit_start_date") - F.col("year_of_birth")).alias("age"), F.max("gender_concept_id").alias("gender"))
+    c = table(spark, sf_dir, "condition_occurrence").select("condition_occurrence_id", "person_id", F.col("condition_start_date").alias("at"))
+    return looked_up(c, d, ["person_id", "at"], {"age": 0, "gender": 0})

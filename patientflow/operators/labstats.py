@@ -107,9 +107,9 @@ def value_of_bin(index: Column, bins: Column, u: Column) -> Column:
 
 def sample_bins(stats: DataFrame, per_bin: int, seed: int = 0) -> DataFrame:
     """``per_bin`` draws from each bin of each group, by hashes."""
-    u = F.pmod(F.xxhash64("concept_id", "unit", "i", "k", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    u = uniform("concept_id", "unit", "i", "k", seed=seed)
     rows = stats.select(*KEY, "bins", F.posexplode("bins").alias("i", "b")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(per_bin))))
-    return rows.select(*KEY, F.col("i").alias("bin_index"), value_of_bin(F.col("i"), F.col("bins"), u).alias("value"))
+    return rows.select(*KEY, F.col("i").alias("bin_index"), "k", value_of_bin(F.col("i"), F.col("bins"), u).alias("value"))
 
 
 def merge_stats(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def unit_distribution(stats: DataFrame) -> DataFrame:
 
 def random_unit(concepts: DataFrame, distribution: DataFrame, seed: int = 0) -> DataFrame:
     """``key, concept_id, unit`` drawn by the distribution; N/A for a concept without units."""
-    u = F.pmod(F.xxhash64("key", "concept_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    u = uniform("key", "concept_id", seed=seed)
     rows = concepts.withColumn("u", u).join(broadcast_if_small(distribution), "concept_id", "left")
     hit = F.col("unit").isNull() | ((F.col("u") >= F.col("below")) & (F.col("u") < F.col("below") + F.col("p")))
     return rows.groupBy("key", "concept_id").agg(F.coalesce(F.max(F.when(hit, F.col("unit"))), F.lit(NA)).alias("unit"))
@@ -228,10 +228,19 @@ def lab_bin_assign(spark, sf_dir: str) -> DataFrame:
     return assign_bins(_values(spark, sf_dir), persisted(_stats(spark, sf_dir), "stats")).groupBy(*KEY, "bin").agg(F.count("*").alias("n"))
 
 
-@R.query("lab_bin_samples")
+_EDGES = f"""ed AS (SELECT b.concept_id, b.unit, b.bin_index, CASE WHEN b.bin_index = 0 THEN b.end_val - (n.end_val - n.start_val) ELSE b.start_val END AS lo, CASE WHEN b.bin_index = {BINS - 1} THEN b.start_val + (n.end_val - n.start_val) ELSE b.end_val END AS hi
+ FROM bins b JOIN bins n ON b.concept_id = n.concept_id AND b.unit = n.unit AND n.bin_index = CASE WHEN b.bin_index = 0 THEN 1 ELSE b.bin_index - 1 END)"""
+_UNITS = """ud AS (SELECT concept_id, unit, count(*) / sum(count(*)) OVER (PARTITION BY concept_id) AS p, coalesce(sum(count(*)) OVER (PARTITION BY concept_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(count(*)) OVER (PARTITION BY concept_id) AS below FROM f GROUP BY concept_id, unit)"""
+
+
+def _u(keys: str, seed: int) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', {keys}, '{seed}')), 1, 12))::BIGINT + 0.5) / 281474976710656.0"
+
+
+@R.query("lab_bin_samples", _BINS + f", {_EDGES}, k AS (SELECT *, unnest(range(1, 101)) AS k FROM ed) SELECT concept_id, unit, bin_index, k, round(lo + (hi - lo) * {_u('concept_id, unit, bin_index::VARCHAR, k::VARCHAR', 0)}, 4) AS value FROM k")
 def lab_bin_samples(spark, sf_dir: str) -> DataFrame:
     """A hundred draws from each bin."""
-    return sample_bins(_stats(spark, sf_dir), 100)
+    return sample_bins(_stats(spark, sf_dir), 100).withColumn("value", F.round("value", 4))
 
 
 _MERGE = """WITH a AS (SELECT trim(concept_id, ' ' || chr(9) || chr(10) || chr(13)) AS concept_id, coalesce(unit, 'N/A') AS unit, count AS n, mean, std FROM (SELECT DISTINCT concept_id, unit, count, mean, std FROM lab_stats WHERE concept_id IS NOT NULL) WHERE count > 0),"""
@@ -258,7 +267,7 @@ def unit_distribution_query(spark, sf_dir: str) -> DataFrame:
     return unit_distribution(numeric_stats(_values(spark, sf_dir))).drop("below")
 
 
-@R.query("random_units")
+@R.query("random_units", _VALUES + f", {_UNITS}, c AS (SELECT DISTINCT person_id AS key, concept_id FROM (SELECT person_id, {_T.format('unnest(concept_ids)')} AS concept_id FROM processed_dataset WHERE person_id IS NOT NULL) WHERE concept_id IN (SELECT concept_id FROM ud)), d AS (SELECT *, {_u('key::VARCHAR, concept_id', 0)} AS u FROM c) SELECT key, d.concept_id, unit FROM d JOIN ud ON d.concept_id = ud.concept_id AND u >= below AND u < below + p")
 def random_units(spark, sf_dir: str) -> DataFrame:
     """A unit drawn for each distinct concept of each person's values."""
     c = table(spark, sf_dir, "processed_dataset").where("person_id is not null").select(F.col("person_id").alias("key"), F.explode("concept_ids").alias("c")).select("key", F.btrim("c", F.lit(tk.BLANKS)).alias("concept_id"))
@@ -301,20 +310,15 @@ def measurement_value_tokens(spark, sf_dir: str) -> DataFrame:
     return assign_bins(rows, _stats(spark, sf_dir)).select(value_token(marked, F.col("value"), F.col("text"), F.col("bin")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-def _u(keys: str, seed: int) -> str:
-    return f"(('0x' || substr(md5(concat_ws('|', {keys}, '{seed}')), 1, 12))::BIGINT + 0.5) / 281474976710656.0"
-
-
 _KEYS = "i.key::VARCHAR, i.pos::VARCHAR, i.concept_id"
 
 
 @R.query("normalised_values", _BINS + f""", i AS (SELECT person_id AS key, generate_subscripts(concept_ids, 1) - 1 AS pos, {_T.format('unnest(concept_ids)')} AS concept_id, coalesce(unnest(units), 'N/A') AS unit, unnest("values") AS value, unnest(value_indicators) AS m FROM (SELECT DISTINCT ON (person_id) * FROM processed_dataset WHERE person_id IS NOT NULL AND concept_ids IS NOT NULL ORDER BY person_id, concept_ids DESC)),
 tk AS (SELECT i.key, i.pos, i.concept_id, CASE WHEN coalesce(m, 0) <> 1 THEN 'BIN:NONE' ELSE coalesce('BIN:' || min(bin_index), 'BIN:unknown') END AS token FROM i LEFT JOIN bins ON i.concept_id = bins.concept_id AND i.unit = bins.unit AND value BETWEEN start_val AND end_val AND NOT isnan(value) GROUP BY i.key, i.pos, i.concept_id, m),
 kp AS (SELECT * FROM tk i WHERE pos < coalesce((SELECT min(pos) FROM tk j WHERE j.key = i.key AND j.concept_id = '[END]'), 1000000000) AND concept_id IS NOT NULL),
-ud AS (SELECT concept_id, unit, count(*) / sum(count(*)) OVER (PARTITION BY concept_id) AS p, coalesce(sum(count(*)) OVER (PARTITION BY concept_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(count(*)) OVER (PARTITION BY concept_id) AS below FROM f GROUP BY concept_id, unit),
+{_UNITS},
 dr AS (SELECT i.key, i.pos, i.concept_id, token, coalesce(min(ud.unit), 'N/A') AS unit FROM kp i LEFT JOIN ud ON i.concept_id = ud.concept_id AND {_u(_KEYS, 0)} >= below AND {_u(_KEYS, 0)} < below + p GROUP BY ALL),
-ed AS (SELECT b.concept_id, b.unit, b.bin_index, CASE WHEN b.bin_index = 0 THEN b.end_val - (n.end_val - n.start_val) ELSE b.start_val END AS lo, CASE WHEN b.bin_index = {BINS - 1} THEN b.start_val + (n.end_val - n.start_val) ELSE b.end_val END AS hi
- FROM bins b JOIN bins n ON b.concept_id = n.concept_id AND b.unit = n.unit AND n.bin_index = CASE WHEN b.bin_index = 0 THEN 1 ELSE b.bin_index - 1 END)
+{_EDGES}
 SELECT i.key, i.pos, i.concept_id, round(lo + (hi - lo) * {_u(_KEYS, 1)}, 4) AS number, CASE WHEN regexp_matches(token, '^[0-9]+$') THEN token END AS text, (lo IS NOT NULL)::INT AS is_numeric, i.unit
 FROM dr i LEFT JOIN ed ON i.concept_id = ed.concept_id AND i.unit = ed.unit AND token = 'BIN:' || bin_index""")
 def normalised_values_query(spark, sf_dir: str) -> DataFrame:

@@ -31,8 +31,8 @@ R = Registry()
 
 @R.query("linear_probe")
 def linear_probe_query(spark, sf_dir: str) -> DataFrame:
-    """Areas under the curves of a probe that tells labels below 5 from the vectors."""
+    """Areas under the curves of a probe that tells labels below 5 from the vectors; its penalty is chosen by cross-validation."""
     e = table(spark, sf_dir, "embeddings").withColumn("y", (F.col("label") < 5).cast("int"))
     test = F.pmod(F.xxhash64("vec_id"), F.lit(5)) == 0
-    p = linear_probe(e.where(~test), e.where(test), "embedding", "y")
+    p = linear_probe(e.where(~test), e.where(test), "embedding", "y", folds=3)
     return roc_auc(p, "score", "label").withColumn("k", F.lit(0)).join(pr_auc(p, "score", "label").withColumn("k", F.lit(0)), "k").drop("k")

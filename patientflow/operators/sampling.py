@@ -163,7 +163,8 @@ def penalty_next(spark, sf_dir: str) -> DataFrame:
     return repetition_penalty(n, n.where("context = token"), 1.5)
 
 
-@R.query("draw_next")
+@R.query("draw_next", _N + """, q AS (SELECT context, token, p / sum(p) OVER (PARTITION BY context) AS p FROM o WHERE b < 0.95 - 1e-12), c AS (SELECT context, token, sum(p) OVER w AS hi, sum(p) OVER w - p AS lo FROM q WINDOW w AS (PARTITION BY context ORDER BY p DESC, token ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT person_id AS key, t[len(t) - 1] AS context FROM s WHERE len(t) > 5), d AS (SELECT *, (('0x' || substr(md5(concat_ws('|', key::VARCHAR, context, '0')), 1, 12))::BIGINT + 0.5) / 281474976710656.0 AS u FROM l) SELECT key, d.context, token FROM d JOIN c ON d.context = c.context AND u >= lo AND u < hi""")
 def draw_next_query(spark, sf_dir: str) -> DataFrame:
     """A next token for the last token of each sequence."""
     s = sequences(spark, sf_dir).where("size(t) > 5").select(F.col("person_id").alias("key"), F.get("t", F.size("t") - 2).alias("context"))

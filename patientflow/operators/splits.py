@@ -56,6 +56,12 @@ def uniform_sample(df: DataFrame, n: int, *keys: str, seed: int = 0) -> DataFram
     return df.orderBy(draw(*keys, seed=seed), *keys).limit(n)
 
 
+def skip_take(df: DataFrame, n: int, *keys: str, seed: int = 0) -> DataFrame:
+    """Adds ``part``: the first n rows in the order of a hash are ``taken``, the others are the ``rest``."""
+    r = global_rank(df.withColumn("_h", draw(*keys, seed=seed)), [F.col("_h"), *[F.col(k) for k in keys]])
+    return r.withColumn("part", F.when(F.col("rank") < n, "taken").otherwise("rest")).drop("_h", "rank")
+
+
 def fraction_sample(df: DataFrame, share: float, *keys: str, seed: int = 0) -> DataFrame:
     """Each row with probability ``share`` by its hash; all rows if 1."""
     return df if share >= 1 else df.where(uniform(*keys, seed=seed) < share)
@@ -220,14 +226,18 @@ def fraction_sample_query(spark, sf_dir: str) -> DataFrame:
     return fraction_sample(_persons(spark, sf_dir).select("person_id").distinct(), 0.25, "person_id", seed=5)
 
 
-@R.query("weighted_sample")
+def _u(*keys: str, seed: int = 0) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(f'{k}::VARCHAR' for k in keys)}, '{seed}')), 1, 12))::BIGINT + 0.5) / 281474976710656.0"
+
+
+@R.query("weighted_sample", f"WITH v AS (SELECT person_id, count(*) AS count FROM visit_occurrence WHERE person_id IS NOT NULL GROUP BY 1) SELECT person_id, count FROM v ORDER BY -ln({_u('person_id')}) / count, person_id LIMIT 100")
 def weighted_sample_query(spark, sf_dir: str) -> DataFrame:
     """A hundred persons with chances by their number of visits."""
     v = table(spark, sf_dir, "visit_occurrence").where("person_id is not null").groupBy("person_id").count()
     return weighted_sample(v, 100, "count", "person_id")
 
 
-@R.query("weighted_draws")
+@R.query("weighted_draws", f"WITH v AS (SELECT visit_concept_id, count(*)::DOUBLE AS w FROM visit_occurrence WHERE visit_concept_id IS NOT NULL GROUP BY 1), c AS (SELECT visit_concept_id, sum(w) OVER (ORDER BY visit_concept_id) / sum(w) OVER () AS hi, (sum(w) OVER (ORDER BY visit_concept_id) - w) / sum(w) OVER () AS lo FROM v), d AS (SELECT draw, {_u('draw')} AS u FROM range(1000) r(draw)) SELECT draw, visit_concept_id FROM d JOIN c ON u >= lo AND u < hi")
 def weighted_draws_query(spark, sf_dir: str) -> DataFrame:
     """A thousand visit types with chances by their frequency."""
     v = table(spark, sf_dir, "visit_occurrence").where("visit_concept_id is not null").groupBy("visit_concept_id").count()
@@ -255,14 +265,17 @@ def _ages(spark, sf_dir: str) -> DataFrame:
     return one.select("person_id", t[0].alias("year"), tk.age_group(t[1]).alias("age"), t[3].alias("race"), t[2].alias("gender"))
 
 
-@R.query("causal_age_probabilities", SEQUENCES_SQL + """, o AS (SELECT person_id, max(t) AS t FROM s WHERE len(t) > 4 GROUP BY 1), a AS (SELECT person_id, 'age:' || (TRY_CAST(substr(t[2], 5) AS INT) // 10 * 10) || '-' || (TRY_CAST(substr(t[2], 5) AS INT) // 10 * 10 + 10) AS age, t[3] AS gender FROM o),
+_AGES = SEQUENCES_SQL + """, o AS (SELECT person_id, max(t) AS t FROM s WHERE len(t) > 4 GROUP BY 1), a AS (SELECT person_id, 'age:' || (TRY_CAST(substr(t[2], 5) AS INT) // 10 * 10) || '-' || (TRY_CAST(substr(t[2], 5) AS INT) // 10 * 10 + 10) AS age, t[3] AS gender, t[4] AS race FROM o),
 c AS (SELECT age, count(*) AS n FROM a WHERE gender <> '0' AND age IS NOT NULL AND TRY_CAST(regexp_extract(age, '^age:(-?[0-9]+)-', 1) AS INT) BETWEEN 0 AND 99 GROUP BY 1),
-w AS (SELECT age, n, n / sum(n) OVER () AS prob, greatest(11 - row_number() OVER (ORDER BY age), 0) AS w FROM c) SELECT age, prob, prob * w / sum(prob * w) OVER () AS adjusted_prob, n AS n_persons FROM w""")
+w AS (SELECT age, n, n / sum(n) OVER () AS prob, greatest(11 - row_number() OVER (ORDER BY age), 0) AS w FROM c)"""
+
+
+@R.query("causal_age_probabilities", _AGES + " SELECT age, prob, prob * w / sum(prob * w) OVER () AS adjusted_prob, n AS n_persons FROM w")
 def causal_age_probabilities(spark, sf_dir: str) -> DataFrame:
     return causal_split(_ages(spark, sf_dir), 10).groupBy("age", "prob", "adjusted_prob").agg(F.count("*").alias("n_persons"))
 
 
-@R.query("causal_split")
+@R.query("causal_split", _AGES + f", ap AS (SELECT age, prob * w / sum(prob * w) OVER () AS q FROM w), j AS (SELECT a.*, q FROM a JOIN ap USING (age) WHERE gender <> '0'), tr AS (SELECT person_id FROM j WHERE q > 0 ORDER BY -ln({_u('person_id', seed=1)}) / q, person_id LIMIT (SELECT count(*) // 2 FROM o)) SELECT person_id, age, race, gender, CASE WHEN person_id IN (FROM tr) THEN 'train' ELSE 'validation' END AS split FROM j")
 def causal_split_query(spark, sf_dir: str) -> DataFrame:
     """Half of the persons for train, weighted to the young; validation the others."""
     rows = persisted(_ages(spark, sf_dir), "ages")
@@ -280,3 +293,9 @@ def shuffled_ranks(spark, sf_dir: str) -> DataFrame:
     """Persons in the order of their decade of birth, shuffled within it."""
     p = _persons(spark, sf_dir).where("person_id is not null").select("person_id", F.coalesce(F.floor(F.col("year_of_birth") / 10).cast("int"), F.lit(0)).alias("rank")).distinct()
     return shuffled_within_rank(p, "rank", "person_id", seed=3)
+
+
+@R.query("skip_take", f"WITH p AS (SELECT DISTINCT person_id FROM person WHERE person_id IS NOT NULL) SELECT person_id, CASE WHEN row_number() OVER (ORDER BY {_md5('person_id', 4)}, person_id) <= 100 THEN 'taken' ELSE 'rest' END AS part FROM p")
+def skip_take_query(spark, sf_dir: str) -> DataFrame:
+    """A hundred persons for validation, all others for train."""
+    return skip_take(_persons(spark, sf_dir).where("person_id is not null").select("person_id").distinct(), 100, "person_id", seed=4)

@@ -48,6 +48,27 @@ def run_query(spark: SparkSession, text: str, tables: dict[str, DataFrame], para
     return spark.sql(text, args=parameters or {}, **tables)
 
 
+#: Bounds that every built table may refer to: its dates and the ages of its persons.
+BOUNDS = {"date_lower_bound": "1900-01-01", "date_upper_bound": "2026-06-30", "age_lower_bound": 0, "age_upper_bound": 200}
+
+
+def build_table(spark: SparkSession, text: str, tables: dict[str, DataFrame], bounds: dict | None = None) -> DataFrame:
+    """A table from a query over others, which may use the bounds as ``:date_lower_bound`` and so on."""
+    return run_query(spark, text, tables, BOUNDS | (bounds or {}))
+
+
+#: Columns of a sequence that later steps read; of the optional ones those that are there.
+REQUIRED, OPTIONAL = ["person_id", "concept_ids"], ["num_of_concepts", "num_of_visits", "index_date", "label"]
+
+
+def pruned(df: DataFrame, required: list[str] = REQUIRED, optional: list[str] = OPTIONAL) -> DataFrame:
+    """The columns of a list: the required ones, which must be there, and the optional ones that are."""
+    missing = [c for c in required if c not in df.columns]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)}")
+    return df.select(*required, *[c for c in optional if c in df.columns])
+
+
 def build(spark: SparkSession, path: str, df: DataFrame, resume: bool = False) -> bool:
     """Writes a table; with ``resume`` not if it exists. Returns whether it was written."""
     if resume and exists(spark, path):
@@ -165,3 +186,20 @@ def nested_visits_query(spark, sf_dir: str) -> DataFrame:
     nested = v.join(e, "visit_occurrence_id", "left").groupBy(F.col("person_id").alias("patient_id")).agg(F.collect_list(visit).alias("visits"))
     nested = nested.select("patient_id", none("timestamp_ntz").alias("birth_datetime"), none("string").alias("gender"), none("string").alias("race"), "visits")
     return nested_visits(cached(spark, new_path(spark, "nested"), lambda: nested)).select("person_id", "visit_type", "start", "code", "time")
+
+
+_BOUNDED = """SELECT v.visit_occurrence_id, v.person_id, year(v.visit_start_date) - p.year_of_birth AS age FROM {v} v JOIN {p} p ON v.person_id = p.person_id
+WHERE v.visit_start_date BETWEEN CAST({date_lower_bound} AS DATE) AND CAST({date_upper_bound} AS DATE) AND year(v.visit_start_date) - p.year_of_birth BETWEEN {age_lower_bound} AND {age_upper_bound}"""
+
+
+@R.query("bounded_table", _BOUNDED.format(v="visit_occurrence", p="person", **{k: f"'{x}'" if isinstance(x, str) else x for k, x in BOUNDS.items()}))
+def bounded_table(spark, sf_dir: str) -> DataFrame:
+    """Visits within the bounds of dates and ages."""
+    text = _BOUNDED.format(v="{v}", p="{p}", **{k: f":{k}" for k in BOUNDS})
+    return build_table(spark, text, {"v": table(spark, sf_dir, "visit_occurrence"), "p": table(spark, sf_dir, "person")})
+
+
+@R.query("pruned_sequences", "SELECT person_id, len(concept_ids) AS n, num_of_concepts, num_of_visits FROM processed_dataset")
+def pruned_sequences(spark, sf_dir: str) -> DataFrame:
+    """The columns that later steps read, of the sequences."""
+    return pruned(table(spark, sf_dir, "processed_dataset")).select("person_id", F.when(F.col("concept_ids").isNotNull(), F.size("concept_ids")).alias("n"), "num_of_concepts", "num_of_visits")
