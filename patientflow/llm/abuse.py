@@ -172,7 +172,7 @@ def in_windows(size: np.ndarray, at: np.ndarray, far: np.ndarray, feature: np.nd
     first = np.concatenate([[0], np.cumsum(number)])[sentence] + low
     window = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
     both = distinct((window << BITS) | np.repeat(feature, n))
-    return both >> BITS, both & ((1 << BITS) - 1)
+    return (both >> BITS).astype(np.int32), (both & ((1 << BITS) - 1)).astype(np.int32)
 
 
 class Model:
