@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def _qualified(spark: SparkSession, path: str) -> str:
@@ -62,11 +62,10 @@ def persisted(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
 
 
 def counted(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict[str, int]]:
-    """As :func:`persisted`, with aggregates that are taken while writing (0 where nothing was written)."""
-    seen = Observation()
-    kept = persisted(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), name)
-    found = seen.get
-    return kept, {k: found.get(k) or 0 for k in metrics}
+    """As :func:`persisted`, with aggregates over what was written (0 where that is nothing)."""
+    kept = persisted(df, name)
+    found = kept.agg(*[c.alias(k) for k, c in metrics.items()]).first()
+    return kept, {k: found[k] or 0 for k in metrics}
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
