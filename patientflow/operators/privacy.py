@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import tokens as tk
+from ..functions.neighbours import TOKENS, Nearest, Rows, joined
 from ..functions.tokens import sequences
 from ..plans.registry import Registry
 from ..plans.runtime import partitions, persisted, table
@@ -17,8 +18,10 @@ from ..plans.skew import salted_join
 from .sequences import clinical_set, demographics, members, partition_set
 
 MEMBER_THRESHOLD = 5.0
-#: Rows of the target, and of the source, that a task holds at once.
-BLOCK, SOURCE_ROWS = 2_000, 20_000
+#: Rows of the target, and of the source, that a task holds at once; rows that a share of sets has at least.
+BLOCK, SOURCE_ROWS, LEAST_ROWS = 2_000, 20_000, 1_000
+#: Bytes of the target shares that one task meets.
+GROUP_BYTES = 32 << 20
 
 
 def vectors(seqs: DataFrame, key: str, c: str) -> DataFrame:
@@ -29,26 +32,54 @@ def vectors(seqs: DataFrame, key: str, c: str) -> DataFrame:
     return rows.select("id", (F.col("age") / F.lit(float(top or 1))).alias("age"), F.coalesce("gender", F.lit("")).alias("gender"), F.coalesce("race", F.lit("")).alias("race"), "concepts")
 
 
-class _Target:
-    """Target rows as an inverted list of concepts, so that a distance costs only the overlap."""
+def _numbered(a: pa.Array, tag: str, words: list[str]) -> np.ndarray:
+    """Each value's number; ``words`` gets the distinct ones, with the tag before them."""
+    d = a.dictionary_encode(null_encoding="encode")
+    words += [f"{tag}{w!r}" for w in d.dictionary.to_pylist()]
+    return d.indices.to_numpy().astype(np.int64) + len(words) - len(d.dictionary)
 
-    def __init__(self, t: pa.Table):
-        self.id, self.age = t.column("id").to_numpy(), t.column("age").to_numpy()
-        self.gender = t.column("gender").to_numpy(zero_copy_only=False).astype(object)
-        self.race = t.column("race").to_numpy(zero_copy_only=False).astype(object)
-        lists = t.column("concepts").to_pylist()
-        self.size = np.array([len(x) for x in lists], np.int64)
-        by: dict[str, list[int]] = {}
-        for i, x in enumerate(lists):
-            for c in x:
-                by.setdefault(c, []).append(i)
-        self.lists = {c: np.array(i, np.int64) for c, i in by.items()}
 
-    def distances(self, age: float, gender: str, race: str, concepts: list[str]) -> np.ndarray:
-        """Squared distance of one-hot and multi-hot vectors to every target row, also to those without overlap."""
-        hit = [self.lists[c] for c in concepts if c in self.lists]
-        both = np.bincount(np.concatenate(hit), minlength=len(self.id)) if hit else np.zeros(len(self.id), np.int64)
-        return (age - self.age) ** 2 + 2.0 * (self.gender != gender) + 2.0 * (self.race != race) + self.size + len(concepts) - 2 * both
+_BLOB = pa.schema([("id", pa.int64()), ("age", pa.float64()), ("size", pa.int32()), ("code", pa.binary())])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a partition as one: ids, ages and sets of numbers, with what the numbers stand for. Gender and race are items like concepts: two that differ are two more items that only one side has."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    words: list[str] = []
+    lists = t.column("concepts")
+    n = lists.value_lengths().fill_null(0).to_numpy()
+    row = np.arange(t.num_rows)
+    code = np.concatenate([_numbered(lists.flatten(), "c", words), _numbered(t.column("gender"), "g", words), _numbered(t.column("race"), "r", words)])
+    key = np.unique(np.concatenate([np.repeat(row, n), row, row]) * len(words) + code)
+    size = np.bincount(key // len(words), minlength=t.num_rows).astype(np.int32)
+    parts = [t.column("id").to_numpy(), t.column("age").to_numpy(zero_copy_only=False).astype(float), size, (key % len(words)).astype(np.int32)]
+    data = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in parts]
+    yield pa.RecordBatch.from_arrays([pa.array([int(t.column("place")[0].as_py())], pa.int32()), pa.array([t.num_rows]), pa.array([len(key)]), *[pa.array([x], pa.binary()) for x in data], pa.array([words], pa.list_(pa.string()))], PACKED)
+
+
+PACKED = ["place", "n", "items", "ids", "ages", "sizes", "codes", "words"]
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """Rows of ``id, age, gender, race, concepts`` in shares by the hash of the id, each written as one row of small arrays; what is packed already stays as it is."""
+    if rows.columns == PACKED:
+        return rows
+    n = rows.count()
+    places = max(1, min(partitions(rows.sparkSession), -(-n // LEAST_ROWS)), -(-n // SOURCE_ROWS))
+    r = rows.select(F.pmod(F.xxhash64(F.col("id").cast("bigint")), F.lit(places)).cast("int").alias("place"), F.col("id").cast("bigint").alias("id"), F.col("age").cast("double").alias("age"), "gender", "race", "concepts")
+    kind = "place int, n bigint, items bigint, ids binary, ages binary, sizes binary, codes binary, words array<string>"
+    return persisted(r.repartitionById(places, "place").mapInArrow(_pack, kind), "packed")
+
+
+def _unpacked(r: dict, words: dict[str, int], side: str) -> Rows:
+    """A share's rows; ``words`` gets the items that it lacks, and numbers stand for its items."""
+    raw = lambda c, kind, n: np.frombuffer(pa.decompress(r[side + c], n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+    n, items = r[side + "n"], r[side + "items"]
+    number = np.array([words.setdefault(w, len(words)) for w in r[side + "words"]], np.int64)
+    return Rows(raw("ids", np.int64, n), raw("ages", np.float64, n), np.concatenate([[0], np.cumsum(raw("sizes", np.int32, n), dtype=np.int64)]), number[raw("codes", np.int32, items)])
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Iterator[pa.RecordBatch]]]:
@@ -80,22 +111,24 @@ def _sliced(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _nearest(batches: Iterator[pa.RecordBatch], other: bool) -> Iterator[pa.RecordBatch]:
-    for source, blocks in _places(batches):
-        rows = source.to_pylist()
-        best: list[tuple[float, int] | None] = [None] * len(rows)
-        for block in blocks:
-            target = _Target(pa.Table.from_batches([block]))
-            for i, r in enumerate(rows):
-                d = np.round(target.distances(r["age"], r["gender"], r["race"], r["concepts"]), 9)
-                if other:
-                    d = np.where(target.id == r["id"], np.inf, d)
-                low = d.min()
-                if low < np.inf:
-                    near = (float(low), int(target.id[d == low].min()))
-                    best[i] = near if best[i] is None else min(best[i], near)
-        found = [(r["id"], *b) for r, b in zip(rows, best) if b is not None]
-        cols = list(zip(*found)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64())], ["id", "dist", "match_id"])
+    """Pairs of a source share and a target share; small target shares are put together before they are looked through."""
+    found: dict[int, tuple[Nearest, dict[str, int], list[Rows]]] = {}
+    for b in batches:
+        for i in range(b.num_rows):
+            r = b.slice(i, 1).to_pylist()[0]
+            if r["place"] not in found:
+                words: dict[str, int] = {}
+                found[r["place"]] = Nearest(_unpacked(r, words, ""), other), words, []
+            best, words, waiting = found[r["place"]]
+            waiting.append(_unpacked(r, words, "t_"))
+            if sum(len(x.code) for x in waiting) >= 2 * TOKENS:
+                best.add(joined(waiting), len(words))
+                waiting.clear()
+    for place, (best, words, waiting) in found.items():
+        if waiting:
+            best.add(joined(waiting), len(words))
+        i = np.flatnonzero(best.dist < np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), place, np.int32)), pa.array(i), pa.array(best.source.id[i]), pa.array(best.dist[i]), pa.array(best.match[i])], ["place", "row", "id", "dist", "match_id"])
 
 
 def against(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -115,10 +148,19 @@ def nearest(source: DataFrame, target: DataFrame, other: bool = False) -> DataFr
     """``id, dist, match_id``: squared distance to the nearest target row, ties to the least id.
 
     ``other`` leaves out the row of the same id (a table against itself). An
-    empty target gives no rows. All source rows meet all target rows, see :func:`against`.
+    empty target gives no rows. Both may be :func:`packed`. Each source share meets all target shares, which
+    are read again for it and never copied; bounds leave out pairs that cannot be nearest, see :class:`Nearest`.
     """
-    rows = [x.select(F.col("id").cast("bigint").alias("id"), "age", "gender", "race", "concepts") for x in (source, target)]
-    return against(*rows).mapInArrow(lambda it: _nearest(it, other), "id bigint, dist double, match_id bigint")
+    a = packed(source)
+    b = a if target is source else packed(target)
+    places = (a.agg(F.max("place")).first()[0] or 0) + 1
+    groups = -(-(b.agg(F.sum(sum(F.octet_length(c) for c in ("ids", "ages", "sizes", "codes")))).first()[0] or 1) // GROUP_BYTES)
+    right = b.select(*[F.col(c).alias(f"t_{c}") for c in PACKED]).repartition(groups)
+    pairs = a.repartitionById(places, "place").join(right.hint("shuffle_replicate_nl"))
+    found = pairs.mapInArrow(lambda it: _nearest(it, other), "place int, row bigint, id bigint, dist double, match_id bigint")
+    if groups > 1:
+        found = found.groupBy("place", "row", "id").agg(F.min(F.struct("dist", "match_id")).alias("m")).select("id", "m.*")
+    return found.select("id", "dist", "match_id")
 
 
 def membership(train_dist: DataFrame, evaluation_dist: DataFrame, threshold: float = MEMBER_THRESHOLD) -> DataFrame:
