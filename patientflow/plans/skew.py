@@ -137,4 +137,6 @@ def broadcast_if_small(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> Data
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 20, seed: int = 0) -> DataFrame:
     """Inner equi-join whose left rows are spread by a hash salt, the right ones repeated per salt; the result does not depend on the salt."""
     salt = F.pmod(F.xxhash64(*left.columns, F.lit(seed)), F.lit(salts)).cast("int")
-    return left.withColumn("_s", salt).join(right.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "_s"]).drop("_s")
+    repeated = right.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # Spark's estimate leaves out the repeats, so it might broadcast them; they must not go through the driver.
+    return left.withColumn("_s", salt).join(repeated.hint("merge"), [*keys, "_s"]).drop("_s")
