@@ -177,15 +177,15 @@ def classification_metrics(rows: DataFrame) -> DataFrame:
     return agg.select(part("ok", "n").alias("accuracy"), part("tp", "p").alias("precision"), part("tp", "l").alias("recall"), F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("p") + F.col("l")), F.lit(0.0)).alias("f1"))
 
 
-def adversarial_accuracy(real: DataFrame, synthetic: DataFrame) -> DataFrame:
-    """One row ``aa``: how often the nearest row of the other set is farther than the nearest of the own set."""
+def adversarial_accuracy(real: DataFrame, synthetic: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """One row ``aa``: how often the nearest row of the other set is farther than the nearest of the own set. ``own``: ``nearest(synthetic, synthetic, other=True)``, if it is there already."""
 
-    def share(a: DataFrame, b: DataFrame) -> DataFrame:
-        across, within = nearest(a, b), nearest(a, a, other=True)
-        j = across.join(within.select("id", F.col("dist").alias("own")), "id", "left")
+    def share(a: DataFrame, b: DataFrame, within: DataFrame) -> DataFrame:
+        j = nearest(a, b).join(within.select("id", F.col("dist").alias("own")), "id", "left")
         return j.agg(F.avg((F.col("dist") > F.coalesce("own", F.lit(0.0))).cast("int")).alias("share"))
 
-    return share(real, synthetic).unionAll(share(synthetic, real)).agg(F.avg("share").alias("aa"))
+    a, b = packed(real), packed(synthetic)
+    return share(a, b, nearest(a, a, other=True)).unionAll(share(b, a, nearest(b, b, other=True) if own is None else own)).agg(F.avg("share").alias("aa"))
 
 
 def set_overlap(known: Column, guessed: Column) -> list[Column]:
@@ -342,8 +342,10 @@ SELECT aa_train, aa_test, aa_test - aa_train AS privacy_loss FROM x""")
 def nnaa_privacy_loss(spark, sf_dir: str) -> DataFrame:
     """Adversarial accuracy against train and evaluation, and their difference."""
     c = _cohorts(spark, sf_dir)
-    a = adversarial_accuracy(c["train"], c["synthetic"]).select(F.lit(0).alias("k"), F.col("aa").alias("aa_train"))
-    b = adversarial_accuracy(c["evaluation"], c["synthetic"]).select(F.lit(0).alias("k"), F.col("aa").alias("aa_test"))
+    made = packed(c["synthetic"])
+    own = persisted(nearest(made, made, other=True), "own")  # both accuracies need it
+    a = adversarial_accuracy(c["train"], made, own).select(F.lit(0).alias("k"), F.col("aa").alias("aa_train"))
+    b = adversarial_accuracy(c["evaluation"], made, own).select(F.lit(0).alias("k"), F.col("aa").alias("aa_test"))
     return a.join(b, "k").select("aa_train", "aa_test", (F.col("aa_test") - F.col("aa_train")).alias("privacy_loss"))
 
 

@@ -66,3 +66,25 @@ def test_target_in_several_groups_and_odd_rows(spark, monkeypatch):
         got = privacy.nearest(spark.createDataFrame(a, FIELDS), spark.createDataFrame(b, FIELDS)).collect()
         assert {r.id: (r.dist, r.match_id) for r in got} == want and len(got) == len(a)
     assert neighbours.SAMPLE < len(b)
+
+
+def test_privacy_loss_packs_each_part_once_and_copies_no_target(spark, monkeypatch):
+    rng = random.Random(7)
+    parts = {k: spark.createDataFrame([(i, rng.random(), rng.choice("mf"), "a", rng.sample("uvwxyz", rng.randrange(1, 6))) for i in range(o, o + 30)], FIELDS) for k, o in (("train", 0), ("evaluation", 100), ("synthetic", 200))}
+    monkeypatch.setattr(privacy, "_cohorts", lambda *a: parts)
+    nearest, write, searched, packs = privacy.nearest, privacy.persisted, [], []
+    monkeypatch.setattr(privacy, "nearest", lambda *a, **k: searched.append(nearest(*a, **k)) or searched[-1])
+    monkeypatch.setattr(privacy, "persisted", lambda df, name: packs.append(name) or write(df, name))
+    got = privacy.nnaa_privacy_loss(spark, "").first()
+    assert len(searched) == 7 and packs.count("packed") == 3
+    assert not any("Generate" in x._jdf.queryExecution().executedPlan().toString() for x in searched)
+
+    def dist(x, y):
+        return (x.age - y.age) ** 2 + 2 * (x.gender != y.gender) + len(set(x.concepts) ^ set(y.concepts))
+
+    def far(a, b):
+        a, b = (parts[k].collect() for k in (a, b))
+        return sum(min(dist(x, y) for y in b) > min(dist(x, y) for y in a if y.id != x.id) for x in a) / len(a)
+
+    train, test = ((far(k, "synthetic") + far("synthetic", k)) / 2 for k in ("train", "evaluation"))
+    assert (got.aa_train, got.aa_test, got.privacy_loss) == pytest.approx((train, test, test - train))
